@@ -7,11 +7,12 @@ on the full shingle sets of both texts.
 
 How large groups are kept linear. Documents with equal shingle sets are one class, named by
 its smallest doc_id. In a bucket, every class is compared with one pivot; classes that linked are
-one component, and only pairs of different components remain. All classes outside a bucket's
-largest component then serve as further pivots, in rounds of growing size, each compared with
-the classes that still lie in other components. When the rounds end, every proposed pair has been
-confirmed, refuted or become redundant inside one component, so no link between different texts
-that the bands proposed can change the components. Nothing is capped.
+one component, and a bucket whose classes are one component is settled. Of the other buckets, each
+class outside the bucket's largest component asks for partners. It finds them by prefix filtering,
+which is exact: order shingles from rare to frequent, and two sets that link share one of their
+first few shingles, early enough in both that what follows can still reach the threshold. A near
+copy with too many shingles of its own thus meets nobody, however large its group. The pairs found
+are confirmed, so no link that the bands proposed is lost, and nothing is capped.
 
 Cases. A null or empty text, or one without words, has no shingles and links with nothing. A text
 of fewer words than a shingle has one shingle, of all its words. Repeated rows of a doc_id come
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -113,6 +114,51 @@ def _confirmer(k: int, per_hundred: int):
     return run
 
 
+def _shingle_rows(k: int):
+    def run(batches):
+        for batch in batches:
+            for first, texts in slices(batch.column(1)):
+                words, at, _ = words_of(texts)
+                sets = [shingle_set(words[at[i] : at[i + 1]], k) for i in range(len(texts))]
+                docs = np.repeat(np.array(batch.column(0).slice(first, len(texts)).to_pylist(), np.int64), [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64)
+                for at_row in range(0, len(flat), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[at_row : at_row + 100_000]), pa.array(flat[at_row : at_row + 100_000])], ["doc", "token"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_hundred: int) -> DataFrame:
+    """Pairs ``(a, b)``, a > b, that may link, of ``members(doc, n, component, asks)``.
+
+    Of each pair one side asks and the components differ. A shingle of rank r (1: the rarest) in a
+    set of n leaves n - r + 1 shingles from there on; at the first shingle that two sets share, the
+    smaller such rest bounds the intersection, which has to reach t / (1 + t) of the sizes' sum. A
+    set of n therefore looks, for partners of about a given size, at so many of its first shingles
+    only, and the size class of the partner is part of the join key.
+    """
+    t = per_hundred / 100.0
+    rows = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(shingle_words), "doc long, token long")
+    frequency = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(frequency, "token").join(members, "doc")
+    of_doc = Window.partitionBy("doc")
+    # Shingles of one set only take the first ranks and meet nobody, so only their number counts.
+    ranked = shared.withColumn("shared", F.count("*").over(of_doc)).withColumn("place", F.row_number().over(of_doc.orderBy("df", "token")))
+    ranked = ranked.withColumn("rest", F.col("shared") - F.col("place") + 1)
+    ranked = ranked.where(100 * F.col("rest") >= int(per_hundred) * F.col("n"))
+    step = 1.03
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(step)))
+    largest = F.least(F.col("rest") * ((1 + t) / t) - F.col("n") + 1e-6, F.col("n") / t + 1e-6)
+    first, last = size_class(F.greatest(F.col("n") * t - 1e-6, F.lit(1.0))), size_class(F.greatest(largest, F.lit(1.0)))
+    asking = ranked.where("asks").where(first <= last).select(
+        "token", F.explode(F.sequence(first, last)).alias("class"), F.col("doc").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), F.col("component").alias("own")
+    )
+    asked = ranked.select("token", size_class(F.col("n")).alias("class"), "doc", "n", "rest", "component")
+    enough = f"{100 + per_hundred} * least(rest, rest_x) >= {int(per_hundred)} * (n + n_x)"
+    met = asking.join(asked, ["token", "class"]).where(f"component <> own AND {enough}")
+    return met.select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     scratch: Scratch,
@@ -120,7 +166,6 @@ def near_duplicates(
     per_hundred: int = 80,
     permutations: int = 48,
     band_rows: int = 4,
-    first_pivots: int = 64,
     seed: int = 7,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
@@ -165,47 +210,20 @@ def near_duplicates(
     links = confirmed(tried)
     labels = connected_components(links, scratch)
 
-    def with_component() -> DataFrame:
-        known = labels.select(F.col("node").alias("doc"), "component")
-        return placed.select("bucket", "doc", "n").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-
-    members = with_component()
+    known = labels.select(F.col("node").alias("doc"), "component")
+    members = placed.select("bucket", "doc", "n").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     open_ = (
         counts.groupBy("bucket")
-        .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count("*").alias("parts"))
+        .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("bucket", "main", (F.col("all") - F.col("most")).alias("outside"))
+        .select("bucket", "main")
     )
-    # An outsider's round: a hashed place among its bucket's outsiders, cut at first_pivots * 4**r.
-    place = F.pmod(F.xxhash64("doc", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("outside")
-    round_of = F.floor(F.log(4.0, place * 3.0 / first_pivots + 1.0)).cast("int")
-    pivots = scratch.table(
-        members.join(open_, "bucket").where("component <> main").select("bucket", F.col("doc").alias("pivot"), F.col("n").alias("n_pivot"), round_of.alias("turn")),
-        "pivots",
+    unsettled = scratch.table(
+        members.join(open_, "bucket").groupBy("doc", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("asks")), "unsettled"
     )
-    last = pivots.agg(F.max("turn")).first()[0]
-    for turn in range(0 if last is None else last + 1):
-        members = with_component()
-        own = labels.select(F.col("node").alias("pivot"), F.col("component").alias("own"))
-        asking = pivots.where(F.col("turn") == turn).drop("turn").join(own, "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-        pairs = (
-            members.join(asking, "bucket")
-            .where(f"component <> own AND {near}")
-            .select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = scratch.table(pairs, "pairs")
-        if pairs.isEmpty():
-            scratch.forget(pairs)
-            continue
-        more = confirmed(pairs)
-        if not more.isEmpty():
-            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
-        old = tried
-        tried = scratch.table(tried.union(pairs), "tried")
-        scratch.forget(pairs, more, old)
+    pairs = scratch.table(prefix_pairs(texts, unsettled, shingle_words, per_hundred).join(tried, ["a", "b"], "left_anti"), "pairs")
+    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs)), scratch)
 
     ends = labels.select(F.col("node").alias("rep"), "component")
     keyed = signed.select("doc_id", *same).join(classes, same, "left").join(ends, "rep", "left")
