@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import ship
+from .chat import maximal_conversations
+from .exact_dedup import exact_duplicates
+from .licences import known_table, licence_scan
+from .mixing import mixture
 from .near_dedup import near_duplicates
+from .pieces import default_model, encode_documents
+from .quality import quality_scores
+from .rules import quality_rules
 from .scratch import Scratch
+from .toxicity import toxicity_scores
+from .warc import pages_through_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,10 +55,100 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_
 FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+
+def op2_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    ship(spark)
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    ship(spark)
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens (as a digest), scores of the four best segmentations, and whether decoding gives the text."""
+    ship(spark)
+    found = encode_documents(_read(spark, sf_dir, "documents"), default_model(), n=4, digest=True)
+    return found.select("doc_id", "n_tokens", "token_digest", "scores", F.size("scores").alias("n_best"), "decoded")
+
+
+def op5_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the learned decision list's verdict on all documents."""
+    return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark))
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC and WARC archives and back."""
+    return pages_through_archives(_read(spark, sf_dir, "pages"), Scratch(spark))
+
+
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of entire texts and of lines, for all documents."""
+    return licence_scan(_read(spark, sf_dir, "documents"), known_table(spark))
+
+
+def op8_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal without white space."""
+    return exact_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark))
+
+
+OP8_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+g AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and fitted rates of all documents."""
+    mixed, names = mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark))
+    posterior = F.create_map(*(x for j, n in enumerate(names) for x in (F.lit(n), F.round(f"p{j}", 6))))
+    return mixed.select("doc_id", "n_tokens", posterior.alias("posteriors"), F.round("rate", 6).alias("rate"))
+
+
+def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the maximal conversations."""
+    kept = maximal_conversations(_read(spark, sf_dir, "conversations"), Scratch(spark))
+    return kept.select("conv_id", "place", "turns", "rendered", "starts_at")
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER w AS place, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+p AS (
+  SELECT *, string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS turns,
+         sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY place) - length(rendered) AS starts_at
+  FROM t),
+e AS (SELECT prefix, turns, min(conv_id) AS conv_id FROM p WHERE place = turns GROUP BY prefix, turns),
+k AS (SELECT conv_id FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = e.prefix AND p.place = e.turns AND p.turns > p.place))
+SELECT p.conv_id, p.place, p.turns, p.rendered, CAST(p.starts_at AS BIGINT) AS starts_at FROM p JOIN k USING (conv_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_nnpu_toxicity": op2_nnpu_toxicity,
+    "op3_nbsvm_quality": op3_nbsvm_quality,
+    "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
+    "op5_decision_list_rules": op5_decision_list_rules,
+    "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_licence_digests": op7_licence_digests,
+    "op8_lsm_exact_dedup": op8_lsm_exact_dedup,
+    "op9_soft_mixing": op9_soft_mixing,
+    "op10_snapshot_collapse": op10_snapshot_collapse,
 }
 
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op8_lsm_exact_dedup": OP8_SQL,
+    "op10_snapshot_collapse": OP10_SQL,
 }
