@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, one or more per operator."""
+
+from . import scalars, tenders  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
