@@ -22,6 +22,7 @@ other. An empty table gives an empty table. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +58,25 @@ def in_filter(digests: list[bytes], packed: bytes) -> np.ndarray:
     return flags[_positions(digests, len(flags))].all(1)
 
 
-def _digest_rows(batches):
-    for batch in batches:
-        digests, points = [], []
-        for value in batch.column(1):
-            text = value.as_py() or ""
-            digests.append(hashlib.sha256(text.encode().translate(None, WHITE)).digest())
-            points.append(len(text))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "digest", "points"]
-        )
+def sha256(body: bytes) -> bytes:
+    return hashlib.sha256(body).digest()
 
 
-def digests_of(docs: DataFrame) -> DataFrame:
+def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """``(doc_id, digest, points)`` of every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(_digest_rows, "doc_id long, digest binary, points long")
+
+    def run(batches):
+        for batch in batches:
+            digests, points = [], []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                digests.append(digest(text.encode().translate(None, WHITE)))
+                points.append(len(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "digest", "points"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, points long")
 
 
 _RUN = "run long, digest binary, points long, id long, n long, filter binary"
@@ -183,10 +188,10 @@ def lookup(digests: DataFrame, level: DataFrame, packed: bytes) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, bits: int = FILTER_BITS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, bits: int = FILTER_BITS, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
-    digests = scratch.table(digests_of(docs), "digests")
+    digests = scratch.table(digests_of(docs, digest), "digests")
     level = scratch.table(compact(flush_runs(digests, scratch, memtable_rows, bits)), "level")
     hit = level.where("n > 1")
     packed = merge_filters(hit.select("digest").mapInArrow(_filter_of(bits), "filter binary"))
@@ -195,7 +200,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_
     def hits(batches):
         for batch in batches:
             bodies = [(v.as_py() or "").encode().translate(None, WHITE) for v in batch.column(1)]
-            found = [hashlib.sha256(b).digest() for b in bodies]
+            found = [digest(b) for b in bodies]
             maybe = np.flatnonzero(in_filter(found, shared.value))
             yield pa.RecordBatch.from_arrays(
                 [

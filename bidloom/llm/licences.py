@@ -65,7 +65,8 @@ SPELLINGS: list[tuple[str, str]] = [
     ("wilful", "willful"),
 ]
 
-_COPYRIGHT = r"(?im)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
+# A line of its own: "copyright" with a sign or a year, or the sign alone; not a wrapped "copyright notice".
+_COPYRIGHT = r"(?im)^[^\S\n]*(?:copyright[^\S\n]*(?:\(c\)|©|[^\S\n]\d{4})|\(c\)[^\S\n]|©)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_TRIM = F.lit(" \t\n\x0b\x0c\r")
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     ``n_repeats`` (words equal to the word before), ``n_upper`` (A-Z) and ``n_distinct`` words.
     """
     text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", text.alias("text"), F.btrim(text, _TRIM).alias("trimmed"))
+    words = docs.select("doc_id", text.alias("text"), F.btrim(text, F.lit(_BLANKS)).alias("trimmed"))
     words = words.select("doc_id", "text", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", _SPACE)).alias("w"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, _TRIM) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     # Hash and place of every window, sorted: equal windows are neighbours.
     hashed = F.transform("w", lambda x: F.xxhash64(x))
     with_hashes = words.select("doc_id", "text", "w", lines.alias("lines"), hashed.alias("h"))
@@ -129,9 +129,10 @@ def _best_condition(covered: list[dict[str, int]], columns: list[str]) -> Condit
         below = below_bad = 0
         for i, (v, is_bad) in enumerate(ranked):
             if i and v != ranked[i - 1][0]:
+                middle = (ranked[i - 1][0] + v + 1) // 2
                 for at_least, n, b in ((True, total - below, bad - below_bad), (False, below, below_bad)):
                     if b and (gain := b * (log2(b / n) - start)) > best[0]:
-                        best = (gain, Condition(c, at_least, v))
+                        best = (gain, Condition(c, at_least, middle))
             below += 1
             below_bad += is_bad
     return best[1]
@@ -162,11 +163,17 @@ def _prune(rule: Rule, rows: list[dict[str, int]]) -> Rule:
     return best
 
 
-def learn_rules(rows: list[dict[str, int]], max_rules: int = 12, max_conditions: int = 4, precision: float = 0.97) -> list[Rule]:
+def _sound(rule: Rule, rows: list[dict[str, int]], false_share: float, least: int = 5) -> bool:
+    hit = [r["bad"] for r in rows if rule.holds(r)]
+    return len(hit) >= least and len(hit) - sum(hit) <= false_share * len(hit)
+
+
+def learn_rules(rows: list[dict[str, int]], max_rules: int = 12, max_conditions: int = 4, false_share: float = 0.02) -> list[Rule]:
     """Ordered rules that name bad texts, from rows with the statistics and ``bad`` (0 or 1).
 
-    A third of the rows is kept aside for pruning. A rule has to reach ``precision`` on all rows
-    left, corrected by Laplace, or the search ends.
+    A third of the rows is kept aside for pruning. Of all rows left that a rule covers, five at
+    least, no more than ``false_share`` may be good; a pruned rule that covers more is taken
+    unpruned, and if that covers more too, the search ends.
     """
     columns = sorted({*RATIOS, "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats"} & set(rows[0])) if rows else []
     rules: list[Rule] = []
@@ -176,9 +183,8 @@ def learn_rules(rows: list[dict[str, int]], max_rules: int = 12, max_conditions:
         rule = _grow(grow, columns, max_conditions)
         if rule is None:
             break
-        rule = _prune(rule, aside)
-        hit = [r["bad"] for r in left if rule.holds(r)]
-        if not hit or (sum(hit) + 1) / (len(hit) + 2) < precision:
+        rule = next((r for r in (_prune(rule, aside), rule) if _sound(r, left, false_share)), None)
+        if rule is None:
             break
         rules.append(rule)
         left = [r for r in left if not rule.holds(r)]
