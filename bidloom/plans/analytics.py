@@ -344,13 +344,13 @@ def stream_states(spark, d):
 @query(
     "q64_rate_limit",
     "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20), "
-    "b AS (SELECT user_id, event_id, t, n, 2000.0 - 1500.0 AS level FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.n, least(2000.0, b.level + (o.t - b.t) * 0.1) - 1500.0 FROM b JOIN o ON o.user_id = b.user_id AND o.n = b.n + 1) "
-    "SELECT event_id, round(greatest(0.0, -level / 0.1), 3) AS wait FROM b",
+    "b AS (SELECT user_id, event_id, t, n, CAST(500.0 AS DOUBLE) AS level FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.n, least(2000.0, b.level + (o.t - b.t) * 0.1) - 1500.0 FROM b JOIN o ON o.user_id = b.user_id AND o.n = b.n + 1) "
+    "SELECT event_id, round(greatest(0.0, -level / 0.1), 1) AS wait FROM b",
 )
 def rate_limit(spark, d):
     """How long requests of a key wait on a token bucket that may go into debt."""
     e = read(spark, d, "events").where("user_id < 20").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit(1500.0).alias("cost"))
-    return J.rate_limit(e, "user_id", "at", "cost", 0.1, 2000.0).select("event_id", F.round("wait", 3).alias("wait"))
+    return J.rate_limit(e, "user_id", "at", "cost", 0.1, 2000.0).select("event_id", F.round("wait", 1).alias("wait"))
 
 
 @query(
