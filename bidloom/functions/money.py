@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,21 +39,25 @@ def money_inr(text: Column) -> Column:
     Rounding is half-even.
     """
     clean = F.regexp_replace(text, NOISE, " ")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(clean, F.lit(AMOUNT), 1).alias("digits"), F.regexp_extract_all(clean, F.lit(AMOUNT), 2).alias("after")
-    )
     factor = F.create_map(*(F.lit(x) for unit, by in UNITS.items() for x in (unit, by)))
-    named = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.regexp_replace(p["digits"], r"[,\s]", "").cast("decimal(24,4)").alias("value"),
-            F.lower(F.regexp_replace(p["after"], r"[\s.]", "")).alias("unit"),
-        ),
-    )
+
+    def read(match: Column) -> Column:
+        unit = F.lower(F.regexp_replace(F.regexp_extract(match, AMOUNT, 2), r"[\s.]", ""))
+        return F.struct(
+            F.regexp_replace(F.regexp_extract(match, AMOUNT, 1), r"[,\s]", "").cast("decimal(24,4)").alias("value"),
+            unit.alias("unit"),
+            F.coalesce(F.try_element_at(factor, unit), F.lit(1)).alias("by"),
+        )
+
+    named = F.transform(F.regexp_extract_all(clean, F.lit(AMOUNT), 0), read)
     absolute = F.filter(named, lambda p: ~p["unit"].rlike(r"^(%|percent)"))
-    chosen = F.coalesce(F.get(F.filter(absolute, lambda p: F.coalesce(F.try_element_at(factor, p["unit"]), F.lit(1)) > 1), 0), F.get(absolute, 0))
-    by = F.coalesce(F.try_element_at(factor, chosen["unit"]), F.lit(1)).cast("decimal(12,0)")
-    return F.bround(chosen["value"] * by, 2).cast("decimal(18,2)")
+    chosen = let(absolute, lambda a: F.coalesce(F.get(F.filter(a, lambda p: p["by"] > 1), 0), F.get(a, 0)))
+    return let(chosen, lambda c: F.bround(c["value"] * c["by"].cast("decimal(12,0)"), 2).cast("decimal(18,2)"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _trimmed(value: Column) -> Column:

@@ -36,20 +36,22 @@ def restated(parents: DataFrame, headers: DataFrame) -> DataFrame:
     Both inputs hold ``tender_id``, the two dates as printed or dates, and the two amounts as printed; a null
     or unreadable new value is no change, and neither is an amount that only looks different.
     """
-    parts = []
     both = headers.alias("h").join(parents.alias("p"), "tender_id")
+    found = []
     for f in DATES:
         new, old = parse_date(F.col(f"h.{f}")), F.col(f"p.{f}").cast("date")
-        parts.append(both.where(new.isNotNull() & ~new.eqNullSafe(old)).select("corrigendum_id", "tender_id", F.lit(f).alias("field_path"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value")))
+        found.append(F.when(new.isNotNull() & ~new.eqNullSafe(old), _change(f, old.cast("string"), new.cast("string"))))
     for f in AMOUNTS:
         new, old = F.col(f"h.{f}"), F.col(f"p.{f}")
         a, b = money_inr(new), money_inr(old)
         same = F.when(a.isNull() | b.isNull(), F.trim(F.coalesce(new, F.lit(""))) == F.trim(F.coalesce(old, F.lit("")))).otherwise(a == b)
-        parts.append(both.where((F.coalesce(new, F.lit("")) != "") & ~same).select("corrigendum_id", "tender_id", F.lit(f).alias("field_path"), old.alias("old_value"), new.alias("new_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found.append(F.when((F.coalesce(new, F.lit("")) != "") & ~same, _change(f, old, new)))
+    changes = F.explode(F.array_compact(F.array(*found))).alias("c")
+    return both.select("corrigendum_id", "tender_id", changes).select("corrigendum_id", "tender_id", "c.*")
+
+
+def _change(field: str, old: Column, new: Column) -> Column:
+    return F.struct(F.lit(field).alias("field_path"), old.alias("old_value"), new.alias("new_value"))
 
 
 def diff(restated_fields: DataFrame, stated: DataFrame) -> DataFrame:

@@ -49,13 +49,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     ``docs(doc_id, text)``, ``queries(query_id, text)``. A word that a query holds twice counts
     twice. Terms are counted before they meet the queries, and only the queries' terms are joined.
     """
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("length"))
+    totals = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    counts = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counts = split.select("doc_id", "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = counts.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(totals))
+    weighed = counts.join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(1e-9), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = 1 - b + b * F.col("length") / F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0))
     one = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
