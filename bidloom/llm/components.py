@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every step is a join and an aggregation of the links; nothing is collected but a row count and
-a checksum that tell when the links no longer change. Minima are aggregated before the join
-that hands them back, so a node with very many links is an ordinary skewed join key.
+a checksum that tell when the links no longer change. Minima are aggregated and written before the
+join that hands them back: both its sides are then shuffled for the join alone, which lets adaptive
+execution split a node with very many links.
 """
 
 from __future__ import annotations
@@ -24,19 +25,19 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.table(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low_of_large = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
-            large.join(low, "u")
+            large.join(low_of_large, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")
             .distinct()
         )
         small = scratch.table(small, "small-star")
-        scratch.forget(edges, large)
+        scratch.forget(edges, large, low, low_of_large)
         edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -188,6 +188,7 @@ def near_duplicates(
         .select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     )
     full = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").drop("top")
+    full = scratch.table(full, "full")  # so that a bucket with very many rows can be split in the join
     placed = scratch.table(banded.join(full, "bucket").select("bucket", F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "pivot"), "buckets")
 
     wanted = placed.select(F.col("doc").alias("doc_id")).distinct()
@@ -219,6 +220,7 @@ def near_duplicates(
         .where("parts > 1")
         .select("bucket", "main")
     )
+    open_ = scratch.table(open_, "open")
     unsettled = scratch.table(
         members.join(open_, "bucket").groupBy("doc", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("asks")), "unsettled"
     )
