@@ -214,6 +214,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_
     bodies = docs.mapInArrow(hits, "doc_id long, digest binary, body binary").join(hit.select("digest", "id"), "digest")
     bodies = scratch.table(bodies, "bodies")
     stays = bodies.where(f"coalesce(doc_id, {_LAST_ID}L) = id").groupBy("digest").agg(F.first("body").alias("stay"))
+    stays = scratch.table(stays, "stays")  # so that a digest with very many rows can be split in the join
     differing = scratch.table(
         bodies.join(stays, "digest").where("body <> stay").select("digest").distinct(), "differing"
     )
