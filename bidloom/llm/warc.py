@@ -259,6 +259,7 @@ def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes:
     index = scratch.table(arc_index(arcs), "arc-index")
     shared = index.where(F.col("size") >= min_revisit_bytes)
     first = shared.groupBy("digest", "size").agg(F.max(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = scratch.table(first, "first")  # so that a digest with very many rows can be split in the join
     revisits = shared.join(first.select("digest", "size", F.col("first.id").alias("refers_to")), ["digest", "size"]).where("id <> refers_to")
     # At most per_file rows a path: a list per archive, beside its bytes.
     by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("place", "refers_to")).alias("revisits"))
@@ -320,5 +321,6 @@ def pages_through_archives(pages: DataFrame, scratch: Scratch, version: str = "1
     named = records.select(F.col("id").alias("refers_to"), F.col("number").alias("of")).join(
         records.where("refers_to IS NOT NULL").select("refers_to").distinct(), "refers_to"
     ).groupBy("refers_to").agg(F.max("of").alias("of"))
+    named = scratch.table(named, "named")
     out = records.join(named, "refers_to", "left")
     return out.select(F.col("number").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("of").alias("refers_to"), "block_ok")
