@@ -11,7 +11,7 @@ from ..session import ship
 from .chat import maximal_conversations
 from .exact_dedup import exact_duplicates
 from .licences import known_table, licence_scan
-from .mixing import mixture
+from .mixing import DOMAINS, mixture
 from .near_dedup import near_duplicates
 from .pieces import default_model, encode_documents
 from .quality import quality_scores
@@ -109,8 +109,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and fitted rates of all documents."""
     mixed, names = mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark))
-    posterior = F.create_map(*(x for j, n in enumerate(names) for x in (F.lit(n), F.round(f"p{j}", 6))))
-    return mixed.select("doc_id", "n_tokens", posterior.alias("posteriors"), F.round("rate", 6).alias("rate"))
+    share = [(F.round(f"p{names.index(n)}", 6) if n in names else F.lit(0.0)).alias(f"p_{n}") for n in DOMAINS.values()]
+    return mixed.select("doc_id", "n_tokens", *share, F.round("rate", 6).alias("rate"))
 
 
 def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
