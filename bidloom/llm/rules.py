@@ -175,7 +175,8 @@ def learn_rules(rows: list[dict[str, int]], max_rules: int = 12, max_conditions:
     least, no more than ``false_share`` may be good; a pruned rule that covers more is taken
     unpruned, and if that covers more too, the search ends.
     """
-    columns = sorted({*RATIOS, "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats"} & set(rows[0])) if rows else []
+    # Ratios come first, so that of equal gains one that does not depend on a text's length wins.
+    columns = [c for c in [*sorted(RATIOS), "n_dup_lines", "n_repeat_words", "n_repeats", "n_symbols"] if c in rows[0]] if rows else []
     rules: list[Rule] = []
     left = rows
     while len(rules) < max_rules and 0 < sum(r["bad"] for r in left) < len(left):
