@@ -1,7 +1,7 @@
 """Features and learners shared by the classifiers of this subpackage.
 
 A document's features are hashed indicators (each counts once however often it occurs): words
-lower-cased without punctuation, the words' first four bytes, two- and three-grams of word shapes,
+lower-cased without punctuation, the words' first four and seven bytes, two- and three-grams of word shapes,
 and repetition of a word. They are made in Spark tasks; a learner sees a bounded sample of
 labelled rows as arrays of feature numbers, on the driver, and gives a weight per feature.
 """
@@ -19,13 +19,26 @@ BITS = 20
 SIZE = 1 << BITS
 _U = np.uint64
 _REPEAT = _U(0xB5297A4D)
-_PREFIX = 4
+_PREFIXES = (4, 7)
 
 
 def _hashed(values: np.ndarray, family: int) -> np.ndarray:
     return (mix(values + _SALT[family]) >> _U(64 - BITS)).astype(np.int32)
 
 
+def _prefix_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first ``size`` bytes of each word."""
+    short = data.copy()
+    size_of = stops - starts
+    for shift in range(size, int(size_of.max(initial=0))):
+        if shift == 4 * size:  # the rest of the few longer words
+            for a, z in zip(starts[size_of > shift], stops[size_of > shift], strict=True):
+                short[a + shift : z] = 0x20
+            break
+        short[starts[size_of > shift] + shift] = 0x20
+    return word_hashes(short)[0]
+
+
 def features_of(texts: list[bytes], words: bool = True, shapes: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct feature numbers of each text, and its number of words."""
     _, at, data = words_of(texts)
@@ -35,16 +48,8 @@ def features_of(texts: list[bytes], words: bool = True, shapes: bool = True) ->
         kept = letters_only(data)
         plain, starts, stops = word_hashes(kept)
         plain_at = np.searchsorted(starts, ends)
-        short = kept.copy()
-        for shift in range(_PREFIX, int((stops - starts).max(initial=0))):
-            starts_long = starts[stops - starts > shift]
-            short[starts_long + shift] = 0x20
-            if shift == 3 * _PREFIX:  # the rest of the few longer words
-                for a, z in zip(starts[stops - starts > shift], stops[stops - starts > shift], strict=True):
-                    short[a + shift : z] = 0x20
-                break
-        prefix = word_hashes(short)[0]
-        plain_f, prefix_f = _hashed(plain, 1), _hashed(prefix, 2)
+        plain_f = _hashed(plain, 1)
+        prefix_f = [_hashed(_prefix_hashes(kept, starts, stops, n), 7 + n) for n in _PREFIXES]
     if shapes:
         raw = word_hashes(data)[0]
         shape = shape_hashes(data)
@@ -53,7 +58,7 @@ def features_of(texts: list[bytes], words: bool = True, shapes: bool = True) ->
         parts = []
         if words:
             a, b = plain_at[i], plain_at[i + 1]
-            parts += [plain_f[a:b], prefix_f[a:b]]
+            parts += [plain_f[a:b], *(p[a:b] for p in prefix_f)]
         if shapes:
             a, b = at[i], at[i + 1]
             s, w = shape[a:b], raw[a:b]

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from .learn import SIZE, Sparse, document_counts, judged, labelled_sample, score_documents, sigmoid
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-4, min_documents: int = 5, lift: float = 3.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-4, min_documents: int | None = None, lift: float = 3.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with the logistic loss.
 
-    Only features of at least ``min_documents`` positives whose share among the positives is
+    Only features of at least ``min_documents`` positives (by default a fortieth of them, within 3
+    and 5) whose share among the positives is
     ``lift`` times that among the unlabelled texts get a weight: of an open vocabulary nearly all
     words are noise. At the end the bias is set so that the mean score of the unlabelled texts is
     the prior.
@@ -33,7 +34,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     if not positive or not unlabelled:
         return np.zeros(SIZE), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     found, seen = document_counts(positive), document_counts(unlabelled)
-    use = (found >= min(min_documents, len(positive))) & (found * len(unlabelled) >= lift * seen * len(positive))
+    least = min_documents or max(3, min(5, len(positive) // 40))
+    use = (found >= min(least, len(positive))) & (found * len(unlabelled) >= lift * seen * len(positive))
     p, u = Sparse([r[use[r]] for r in positive]), Sparse([r[use[r]] for r in unlabelled])
     w, b = np.zeros(SIZE), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
