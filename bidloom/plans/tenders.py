@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions import names as N
-from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..operators import amendments as A
 from ..operators import compliance as C
 from ..operators import requirements as R
 from ..operators import shortlist as S
-from .base import NAMES, any_word_sql, canonical_sql, distinctive_sql, identifiers_sql, normalised_sql, pick, pick_sql, query, quoted, read, vocabulary_sql
+from .base import NAMES, canonical_sql, distinctive_sql, identifiers_sql, normalised_sql, pick, pick_sql, query, quoted, read, vocabulary_sql
 
 # ------------------------------------------------------------ frames of a tender
 
