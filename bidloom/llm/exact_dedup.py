@@ -215,9 +215,8 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_
     bodies = scratch.table(bodies, "bodies")
     stays = bodies.where(f"coalesce(doc_id, {_LAST_ID}L) = id").groupBy("digest").agg(F.first("body").alias("stay"))
     stays = scratch.table(stays, "stays")  # so that a digest with very many rows can be split in the join
-    differing = scratch.table(
-        bodies.join(stays, "digest").where("body <> stay").select("digest").distinct(), "differing"
-    )
+    # Not made distinct: that would reuse the join's partitions, and a hot digest could not be split.
+    differing = scratch.table(bodies.join(stays, "digest").where("body <> stay").select("digest"), "differing")
     answer = level.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     joined = digests.join(answer, "digest")
     if not differing.isEmpty():  # two texts with one SHA-256: group these by their bytes
