@@ -31,6 +31,8 @@ from .textops import slices
 #: Domain names of the labels (quality, toxic), and the shares of tokens wanted of each.
 DOMAINS: dict[tuple[int, int], str] = {(1, 0): "clean", (0, 0): "junk", (1, 1): "toxic", (0, 1): "toxic_junk"}
 TARGETS: dict[str, float] = {"clean": 0.9, "junk": 0.05, "toxic": 0.04, "toxic_junk": 0.01}
+#: Domains that nobody wants more of: their targets can be taken as upper bounds.
+UNWANTED = ("junk", "toxic", "toxic_junk")
 
 
 def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, k: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-3, min_documents: int = 5, lift: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +102,16 @@ def rate_column(k: int, steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, max_steps: int = 60, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, max_steps: int = 60, tolerance: float = 1e-6, bounded: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps' vectors and the domain totals they reach, for ``soft(n_tokens, p0, ...)``.
 
     ``total`` is the wanted number of expected tokens; by default the largest total for which no
     domain has to grow, so that rates fall where a domain has too much and stay one elsewhere.
+    Where ``bounded`` is true a share is an upper bound: such a domain keeps what it has below it
+    and has no say in the total.
     """
     k = len(shares)
+    upper = np.zeros(k, bool) if bounded is None else bounded
     sums = [F.sum(F.col("n_tokens") * F.col(f"p{j}")) for j in range(k)]
     moments = [F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)]
     got = np.array([x or 0.0 for x in soft.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums + moments))).first()], float)
@@ -114,8 +119,8 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, m
     if not now.sum():
         return [], now
     if total is None:
-        total = float(min(n / s for n, s in zip(now, shares, strict=True) if s > 0))
-    goal = shares * total
+        total = float(min((n / s for n, s, u in zip(now, shares, upper, strict=True) if s > 0 and not u), default=now.sum()))
+    goal = np.where(upper, np.minimum(now, shares * total), shares * total)
     steps: list[np.ndarray] = []
     best = np.inf
     for _ in range(max_steps):
@@ -132,12 +137,13 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, m
 
 
 def mixture(
-    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, min_domain_rows: int = 5
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, min_domain_rows: int = 5,
+    at_most: tuple[str, ...] = (),
 ) -> tuple[DataFrame, list[str]]:
     """``(doc_id, n_tokens, p0, ..., rate)`` and the names of the domains p0, p1, ...
 
     Domains with fewer than ``min_domain_rows`` labelled rows in the sample are left out, and the
-    targets of the others scaled to one.
+    targets of the others scaled to one. Targets of the domains ``at_most`` are upper bounds.
     """
     rows, by = labelled_sample(docs, labels, ["quality", "toxic"], 1, 1, max_rows)
     named = [DOMAINS.get((int(q > 0), int(t > 0))) for q, t in zip(by["quality"], by["toxic"], strict=True)]
@@ -151,7 +157,7 @@ def mixture(
     else:
         weights, bias = np.zeros((1, SIZE)), np.zeros(1)
     soft = scratch.table(domain_posteriors(docs, weights, bias), "posteriors")
-    steps, _ = fit_rates(soft, shares, total)
+    steps, _ = fit_rates(soft, shares, total, bounded=np.array([n in at_most for n in names]))
     return soft.withColumn("rate", rate_column(len(names), steps)), names
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.llm.exact_dedup import exact_duplicates
-from bidloom.llm.mixing import copies, mixture
+from bidloom.llm.mixing import UNWANTED, copies, mixture
 from bidloom.llm.near_dedup import near_duplicates
 from bidloom.llm.pieces import default_model, encode_documents
 from bidloom.llm.quality import keep_good
@@ -63,9 +63,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; domains with too many tokens shrink."""
+    """Documents as often as their fitted rates say; unwanted domains with too many tokens shrink.
+
+    Earlier stages have removed most junk, so what is left of it, however little, is no measure of
+    the mixture: targets of unwanted domains are upper bounds, and a single labelled row counts.
+    """
     scratch = _stage(spark)
-    mixed, _ = mixture(docs, _labels(spark, sf_dir), scratch)
+    mixed, _ = mixture(docs, _labels(spark, sf_dir), scratch, min_domain_rows=1, at_most=UNWANTED)
     times = mixed.select(F.col("doc_id").alias("id"), copies(F.col("rate"), F.col("doc_id")).alias("times"))
     times = scratch.table(times.groupBy("id").agg(F.max("times").alias("times")), "times")
     joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id"))).where("times > 0")

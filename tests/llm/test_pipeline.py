@@ -58,6 +58,37 @@ def test_stages(spark, folder, tmp_path):
     assert out.count() == seen[4][0].count() and out.where("NOT decoded").isEmpty()
 
 
+@pytest.mark.parametrize("survivors", [1, 4, 5, 7, 10])
+def test_little_junk_leaves_clean_documents(spark, tmp_path, survivors):
+    """Labelled junk that reads like clean text passes the first stage; clean documents stay all the same."""
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(400):
+        text = [rng.choice(vocabulary) for _ in range(60)]
+        junk, toxic = i % 9 == 0, i % 6 == 1
+        if junk:
+            text = [w.upper() + "!!" for w in text]
+        if toxic:
+            text[10] = text[40] = "slurword"
+        docs.append((i, " ".join(text), "en", "s", 0))
+        labels.append((i, int(not junk), int(toxic)))
+    for i in range(1000, 1000 + survivors):
+        docs.append((i, " ".join(rng.choice(vocabulary) for _ in range(6)), "en", "s", 0))
+        labels.append((i, 0, 0))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).write.parquet(f"{tmp_path}/passed")
+    passed = spark.read.parquet(f"{tmp_path}/passed")
+    before = [r.doc_id for r in passed.select("doc_id").collect()]
+    assert len([d for d in before if d >= 1000]) == survivors
+    after = [r.doc_id for r in corpus_pipeline.mixing(spark, passed, str(tmp_path)).select("doc_id").collect()]
+    clean = {d for d in before if d < 1000 and d % 6 != 1}
+    assert len(clean) > 250 and len(clean - set(after)) <= 0.02 * len(clean)
+    toxic = {d for d in before if d < 1000 and d % 6 == 1}
+    assert len(toxic & set(after)) < 0.6 * len(toxic)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
