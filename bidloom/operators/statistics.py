@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +54,23 @@ def kappa_band(k: Column) -> Column:
 def bootstrap_mean(values: DataFrame, column: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
     """Mean of paired differences with a percentile interval and two-sided p.
 
-    Poisson bootstrap: each resample gives every row a hashed Poisson(1) weight, so resamples are
-    aggregated where the rows are and no row is addressed by number. Only the resamples' sums move.
+    Poisson bootstrap: each resample gives a row a Poisson(1) weight, so the rows of one distinct
+    value together have a Poisson weight of their number, drawn at once from a generator seeded by
+    the value. A task hands on its sums, one row per resample.
     """
-    spark = values.sparkSession
-    rounds = spark.range(resamples).withColumnRenamed("id", "resample")
-    u = F.pmod(F.xxhash64("resample", "_row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        steps = steps + (u >= total).cast("int")
-        term /= k
-    rows = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("times"))
-    each = rows.select("v", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("i")).withColumn("_row", F.xxhash64("v", "i"))
-    weighed = each.crossJoin(F.broadcast(rounds)).withColumn("w", steps)
-    means = weighed.groupBy("resample").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+
+    def run(batches):
+        weights, sums, seen = np.zeros(resamples), np.zeros(resamples), False
+        for batch in batches:
+            for v, times, key in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                w = np.random.default_rng([seed, key & (1 << 64) - 1]).poisson(times, resamples)
+                weights, sums, seen = weights + w, sums + w * v, True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weights), pa.array(sums)], ["resample", "w", "s"])
+
+    rows = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("times"))
+    drawn = rows.select("v", "times", F.xxhash64("v")).mapInArrow(run, "resample long, w double, s double")
+    means = drawn.groupBy("resample").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     spread = means.agg(
         F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), (2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p")
     )

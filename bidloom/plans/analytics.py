@@ -265,7 +265,7 @@ def kappa(spark, d):
 def bootstrap(spark, d):
     """Mean of quality less toxicity with a bootstrap interval."""
     v = read(spark, d, "labels").select((F.col("quality") - F.col("toxic")).cast("double").alias("v"))
-    return T.bootstrap_mean(v, "v", resamples=500)
+    return T.bootstrap_mean(v, "v", resamples=10_000)
 
 
 @query(

@@ -102,6 +102,26 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert (empty["mean"], empty["p"]) == (0.0, 1.0)
 
 
+def test_bootstrap_draws_per_distinct_value(spark):
+    """A million rows of three values: the interval is that of the normal law, and p is fine-grained in the query."""
+    df = spark.range(1_000_000).select((F.col("id") % 3 - 1 + F.lit(0.001)).cast("double").alias("v"))
+    r = T.bootstrap_mean(df, "v", 10_000).first()
+    half = 1.96 * (2 / 3) ** 0.5 / 1000
+    assert abs(r.mean - 0.001) < 1e-5 and abs(r.low - (r.mean - half)) < 0.05 * half and abs(r.high - (r.mean + half)) < 0.05 * half
+    assert abs(r.p - 0.2207) < 0.02
+    again = T.bootstrap_mean(df.repartition(7), "v", 10_000).first()
+    assert abs(r.low - again.low) < 1e-9 and r.p == again.p
+
+
+def test_bootstrap_query_has_ten_thousand_resamples(spark, monkeypatch):
+    from bidloom.plans import QUERIES
+
+    asked, whole = [], T.bootstrap_mean
+    monkeypatch.setattr(T, "bootstrap_mean", lambda v, c, resamples=2000, **k: asked.append(resamples) or whole(v, c, resamples, **k))
+    monkeypatch.setattr("bidloom.plans.analytics.read", lambda s, d, t: s.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))
+    assert QUERIES["q51_bootstrap"](spark, "").count() == 1 and asked == [10_000]
+
+
 def test_amendments_never_guess(spark):
     criteria = spark.createDataFrame([(1, 1, "turnover", "4.1", "Rs. 1 Cr"), (1, 2, "worth", "4.2", "Rs. 1 Cr")], "tender_id int, criterion_id int, criterion string, clause_ref string, threshold_raw string")
     path = "eligibility_criteria[0].threshold_amount"
