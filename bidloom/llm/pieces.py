@@ -441,6 +441,16 @@ def _runner(v: Vocabulary, n: int, digest: bool):
         if held:
             yield from encode_texts(encoder, held, n)
 
+    def paths(tokens, edits, text):
+        """Digests of the paths, and whether each of them decodes to the text."""
+        first, digests, same = tokens.tolist(), [], True
+        for e in edits:
+            path = apply_edits(first, e) if e else first
+            same = same and v.decode(path) == text
+            if digest:
+                digests.append(hashlib.md5(np.array(path, "<i4").tobytes()).hexdigest())
+        return digests, same
+
     def run(batches):
         encoder = SegmentEncoder(v)
         for batch in batches:
@@ -449,14 +459,15 @@ def _runner(v: Vocabulary, n: int, digest: bool):
                 part = batch.slice(first, step)
                 texts = part.column(1).to_pylist()
                 found = list(encoded(encoder, texts))
-                back = [v.decode(tokens.tolist()) for tokens, _, _ in found]
+                seen = [paths(tokens, edits, x) for x, (tokens, _, edits) in zip(texts, found, strict=True)]
                 null = np.array([t is None for t in texts], bool)
                 if digest:
                     columns = [
                         pa.array([len(t) for t, _, _ in found], pa.int64(), mask=null),
-                        pa.array([hashlib.md5(t.astype("<i4").tobytes()).hexdigest() for t, _, _ in found], pa.string(), mask=null),
+                        pa.array([d[0] for d, _ in seen], pa.string(), mask=null),
+                        pa.array([d if x is not None else None for x, (d, _) in zip(texts, seen, strict=True)], pa.list_(pa.string())),
                     ]
-                    names = ["n_tokens", "token_digest"]
+                    names = ["n_tokens", "token_digest", "path_digests"]
                 else:
                     columns = [pa.array([t.tolist() if x is not None else None for x, (t, _, _) in zip(texts, found, strict=True)], pa.list_(pa.int32()))]
                     names = ["tokens"]
@@ -464,7 +475,7 @@ def _runner(v: Vocabulary, n: int, digest: bool):
                 edits = pa.array(
                     [[[{"at": a, "size": z, "tokens": k} for a, z, k in p] for p in e] if x is not None else None for x, (_, _, e) in zip(texts, found, strict=True)], edit_type
                 )
-                same = pa.array([b == x for b, x in zip(back, texts, strict=True)], pa.bool_(), mask=null)
+                same = pa.array([same for _, same in seen], pa.bool_(), mask=null)
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, scores, edits, same], ["doc_id", *names, "scores", "edits", "decoded"])
 
     return run
@@ -474,12 +485,13 @@ def encode_documents(docs: DataFrame, model_file: str, n: int = 4, digest: bool
     """``(doc_id, tokens, scores, edits, decoded)`` for every row of ``docs(doc_id, text)``.
 
     ``scores`` are those of the n best paths, best first; ``edits`` gives each path as changes of
-    ``tokens`` (``apply_edits``); ``decoded`` tells that decoding ``tokens`` gives the text back.
-    With ``digest``, ``n_tokens`` and ``token_digest`` stand in for ``tokens``. The vocabulary is
-    read on the driver and sent with the task: its size is that of the model.
+    ``tokens`` (``apply_edits``); ``decoded`` tells that decoding each path gives the text back.
+    With ``digest``, ``n_tokens``, ``token_digest`` and the digests of all paths' tokens,
+    ``path_digests``, stand in for ``tokens``. The vocabulary is read on the driver and sent with
+    the task: its size is that of the model.
     """
     v = Vocabulary.load(model_file)
-    first = "n_tokens long, token_digest string" if digest else "tokens array<int>"
+    first = "n_tokens long, token_digest string, path_digests array<string>" if digest else "tokens array<int>"
     return docs.select("doc_id", "text").mapInArrow(_runner(v, n, digest), f"doc_id long, {first}, scores array<double>, edits {_EDITS}, decoded boolean")
 
 

@@ -69,10 +69,10 @@ def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens (as a digest), scores of the four best segmentations, and whether decoding gives the text."""
+    """Tokens (as digests) and scores of the four best segmentations, and whether decoding each gives the text."""
     ship(spark)
     found = encode_documents(_read(spark, sf_dir, "documents"), default_model(), n=4, digest=True)
-    return found.select("doc_id", "n_tokens", "token_digest", "scores", F.size("scores").alias("n_best"), "decoded")
+    return found.select("doc_id", "n_tokens", "token_digest", "path_digests", "scores", F.size("scores").alias("n_best"), "decoded")
 
 
 def op5_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,9 +77,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token numbers of each document, and whether decoding them gives the text."""
+    """Token numbers of each document's best path, and whether decoding each of its four best gives the text."""
     _stage(spark)
-    encoded = encode_documents(docs, default_model(), n=1)
+    encoded = encode_documents(docs, default_model(), n=4)
     return encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.element_at("scores", 1).alias("score"), "decoded")
 
 

@@ -3,6 +3,8 @@
 import os
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,35 @@ def test_pieces_round_trip(spark, vocabulary):
     assert pieces.encode_documents(df.limit(0), pieces.default_model()).count() == 0
 
 
+def test_every_path_is_returned_as_a_digest(spark, tmp_path):
+    import hashlib
+
+    spark.createDataFrame(EDGE, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op4_sentencepiece_nbest"](spark, str(tmp_path)).collect()}
+    for r in pieces.encode_documents(spark.createDataFrame(EDGE, DOC), pieces.default_model(), n=4).collect():
+        g = got[r.doc_id]
+        if r.tokens is None:
+            assert g.path_digests is None and g.decoded is None
+            continue
+        want = [hashlib.md5(np.array(pieces.apply_edits(r.tokens, [(e["at"], e["size"], e["tokens"]) for e in path]), "<i4").tobytes()).hexdigest() for path in r.edits]
+        assert g.path_digests == want and len(set(want)) == g.n_best == len(g.scores) and g.token_digest == want[0] and g.decoded
+    assert any(g.path_digests and len(g.path_digests) == 4 for g in got.values())
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_a_wrong_later_path_is_not_decoded(vocabulary, monkeypatch, digest):
+    whole = pieces.encode_texts
+
+    def broken(encoder, texts, n):
+        return [(tokens, scores, [*edits[:-1], [(0, 1, [])]]) for tokens, scores, edits in whole(encoder, texts, n)]
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["the quick fox"])], ["doc_id", "text"])
+    right = next(pieces._runner(vocabulary, 3, digest)([batch])).to_pylist()[0]
+    monkeypatch.setattr(pieces, "encode_texts", broken)
+    wrong = next(pieces._runner(vocabulary, 3, digest)([batch])).to_pylist()[0]
+    assert len(right["scores"]) == 3 and right["decoded"] and not wrong["decoded"]
+
+
 @pytest.mark.parametrize("version", ["1", "2"])
 def test_arc_round_trip(version):
     blocks = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\n\nhttp://x 0 0 0 5\n", b"", b"plain\r\n\r\n"]

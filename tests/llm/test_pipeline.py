@@ -89,6 +89,15 @@ def test_little_junk_leaves_clean_documents(spark, tmp_path, survivors):
     assert len(toxic & set(after)) < 0.6 * len(toxic)
 
 
+def test_last_stage_searches_for_more_than_the_best_path(spark, folder, monkeypatch):
+    asked, whole = [], corpus_pipeline.encode_documents
+    monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda docs, model, n: asked.append(n) or whole(docs, model, n=n))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20")
+    found = {r.doc_id: r for r in corpus_pipeline.pieces(spark, docs, folder).collect()}
+    best = {r.doc_id: r for r in whole(docs, corpus_pipeline.default_model(), n=1).collect()}
+    assert asked[0] > 1 and all(found[d].tokens == r.tokens and (r.scores is None or found[d].score == r.scores[0]) for d, r in best.items())
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
