@@ -61,6 +61,15 @@ def test_pieces_round_trip(spark, vocabulary):
     assert pieces.encode_documents(df.limit(0), pieces.default_model()).count() == 0
 
 
+def test_readme_names_the_known_licences():
+    from pathlib import Path
+
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert all(name in readme for name, _ in licences.NOTICES)
+    texts = [name for name, text in licences.NOTICES if len(text) > 200]
+    assert f"three entire licence texts ({', '.join(texts)})" in readme and f"{len(licences.NOTICES) - 3} one-line" in readme
+
+
 def test_every_path_is_returned_as_a_digest(spark, tmp_path):
     import hashlib
 
