@@ -23,7 +23,7 @@ def _stars(edges: DataFrame) -> bool:
 def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``links(a, b)`` to ``(node, component)``: the smallest node reachable, for linked nodes.
 
-    Self links and repeated links are ignored; an empty table gives an empty table.
+    A node is of any type that can be ordered, structs included. Self links and repeated links are ignored; an empty table gives an empty table.
     """
     edges = scratch.table(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"

@@ -5,18 +5,24 @@ The index maps the SHA-256 of a text without its ASCII white space to the row th
 * Memtable. Each task fills a dictionary of digests from the rows it reads and flushes it when it
   holds ``memtable_rows`` digests: one run, sorted by digest, where a digest met many times is one
   entry with its best row and its count. A hot digest therefore leaves a task as one entry.
-* Filter. Each run is flushed with a Bloom filter of its digests. The filters of all runs have one
-  fixed size, so ``merge_filters`` can OR them, and a merged filter has a size known in advance.
-* Compaction merges runs by digest and keeps the best row: most code points in the original text,
-  then the smallest identifier.
-* Lookup. A digest that the filter of an index does not hold is new without reading a run.
-* Verification. Equal digests are only hits. The filter of the digests that occur more than once
-  selects the texts whose bytes have to be compared, so unique texts are never shuffled; a hit
-  whose bytes differ from its group's row is regrouped by its bytes.
+* Compaction merges the sorted runs by key range: runs are dealt by ranges of digests, and a range
+  is merged in one pass over its sorted entries into a run of the next level, which keeps the best
+  row of each digest: most code points in the original text, then the smallest identifier.
+* Filters. The compacted runs flush a Bloom filter of the digests that more than one row has
+  (``rowfilter``: sized by their number, 16 MiB at most). The filters are ORed into one.
+* Lookup. Every row looks itself up. A digest that the filter lacks belongs to its row alone and is
+  answered without reading a run; the others are joined with the runs.
+* Verification. Equal digests are only hits. The texts that the filter holds, and no others, are
+  read again and dealt by ranges of (digest, row); each range compares the bytes of its
+  neighbours in one pass, and only the first and last digest of a range, which may go on in the
+  next one, are compared across ranges. Rows of a digest with differing bytes are regrouped by
+  these bytes.
 
 Cases. Null text counts as empty; all texts without a visible character are equal. Repeated rows
-of a doc_id come back once each and all carry the same keep_id. A null doc_id sorts after every
-other. An empty table gives an empty table. Further columns are ignored.
+of a doc_id come back once each and all carry the same keep_id; a doc_id that is repeated with other
+texts is several documents. A null doc_id sorts after every other. A very long text is one entry of
+its digest like any other. An empty table gives an empty table. Further columns are ignored by
+``exact_duplicates`` and kept by ``first_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,97 +32,66 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rowfilter import chosen_rows, filter_bits, filter_of, in_filter, text_hash
 from .scratch import Scratch
 
 WHITE = b" \t\n\x0b\x0c\r"
-FILTER_BITS = 1 << 23
-_PROBES = 4
 _LAST_ID = (1 << 63) - 1
+_ENTRY = pa.schema([("digest", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("null_id", pa.bool_()), ("hash", pa.int64()), ("n", pa.int64())])
 
 
-def _positions(digests: list[bytes], bits: int) -> np.ndarray:
-    """Filter positions of SHA-256 digests: four independent 32-bit words of each."""
-    words = np.frombuffer(b"".join(digests), "<u4").reshape(len(digests), 8)[:, :_PROBES]
-    return words % np.uint32(bits)
-
+def sha256(body: bytes) -> bytes:
+    return hashlib.sha256(body).digest()
 
-def make_filter(digests: list[bytes], bits: int) -> bytes:
-    flags = np.zeros(bits, bool)
-    if digests:
-        flags[_positions(digests, bits)] = True
-    return np.packbits(flags).tobytes()
 
+def bare(text: str | None) -> bytes:
+    return (text or "").encode().translate(None, WHITE)
 
-def in_filter(digests: list[bytes], packed: bytes) -> np.ndarray:
-    flags = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
-    if not digests:
-        return np.zeros(0, bool)
-    return flags[_positions(digests, len(flags))].all(1)
 
-
-def sha256(body: bytes) -> bytes:
-    return hashlib.sha256(body).digest()
+def filter_keys(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest, as the filters take them."""
+    return np.frombuffer(b"".join([d[:8] for d in digests]), "<i8")
 
 
 def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """``(doc_id, digest, points)`` of every row of ``docs(doc_id, text)``."""
+    """``(doc_id, hash, digest, points)`` of every row of ``docs(doc_id, text)``."""
 
     def run(batches):
         for batch in batches:
             digests, points = [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                digests.append(digest(text.encode().translate(None, WHITE)))
+                digests.append(digest(bare(text)))
                 points.append(len(text))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "digest", "points"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, points long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "hash", "digest", "points"])
 
+    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(run, "doc_id long, hash long, digest binary, points long")
 
-_RUN = "run long, digest binary, points long, id long, n long, filter binary"
-
-
-def _memtables(memtable_rows: int, bits: int):
-    schema = pa.schema([("run", pa.int64()), ("digest", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("filter", pa.binary())])
 
+def _memtables(memtable_rows: int):
     def run(batches):
-        task = TaskContext.get().partitionId()
-        table: dict[bytes, tuple[int, int, int]] = {}
-        flushed = 0
+        table: dict[bytes, tuple[int, bool, int, int, int]] = {}
 
         def flush():
-            nonlocal flushed
-            name = (task << 24) + flushed
-            flushed += 1
             keys = sorted(table)
             best = [table[k] for k in keys]
-            size = len(keys)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name] * size, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array([-p for p, _, _ in best], pa.int64()),
-                    pa.array([i for _, i, _ in best], pa.int64()),
-                    pa.array([n for _, _, n in best], pa.int64()),
-                    pa.nulls(size, pa.binary()),
+                    pa.array(keys, pa.binary()), pa.array([-b[0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()),
+                    pa.array([b[1] for b in best], pa.bool_()), pa.array([b[3] for b in best], pa.int64()), pa.array([b[4] for b in best], pa.int64()),
                 ],
-                schema=schema,
+                schema=_ENTRY,
             )
-            yield pa.RecordBatch.from_pylist([{"run": name, "filter": make_filter(keys, bits)}], schema=schema)
             table.clear()
 
         for batch in batches:
-            ids, digests, points = (c.to_pylist() for c in batch.columns)
-            for i, d, p in zip(ids, digests, points, strict=True):
-                new = (-p, _LAST_ID if i is None else i)
+            for i, h, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = (-p, i is None, _LAST_ID if i is None else i, h)
                 old = table.get(d)
-                table[d] = (*new, 1) if old is None else (*min(new, old[:2]), old[2] + 1)
+                table[d] = (*new, 1) if old is None else (*min(new, old[:4]), old[4] + 1)
                 if len(table) >= memtable_rows:
                     yield from flush()
         if table:
@@ -125,107 +100,143 @@ def _memtables(memtable_rows: int, bits: int):
     return run
 
 
-def flush_runs(digests: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, bits: int = FILTER_BITS) -> DataFrame:
-    """Sorted runs of ``digests(doc_id, digest, points)``, each with one filter row (digest null)."""
-    return scratch.table(digests.select("doc_id", "digest", "points").mapInArrow(_memtables(memtable_rows, bits), _RUN), "runs")
+def flush_runs(digests: DataFrame, memtable_rows: int = 50_000) -> DataFrame:
+    """Sorted runs of ``digests(doc_id, hash, digest, points)``: an Arrow batch is one run."""
+    return digests.select("doc_id", "hash", "digest", "points").mapInArrow(
+        _memtables(memtable_rows), "digest binary, points long, id long, null_id boolean, hash long, n long"
+    )
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """Runs merged into one level: ``(digest, points, id, n)``."""
-    entry = F.struct((-F.col("points")).alias("p"), "id")
-    best = runs.where("digest IS NOT NULL").groupBy("digest").agg(F.min(entry).alias("best"), F.sum("n").alias("n"))
-    return best.select("digest", (-F.col("best.p")).alias("points"), F.col("best.id").alias("id"), "n")
-
-
-def _merge(batches):
-    total = None
-    for batch in batches:
-        for value in batch.column(0):
-            one = np.frombuffer(value.as_py(), np.uint8)
-            total = one if total is None else total | one
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["filter"])
+    """Runs merged by key range into one level of ``(digest, points, id, null_id, hash, n)``.
 
+    The ranges are sorted once and aggregated in that order: no second shuffle, no hash table.
+    """
+    entry = F.struct((-F.col("points")).alias("p"), "null_id", "id", "hash")
+    ranges = runs.repartitionByRange("digest").sortWithinPartitions("digest")
+    level = ranges.groupBy("digest").agg(F.min(entry).alias("best"), F.sum("n").alias("n"))
+    return level.select("digest", (-F.col("best.p")).alias("points"), "best.id", "best.null_id", "best.hash", "n")
 
-def merge_filters(filters: DataFrame) -> bytes:
-    """The OR of a column of filters: merged in the tasks, so the driver reads one per task."""
-    merged = filters.select("filter").mapInArrow(_merge, "filter binary").coalesce(8).mapInArrow(_merge, "filter binary")
-    total = None
-    for row in merged.toLocalIterator():
-        one = np.frombuffer(row["filter"], np.uint8)
-        total = one if total is None else total | one
-    return (total if total is not None else np.zeros(FILTER_BITS // 8, np.uint8)).tobytes()
 
+def shared_filter(level: DataFrame) -> bytes:
+    """The filter of the digests that more than one row has."""
+    hit = level.where("n > 1")
 
-def _filter_of(bits: int):
-    def run(batches):
-        flags = np.zeros(bits, bool)
+    def keys(batches):
         for batch in batches:
-            if found := batch.column(0).to_pylist():
-                flags[_positions(found, bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["filter"])
+            yield pa.RecordBatch.from_arrays([pa.array(filter_keys(batch.column(0).to_pylist()), pa.int64())], ["key"])
 
-    return run
+    return filter_of(hit.select("digest").mapInArrow(keys, "key long"), filter_bits(hit.count()))
 
 
 def lookup(digests: DataFrame, level: DataFrame, packed: bytes) -> DataFrame:
-    """Rows of ``digests`` with ``keep_id`` from an index, null where the index has no such digest.
+    """``digests`` with ``(keep_id, keep_hash, group_size)`` from an index; null where it has no such digest.
 
-    Digests that the filter ``packed`` (of ``merge_filters`` over the index's runs) lacks are
-    answered without the join.
+    Digests that the filter ``packed`` lacks are answered without reading the level.
     """
     shared = digests.sparkSession.sparkContext.broadcast(packed)
 
     def probe(batches):
         for batch in batches:
-            maybe = in_filter(batch.column(1).to_pylist(), shared.value)
+            maybe = in_filter(filter_keys(batch.column(2).to_pylist()), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe, pa.bool_())], [*batch.schema.names, "maybe"])
 
-    probed = digests.select("doc_id", "digest", "points").mapInArrow(probe, "doc_id long, digest binary, points long, maybe boolean")
-    found = probed.where("maybe").join(level.select("digest", F.col("id").alias("keep_id")), "digest", "left")
-    return found.select("doc_id", "digest", "points", "keep_id").union(
-        probed.where("NOT maybe").select("doc_id", "digest", "points", F.lit(None).cast("long"))
+    probed = digests.select("doc_id", "hash", "digest", "points").mapInArrow(probe, "doc_id long, hash long, digest binary, points long, maybe boolean")
+    answer = level.where("n > 1").select("digest", F.when(~F.col("null_id"), F.col("id")).alias("keep_id"), F.col("hash").alias("keep_hash"), F.col("n").alias("group_size"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("keep_id", "keep_hash", "group_size")]
+    return probed.where("maybe").drop("maybe").join(answer, "digest", "left").select("doc_id", "hash", "digest", "points", "keep_id", "keep_hash", "group_size").union(
+        probed.where("NOT maybe").select("doc_id", "hash", "digest", "points", *none)
     )
 
 
-def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, bits: int = FILTER_BITS, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs(doc_id, text)``."""
-    docs = docs.select("doc_id", "text")
-    digests = scratch.table(digests_of(docs, digest), "digests")
-    level = scratch.table(compact(flush_runs(digests, scratch, memtable_rows, bits)), "level")
-    hit = level.where("n > 1")
-    packed = merge_filters(hit.select("digest").mapInArrow(_filter_of(bits), "filter binary"))
+def bodies_of(docs: DataFrame, packed: bytes, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """``(doc_id, hash, digest, points, body)`` of the rows whose digest the filter may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
-    def hits(batches):
+    def run(batches):
         for batch in batches:
-            bodies = [(v.as_py() or "").encode().translate(None, WHITE) for v in batch.column(1)]
+            texts = [v.as_py() or "" for v in batch.column(1)]
+            bodies = [bare(t) for t in texts]
             found = [digest(b) for b in bodies]
-            maybe = np.flatnonzero(in_filter(found, shared.value))
+            hit = np.flatnonzero(in_filter(filter_keys(found), shared.value))
+            some = pa.array(hit)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(maybe)),
-                    pa.array([found[i] for i in maybe], pa.binary()),
-                    pa.array([bodies[i] for i in maybe], pa.binary()),
+                    batch.column(0).take(some), batch.column(2).take(some), pa.array([found[i] for i in hit], pa.binary()),
+                    pa.array([len(texts[i]) for i in hit], pa.int64()), pa.array([bodies[i] for i in hit], pa.binary()),
                 ],
-                ["doc_id", "digest", "body"],
+                ["doc_id", "hash", "digest", "points", "body"],
             )
 
-    bodies = docs.mapInArrow(hits, "doc_id long, digest binary, body binary").join(hit.select("digest", "id"), "digest")
-    bodies = scratch.table(bodies, "bodies")
-    stays = bodies.where(f"coalesce(doc_id, {_LAST_ID}L) = id").groupBy("digest").agg(F.first("body").alias("stay"))
-    stays = scratch.table(stays, "stays")  # so that a digest with very many rows can be split in the join
-    # Not made distinct: that would reuse the join's partitions, and a hot digest could not be split.
-    differing = scratch.table(bodies.join(stays, "digest").where("body <> stay").select("digest"), "differing")
-    answer = level.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-    joined = digests.join(answer, "digest")
-    if not differing.isEmpty():  # two texts with one SHA-256: group these by their bytes
-        clash = docs.mapInArrow(hits, "doc_id long, digest binary, body binary").join(differing, "digest", "left_semi")
-        clash = clash.join(digests.distinct(), ["doc_id", "digest"])
-        best = clash.groupBy("digest", "body").agg(F.min(F.struct((-F.col("points")).alias("p"), F.coalesce("doc_id", F.lit(_LAST_ID)).alias("i"))).alias("b"), F.count("*").alias("group_size"))
-        regrouped = clash.join(best, ["digest", "body"]).select("doc_id", F.col("b.i").alias("keep_id"), "group_size", "digest")
-        joined = joined.join(differing, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "digest").union(regrouped)
-    keep = F.when(F.col("keep_id") == _LAST_ID, None).otherwise(F.col("keep_id"))
-    return joined.select(
-        "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(run, "doc_id long, hash long, digest binary, points long, body binary")
+
+
+def _neighbours(batches):
+    """Of sorted ``(digest, body)``: digests whose bytes differ, and the bodies at the range's ends."""
+    made = pa.schema([("digest", pa.binary()), ("differs", pa.bool_()), ("body", pa.binary())])
+    key = first = None
+    differs, at_start = False, True
+    for batch in batches:
+        out = []
+        for d, b in zip(batch.column(0), batch.column(1), strict=True):
+            d, b = d.as_py(), b.as_py()
+            if d != key:
+                if key is not None and (differs or at_start):
+                    out.append({"digest": key, "differs": differs, "body": first if at_start else None})
+                at_start = key is None
+                key, first, differs = d, b, False
+            elif not differs and b != first:
+                differs = True
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=made)
+    if key is not None:
+        yield pa.RecordBatch.from_pylist([{"digest": key, "differs": differs, "body": first}], schema=made)
+
+
+def differing_digests(bodies: DataFrame) -> DataFrame:
+    """Digests of ``bodies(digest, body, ...)`` under which the bytes are not all equal."""
+    dealt = bodies.select("digest", "body", F.monotonically_increasing_id().alias("row")).repartitionByRange("digest", "row").sortWithinPartitions("digest", "row")
+    found = dealt.select("digest", "body").mapInArrow(_neighbours, "digest binary, differs boolean, body binary")
+    across = found.groupBy("digest").agg(F.max("differs").alias("differs"), F.min("body").alias("low"), F.max("body").alias("high"))
+    return across.where("differs OR low <> high").select("digest")
+
+
+def grouped(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """``(doc_id, hash, digest, keep_id, keep_hash, group_size)`` for every row of ``docs(doc_id, text)``."""
+    docs = docs.select("doc_id", "text")
+    digests = scratch.table(digests_of(docs, digest), "digests")
+    runs = scratch.table(flush_runs(digests, memtable_rows), "runs")
+    level = scratch.table(compact(runs), "level")
+    scratch.forget(runs)
+    packed = shared_filter(level)
+    bodies = scratch.table(bodies_of(docs, packed, digest), "bodies")
+    differing = scratch.table(differing_digests(bodies), "differing")
+    # A digest of one row, whether the filter lacks it or not, is answered by the row itself.
+    alone = F.col("group_size").isNull()
+    out = lookup(digests, level, packed).select(
+        "doc_id", "hash", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("hash")).otherwise(F.col("keep_hash")).alias("keep_hash"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     )
+    if differing.isEmpty():
+        scratch.forget(bodies, differing)
+        return out
+    # Two texts with one digest: these rows, read with all they need, are grouped by their bytes.
+    clash = bodies.join(differing, "digest", "left_semi")
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), "hash"))
+    best = clash.groupBy("digest", "body").agg(best.alias("b"), F.count("*").alias("group_size"))
+    regrouped = clash.join(best, ["digest", "body"]).select("doc_id", clash["hash"], "digest", F.col("b.id").alias("keep_id"), F.col("b.hash").alias("keep_hash"), "group_size")
+    return out.join(differing, "digest", "left_anti").select(*regrouped.columns).union(regrouped)
+
+
+def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs(doc_id, text)``."""
+    return grouped(docs, scratch, memtable_rows, digest).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def first_of_each(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """One row of ``docs`` for each group of equal texts, with all its columns."""
+    found = grouped(docs, scratch, memtable_rows, digest)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
+    return chosen_rows(docs, found.select(F.col("doc_id").alias("id"), "hash", stays.alias("stays")), scratch)

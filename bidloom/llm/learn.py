@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textops import _SALT, letters_only, mix, shape_hashes, slices, word_hashes, words_of
 
 BITS = 20
@@ -20,6 +21,8 @@ SIZE = 1 << BITS
 _U = np.uint64
 _REPEAT = _U(0xB5297A4D)
 _PREFIXES = (4, 7)
+#: Features that a learner collects, in bytes: some 20 MB for 8000 documents of usual length.
+SAMPLE_BYTES = 96 << 20
 
 
 def _hashed(values: np.ndarray, family: int) -> np.ndarray:
@@ -91,22 +94,50 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], modulus: int, remainder: int, max_rows: int, words: bool = True, shapes: bool = True):
-    """Feature arrays and label columns of at most about ``max_rows`` labelled documents.
+def hash_share(doc_id: Column, wanted: int, there: int) -> Column:
+    """Whether a hash of doc_id is among the lowest, so that about ``wanted`` of ``there`` ids are."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(there, 1))) + 1
+
+
+def sampled_features(docs: DataFrame, carry: list[str], max_rows: int, max_bytes: int, words: bool = True, shapes: bool = True) -> list:
+    """Rows ``(doc_id, *carry, features)`` of ``docs(doc_id, text, *carry)``, sorted, on the driver.
+
+    One row per doc_id (the greatest text of a repeated one). At most ``max_rows`` rows whose
+    features take ``max_bytes`` together come back, in the order of a hash of doc_id: the
+    features are written first, so what is collected is known before it is.
+    """
+    scratch = Scratch(docs.sparkSession)
+    try:
+        once = docs.groupBy("doc_id").agg(F.max("text").alias("text"), *(F.max(c).alias(c) for c in carry))
+        table = scratch.table(featurise(once, ["doc_id", *carry], words, shapes), "features")
+        sizes = table.select("doc_id", F.octet_length("features").alias("size"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_rows).collect()
+        total = np.cumsum([r["size"] for r in sizes], dtype=np.int64)
+        fit = int(np.searchsorted(total, max_bytes, "right"))
+        if fit < len(sizes):
+            table = table.where(F.xxhash64("doc_id") < sizes[fit]["h"])
+        return sorted(table.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect(), key=lambda r: r["doc_id"])
+    finally:
+        scratch.drop()
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, targets: list[str], modulus: int, remainder: int, max_rows: int, words: bool = True, shapes: bool = True, max_bytes: int = SAMPLE_BYTES
+):
+    """Feature arrays and label columns of at most ``max_rows`` labelled documents.
 
     Rows are chosen by a hash of doc_id, so the same rows come back on every run. Labels of a
-    doc_id that occurs repeatedly are merged by their maximum, rows with a null label left out.
-    The label side is bounded by ``max_rows`` and joined by broadcast: texts are not shuffled.
+    doc_id that occurs repeatedly are merged by their maximum, rows with a null label left out, and
+    a doc_id counts once however often ``docs`` has it. Features of more than ``max_bytes`` in all
+    are not collected: the rows last in the order stay behind. The label side is bounded by
+    ``max_rows`` and joined by broadcast: texts without a chosen label are not shuffled.
     """
     seen = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     seen = seen.groupBy("doc_id").agg(*(F.max(t).alias(t) for t in targets)).dropna()
     n = seen.count()
     if n > max_rows:
-        seen = seen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    seen = seen.limit(2 * max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id")
-    got = featurise(rows, ["doc_id", *targets], words, shapes).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["features"]))
+        seen = seen.where(hash_share(F.col("doc_id"), max_rows + 4 * int(max_rows**0.5), n))
+    seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    got = sampled_features(docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id"), targets, max_rows, max_bytes, words, shapes)
     return [np.frombuffer(r["features"], "<i4") for r in got], {t: np.array([r[t] for r in got], np.int64) for t in targets}
 
 

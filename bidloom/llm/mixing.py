@@ -11,17 +11,20 @@ thus a fold over the steps' vectors v, a handful of numbers: each step is one ag
 small table of posteriors, nothing per document is kept between steps, and a lost task is simply
 run again.
 
-Cases. Null and empty texts have no tokens and rate 1 less their posterior's steps. Repeated rows
-count as documents of their own and come back once each. Without labels, or with one domain only,
-every rate is the target total over the total. An empty table gives an empty table. A null
-doc_id keeps its row. Further columns are ignored.
+Cases. Null and empty texts have no tokens and rate 1 less their posterior's steps; a very long text
+is one document with many tokens. Repeated rows count as documents of their own, have equal rates
+and equal numbers of copies. Without labels, or with one domain only, every rate is the target total
+over the total. An empty table gives an empty table. A null doc_id keeps its row. Further columns
+are ignored by ``mixture`` and kept by ``mixed_rows``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learn import SIZE, Sparse, document_counts, features_of, labelled_sample
@@ -70,27 +73,29 @@ def posteriors(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def domain_posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """``(doc_id, n_tokens, p0, p1, ...)``; tokens are words."""
+def posterior_column(spark: SparkSession, weights: np.ndarray, bias: np.ndarray) -> Column:
+    """``struct(n_tokens, p0, p1, ...)`` of the column ``text``; tokens are words.
+
+    Only texts go through Python; whatever else a row has stays where it is.
+    """
     k = len(bias)
     keep = np.flatnonzero((weights != 0).any(0)).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((keep, np.vstack([weights[:, keep].T, np.zeros((1, k))]), bias))
+    shared = spark.sparkContext.broadcast((keep, np.vstack([weights[:, keep].T, np.zeros((1, k))]), bias))
 
-    def run(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep, dense, b = shared.value
         row_of = np.full(SIZE, len(keep), np.int32)
         row_of[keep] = np.arange(len(keep))
-        for batch in batches:
-            for first, texts in slices(batch.column(1)):
+        for column in columns:
+            sizes, shares = [np.zeros(0, np.int64)], [np.zeros((0, k))]
+            for _, texts in slices(column):
                 found, n = features_of(texts)
-                p = posteriors(np.stack([dense[row_of[f]].sum(0) for f in found]) + b)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), *(pa.array(p[:, j]) for j in range(k))],
-                    ["doc_id", "n_tokens", *(f"p{j}" for j in range(k))],
-                )
+                shares.append(posteriors(np.stack([dense[row_of[f]].sum(0) for f in found]) + b))
+                sizes.append(n)
+            p = np.concatenate(shares)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes), pa.int64()), *(pa.array(p[:, j]) for j in range(k))], ["n_tokens", *(f"p{j}" for j in range(k))])
 
-    fields = ", ".join(f"p{j} double" for j in range(k))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {fields}")
+    return F.arrow_udf(run, "n_tokens long, " + ", ".join(f"p{j} double" for j in range(k)))(F.col("text"))
 
 
 def rate_column(k: int, steps: list[np.ndarray]) -> Column:
@@ -105,10 +110,10 @@ def rate_column(k: int, steps: list[np.ndarray]) -> Column:
 def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, max_steps: int = 60, tolerance: float = 1e-6, bounded: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps' vectors and the domain totals they reach, for ``soft(n_tokens, p0, ...)``.
 
-    ``total`` is the wanted number of expected tokens; by default the largest total for which no
-    domain has to grow, so that rates fall where a domain has too much and stay one elsewhere.
-    Where ``bounded`` is true a share is an upper bound: such a domain keeps what it has below it
-    and has no say in the total.
+    ``total`` is the wanted number of expected tokens. Where ``bounded`` is true a share is an upper
+    bound: such a domain keeps what it has below it. By default the domains that are not bounded
+    keep their tokens together: without bounds, the total is that of the tokens there are.
+    No domain's scarcity sets the total.
     """
     k = len(shares)
     upper = np.zeros(k, bool) if bounded is None else bounded
@@ -119,7 +124,8 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, m
     if not now.sum():
         return [], now
     if total is None:
-        total = float(min((n / s for n, s, u in zip(now, shares, upper, strict=True) if s > 0 and not u), default=now.sum()))
+        free = shares[~upper].sum()
+        total = float(now[~upper].sum() / free) if free > 0 else float(now.sum())
     goal = np.where(upper, np.minimum(now, shares * total), shares * total)
     steps: list[np.ndarray] = []
     best = np.inf
@@ -137,35 +143,43 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, m
 
 
 def mixture(
-    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, min_domain_rows: int = 5,
-    at_most: tuple[str, ...] = (),
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = (), carry: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """``(doc_id, n_tokens, p0, ..., rate)`` and the names of the domains p0, p1, ...
 
-    Domains with fewer than ``min_domain_rows`` labelled rows in the sample are left out, and the
-    targets of the others scaled to one. Targets of the domains ``at_most`` are upper bounds.
+    With ``carry``, ``(row, n_tokens, p0, ..., rate)`` with all columns of ``docs`` in the struct
+    ``row``. A domain without a labelled row in the sample cannot be told from others and is left
+    out; the targets of the others are scaled to one. Targets of the domains ``at_most`` are upper
+    bounds.
     """
     rows, by = labelled_sample(docs, labels, ["quality", "toxic"], 1, 1, max_rows)
     named = [DOMAINS.get((int(q > 0), int(t > 0))) for q, t in zip(by["quality"], by["toxic"], strict=True)]
-    names = [n for n in DOMAINS.values() if named.count(n) >= min_domain_rows] or ["clean"]
-    use = [i for i, n in enumerate(named) if n in names]
+    names = [n for n in DOMAINS.values() if n in named] or ["clean"]
     wanted = targets or TARGETS
     shares = np.array([wanted.get(n, 0.0) for n in names])
     shares = shares / shares.sum() if shares.sum() else np.full(len(names), 1 / len(names))
     if len(names) > 1:
-        weights, bias = fit_softmax([rows[i] for i in use], np.array([names.index(named[i]) for i in use]), len(names))
+        weights, bias = fit_softmax(rows, np.array([names.index(n) for n in named]), len(names))
     else:
         weights, bias = np.zeros((1, SIZE)), np.zeros(1)
-    soft = scratch.table(domain_posteriors(docs, weights, bias), "posteriors")
+    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col("doc_id")
+    soft = docs.select(key, posterior_column(docs.sparkSession, weights, bias).alias("soft")).select("row" if carry else "doc_id", "soft.*")
+    soft = scratch.table(soft, "posteriors")
     steps, _ = fit_rates(soft, shares, total, bounded=np.array([n in at_most for n in names]))
     return soft.withColumn("rate", rate_column(len(names), steps)), names
 
 
-def copies(rate: Column, doc_id: Column, snap: float = 0.05) -> Column:
-    """Whole copies with the rate as their mean: a hash of doc_id decides the fraction.
+def copies(rate: Column, doc_id: Column, text: Column) -> Column:
+    """Whole copies with the rate as their mean: a hash of doc_id and text decides the fraction."""
+    u = F.pmod(F.xxhash64(doc_id, text, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(rate + u).cast("int")
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as its rate says.
 
-    Rates within ``snap`` of a whole number are taken as that number.
+    A rate is a function of the row's own posteriors, so nothing is joined or shuffled.
     """
-    near = F.abs(rate - F.round(rate)) <= snap
-    u = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return F.when(near, F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
+    mixed, _ = mixture(docs, labels, scratch, targets, total, max_rows, at_most, carry=True)
+    times = copies(F.col("rate"), F.col("row.doc_id"), F.col("row.text"))
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")

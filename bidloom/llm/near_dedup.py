@@ -6,28 +6,39 @@ of ``band_rows`` values are bucket keys. The buckets only propose pairs: every l
 on the full shingle sets of both texts.
 
 How large groups are kept linear. Documents with equal shingle sets are one class, named by
-its smallest doc_id. In a bucket, every class is compared with one pivot; classes that linked are
+its smallest doc_id and a part of the set's digest, so that two texts under one doc_id are two classes. In a bucket, every class is compared with one pivot; classes that linked are
 one component, and a bucket whose classes are one component is settled. Of the other buckets, each
 class outside the bucket's largest component asks for partners. It finds them by prefix filtering,
 which is exact: order shingles from rare to frequent, and two sets that link share one of their
 first few shingles, early enough in both that what follows can still reach the threshold. A near
 copy with too many shingles of its own thus meets nobody, however large its group. The pairs found
-are confirmed, so no link that the bands proposed is lost, and nothing is capped.
+are confirmed, so no link that the bands proposed is lost, and nothing is capped. What this costs:
+an asker meets those of its size class with which it shares one of its first shingles, so a
+family of unlinked near misses in which each member shares rare shingles with many others meets in
+as many pairs as these shingles make; shingles that the whole family shares come last in the order.
+
+Only texts of classes that met another are shuffled: the others fail a filter where they are read.
 
 Cases. A null or empty text, or one without words, has no shingles and links with nothing. A text
-of fewer words than a shingle has one shingle, of all its words. Repeated rows of a doc_id come
-back once per row, in one component. A null doc_id comes back as its own row with a null component.
-Further columns are ignored.
+of fewer words than a shingle has one shingle, of all its words; a very long text is one set like
+any other. Rows that repeat a doc_id and its text come back once each, in one component. Rows that
+repeat a doc_id with other texts are documents of their own: each has the component of its own
+text. A null doc_id comes back as its own row with a null component. An empty table gives an empty
+table. Further columns are ignored by ``near_duplicates`` and kept by ``first_of_each``, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rowfilter import chosen_rows, filter_bits, filter_of, maybe_in, text_hash
 from .scratch import Scratch
 from .textops import mix, shingle_set, slices, words_of
 
@@ -61,7 +72,7 @@ class MinMaxHasher:
 
 
 def _signer(k: int, hasher: MinMaxHasher):
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+    names = ["doc_id", "hash", "n_shingles", "set_a", "set_b", "bands"]
 
     def run(batches):
         for batch in batches:
@@ -77,6 +88,7 @@ def _signer(k: int, hasher: MinMaxHasher):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
+                        batch.column(2).slice(first, len(texts)),
                         pa.array(sizes, pa.int64()),
                         pa.array(a, pa.int64()),
                         pa.array(b, pa.int64()),
@@ -89,27 +101,25 @@ def _signer(k: int, hasher: MinMaxHasher):
 
 
 def _confirmer(k: int, per_hundred: int):
-    """Pairs whose full sets reach the threshold, decided in integers."""
-
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = (batch.column(2), batch.column(3))
-            keep = []
-            for i, pair in enumerate(zip(a, b, strict=True)):
-                sets = []
-                for doc, column in zip(pair, texts, strict=True):
-                    if (s := held.get(doc)) is None:
-                        words, _, _ = words_of([(column[i].as_py() or "").encode()])
-                        if len(held) >= 64:
-                            held.pop(next(iter(held)))
-                        held[doc] = s = shingle_set(words, k)
-                    sets.append(s)
-                x, y = sets
+    """Whether each pair's full sets reach the threshold, decided in integers."""
+
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: dict[bytes, np.ndarray] = {}  # by text: sets of pivots come again and again
+
+        def set_of(text: bytes) -> np.ndarray:
+            if (s := held.get(text)) is None:
+                if len(held) >= 64:
+                    held.pop(next(iter(held)))
+                held[text] = s = shingle_set(words_of([text])[0], k)
+            return s
+
+        for a, b in pairs:
+            linked = []
+            for x, y in zip(a, b, strict=True):
+                x, y = set_of((x.as_py() or "").encode()), set_of((y.as_py() or "").encode())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= per_hundred * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * shared >= per_hundred * (len(x) + len(y) - shared))
+            yield pa.array(linked, pa.bool_())
 
     return run
 
@@ -120,16 +130,20 @@ def _shingle_rows(k: int):
             for first, texts in slices(batch.column(1)):
                 words, at, _ = words_of(texts)
                 sets = [shingle_set(words[at[i] : at[i + 1]], k) for i in range(len(texts))]
-                docs = np.repeat(np.array(batch.column(0).slice(first, len(texts)).to_pylist(), np.int64), [len(s) for s in sets])
+                owner = np.repeat(np.arange(first, first + len(texts)), [len(s) for s in sets])
                 flat = np.concatenate(sets).view(np.int64)
                 for at_row in range(0, len(flat), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[at_row : at_row + 100_000]), pa.array(flat[at_row : at_row + 100_000])], ["doc", "token"])
+                    of = batch.column(0).take(pa.array(owner[at_row : at_row + 100_000]))
+                    yield pa.RecordBatch.from_arrays([of, pa.array(flat[at_row : at_row + 100_000])], ["doc", "token"])
 
     return run
 
 
+_NODE = "struct<id:bigint,tag:bigint>"
+
+
 def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_hundred: int) -> DataFrame:
-    """Pairs ``(a, b)``, a > b, that may link, of ``members(doc, n, component, asks)``.
+    """Pairs ``(a, b)``, a > b, that may link, of ``members(doc, n, component, asks)`` and ``texts(node, text)``.
 
     Of each pair one side asks and the components differ. A shingle of rank r (1: the rarest) in a
     set of n leaves n - r + 1 shingles from there on; at the first shingle that two sets share, the
@@ -138,7 +152,7 @@ def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_h
     only, and the size class of the partner is part of the join key.
     """
     t = per_hundred / 100.0
-    rows = texts.join(members.select(F.col("doc").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(shingle_words), "doc long, token long")
+    rows = texts.join(members.select(F.col("doc").alias("node")), "node").select("node", "text").mapInArrow(_shingle_rows(shingle_words), f"doc {_NODE}, token long")
     frequency = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(frequency, "token").join(members, "doc")
     of_doc = Window.partitionBy("doc")
@@ -159,47 +173,53 @@ def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_h
     return met.select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    scratch: Scratch,
-    shingle_words: int = 5,
-    per_hundred: int = 80,
-    permutations: int = 48,
-    band_rows: int = 4,
-    seed: int = 7,
+def _texts_of(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, text)`` of ``classes(node, hash)``; texts that the classes' filter lacks are not shuffled."""
+    key = F.xxhash64("id", "hash")
+    wanted = classes.select(F.col("node.id").alias("id"), "hash", "node")
+    maybe = maybe_in(filter_of(wanted.select(key), filter_bits(wanted.count())), docs.sparkSession)
+    some = docs.select(F.col("doc_id").alias("id"), text_hash().alias("hash"), "text").where(F.col("id").isNotNull() & maybe(key))
+    some = some.groupBy("id", "hash").agg(F.first("text").alias("text"))  # a row may be repeated
+    return scratch.table(some.join(wanted, ["id", "hash"]).select("node", "text"), "texts")
+
+
+def components_of(
+    docs: DataFrame, scratch: Scratch, shingle_words: int = 5, per_hundred: int = 80, permutations: int = 48, band_rows: int = 4, seed: int = 7
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
+    """``(doc_id, hash, n_shingles, component_id, stays)`` for every row of ``docs(doc_id, text)``.
 
-    Two documents link when 100 * |shared shingles| >= per_hundred * |union|.
+    ``stays`` names one text of each component: of its smallest class, that with the smallest
+    doc_id and hash.
     """
     docs = docs.select("doc_id", "text")
     hasher = MinMaxHasher(permutations, band_rows, seed)
-    signed = scratch.table(
-        docs.mapInArrow(_signer(shingle_words, hasher), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed"
+    signed = docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(
+        _signer(shingle_words, hasher), "doc_id long, hash long, n_shingles long, set_a long, set_b long, bands array<long>"
     )
-    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    signed = scratch.table(signed, "signed")
     same = ["set_a", "set_b", "n_shingles"]
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    classes = scratch.table(classes, "classes")
-
-    banded = (
-        some.join(classes, same)
-        .where("doc_id = rep")
-        .select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # The bands are those of the set, so they are the same in every row of a class.
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "hash")).alias("rep"), F.first("bands").alias("bands"))
+    classes = scratch.table(
+        classes.select(*same, F.struct(F.col("rep.doc_id").alias("id"), F.col("set_a").alias("tag")).alias("node"), F.col("rep.hash").alias("hash"), "bands"), "classes"
     )
-    full = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").drop("top")
+
+    banded = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").drop("top")
     full = scratch.table(full, "full")  # so that a bucket with very many rows can be split in the join
-    placed = scratch.table(banded.join(full, "bucket").select("bucket", F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "pivot"), "buckets")
+    placed = scratch.table(banded.join(full, "bucket").select("bucket", F.col("node").alias("doc"), F.col("n_shingles").alias("n"), "pivot"), "buckets")
+    scratch.forget(full)
 
-    wanted = placed.select(F.col("doc").alias("doc_id")).distinct()
-    texts = scratch.table(docs.join(wanted, "doc_id"), "texts")
+    met = placed.select(F.col("doc").alias("node")).distinct()
+    met = scratch.table(classes.select("node", "hash").join(met, "node", "left_semi"), "met")
+    texts = _texts_of(docs, met, scratch)
+    linked = F.arrow_udf(_confirmer(shingle_words, per_hundred), "boolean")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.table(
-            both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(shingle_words, per_hundred), "a long, b long"), "links"
-        )
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return scratch.table(both.where(linked("text_a", "text_b")).select("a", "b"), "links")
 
     sizes = placed.select(F.col("doc").alias("pivot"), F.col("n").alias("n_pivot")).distinct()
     near = f"100 * least(n, n_pivot) >= {int(per_hundred)} * greatest(n, n_pivot)"
@@ -208,8 +228,7 @@ def near_duplicates(
         .select(F.col("doc").alias("a"), F.col("pivot").alias("b")),
         "pairs",
     )
-    links = confirmed(tried)
-    labels = connected_components(links, scratch)
+    labels = connected_components(confirmed(tried), scratch)
 
     known = labels.select(F.col("node").alias("doc"), "component")
     members = placed.select("bucket", "doc", "n").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -224,12 +243,37 @@ def near_duplicates(
     unsettled = scratch.table(
         members.join(open_, "bucket").groupBy("doc", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("asks")), "unsettled"
     )
+    scratch.forget(placed, open_)
     pairs = scratch.table(prefix_pairs(texts, unsettled, shingle_words, per_hundred).join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs)), scratch)
-
-    ends = labels.select(F.col("node").alias("rep"), "component")
-    keyed = signed.select("doc_id", *same).join(classes, same, "left").join(ends, "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return keyed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    scratch.forget(texts, unsettled, tried, pairs, met)
+
+    ends = classes.select(*same, "node", "hash").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = scratch.table(ends.withColumnRenamed("hash", "rep_hash"), "ends")
+    keyed = signed.select("doc_id", "hash", *same).join(ends, same, "left")
+    known = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    return keyed.select(
+        "doc_id",
+        "hash",
+        "n_shingles",
+        F.when(known, F.col("component.id")).when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"),
+        F.when(known, (F.col("node") == F.col("component")) & (F.col("doc_id") == F.col("node.id")) & (F.col("hash") == F.col("rep_hash"))).otherwise(F.lit(True)).alias("stays"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame, scratch: Scratch, shingle_words: int = 5, per_hundred: int = 80, permutations: int = 48, band_rows: int = 4, seed: int = 7
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
+
+    Two documents link when 100 * |shared shingles| >= per_hundred * |union|. ``kept`` tells that
+    doc_id is the component's.
+    """
+    found = components_of(docs, scratch, shingle_words, per_hundred, permutations, band_rows, seed)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, scratch: Scratch, shingle_words: int = 5, per_hundred: int = 80) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns; null doc_ids and texts without words stay."""
+    found = components_of(docs, scratch, shingle_words, per_hundred)
+    return chosen_rows(docs, found.select(F.col("doc_id").alias("id"), "hash", "stays"), scratch)

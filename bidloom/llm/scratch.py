@@ -2,12 +2,18 @@
 
 A working table is written as Parquet under the folder named by ``spark.checkpoint.dir``,
 which every executor shares, so a lost executor costs a re-run of tasks and never a table.
-Where the setting is absent (local runs, tests) a folder of this process is used.
+Where the setting is absent a folder of this process is used, on a local master only: on a cluster
+the executors could not see each other's files, so that raises.
+
+A table is removed when its operator forgets it or drops its scratch; what a returned DataFrame
+still reads is removed when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,18 +23,36 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 _own: list[str] = []
+_open: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or ""):
+        raise RuntimeError("working tables need a folder that all executors share: set spark.checkpoint.dir")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="bidloom-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark._jsc.hadoopConfiguration()).delete(at, True)
+    _open.pop(path, None)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in list(_open.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(spark, path)
+
+
 class Scratch:
     """The working tables of one operator call; ``drop`` removes them once its result is written."""
 
@@ -40,6 +64,7 @@ class Scratch:
     def path(self, name: str) -> str:
         path = f"{shared_folder(self.spark)}/bidloom-{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
+        _open[path] = self.spark
         return path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,16 +78,11 @@ class Scratch:
     def forget(self, *tables: DataFrame | None) -> None:
         """Remove working tables that no later step reads."""
         for t in tables:
-            if t is not None:
-                self._delete(t._scratch_path)
+            if t is not None and t._scratch_path in self.paths:
                 self.paths.remove(t._scratch_path)
+                _delete(self.spark, t._scratch_path)
 
     def drop(self) -> None:
         for p in self.paths:
-            self._delete(p)
+            _delete(self.spark, p)
         self.paths.clear()
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

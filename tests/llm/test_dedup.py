@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.llm.components import connected_components
-from bidloom.llm.exact_dedup import FILTER_BITS, compact, digests_of, exact_duplicates, flush_runs, in_filter, lookup, make_filter, merge_filters
+from bidloom.llm import exact_dedup, near_dedup
+from bidloom.llm.exact_dedup import compact, digests_of, exact_duplicates, flush_runs, lookup, shared_filter
 from bidloom.llm.near_dedup import MinMaxHasher, near_duplicates
+from bidloom.llm.rowfilter import MAX_BITS, filter_bits, filter_of, in_filter, make_filter
 from bidloom.llm.scratch import Scratch
 
 DOC = "doc_id long, text string"
@@ -124,33 +126,117 @@ def test_exact_duplicates_against_grouping(spark):
 
 def test_index_lookup_uses_filters(spark):
     scratch = Scratch(spark)
-    old = digests_of(spark.createDataFrame([(i, f"text {i % 30}") for i in range(60)], DOC))
-    runs = flush_runs(old, scratch, memtable_rows=8, bits=1 << 12)
+    old = digests_of(spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)], DOC).coalesce(1))
+    runs = scratch.table(flush_runs(old, memtable_rows=8), "runs")
+    own = [bytes(r.digest) for r in runs.collect()]
+    assert all(own[i : i + 8] == sorted(own[i : i + 8]) for i in range(0, len(own), 8))  # runs are sorted
     level = scratch.table(compact(runs), "level")
-    keys = [bytes(r.digest) for r in runs.where("digest IS NOT NULL").collect()]
-    for (run,) in runs.select("run").distinct().collect():  # runs are sorted
-        own = [bytes(r.digest) for r in runs.where((F.col("run") == run) & F.col("digest").isNotNull()).collect()]
-        assert own == sorted(own)
-    packed = merge_filters(runs.where("filter IS NOT NULL"))
-    assert in_filter(keys, packed).all()
-    new = digests_of(spark.createDataFrame([(100, "text 7"), (101, "never seen")], DOC))
-    assert {r.doc_id: r.keep_id for r in lookup(new, level, packed).collect()} == {100: 7, 101: None}
-    assert level.agg(F.sum("n")).first()[0] == 60
-
-
-def test_filter_has_no_false_negatives():
-    import hashlib
+    packed = shared_filter(level)
+    new = digests_of(spark.createDataFrame([(100, "text 7"), (101, "never seen"), (102, "text 20")], DOC))
+    got = lookup(new, level, packed)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == {100: (7, 2), 101: (None, None), 102: (None, None)}
+    assert level.agg(F.sum("n")).first()[0] == 40
+
+
+def test_compaction_shuffles_once(spark):
+    runs = flush_runs(digests_of(spark.createDataFrame([(1, "a"), (2, "b")], DOC)))
+    plan = compact(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "SortAggregate" in plan
+
+
+def test_filter_has_no_false_negatives(spark):
+    import numpy as np
 
-    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(500)]
+    rng = np.random.default_rng(3)
+    keys, others = rng.integers(-(1 << 63), 1 << 63, 500), rng.integers(-(1 << 63), 1 << 63, 500)
     packed = make_filter(keys, 1 << 14)
-    others = [hashlib.sha256(f"o{i}".encode()).digest() for i in range(500)]
-    assert in_filter(keys, packed).all() and in_filter(others, packed).mean() < 0.05 and len(make_filter([], FILTER_BITS)) == FILTER_BITS // 8
+    assert in_filter(keys, packed).all() and in_filter(others, packed).mean() < 0.05
+    assert filter_of(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(5), 1 << 14) == packed
+    assert not in_filter(keys, filter_of(spark.createDataFrame([], "key long"), 1 << 16)).any()
+    assert filter_bits(0) == 1 << 16 and filter_bits(10**6) == 1 << 24 and filter_bits(10**12) == MAX_BITS
+
+
+CLASHING = ["id", "hash", "row", "stays", "maybe", "of_id", "times", "copy", "_copy", "digest", "node", "n_tokens", "p0", "rate"]
+
+
+def clashing(df):
+    """Further columns with every name that the operators use themselves."""
+    return df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(CLASHING)))
+
+
+def test_one_row_of_each_keeps_rows_apart(spark):
+    near_a, near_b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, near_a), (1, near_b), (2, near_a + " x"), (3, near_b + " x"), (4, "lonely words " * 3), (4, "lonely words " * 3), (None, near_a + " y"), (5, ""), (5, ""), (6, None)]
+    docs = clashing(spark.createDataFrame(rows, DOC).repartition(3))
+    got = near_dedup.near_duplicates(docs, Scratch(spark)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted(
+        [("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("4", "4"), ("None", "None"), ("5", "5"), ("5", "5"), ("6", "6")]
+    )
+    kept = near_dedup.first_of_each(docs, Scratch(spark))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[6], rows[7], rows[9]]))
+
+
+def test_exact_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b"), (1, "c d"), (2, "a  b"), (2, "ab"), (3, "cd"), (3, "c d"), (3, "c d"), (None, "e"), (None, "e"), (4, "e"), (5, ""), (6, None), (7, " "), (None, "only")]
+    docs = clashing(spark.createDataFrame(rows, DOC).repartition(4))
+    kept = exact_dedup.first_of_each(docs, Scratch(spark), memtable_rows=2)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(2, "a  b"), (1, "c d"), (4, "e"), (7, " "), (None, "only")]))
+    assert exact_dedup.first_of_each(docs.limit(0), Scratch(spark)).count() == near_dedup.first_of_each(docs.limit(0), Scratch(spark)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(150_000))
+    rows = [(1, long), (2, long.replace(" ", "\n")), (3, long + " tail"), (4, "short text of six words here"), (5, "x" * 1_000_000), (6, "x" * 1_000_000 + " ")]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    assert {r.doc_id: r.keep_id for r in exact_duplicates(docs, Scratch(spark)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 6, 6: 6}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, Scratch(spark)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+def test_near_misses_of_a_large_family(spark):
+    """A family whose members stay below the threshold: nobody links, and the pairs met stay few."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for j in rng.sample(range(0, 100, 5), 4):
+            text[j] = f"own{rng.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, Scratch(spark)).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_working_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from bidloom.llm import scratch
+
+    class Conf(dict):
+        pass
+
+    class Fake:
+        class sparkContext:  # noqa: N801
+            @staticmethod
+            def getConf():
+                return Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Fake)
+    own = Scratch(spark)
+    own.table(spark.range(3), "some")
+    assert own.paths[0] in scratch._open
+    own.drop()
+    assert not own.paths and not any("bidloom-some" in p for p in scratch._open)
 
 
 def test_equal_digests_with_other_bytes_are_regrouped(spark):
     import hashlib
 
-    docs = spark.createDataFrame([(1, "aa"), (2, "ab"), (3, "a a"), (4, "b")], DOC)
+    docs = spark.createDataFrame([(1, "aa"), (2, "ab"), (3, "a a"), (4, "b"), (None, "ac"), (None, "a c"), (2, "ad"), (2, "ad")], DOC).repartition(3)
     weak = lambda body: hashlib.sha256(body[:1]).digest()
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs, Scratch(spark), digest=weak).collect()}
-    assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+    got = exact_duplicates(docs, Scratch(spark), digest=weak).collect()
+    want = [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True), (None, None, 2, True), (None, None, 2, True), (2, 2, 2, True), (2, 2, 2, True)]
+    assert sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got))) == sorted(map(str, want))
+    kept = exact_dedup.first_of_each(docs, Scratch(spark), digest=weak).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(3, "a a"), (2, "ab"), (4, "b"), (None, "a c"), (2, "ad")]))

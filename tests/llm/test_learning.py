@@ -179,7 +179,7 @@ def test_rates_meet_the_targets(spark):
     df = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     shares = np.array([0.6, 0.3, 0.1])
     steps, now = mixing.fit_rates(df, shares)
-    total = min(((tokens[:, None] * p).sum(0) / shares))
+    total = tokens.sum()  # the tokens there are, whichever domain is scarce
     assert abs(now - shares * total).max() / total < 1e-4
     rates = np.array([r.r for r in df.select("doc_id", mixing.rate_column(3, steps).alias("r")).orderBy("doc_id").collect()])
     assert (rates >= 0).all() and np.allclose((tokens * rates) @ p, now)
@@ -200,7 +200,49 @@ def test_mixture_on_edge_rows(spark):
 
 
 def test_copies_have_the_rate_as_mean(spark):
-    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1.4).alias("rate"))
-    got = df.select(mixing.copies(F.col("rate"), F.col("doc_id")).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
-    assert abs(got[0] - 1.4) < 0.02 and (got[1], got[2]) == (1, 2)
-    assert df.select(mixing.copies(F.lit(0.99), F.col("doc_id")).alias("n")).agg(F.min("n")).first()[0] == 1
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for rate in (1.4, 0.97, 0.02):
+        got = df.select(mixing.copies(F.lit(rate), F.col("doc_id"), F.col("text")).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
+        assert abs(got[0] - rate) < 0.02 and (got[1], got[2]) == (int(rate), int(rate) + 1)
+
+
+def test_rates_by_another_solver(spark):
+    """Where no rate is cut at zero, the fit is the least change of the rates that meets the targets."""
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([3, 3, 3], 200), rng.integers(50, 900, 200).astype(float)
+    df = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
+    shares, total = np.array([0.36, 0.33, 0.31]), tokens.sum()
+    steps, _ = mixing.fit_rates(df, shares)
+    # Minimise sum t (r - 1)^2 subject to p' diag(t) r = goal: Lagrange's equations, solved directly.
+    a = (tokens[:, None] * p).T
+    kkt = np.block([[np.diag(2 * tokens), a.T], [a, np.zeros((3, 3))]])
+    want = np.linalg.solve(kkt, np.concatenate([2 * tokens, shares * total]))[:200]
+    got = np.array([r[0] for r in df.select(mixing.rate_column(3, steps)).collect()])
+    assert (want > 0).all() and np.allclose(np.sort(got), np.sort(want), atol=1e-4)
+
+
+def test_bounds_and_scarce_domains_do_not_set_the_total(spark):
+    rows = [(100, 0.98, 0.01, 0.01)] * 90 + [(100, 0.01, 0.98, 0.01)] * 9 + [(10, 0.01, 0.01, 0.98)]
+    df = spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double, p2 double")
+    now = np.array([sum(n * r[j] for n, *r in rows) for j in range(3)])
+    shares = np.array([0.9, 0.05, 0.05])
+    steps, got = mixing.fit_rates(df, shares, bounded=np.array([False, True, True]))
+    total = now[0] / 0.9
+    assert np.allclose(got, [now[0], 0.05 * total, now[2]], rtol=1e-3)
+    rates = [r[0] for r in df.select(mixing.rate_column(3, steps)).collect()]
+    assert min(rates[:90]) > 0.97 and max(rates[90:99]) < 0.6
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    """One doc_id thousands of times is one row; features beyond the bound are not collected."""
+    rows = [(7, f"text number {i}") for i in range(3000)] + [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [7, *range(100, 160)]], LABEL)
+    got, by = learn.labelled_sample(docs, labels, ["quality"], 1, 1, max_rows=100)
+    assert len(got) == 61 and len(by["quality"]) == 61
+    some, _ = learn.labelled_sample(docs, labels, ["quality"], 1, 1, max_rows=20)
+    assert len(some) == 20
+    few, _ = learn.labelled_sample(docs, labels, ["quality"], 1, 1, max_rows=100, max_bytes=50_000)
+    assert 0 < len(few) < 20 and sum(r.nbytes for r in few) <= 50_000
+    again, _ = learn.labelled_sample(docs.repartition(2), labels, ["quality"], 1, 1, max_rows=100, max_bytes=50_000)
+    assert all((a == b).all() for a, b in zip(few, again, strict=True))
