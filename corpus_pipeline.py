@@ -3,6 +3,20 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that has to be written before the
 next stage begins: working tables of a stage are removed when the next one starts. All but the last
 return the columns of ``documents``.
+
+Cases, for every stage. A null text counts as empty. A null doc_id is a document like any other, but
+that near dedup leaves it as it is. A doc_id that is repeated with other texts is several
+documents, each judged by its own text. Very long texts are read whole. An empty table
+gives an empty table. Further columns come through, whatever their names. By stage:
+
+* quality: without labels of both classes everything stays; rows that are repeated share their fate.
+* exact dedup: of equal texts the longest original stays, then the smallest doc_id, then the
+  smallest hash of the original; of a row that is repeated one copy stays. All texts without a
+  visible character are one group.
+* near dedup: of a component the smallest doc_id stays. A text without words links with nothing
+  and stays; a row that is repeated comes through once.
+* mixing: rows that are repeated have as many copies each; without labels every row stays once.
+* pieces: one row out for each row in; a null text has null tokens.
 """
 
 from __future__ import annotations
@@ -10,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm.exact_dedup import exact_duplicates
-from bidloom.llm.mixing import UNWANTED, copies, mixture
-from bidloom.llm.near_dedup import near_duplicates
+from bidloom.llm import exact_dedup as exact
+from bidloom.llm import near_dedup as near
+from bidloom.llm.mixing import UNWANTED, mixed_rows
 from bidloom.llm.pieces import default_model, encode_documents
 from bidloom.llm.quality import keep_good
 from bidloom.llm.scratch import Scratch
@@ -34,16 +48,6 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``kept(id)``, once each; a null doc_id too."""
-    found = docs.join(kept.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if again.isEmpty():
-        return found
-    once = found.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.join(again, "doc_id", "left_anti").unionByName(once)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     _stage(spark)
@@ -52,28 +56,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    found = exact_duplicates(docs, scratch := _stage(spark))
-    return _only(docs, scratch.table(found.where("kept").select(F.col("doc_id").alias("id")), "kept"))
+    return exact.first_of_each(docs, _stage(spark))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component at five-word shingle similarity 0.8 or more."""
-    found = near_duplicates(docs, scratch := _stage(spark), shingle_words=5, per_hundred=80)
-    return _only(docs, scratch.table(found.where("kept").select(F.col("doc_id").alias("id")), "kept"))
+    return near.first_of_each(docs, _stage(spark), shingle_words=5, per_hundred=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say; unwanted domains with too many tokens shrink.
 
     Earlier stages have removed most junk, so what is left of it, however little, is no measure of
-    the mixture: targets of unwanted domains are upper bounds, and a single labelled row counts.
+    the mixture: targets of unwanted domains are upper bounds, and clean tokens keep their number.
     """
-    scratch = _stage(spark)
-    mixed, _ = mixture(docs, _labels(spark, sf_dir), scratch, min_domain_rows=1, at_most=UNWANTED)
-    times = mixed.select(F.col("doc_id").alias("id"), copies(F.col("rate"), F.col("doc_id")).alias("times"))
-    times = scratch.table(times.groupBy("id").agg(F.max("times").alias("times")), "times")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id"))).where("times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixed_rows(docs, _labels(spark, sf_dir), _stage(spark), at_most=UNWANTED)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
