@@ -4,19 +4,31 @@ The lattice of a text has an edge for every piece of the vocabulary that the tex
 a character without a piece of its own has one edge that stands for its UTF-8 byte pieces. A forward
 Viterbi pass gives each place the best score of a path up to it. These scores are exact heuristics
 for an A-star search from the end backwards, so complete paths leave the agenda in order of score:
-the first is the best segmentation, the first N are the N best.
+the first is the best segmentation, the first N are the N best. A step along a Viterbi edge loses
+nothing and would be the next to leave the agenda, so it is taken at once: of several equal partial
+paths the one nearest its end goes first, every entry that leaves the agenda completes a path, and N
+entries leave it in all, however many paths tie.
 
 How the passes are spread. No piece crosses the edge before a word mark (checked when the vocabulary
 is loaded) nor an unknown character, so a text falls into independent segments. The forward pass
-and a backward pass run in numpy over the distinct segments of a slice at once and give each
-segment's best path and its gap to the second best. A text's N best paths differ from its best path
-in its N - 1 segments of smallest gap at most, so A-star searches the lattice of these alone.
+runs in numpy over the distinct segments of a slice at once and gives each segment's best path and
+its gap to the second best, the smallest loss of an edge that enters the best path from outside. A
+text's N best paths differ from its best path in its N - 1 segments of smallest gap at most, so
+A-star searches the lattices of these alone and the lists are merged. A segment of more than
+``LONG`` characters (text without spaces) is walked place by place, its edges in blocks: time and
+memory grow in proportion to its length.
+
+Scores. A unigram model brings its pieces' log-probabilities. A BPE model brings merge ranks, which
+are no scores of a sum; nothing is trained here, so its pieces get the log-probabilities of a
+Zipf-Mandelbrot law over these ranks, ``1 / (rank + RANK_SHIFT)``, scaled to one.
 
 Texts are encoded with a leading word mark, spaces become word marks, and a mark that stands in the
 text itself is encoded by its bytes, so decoding gives every text back exactly.
 
-Cases. A null text has null tokens; an empty one is the leading mark alone. Repeated rows come
-back once each; a null doc_id keeps its row. Further columns are ignored.
+Cases. A null text has null tokens; an empty one is the leading mark alone. Equal scores come in the
+order of the search, which depends on the segment alone. Repeated rows come back once each; a null
+doc_id keeps its row. Very long texts, with or without spaces, are encoded whole. An empty
+table gives an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +49,15 @@ _OWN_MARK = 0x110000  # stands for a mark of the text itself; no piece holds it
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_NONE = -1e18
+LONG = 400
+BLOCK = 50_000
+RANK_SHIFT = 100.0
+
+
+def rank_scores(n: int, shift: float = RANK_SHIFT) -> list[float]:
+    """Log-probabilities of ranks 0 to n - 1 under a Zipf-Mandelbrot law."""
+    p = 1.0 / (np.arange(n) + shift)
+    return np.log(p / p.sum()).tolist()
 
 
 @dataclass
@@ -49,7 +69,6 @@ class Vocabulary:
     ids: list[int]
     byte_ids: list[int]
     unknown: float = field(default=0.0)
-    lattices: dict = field(default_factory=dict, repr=False)  # of short segments met before
 
     def __post_init__(self):
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
@@ -58,7 +77,7 @@ class Vocabulary:
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
-        """The normal and byte pieces of a SentencePiece model."""
+        """The normal and byte pieces of a SentencePiece model, in the order of their numbers."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -68,7 +87,10 @@ class Vocabulary:
                 byte_ids[int(sp.id_to_piece(i)[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 normal.append((sp.id_to_piece(i), sp.get_score(i), i))
-        return cls([p for p, _, _ in normal], [s for _, s, _ in normal], [i for _, _, i in normal], byte_ids)
+        scores = [s for _, s, _ in normal]
+        if all(s == int(s) for s in scores):  # merge ranks
+            scores = rank_scores(len(normal))
+        return cls([p for p, _, _ in normal], scores, [i for _, _, i in normal], byte_ids)
 
     @cached_property
     def by_piece(self) -> dict[str, int]:
@@ -148,56 +170,43 @@ def segment_edges(v: Vocabulary, segment: str) -> list[list[tuple[int, float, in
     return ends
 
 
-def forward_scores(ends: list[list[tuple[int, float, int]]]) -> list[float]:
-    best = [0.0] * len(ends)
-    for j in range(1, len(ends)):
-        best[j] = max((best[i] + s for i, s, _ in ends[j]), default=_NONE)
-    return best
-
-
-def n_best(v: Vocabulary, segments: list[str], n: int) -> list[tuple[float, list[list[tuple[int, int, int]]]]]:
-    """The n best joint segmentations of independent segments, best first.
-
-    Each is (score, per segment its (start, end, piece) in order). Equal scores come in the order
-    in which the search reaches them, which is fixed.
-    """
-    lattices, forward = [], []
-    for s in segments:
-        if (known := v.lattices.get(s)) is None:
-            if len(v.lattices) >= 20_000 or len(s) > 200:
-                v.lattices.clear()
-            edges = segment_edges(v, s)
-            v.lattices[s] = known = edges, forward_scores(edges)
-        lattices.append(known[0])
-        forward.append(known[1])
-    before = [0.0]
-    for f in forward:
-        before.append(before[-1] + f[-1])
-    # (-(score behind + best ahead), order, segment, place, score behind, path as a linked list)
-    agenda: list[tuple] = []
-    order = 0
-    if segments:
-        agenda.append((-before[-1], order, len(segments) - 1, len(segments[-1]), 0.0, None))
-    out = []
+def short_paths(v: Vocabulary, segment: str, n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
+    """The n best paths of a segment, best first: (score lost against the best, its (start, end, piece) in order)."""
+    ends = segment_edges(v, segment)
+    best, lost, via = [0.0], [[]], [0]
+    for edges in ends[1:]:
+        through = [best[i] + s for i, s, _ in edges]
+        best.append(top := max(through))
+        via.append(through.index(top))
+        lost.append([top - x for x in through])
+    # (loss, order, place, edges from there to the end as a linked list)
+    agenda: list[tuple] = [(0.0, 0, len(segment), None)]
+    order, out = 0, []
     while agenda and len(out) < n:
-        _, _, s, j, behind, path = heapq.heappop(agenda)
-        while j == 0 and s > 0:
-            s -= 1
-            j = len(segments[s])
-        if j == 0:
-            parts: list[list[tuple[int, int, int]]] = [[] for _ in segments]
-            while path is not None:
-                (of, edge), path = path
-                parts[of].append(edge)
-            out.append((behind, parts))
-            continue
-        for i, score, k in lattices[s][j]:
-            total = behind + score
-            order += 1
-            heapq.heappush(agenda, (-(total + before[s] + forward[s][i]), order, s, i, total, ((s, (i, j, k)), path)))
+        loss, _, j, path = heapq.heappop(agenda)
+        while j > 0:
+            for e, (i, _, k) in enumerate(ends[j]):
+                if e != via[j]:
+                    order += 1
+                    heapq.heappush(agenda, (loss + lost[j][e], order, i, ((i, j, k), path)))
+            i, _, k = ends[j][via[j]]
+            path, j = ((i, j, k), path), i
+        edges = []
+        while path is not None:
+            edge, path = path
+            edges.append(edge)
+        out.append((loss, edges))
     return out
 
 
+def merged_paths(lists: list[list[tuple[float, object]]], n: int) -> list[tuple[float, tuple]]:
+    """The n best choices of one entry from each of some independent lists: (loss, entries)."""
+    out: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for one in lists:
+        out = heapq.nsmallest(n, ((loss + more[0], (*at, i)) for loss, at in out for i, more in enumerate(one)))
+    return [(loss, tuple(one[i][1] for one, i in zip(lists, at, strict=True))) for loss, at in out]
+
+
 # ---------------------------------------------------------------- numpy passes
 
 
@@ -209,6 +218,7 @@ class SegmentEncoder:
         self.scores = np.array([*v.scores, v.unknown])
         self.ids = np.array([*v.ids, -1], np.int32)
         self.powers = (np.ones(1, _U), np.ones(1, _U))
+        self.paths: dict[tuple[int, str], list] = {}  # of short segments searched before
         self._forget()
 
     def _forget(self):
@@ -253,8 +263,49 @@ class SegmentEncoder:
         self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
         self.flat = np.concatenate([self.flat, flat])
 
+    def _edges(self, total: np.ndarray, down: np.ndarray, at: np.ndarray, rest: np.ndarray):
+        """Edges (begin, width, piece) that begin at the places ``at``, ``rest`` characters before
+        their segments' ends, in order of begin and width."""
+        begin, width, piece = [], [], []
+        single = np.zeros(len(at), bool)
+        active = np.arange(len(at))
+        for k in range(1, self.v.longest + 1):
+            active = active[rest[active] >= k]
+            if not len(active):
+                break
+            x = at[active]
+            got = self.v.find((total[x + k] - total[x]) * down[x])
+            hit = got >= 0
+            begin.append(x[hit])
+            width.append(np.full(int(hit.sum()), k))
+            piece.append(got[hit])
+            if k == 1:
+                single[active[hit]] = True
+            active = active[got >= -1]
+        alone = at[~single]  # characters by bytes
+        begin, width = np.concatenate([*begin, alone]), np.concatenate([*width, np.ones(len(alone), np.int64)])
+        piece = np.concatenate([*piece, np.full(len(alone), len(self.v.pieces), np.int32)])
+        line = np.argsort(begin, kind="stable")  # so the edges of a segment are neighbours
+        return begin[line], width[line], piece[line]
+
     def _passes(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Best score, gap to the second best, number of tokens and tokens of each segment."""
+        n = len(starts)
+        value, gap, made = np.zeros(n), np.full(n, np.inf), [None] * n
+        short = np.flatnonzero(ends - starts <= LONG)
+        if len(short):
+            v, g, size, flat = self._short_passes(chars, starts[short], ends[short])
+            value[short], gap[short] = v, g
+            for s, part in zip(short.tolist(), np.split(flat, np.cumsum(size)[:-1]), strict=True):
+                made[s] = part
+        for s in np.flatnonzero(ends - starts > LONG).tolist():
+            found = self.long_paths(chars[starts[s] : ends[s]], 2)
+            value[s], made[s] = self.long_score, np.array(found[0][1], np.int32)
+            if len(found) > 1:
+                gap[s] = found[1][0]
+        return value, gap, np.array([len(m) for m in made], np.int64), np.concatenate(made)
+
+    def _short_passes(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         order = np.argsort(starts - ends, kind="stable")  # longest first
         length = (ends - starts)[order]
         n, m = len(order), int(length.sum())
@@ -262,34 +313,14 @@ class SegmentEncoder:
         own = np.repeat(np.arange(n), length)
         c = chars[np.repeat(starts[order] - base, length) + np.arange(m)]
         rest = np.repeat(base + length, length) - np.arange(m)  # characters up to the segment's end
-        total, down = self.prefix_sums(c)
-        begin_at, width, piece = [], [], []
-        active = np.arange(m)
-        single = np.zeros(m, bool)
-        for k in range(1, self.v.longest + 1):
-            active = active[rest[active] >= k]
-            if not len(active):
-                break
-            got = self.v.find((total[active + k] - total[active]) * down[active])
-            hit = active[got >= 0]
-            begin_at.append(hit)
-            width.append(np.full(len(hit), k))
-            piece.append(got[got >= 0])
-            if k == 1:
-                single[hit] = True
-            active = active[got >= -1]
-        alone = np.flatnonzero(~single)  # characters by bytes
-        begin_at, width = np.concatenate([*begin_at, alone]), np.concatenate([*width, np.ones(len(alone), np.int64)])
-        piece = np.concatenate([*piece, np.full(len(alone), len(self.v.pieces), np.int32)])
-        line = np.argsort(begin_at, kind="stable")  # so the edges of a segment are neighbours
-        begin_at, width, piece = begin_at[line], width[line], piece[line]
+        begin_at, width, piece = self._edges(*self.prefix_sums(c), np.arange(m), rest)
         score = self.scores[piece]
         # Places of segment s: base[s] + s .. base[s] + s + length[s].
         start = begin_at + own[begin_at]
         end = start + width
         local = begin_at - base[own[begin_at]]  # place within the segment
         node = base + np.arange(n)
-        forward, backward, back = np.zeros(m + n), np.zeros(m + n), np.zeros(m + n, np.int64)
+        forward, back = np.zeros(m + n), np.zeros(m + n, np.int64)
         by_end = np.argsort((local + width) * (m + n) + end, kind="stable")
         for e in _runs(by_end, (local + width)[by_end]):
             x = forward[start[e]] + score[e]
@@ -298,22 +329,17 @@ class SegmentEncoder:
             among = np.where(x == np.repeat(best, np.diff(np.append(group, len(e)))), np.arange(len(e)), len(e))
             to = end[e][group]
             forward[to], back[to] = best, e[np.minimum.reduceat(among, group)]
-        by_start = np.argsort(-local * (m + n) + start, kind="stable")
-        for e in _runs(by_start, local[by_start]):
-            group = np.flatnonzero(np.append(True, start[e][1:] != start[e][:-1]))
-            backward[start[e][group]] = np.maximum.reduceat(score[e] + backward[end[e]], group)
         value = forward[node + length]
-        on = np.zeros(len(start), bool)  # the best path's edges, from the end backwards
+        on, reached = np.zeros(len(start), bool), np.zeros(m + n, bool)  # the best path's edges and places, from the end backwards
         at, first = node + length, node.copy()
         while len(at):
             e = back[at]
-            on[e] = True
+            on[e], reached[at] = True, True
             at = start[e]
             go = at > first
             at, first = at[go], first[go]
-        through = np.where(on, -np.inf, forward[start] + score + backward[end])
-        second = np.maximum.reduceat(through, np.searchsorted(begin_at, base)) if n else np.zeros(0)
-        gap = np.where(np.isfinite(second), np.maximum(value - second, 0.0), np.inf)
+        lost = np.where(reached[end] & ~on, np.maximum(forward[end] - forward[start] - score, 0.0), np.inf)
+        gap = np.minimum.reduceat(lost, np.searchsorted(begin_at, base))
         # Tokens in order; a character by bytes becomes its byte pieces.
         tokens, i = self.ids[piece[on]], begin_at[on]
         size = np.bincount(own[i], minlength=n)
@@ -332,6 +358,97 @@ class SegmentEncoder:
         pick = np.repeat(begin[undo] - (np.cumsum(out_size) - out_size), out_size) + np.arange(int(out_size.sum()))
         return value[undo], gap[undo], out_size, tokens[pick]
 
+    def long_paths(self, c: np.ndarray, n: int) -> list[tuple[float, list[int]]]:
+        """The n best paths of one long segment as (score lost, tokens); ``long_score`` is the best score.
+
+        The search of ``short_paths`` with edges made anew, block by block, for each path.
+        """
+        m = len(c)
+        total, down = self.prefix_sums(c)
+        reach = self.v.longest
+        best, via, kind = np.zeros(m + 1), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int32)
+
+        def blocks(to: int):
+            """(a, z, begins, ends, pieces) of the edges that end at places a + 1 .. z, by end and begin."""
+            for a in range(0, to, BLOCK):
+                z = min(a + BLOCK, to)
+                at = np.arange(max(0, a + 1 - reach), z)
+                begin, width, piece = self._edges(total, down, at, z - at)
+                end = begin + width
+                line = np.flatnonzero(end > a)
+                line = line[np.argsort(end[line], kind="stable")]
+                yield a, z, begin[line], end[line], piece[line]
+
+        for a, z, begin, end, piece in blocks(m):  # every place is the end of its last character's edge
+            low = max(0, a + 1 - reach)
+            held, of, what, now = best[low : a + 1].tolist(), [], [], a
+            for i, j, s, k in zip(begin.tolist(), end.tolist(), self.scores[piece].tolist(), piece.tolist(), strict=True):
+                x = held[i - low] + s
+                if j != now:
+                    now = j
+                    held.append(x)
+                    of.append(i)
+                    what.append(k)
+                elif x > held[-1]:
+                    held[-1], of[-1], what[-1] = x, i, k
+            best[a + 1 : z + 1], via[a + 1 : z + 1], kind[a + 1 : z + 1] = held[a + 1 - low :], of, what
+        self.long_score = float(best[m])
+        back, used = via.tolist(), kind.tolist()
+
+        def entering(j: int, few: int) -> list[tuple[float, int, int, int]]:
+            """The cheapest edges that enter the Viterbi path to ``j`` from outside: (lost, end, begin, piece)."""
+            reached, x = np.zeros(m + 1, bool), j
+            while x > 0:
+                reached[x] = True
+                x = back[x]
+            found = []
+            for _, _, begin, end, piece in blocks(j):
+                out = np.flatnonzero(reached[end] & ((via[end] != begin) | (kind[end] != piece)))
+                lost = best[end[out]] - best[begin[out]] - self.scores[piece[out]]
+                some = out[_smallest(lost, few)] if len(out) > few else out
+                found += [(max(0.0, float(best[end[i]] - best[begin[i]] - self.scores[piece[i]])), int(end[i]), int(begin[i]), int(piece[i])) for i in some]
+            return heapq.nsmallest(few, found)
+
+        def tokens(chosen: list[tuple[int, int, int]]) -> list[int]:
+            """Of the path that takes the ``chosen`` edges, last first, and Viterbi edges between them."""
+            edges, x = [], m
+            for end, begin, k in [*chosen, (0, 0, -1)]:
+                while x > end:
+                    edges.append((back[x], used[x]))
+                    x = back[x]
+                if k >= 0:
+                    edges.append((begin, k))
+                    x = begin
+            out: list[int] = []
+            for i, k in reversed(edges):
+                t = int(self.ids[k])
+                out += [t] if t >= 0 else self.bytes_of(int(c[i]))
+            return out
+
+        agenda: list[tuple[float, int, int, list]] = [(0.0, 0, m, [])]
+        order, out = 0, []
+        while agenda and len(out) < n:
+            loss, _, j, chosen = heapq.heappop(agenda)
+            out.append((loss, tokens(chosen)))
+            for more, end, begin, k in entering(j, n - len(out)) if len(out) < n else []:
+                order += 1
+                heapq.heappush(agenda, (loss + more, order, begin, [*chosen, (end, begin, k)]))
+        return out
+
+    def alternatives(self, c: np.ndarray, n: int) -> list[tuple[float, list[int]]]:
+        """The n best paths of a segment as (score lost, tokens)."""
+        if len(c) > LONG:
+            return self.long_paths(c, n)
+        text = "".join(map(chr, c)) if _OWN_MARK not in c else None
+        if text is None:  # a mark of the text itself is a segment of its own
+            return [(0.0, [b for x in c.tolist() for b in self.bytes_of(x)])]
+        if (known := self.paths.get((n, text))) is None:
+            if len(self.paths) >= 50_000:
+                self.paths.clear()
+            known = [(loss, _tokens_of(self, text, path)) for loss, path in short_paths(self.v, text, n)]
+            self.paths[n, text] = known
+        return known
+
     def bytes_of(self, char: int) -> list[int]:
         return [self.v.byte_ids[b] for b in (MARK if char == _OWN_MARK else chr(char)).encode()]
 
@@ -384,17 +501,10 @@ def encode_texts(encoder: SegmentEncoder, texts: list[str], n: int):
             few = np.sort(few[np.isfinite(g[few])]) + a
             if len(few):
                 # A strange character has one path, so no chosen segment holds one.
-                texts_of = ["".join(map(chr, chars[starts[s] : ends[s]])) for s in few]
-                paths = n_best(v, texts_of, n)
-                top = paths[0][0]
-                for score, parts in paths[1:]:
-                    scores.append(best + (score - top))
-                    edits.append(
-                        [
-                            (int(token_at[s] - token_at[a]), int(size[s]), _tokens_of(encoder, text, part))
-                            for s, text, part in zip(few, texts_of, parts, strict=True)
-                        ]
-                    )
+                lists = [encoder.alternatives(chars[starts[s] : ends[s]], n) for s in few]
+                for loss, chosen in merged_paths(lists, n)[1:]:
+                    scores.append(best - loss)
+                    edits.append([(int(token_at[s] - token_at[a]), int(size[s]), new) for s, new in zip(few, chosen, strict=True)])
         out.append((tokens[token_at[a] : token_at[b]], scores, edits))
     return out
 

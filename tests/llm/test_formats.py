@@ -34,13 +34,65 @@ def all_paths(v, text, n):
     return sorted((a for a, _ in paths(len(s))), reverse=True)[:n]
 
 
-@pytest.mark.parametrize("text", ["", "x", "Hello", "the the", "ab ab ab", "a  b", "inging", "né"])
+def ranks(v):
+    """The same pieces with whole scores, so that very many paths tie."""
+    return pieces.Vocabulary(v.pieces, [float(-(i % 3) - 1) for i in range(len(v.pieces))], v.ids, v.byte_ids)
+
+
+TEXTS = ["", "x", "Hello", "the the", "ab ab ab", "a  b", "inging", "né", "漢 ab", "▁ a▁"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("n", [1, 3, 6])
-def test_n_best_against_all_segmentations(vocabulary, text, n):
-    tokens, scores, edits = pieces.encode_texts(pieces.SegmentEncoder(vocabulary), [text], n)[0]
-    assert scores == all_paths(vocabulary, text, n)
-    seen = {tuple(pieces.apply_edits(tokens.tolist(), e)) for e in edits}
-    assert len(seen) == len(edits) and all(vocabulary.decode(t) == text for t in seen)
+@pytest.mark.parametrize("long", [pieces.LONG, 2])
+def test_n_best_against_all_segmentations(vocabulary, monkeypatch, text, n, long):
+    monkeypatch.setattr(pieces, "LONG", long)
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    for v in (vocabulary, ranks(vocabulary)):
+        tokens, scores, edits = pieces.encode_texts(pieces.SegmentEncoder(v), [text], n)[0]
+        if "▁" not in text:
+            assert np.allclose(scores, all_paths(v, text, n))
+        seen = {tuple(pieces.apply_edits(tokens.tolist(), e)) for e in edits}
+        assert len(seen) == len(edits) and all(v.decode(t) == text for t in seen)
+
+
+def test_long_segments_equal_short_ones(vocabulary, monkeypatch):
+    rng = np.random.default_rng(4)
+    for v in (vocabulary, ranks(vocabulary)):
+        for _ in range(20):
+            text = "".join(rng.choice(list("abcdeinorst"), 60))
+            short = pieces.encode_texts(pieces.SegmentEncoder(v), [text], 5)[0]
+            monkeypatch.setattr(pieces, "LONG", 10)
+            monkeypatch.setattr(pieces, "BLOCK", 13)
+            long = pieces.encode_texts(pieces.SegmentEncoder(v), [text], 5)[0]
+            monkeypatch.undo()
+            assert np.allclose(short[1], long[1]) and len(long[2]) == 5
+            assert v is not vocabulary or [pieces.apply_edits(short[0].tolist(), e) for e in short[2]] == [pieces.apply_edits(long[0].tolist(), e) for e in long[2]]
+
+
+@pytest.mark.parametrize("size", [20_000, 1_000_000])
+def test_unbroken_text_takes_seconds(vocabulary, size):
+    """Letters without a space, and scores that tie: time in proportion to the length."""
+    import time
+
+    text = "".join(np.random.default_rng(size).choice(list("abcdefghijklmnopqrstuvwxyz"), size))
+    for v in (vocabulary, ranks(vocabulary)):
+        began = time.time()
+        tokens, scores, edits = pieces.encode_texts(pieces.SegmentEncoder(v), [text], 4)[0]
+        assert time.time() - began < 2 + size / 15_000
+        paths = [pieces.apply_edits(tokens.tolist(), e) for e in edits]
+        assert len({tuple(p) for p in paths}) == 4 and all(v.decode(p) == text for p in paths) and scores == sorted(scores, reverse=True)
+
+
+@tables
+def test_token_counts_are_near_the_librarys(vocabulary):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:100]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    own = sum(len(t) for t, _, _ in pieces.encode_texts(pieces.SegmentEncoder(vocabulary), texts, 1))
+    assert abs(own / sum(map(len, sp.encode(texts))) - 1) < 0.03
 
 
 def test_memory_and_slices_do_not_matter(vocabulary):
@@ -107,7 +159,7 @@ def test_arc_round_trip(version):
         data += warc.arc_record(version, f"http://h/{i} with blank", "1.2.3.4", "2001020304", "text/html", b) + b"\n"
     got = list(warc.parse_arc(data))
     assert [b for _, b, _ in got] == blocks and [f["URL"] for f, _, _ in got] == [f"http://h/{i} with blank" for i in range(3)]
-    out = b"".join(warc.convert_record(f, b, line, None) + b"\r\n\r\n" for f, b, line in got)
+    out = b"".join(warc.convert_record(f, b, warc.record_id(line, "a/f.arc", i), None) + b"\r\n\r\n" for i, (f, b, line) in enumerate(got))
     records = list(warc.parse_warc(out))
     assert [b for _, b in records] == blocks and records[0][0]["warc-date"] == "2001-02-03T04:00:00Z" and [r["warc-type"] for r, _ in records] == ["response", "resource", "resource"]
     assert len({r["warc-record-id"] for r, _ in records}) == 3
@@ -138,6 +190,36 @@ def test_pages_through_archives(spark, version, least):
     assert sorted(tuple(r) for r in got.collect()) == brute_pages(rows, least)
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Repeated rows have identifiers of their own, files stay below the bound, and a longer page has its own."""
+    import gzip
+
+    rows = [(i, f"http://h/{i}", f"page {i} " * 40) for i in range(60)] + [(60, "u", "long " * 4000), (60, "u", "long " * 4000), (None, "n", None), (None, "n", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_arc(df, f"{tmp_path}/arc", file_bytes=4000)
+    warc.convert(f"{tmp_path}/arc", f"{tmp_path}/warc", Scratch(spark), file_bytes=4000)
+    for kind, overhead in (("arc", 0), ("warc", 0)):
+        files = sorted((tmp_path / kind).glob("**/*.gz"))
+        sizes = [len(gzip.decompress(f.read_bytes())) for f in files]
+        assert len(files) > 10 and sum(s > 4200 for s in sizes) == (2 if kind == "arc" else 1)
+    records = warc.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert len(records) == len(rows) == len({r.id for r in records}) and all(r.block_ok for r in records)
+    got = warc.pages_through_archives(df, Scratch(spark), file_bytes=4000).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got if r.page_id in (60, None)) == sorted(
+        [("60", "response", "None"), ("60", "revisit", "60"), ("None", "response", "None"), ("None", "revisit", "None")]
+    )
+
+
+def test_streams_are_read_in_steps():
+    import gzip
+
+    blocks = [b"x" * 50_000, b"", b"y\r\n" * 9000]
+    data = warc.arc_version_block("1", "f", "2020") + b"\n" + b"".join(warc.arc_record("1", f"http://{i}", "0", "2020", "t", b) + b"\n" for i, b in enumerate(blocks))
+    for content in (data, gzip.compress(data)):
+        for step in (1, 7, 4096):
+            assert [b for _, b, _ in warc.parse_arc(warc._Plain(content, step))] == blocks
+
+
 def test_no_pages(spark):
     assert warc.pages_through_archives(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark)).count() == 0
 
