@@ -3,18 +3,22 @@
 An ARC file begins with a version block (``filedesc://``) that names the fields of every record's
 header line: five in version 1, ten in version 2. A header line ends in the declared length of the
 bytes that follow. The converter parses records by these lengths and synthesises what WARC asks
-for and ARC lacks: a record identifier (a version-5 UUID of the record's header line, its file's
-position-free identity), an ISO timestamp, a record type and block and payload digests. Of records with
-equal payloads one is a response and the others become revisits that refer to it.
+for and ARC lacks: a record identifier (a version-5 UUID of archive, place and header line, so
+repeated records have identifiers of their own), an ISO timestamp, a record type and block and payload
+digests. Of records with equal payloads one is a response and the others become revisits that refer to it.
 
 On Spark. Archives are written by the text sink: a row is one record's bytes, and the line
-separator is what the format puts after a record. ``maxRecordsPerFile`` bounds each file, and every
-file begins with its version block or warcinfo record. Archives are read as ``binaryFile`` rows of
-bounded size, so any file system that Spark reads will do. The decision which record stays a response
-is a join of digests; payloads are not shuffled, only each archive's compressed bytes once.
+separator is what the format puts after a record. A task begins a new file before ``file_bytes`` or
+``file_records`` are exceeded, so a file is no larger unless one record alone is, which then has a
+file to itself; every file begins with its version block or warcinfo record. Archives are read as
+``binaryFile`` rows, each of one such file, so any file system that Spark reads will do, and are
+decompressed as a stream. The decision which record stays a response is a join of digests; payloads
+are not shuffled, only each archive's compressed bytes once.
 
 Cases. A null html is an empty payload; a null url is written as ``-``. Repeated rows are records of their
-own. White space in a url is percent-encoded, as the header line needs. An empty table gives no
+own with identifiers of their own; of those with the largest page_id the one with the largest
+identifier is the response. A null page_id sorts first. A very long page is one record of up to
+the 2 GiB that a Spark row can hold. White space in a url is percent-encoded, as the header line needs. An empty table gives no
 rows. Further columns are ignored.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -61,30 +66,26 @@ def arc_record(version: str, url: str, ip: str, date: str, mime: str, block: byt
     return " ".join([*fields, str(len(block))]).encode() + b"\n" + block
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str]]:
+def parse_arc(data: bytes | _Plain) -> Iterator[tuple[dict[str, str], bytes, str]]:
     """(header fields, block, header line) of each record after the version block.
 
     The block of a record is exactly as long as its header declares, whatever it holds. A file
     whose version block is missing or of an unknown version, and a truncated record, raise.
     """
-    at, fields = 0, None
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):  # between records
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        if end < 0:
+    source, fields = data if isinstance(data, _Plain) else _Plain(data), None
+    while source.skip(b"\r\n"):  # between records
+        line = source.until(b"\n")
+        if line is None:
             raise ValueError("a header line has no end")
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
+        line = line.rstrip(b"\r").decode("utf-8", "replace")
         parts = line.split(" ")
         try:
             size = int(parts[-1])
         except ValueError:
             raise ValueError(f"no declared length: {line[:200]}") from None
-        block = data[end + 1 : end + 1 + size]
-        if len(block) < size:
+        block = source.take(size)
+        if block is None:
             raise ValueError(f"truncated record: {line[:200]}")
-        at = end + 1 + size
         if fields is None:
             if not line.startswith("filedesc://"):
                 raise ValueError("an ARC file begins with its version block")
@@ -116,8 +117,9 @@ def iso_date(arc_date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
-def record_id(line: str, head: bytes = b"") -> str:
-    return f"<urn:uuid:{uuid.uuid5(_IDS, line + chr(0) + head.decode('latin-1'))}>"
+def record_id(line: str, archive: str = "", place: int = 0) -> str:
+    """The identifier of the record at ``place`` of an archive (named without its folders)."""
+    return f"<urn:uuid:{uuid.uuid5(_IDS, chr(0).join((archive.rsplit('/', 1)[-1], str(place), line)))}>"
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -125,13 +127,13 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block
 
 
-def convert_record(fields: dict[str, str], block: bytes, line: str, refers_to: str | None) -> bytes:
+def convert_record(fields: dict[str, str], block: bytes, identifier: str, refers_to: str | None) -> bytes:
     """One WARC record of an ARC record; a revisit keeps the HTTP head and leaves the payload out."""
     head, payload = split_http(block)
     kept = head if refers_to else block
     headers = [
         ("WARC-Type", "revisit" if refers_to else "response" if head else "resource"),
-        ("WARC-Record-ID", record_id(line, head)),
+        ("WARC-Record-ID", identifier),
         ("WARC-Target-URI", fields["URL"]),
         ("WARC-Date", iso_date(fields["Archive-date"])),
         ("WARC-IP-Address", fields["IP-address"]),
@@ -149,62 +151,111 @@ def warcinfo(name: str) -> bytes:
     return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", iso_date("")), ("Content-Type", "application/warc-fields")], b"software: bidloom\r\nformat: WARC File Format 1.1\r\n")
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(data: bytes | _Plain) -> Iterator[tuple[dict[str, str], bytes]]:
     """(named fields with lower-case names, block) of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    source = data if isinstance(data, _Plain) else _Plain(data)
+    while source.skip(b"\r\n"):
+        head = source.until(b"\r\n\r\n")
+        if head is None or not head.startswith(b"WARC/"):
             raise ValueError("no WARC record header")
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
+        block = source.take(int(fields["content-length"]))
+        if block is None:
             raise ValueError("truncated record")
-        at = end + 4 + size
         yield fields, block
 
 
 # ---------------------------------------------------------------- Spark
 
 
-def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+FILE_BYTES = 32 << 20
+FILE_RECORDS = 2000
+
+
+class _Plain:
+    """The bytes of an archive, decompressed as they are asked for."""
+
+    def __init__(self, content: bytes, step: int = 1 << 20):
+        packed = content[:2] == b"\x1f\x8b"
+        self.source = gzip.GzipFile(fileobj=io.BytesIO(content)) if packed else io.BytesIO(content)
+        self.step, self.held, self.at, self.more = step, b"", 0, True
+
+    def fill(self, size: int) -> bool:
+        """Whether ``size`` bytes are at hand."""
+        while len(self.held) - self.at < size and self.more:
+            got = self.source.read(max(self.step, size - len(self.held) + self.at))
+            self.more = bool(got)
+            self.held, self.at = self.held[self.at :] + got, 0
+        return len(self.held) - self.at >= size
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before ``mark``, which is taken away as well; null where it does not come."""
+        looked = 0
+        while (found := self.held.find(mark, self.at + looked)) < 0:
+            looked = max(0, len(self.held) - self.at - len(mark) + 1)
+            if not self.fill(len(self.held) - self.at + 1):
+                return None
+        out, self.at = self.held[self.at : found], found + len(mark)
+        return out
+
+    def take(self, size: int) -> bytes | None:
+        if not self.fill(size):
+            return None
+        self.at += size
+        return self.held[self.at - size : self.at]
+
+    def skip(self, of: bytes) -> bool:
+        """Leave out bytes among ``of``; whether anything follows."""
+        while self.fill(1):
+            if self.held[self.at] not in of:
+                return True
+            self.at += 1
+        return False
+
+
+def _in_files(records: Iterator[bytes], opening, file_bytes: int, file_records: int) -> Iterator[tuple[int, int, bytes]]:
+    """(file, place, bytes) of records, with an opening record before each file's first."""
+    file, place, size = -1, 0, 0
+    for r in records:
+        if file < 0 or place > file_records or size + len(r) > file_bytes:
+            file, place = file + 1, 0
+            first = opening(file)
+            size = len(first)
+            yield file, place, first
+            place += 1
+        yield file, place, r
+        place, size = place + 1, size + len(r)
 
 
-def _in_files(record: Iterator[bytes], opening, per_file: int) -> Iterator[bytes]:
-    """An opening record before each ``per_file - 1`` records, as ``maxRecordsPerFile`` cuts files."""
-    n = 0
-    for r in record:
-        if n % (per_file - 1) == 0:
-            yield opening(n)
-        yield r
-        n += 1
+_RECORD = pa.schema([("file", pa.int32()), ("place", pa.int32()), ("record", pa.binary())])
 
 
-def _as_batches(records: Iterator[bytes], size: int = 64) -> Iterator[pa.RecordBatch]:
-    held: list[bytes] = []
+def _as_batches(records: Iterator[tuple[int, int, bytes]], most: int = 64, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for r in records:
         held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
-            held = []
+        size += len(r[2])
+        if len(held) == most or size > most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _RECORD.types, strict=True)], schema=_RECORD)
+            held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _RECORD.types, strict=True)], schema=_RECORD)
 
 
-def _save(records: DataFrame, path: str, after: str, per_file: int) -> None:
-    """Rows of bytes as archive files; the cast keeps the bytes as they are."""
-    records.select(F.col("record").cast("string")).write.option("lineSep", after).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def _save(source: DataFrame, run, path: str, after: str) -> None:
+    """Rows of ``run`` as archive files, one for each task and file number.
+
+    The sort states the order that the rows are in already, which the sink asks for. The cast keeps
+    the bytes as they are.
+    """
+    records = source.mapInArrow(run, "file int, place int, record binary").sortWithinPartitions("file", "place")
+    records.select(F.col("record").cast("string"), "file").write.partitionBy("file").option("lineSep", after).option("compression", "gzip").text(path)
 
 
-def write_arc(pages: DataFrame, path: str, version: str = "1", date: str = "20200101000000", per_file: int = 500) -> None:
+def write_arc(pages: DataFrame, path: str, version: str = "1", date: str = "20200101000000", file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Archives of ``pages(page_id, url, html)``: each an HTTP response that carries the page_id."""
 
     def records(batches) -> Iterator[bytes]:
@@ -217,9 +268,9 @@ def write_arc(pages: DataFrame, path: str, version: str = "1", date: str = "2020
                 yield arc_record(version, target, "0.0.0.0", date, "text/html", head + body)
 
     def run(batches):
-        yield from _as_batches(_in_files(records(batches), lambda n: arc_version_block(version, f"part-{n}.arc", date), per_file))
+        yield from _as_batches(_in_files(records(batches), lambda n: arc_version_block(version, f"part-{n}.arc", date), file_bytes, file_records))
 
-    _save(pages.select("page_id", "url", "html").mapInArrow(run, "record binary"), path, "\n", per_file)
+    _save(pages.select("page_id", "url", "html"), run, path, "\n")
 
 
 def archives(spark, path: str, pattern: str) -> DataFrame:
@@ -233,10 +284,10 @@ def arc_index(arcs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
-                for place, (_, block, line) in enumerate(parse_arc(_plain(content.as_py()))):
+                rows, name = [], path.as_py()
+                for place, (_, block, line) in enumerate(parse_arc(_Plain(content.as_py()))):
                     head, payload = split_http(block)
-                    rows.append({"path": path.as_py(), "place": place, "id": record_id(line, head), "number": _number(head), "digest": sha1_base32(payload), "size": len(payload)})
+                    rows.append({"path": name, "place": place, "id": record_id(line, name, place), "number": _number(head), "digest": sha1_base32(payload), "size": len(payload)})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("number", pa.int64()), ("digest", pa.string()), ("size", pa.int64())]))
 
     return arcs.mapInArrow(run, "path string, place int, id string, number long, digest string, size long")
@@ -248,7 +299,7 @@ def _number(head: bytes) -> int | None:
     return int(value) if value else None
 
 
-def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes: int = 0, per_file: int = 500) -> None:
+def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Convert the ARC files under ``arc_path``.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the
@@ -261,20 +312,20 @@ def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes:
     first = shared.groupBy("digest", "size").agg(F.max(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = scratch.table(first, "first")  # so that a digest with very many rows can be split in the join
     revisits = shared.join(first.select("digest", "size", F.col("first.id").alias("refers_to")), ["digest", "size"]).where("id <> refers_to")
-    # At most per_file rows a path: a list per archive, beside its bytes.
+    # At most as many as the archive has records (``file_records`` of those written here): a list beside its bytes.
     by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("place", "refers_to")).alias("revisits"))
 
     def run(batches):
         def records():
             for batch in batches:
-                for content, revisits in zip(batch.column(1), batch.column(2), strict=True):
-                    refers = {r["place"]: r["refers_to"] for r in revisits.as_py() or []}
-                    for place, (fields, block, line) in enumerate(parse_arc(_plain(content.as_py()))):
-                        yield convert_record(fields, block, line, refers.get(place))
+                for path, content, revisits in zip(*batch.columns, strict=True):
+                    name, refers = path.as_py(), {r["place"]: r["refers_to"] for r in revisits.as_py() or []}
+                    for place, (fields, block, line) in enumerate(parse_arc(_Plain(content.as_py()))):
+                        yield convert_record(fields, block, record_id(line, name, place), refers.get(place))
 
-        yield from _as_batches(_in_files(records(), lambda n: warcinfo(f"part-{n}.warc"), per_file))
+        yield from _as_batches(_in_files(records(), lambda n: warcinfo(f"part-{n}.warc"), file_bytes, file_records))
 
-    _save(arcs.join(by_file, "path", "left").select("path", "content", "revisits").mapInArrow(run, "record binary"), warc_path, "\r\n\r\n", per_file)
+    _save(arcs.join(by_file, "path", "left").select("path", "content", "revisits"), run, warc_path, "\r\n\r\n")
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -285,7 +336,7 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in parse_warc(_plain(content.as_py())):
+                for fields, block in parse_warc(_Plain(content.as_py())):
                     if fields["warc-type"] == "warcinfo":
                         continue
                     head, payload = split_http(block)
@@ -307,7 +358,7 @@ def read_warc(spark, path: str) -> DataFrame:
     return found.mapInArrow(run, "id string, type string, number long, size long, digest string, refers_to string, block_ok boolean")
 
 
-def pages_through_archives(pages: DataFrame, scratch: Scratch, version: str = "1", min_revisit_bytes: int = 0) -> DataFrame:
+def pages_through_archives(pages: DataFrame, scratch: Scratch, version: str = "1", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to, block_ok)`` as read back.
 
     ``pages`` go to ARC files, these through the converter to WARC files, and the rows come from
@@ -315,8 +366,8 @@ def pages_through_archives(pages: DataFrame, scratch: Scratch, version: str = "1
     """
     spark = scratch.spark
     arc, warc = scratch.path("arc"), scratch.path("warc")
-    write_arc(pages, arc, version)
-    convert(arc, warc, scratch, min_revisit_bytes)
+    write_arc(pages, arc, version, file_bytes=file_bytes)
+    convert(arc, warc, scratch, min_revisit_bytes, file_bytes)
     records = scratch.table(read_warc(spark, warc), "records")
     named = records.select(F.col("id").alias("refers_to"), F.col("number").alias("of")).join(
         records.where("refers_to IS NOT NULL").select("refers_to").distinct(), "refers_to"
