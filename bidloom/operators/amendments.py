@@ -156,3 +156,35 @@ def stale(bids: DataFrame, corrigenda: DataFrame) -> DataFrame:
     return joined.groupBy("tender_id", "vendor_id").agg(
         F.count("*").alias("newer"), F.max_by("corrigendum_id", F.struct("created_at", "corrigendum_id")).alias("newest")
     )
+
+
+def warnings(corrigenda: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``(corrigendum_id, warnings)``: missing dates, and the changes that were not applied, in order of change_id.
+
+    ``corrigenda(corrigendum_id, issued_date, submission_deadline)`` and ``outcomes(corrigendum_id,
+    change_id, field_path, outcome)``. Without a date an amendment counts as in time, so its lack is said.
+    """
+    open_ = outcomes.where("outcome <> 'applied'").groupBy("corrigendum_id").agg(F.array_sort(F.collect_list(F.struct("change_id", F.concat("field_path", F.lit(": "), "outcome").alias("w")))).alias("o"))
+    dates = F.array_compact(F.array(
+        F.when(F.col("issued_date").isNull(), "no issued date: whether it came late is not known"), F.when(F.col("submission_deadline").isNull(), "no submission deadline: whether it came late is not known")
+    ))
+    unresolved = F.coalesce(F.transform("o", lambda x: x["w"]), F.array().cast("array<string>"))
+    return corrigenda.join(open_, "corrigendum_id", "left").select("corrigendum_id", F.concat(dates, unresolved).alias("warnings"))
+
+
+def impact_text(was: Column, now: Column, was_clause: Column, now_clause: Column, direction: Column) -> Column:
+    """One line on what an amendment does to a bid."""
+    clause = lambda c: F.coalesce(c, F.lit("—"))
+    return (
+        F.when(direction == "unchanged", "unaffected")
+        .when(direction == "reason_changed", F.concat(F.lit("still eliminated, clause "), clause(was_clause), F.lit(" -> "), clause(now_clause)))
+        .otherwise(F.concat(was, F.lit(" -> "), now))
+    )
+
+
+def stale_banner(issued: Column, fields: Column) -> Column:
+    """What a reader of an outdated report is told; ``fields`` are labels of what changed."""
+    when = F.coalesce(F.date_format(issued, "dd MMMM yyyy"), F.lit("recently"))
+    when = F.when(issued.isNotNull(), F.concat(F.lit("on "), when)).otherwise(when)
+    changed = F.when(F.size(fields) > 0, F.concat(F.lit(" Changed: "), F.array_join(fields, ", "), F.lit("."))).otherwise("")
+    return F.concat(F.lit("This tender was updated "), when, F.lit("; check your compliance again."), changed)

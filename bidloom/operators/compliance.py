@@ -195,3 +195,36 @@ def score_preview(factors: DataFrame, items: DataFrame, key: list[str]) -> DataF
     bids = items.select(*key).distinct()
     named = bids.join(factors.where("weight IS NOT NULL"), "tender_id").withColumn("name", F.lower("factor"))
     return named.join(last, [*key, "name"], "left").select(*key, "factor", "weight", F.coalesce("found", F.lit("manual_check")).alias("status"))
+
+
+def action_text() -> Column:
+    """What an open item (with ``action_group``) asks of the vendor, in one line; a condition comes first."""
+    group, need, found = F.col("action_group"), F.col("requirement"), F.col("found_value")
+    confirm = F.concat(F.lit("Confirm that “"), found, F.lit("” satisfies: "), need)
+    verify = F.when((F.col("status") == "partial") & found.isNotNull(), confirm).otherwise(F.concat(F.lit("Check yourself: "), need))
+    text = (
+        F.when(group == "upload", F.concat(F.lit("Upload "), F.coalesce("required_value", "requirement")))
+        .when(group == "hard_fail", F.col("explanation"))
+        .when(group == "clarify", F.concat(F.lit("State clearly in your bid: "), need))
+        .otherwise(verify)
+    )
+    only = F.concat(F.lit("Only if "), F.col("conditional_on"), F.lit(": "), text, F.lit(". Otherwise this does not apply to you."))
+    return F.when((group == "verify") & F.col("conditional_on").isNotNull(), only).otherwise(text)
+
+
+def completion_text(satisfied: Column, mandatory: Column) -> Column:
+    """The count of met requirements in words: a count, not a score."""
+    return F.concat(satisfied.cast("string"), F.lit(" of "), mandatory.cast("string"), F.lit(" mandatory requirements satisfied"))
+
+
+# Conditions under which a requirement binds.
+CONDITIONS = {
+    "joint_venture": "you are bidding as a joint venture or consortium",
+    "concession": "you are claiming an MSME, startup or similar concession",
+    "conditional": "this clause applies to your bid",
+}
+
+
+def condition_text(applicability: Column) -> Column:
+    """The condition of a requirement in words; null where it always binds."""
+    return F.coalesce(*(F.when(applicability == k, v) for k, v in CONDITIONS.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import first_number, parse_date
+from ..functions.money import first_number, money_inr, parse_date
 from ..functions.names import canonical_form, normalise_name
 
 
@@ -106,3 +106,16 @@ def compare(rule: Column, truth: Column, found: Column) -> Column:
         .when(rule == "number", F.coalesce(first_number(truth) == first_number(found), F.lit(False)))
         .when(rule == "date", F.coalesce(parse_date(truth) == parse_date(found), F.lit(False)))
     )
+
+
+def benchmark_match(expected: Column, actual: Column) -> Column:
+    """Whether a value carries what is expected of it.
+
+    A figure is compared in rupees, an ISO date as a day, and of names divided by ``|`` one has to be
+    contained. Words for nothing are no value.
+    """
+    text = F.trim(F.coalesce(actual, F.lit("")))
+    nothing = F.lower(text).isin("", "none", "null", "n/a", "not stated")
+    named = F.exists(F.split(expected, r"\|"), lambda p: F.contains(F.lower(text), F.lower(p)))
+    right = F.when(expected.rlike(r"^[\d,]+$"), money_inr(text) == money_inr(expected)).when(expected.rlike(r"^\d{4}-\d{2}-\d{2}$"), parse_date(text) == expected.try_cast("date")).otherwise(named)
+    return ~nothing & F.coalesce(right, F.lit(False))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 TERMINAL = ["succeeded", "partial", "failed"]
 
 
@@ -60,18 +62,33 @@ def quality_rollup(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, cost: str, per_second: float, capacity: float) -> DataFrame:
-    """Token bucket with debt per key: ``(key, at, cost, wait)`` seconds each request has to wait.
+def rate_limit(requests: DataFrame, key: str, at: str, cost: str, per_second: float, capacity: float, tie: str) -> DataFrame:
+    """Token bucket with debt per key: the requests with the ``wait`` in seconds that each has.
+
+    The level after a request is a fold over the key's requests in order of ``at`` (seconds) and
+    ``tie``. A fold of this form is a running maximum over prefix sums, so it is running totals
+    and no state in Python: with spent S_i before request i at time t_i, the wait is what S_i + cost
+    exceeds the refill by, counted from the last moment the bucket was full. Totals are taken hour by
+    hour first, so a key may have any number of requests.
+    """
+    hour = F.floor(F.col(at) / 3600)
+    rows = running(requests, [key], hour, [at, tie], {"_spent": F.col(cost)})
+    rows = rows.withColumn("_before", F.col("_spent") - F.col(cost))
+    rows = running(rows, [key], hour, [at, tie], highs={"_full": F.col(at) * per_second - F.col("_before")})
+    need = F.col("_spent") + F.col("_full") - F.col(at) * per_second - capacity
+    return rows.withColumn("wait", F.greatest(F.lit(0.0), need / per_second)).drop("_spent", "_before", "_full")
+
+
+def recovered(jobs: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:
+    """Jobs whose worker is gone: running with a lease that has ended.
 
-    The level after a request is a fold over the key's requests in order. A fold of this form is a
-    running maximum over prefix sums, so it is two window aggregations and no state in Python:
-    with spent S_i before request i at time t_i, the wait is what S_i + cost exceeds the refill by,
-    counted from the last moment the bucket was full.
+    ``jobs(state, lease_ends_at, attempts, ...)``: such a job is queued again without a lease while it
+    has attempts left, and fails otherwise. Other jobs come through as they are.
     """
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum(cost).over(w) - F.col(cost)
-    seconds = F.col(at).cast("double")
-    full = F.max(F.col("_seconds") * per_second - F.col("_before")).over(w)
-    rows = requests.withColumn("_seconds", seconds).withColumn("_before", before)
-    need = F.col("_before") + F.col(cost) + full - F.col("_seconds") * per_second - capacity
-    return rows.withColumn("wait", F.greatest(F.lit(0.0), need / per_second)).drop("_seconds", "_before")
+    gone = F.coalesce((F.col("state") == "running") & (F.col("lease_ends_at") <= now), F.lit(False))
+    tired = F.coalesce("attempts", F.lit(0)) >= max_attempts
+    return jobs.withColumns({
+        "state": F.when(gone & tired, "failed").when(gone, "queued").otherwise(F.col("state")),
+        "lease_ends_at": F.when(~gone, F.col("lease_ends_at")),
+        "recovered": gone,
+    })

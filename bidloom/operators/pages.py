@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 # Cues of the header field group, and the share of the best page's score that keeps a page.
 HEADER_CUES = [
     "tender no", "tender reference", "nit no", "e-tender", "etender", "name of work", "name of the work", "notice inviting", "issued by",
@@ -68,19 +70,24 @@ def cue_score(text: Column, cues: list[str]) -> Column:
 
 
 def select_pages(pages: DataFrame, cues: list[str], budget: int, first: int = 0) -> DataFrame:
-    """The pages of each document that speak of the cues, in order, under a budget of characters.
+    """``(doc_id, page_number, chars, score, used)`` of the pages of each document that speak of the
+    cues, in order, under a budget of characters.
 
     A document within the budget keeps all pages; otherwise pages of a quarter of the best score and
-    the ``first`` pages, cut at the first that would overflow (the very first one always stays).
+    the ``first`` pages, cut at the first that would overflow (the very first one always stays). Texts
+    are scored where they are read; from there on only numbers move, totals are aggregated and running
+    sums taken block by block, so a document may have any number of pages.
     """
-    doc = Window.partitionBy("doc_id")
-    scored = pages.withColumn("score", cue_score(F.col("text"), cues)).withColumn("chars", F.length("text"))
-    scored = scored.withColumns({"best": F.max("score").over(doc), "total": F.sum("chars").over(doc), "place": F.row_number().over(doc.orderBy("page_number"))})
-    wanted = (F.col("total") <= budget) | ((F.col("best") > 0) & (F.col("score") > 0) & (F.col("score") >= F.col("best") * RELATIVE_KEEP)) | (F.col("place") <= first)
-    wanted = wanted | ((F.col("best") == 0) & (F.col("place") <= max(first, 10)))
-    running = doc.orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    kept = scored.where(wanted).withColumns({"used": F.sum("chars").over(running), "n": F.row_number().over(doc.orderBy("page_number"))})
-    return kept.where((F.col("used") <= budget) | (F.col("n") == 1)).drop("best", "total", "place", "n")
+    scored = pages.select("doc_id", "page_number", F.length("text").alias("chars"), cue_score(F.col("text"), cues).alias("score"))
+    totals = scored.groupBy("doc_id").agg(F.max("score").alias("best"), F.sum("chars").alias("total"))
+    order = Window.partitionBy("doc_id").orderBy("page_number")
+    early = scored.select("doc_id", "page_number").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(first, 10))
+    rated = scored.join(totals, "doc_id").join(early, ["doc_id", "page_number"], "left")
+    wanted = (F.col("total") <= budget) | ((F.col("best") > 0) & (F.col("score") > 0) & (F.col("score") >= F.col("best") * RELATIVE_KEEP)) | F.coalesce(F.col("place") <= first, F.lit(False))
+    wanted = wanted | ((F.col("best") == 0) & F.col("place").isNotNull())
+    kept = rated.where(wanted).select("doc_id", "page_number", "chars", "score")
+    used = running(kept, ["doc_id"], F.floor(F.col("page_number") / 1024), ["page_number"], {"used": F.col("chars"), "n": F.lit(1)})
+    return used.where((F.col("used") <= budget) | (F.col("n") == 1)).drop("n")
 
 
 def lines_of(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,7 +37,8 @@ def deduplicate(requirements: DataFrame) -> DataFrame:
 
     The statement with a clause, then the shortest, then the first is the label. A requirement
     that any statement makes unconditionally binds always; else concession comes before joint
-    venture before conditional. It can be verified if any statement can.
+    venture before conditional. It can be verified if any statement can. Names are made distinct
+    before they are collected.
     """
     rows = requirements.select("*", canonical_key(F.col("doc_name")).alias("key"), applicability(F.col("doc_name")).alias("when"), verifiable(F.col("doc_name")).alias("can"))
     binds = F.when(F.col("when") == "always", 0).when(F.col("when") == "concession", 1).when(F.col("when") == "joint_venture", 2).otherwise(3)
@@ -47,10 +48,11 @@ def deduplicate(requirements: DataFrame) -> DataFrame:
         F.min_by("clause_ref", F.struct(F.col("clause_ref").isNull(), F.length("doc_name"), F.col("pos"))).alias("clause_ref"),
         F.min_by("when", binds).alias("applicability"),
         F.bool_or("can").alias("verifiable"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("doc_name"), "aliases"))))).alias("aliases"),
         F.count("*").alias("statements"),
     )
-    return grouped.withColumn("label", shorten(F.col("primary")))
+    named = rows.select("tender_id", "key", F.explode(F.concat(F.array("doc_name"), "aliases")).alias("name")).distinct()
+    aliases = named.groupBy("tender_id", "key").agg(F.array_sort(F.collect_list("name")).alias("aliases"))
+    return grouped.join(aliases, ["tender_id", "key"], "left").withColumn("label", shorten(F.col("primary")))
 
 
 def _vocabulary(df: DataFrame, side: str) -> DataFrame:
@@ -66,24 +68,38 @@ def match_documents(required: DataFrame, submitted: DataFrame, group: list[str])
     method, score, matched, name)``. Tiers: exact, alias, lexical; within a tier the first enclosure
     wins. The winner is then verified: a numbered form is confirmed only by a name with its number,
     and a refused winner stays as a candidate for review without trying others.
+
+    Each tier is an equi-join of distinct names: on the normal form, on an alias or the canonical
+    form, and, for what these leave open, on a distinctive word.
     """
-    wanted = required.select(*group, "key", "label", F.transform("aliases", normalise_name).alias("own"), identifiers(F.col("label")).alias("r_ids"), normalise_name(F.col("label")).alias("r_norm"))
-    offered = submitted.select(*group, "name", "pos", identifiers(F.col("name")).alias("s_ids"), normalise_name(F.col("name")).alias("s_norm"))
+    labels = required.select(*group, "label", "aliases").distinct()
+    wanted = labels.select(*group, "label", "aliases", F.transform("aliases", normalise_name).alias("own"), identifiers(F.col("label")).alias("r_ids"), normalise_name(F.col("label")).alias("r_norm"))
+    names = submitted.groupBy(*group, "name").agg(F.min("pos").alias("pos"))
+    offered = names.select(*group, "name", "pos", identifiers(F.col("name")).alias("s_ids"), normalise_name(F.col("name")).alias("s_norm"))
     wanted, offered = _vocabulary(wanted, "r"), _vocabulary(offered, "s")
-    pairs = wanted.join(offered, group).where(~conflicting(F.col("r_ids"), F.col("s_ids")))
-    shared = F.size(F.array_intersect("r_set", "s_set"))
-    least = F.least(F.size("r_set"), F.size("s_set"))
+    agreeing = ~conflicting(F.col("r_ids"), F.col("s_ids"))
+
+    def met(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+        return left.join(right, [*group, on]).where(agreeing)
+
+    def scored(pairs: DataFrame, tier: int, score: Column, free: bool) -> DataFrame:
+        return pairs.select(*group, "label", "aliases", "name", "pos", "r_ids", "s_ids", F.lit(tier).alias("tier"), score.alias("score"), F.lit(free).alias("free"))
+
+    one = F.lit(1.0)
+    settled = scored(met(wanted.withColumn("n", F.col("r_norm")), offered.withColumn("n", F.col("s_norm")), "n"), 1, one, False)
+    settled = settled.unionByName(scored(met(wanted.withColumn("n", F.explode("own")), offered.withColumn("n", F.col("s_norm")), "n"), 2, one, True))
+    settled = settled.unionByName(scored(met(wanted.withColumn("n", F.col("r_canonical")), offered.withColumn("n", F.col("s_canonical")), "n"), 2, one, False))
+    left = wanted.join(settled.select(*group, "label", "aliases").distinct(), [*group, "label", "aliases"], "left_anti")
+    by_word = met(left.withColumn("n", F.explode("r_set")), offered.withColumn("n", F.explode("s_set")), "n").drop("n").distinct()
+    shared, least = F.size(F.array_intersect("r_set", "s_set")), F.least(F.size("r_set"), F.size("s_set"))
     same_words = F.col("r_words") == F.col("s_words")
     equal_sets = (F.size("r_set") == F.size("s_set")) & (shared == F.size("r_set"))
-    lexical = (F.size("r_set") > 0) & (same_words | ((least > 0) & (shared >= V.LEXICAL_SHARE * least) & ((shared >= 2) | ((shared > 0) & equal_sets))))
-    by_alias = F.array_contains("own", F.col("s_norm"))
-    tier = F.when(F.col("r_norm") == F.col("s_norm"), 1).when(by_alias | (F.col("r_canonical") == F.col("s_canonical")), 2).when(lexical, 3)
-    score = F.when((tier < 3) | same_words, F.lit(1.0)).otherwise(F.round(shared / least, 4))
-    scored = pairs.withColumns({"tier": tier, "score": score, "free": (tier == 2) & by_alias}).where("tier IS NOT NULL")
-    best = scored.groupBy(*group, "key").agg(F.min_by(F.struct("tier", "score", "name", "free", "r_ids", "s_ids"), F.struct("tier", "pos")).alias("b"))
+    lexical = same_words | ((shared >= V.LEXICAL_SHARE * least) & ((shared >= 2) | equal_sets))
+    every = settled.unionByName(scored(by_word.where(lexical), 3, F.when(same_words, one).otherwise(F.round(shared / least, 4)), False))
+    best = every.groupBy(*group, "label", "aliases").agg(F.min_by(F.struct("tier", "score", "name", "free", "r_ids", "s_ids"), F.struct("tier", "pos", ~F.col("free"))).alias("b"))
     sure = F.coalesce(F.col("b.free") | (F.size(F.array_except("b.r_ids", "b.s_ids")) == 0), F.lit(False))
     method = F.when(sure, F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("lexical")), F.col("b.tier")))
-    out = required.select(*group, "key").join(best, [*group, "key"], "left")
+    out = required.select(*group, "key", "label", "aliases").join(best, [*group, "label", "aliases"], "left")
     return out.select(*group, "key", method.alias("method"), F.col("b.score").alias("score"), sure.alias("matched"), F.col("b.name").alias("name"))
 
 

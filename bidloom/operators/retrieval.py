@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.questions import tokens
+from ..session import written
 from .requirements import dot
 
 
@@ -43,11 +44,10 @@ def nearest_of_pair(notices: DataFrame, bids: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(query_id, doc_id, score)`` of the documents that share a word with the query.
+def _postings(docs: DataFrame, queries: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, term, w)`` of the queries' terms, and ``(query_id, term, times)``.
 
-    ``docs(doc_id, text)``, ``queries(query_id, text)``. A word that a query holds twice counts
-    twice. Terms are counted before they meet the queries, and only the queries' terms are joined.
+    Terms are counted before they meet the queries, and only the queries' terms are joined.
     """
     split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("length"))
     totals = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
@@ -59,7 +59,47 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     idf = F.greatest(F.lit(1e-9), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = 1 - b + b * F.col("length") / F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0))
     one = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
-    return weighed.select("doc_id", "term", one.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    return weighed.select("doc_id", "term", one.alias("w")), asked
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``(query_id, doc_id, score)`` of the documents that share a word with the query.
+
+    ``docs(doc_id, text)``, ``queries(query_id, text)``. A word that a query holds twice counts
+    twice. Every such pair is a row: for the best few of each query there is ``bm25_top``.
+    """
+    postings, asked = _postings(docs, queries, k1, b)
+    return postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, seeds: int = 3, slack: float = 1e-5) -> DataFrame:
+    """The k best of ``bm25`` with their ``rank``, ties (to six decimals) by doc_id; exact.
+
+    A term adds at most its greatest weight. The k-th best score that the ``seeds`` strongest terms of
+    a query give alone is a floor for its k-th best score. The weakest terms whose bounds add up to
+    less than the floor cannot bring a document among the k by themselves, so the words that most
+    documents have are looked up for those documents only that a stronger term has brought near enough.
+    """
+    postings, asked = _postings(docs, queries, k1, b)
+    postings = written(postings, "postings")
+    bounds = postings.groupBy("term").agg(F.max("w").alias("high"))
+    of_query = Window.partitionBy("query_id")
+    terms = asked.join(bounds, "term").withColumn("bound", F.col("times") * F.col("high"))
+    terms = terms.withColumn("place", F.row_number().over(of_query.orderBy(F.col("bound").desc(), "term")))
+    gain = F.sum(F.col("w") * F.col("times"))
+    seeded = postings.join(terms.where(F.col("place") <= seeds), "term").groupBy("query_id", "doc_id").agg(gain.alias("s"))
+    ranked = seeded.withColumn("n", F.row_number().over(of_query.orderBy(F.col("s").desc()))).where(F.col("n") <= k)
+    floors = ranked.where(F.col("n") == k).select("query_id", (F.col("s") - slack).alias("floor"))
+    upward = of_query.orderBy("bound", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    terms = terms.join(floors, "query_id", "left").withColumn("weak", F.coalesce(F.sum("bound").over(upward) < F.col("floor"), F.lit(False)))
+    terms = written(terms.select("query_id", "term", "times", "bound", "weak", "floor"), "terms")
+    rest = terms.groupBy("query_id").agg(F.sum(F.when(F.col("weak"), F.col("bound")).otherwise(0.0)).alias("rest"), F.max("floor").alias("floor"))
+    near = postings.join(terms.where("NOT weak"), "term").groupBy("query_id", "doc_id").agg(gain.alias("strong"))
+    near = near.join(rest, "query_id").where("floor IS NULL OR strong + rest >= floor").select("query_id", "doc_id", "strong")
+    near = written(near, "candidates")
+    more = near.join(terms.where("weak"), "query_id").join(postings, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(gain.alias("more"))
+    scored = near.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("strong") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+    return top(scored, k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

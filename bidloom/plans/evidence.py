@@ -26,14 +26,14 @@ def source_provenance(spark, d):
 @query(
     "q79_declared_absent",
     f"WITH r0 AS (SELECT p_brand, p_partkey AS key, {pick_sql(NAMES, 'p_partkey')} AS name FROM part WHERE p_partkey % 2 = 0), r AS (SELECT *, {normalised_sql('name')} AS n FROM r0), "
-    f"a0 AS (SELECT p_brand, {pick_sql(NAMES, 'p_partkey * 11 + 1')} AS name FROM part WHERE p_partkey % 9 = 1), a AS (SELECT *, {normalised_sql('name')} AS n FROM a0) "
+    f"a0 AS (SELECT p_brand, {pick_sql(NAMES, 'p_partkey * 11 + 1')} AS name FROM part WHERE p_partkey % 2 = 1), a AS (SELECT *, {normalised_sql('name')} AS n FROM a0) "
     f"SELECT DISTINCT r.p_brand, r.key FROM r JOIN a ON r.p_brand = a.p_brand AND (r.n = a.n OR {canonical_sql('r.n')} = {canonical_sql('a.n')} OR r.n = {canonical_sql('a.n')} OR {canonical_sql('r.n')} = a.n)",
 )
 def declared_absent(spark, d):
     """Requirements that a bid marks as not enclosed, under any of their names."""
     p = read(spark, d, "part")
     required = p.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("key"), pick(NAMES, F.col("p_partkey")).alias("label"))
-    return E.declared_absent(required, p.where("p_partkey % 9 = 1").select("p_brand", pick(NAMES, F.col("p_partkey") * 11 + 1).alias("name")), ["p_brand"])
+    return E.declared_absent(required, p.where("p_partkey % 2 = 1").select("p_brand", pick(NAMES, F.col("p_partkey") * 11 + 1).alias("name")), ["p_brand"])
 
 
 LABELS = ["Gap report", "Go to tenders", "Bid review", "Corrigendum impact", "Level one"]
@@ -66,14 +66,14 @@ def palette_rank(spark, d):
 
 @query(
     "q81_numbered_sources",
-    "WITH c AS (SELECT conv_id, turn, concat_ws(', ', CASE WHEN turn % 2 = 0 THEN role END, 'page ' || turn, CASE WHEN conv_id % 3 = 0 THEN 'clause ' || conv_id END) AS label, left(text, 50) AS t FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM c) "
+    "WITH c AS (SELECT conv_id, turn, concat_ws(', ', CASE WHEN turn % 2 = 0 THEN role END, 'page ' || turn, CASE WHEN conv_id % 3 = 0 THEN 'clause ' || conv_id END) AS label, text AS t FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM c) "
     "SELECT conv_id, string_agg('[' || i || '] ' || label || chr(10) || t, chr(10) || chr(10) ORDER BY i) AS sources FROM n GROUP BY conv_id",
 )
 def numbered_sources(spark, d):
     """Sources as numbered blocks under their labels."""
     c = read(spark, d, "conversations")
     label = E.citation_label(F.when(F.col("turn") % 2 == 0, F.col("role")), F.col("turn"), F.when(F.col("conv_id") % 3 == 0, F.col("conv_id").cast("string")))
-    return E.numbered_sources(c.select("conv_id", "turn", label.alias("label"), F.substring("text", 1, 50).alias("text")), ["conv_id"], "turn")
+    return E.numbered_sources(c.select("conv_id", "turn", label.alias("label"), "text"), ["conv_id"], "turn")
 
 
 ERRORS = ["HTTP 429 Too Many Requests", "quota exceeded per day", "model not found", "Connection reset by peer", "read timed out", "invalid key"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -14,6 +11,7 @@ from ..operators import jobs as J
 from ..operators import pages as P
 from ..operators import requirements as R
 from ..operators import retrieval as X
+from ..operators.running import running
 from .analytics import _DOT, _STATE
 from .base import NAMES, any_word_sql, pick, pick_sql, query, quoted, read
 from .tenders import ITEMS_SQL, items
@@ -112,11 +110,8 @@ def stream_windows(spark, d):
     """Hourly counts by kind, as a stream with a watermark over what is there."""
     from ..streaming import ingest
 
-    schema = read(spark, d, "events").schema
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/bidloom-streams"
-    events = ingest.read_stream(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    out = ingest.run_available(ingest.windowed_counts(events, "ts", "event_type"), f"{base}/{name}", name)
+    events = ingest.read_stream(spark, f"{d}/events.parquet*", read(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ingest.run_available(ingest.windowed_counts(events, "ts", "event_type"), ["window", "event_type"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
@@ -135,8 +130,8 @@ def chunk_index(spark, d):
     """Chunks of several sources of an owner, numbered on."""
     docs = read(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("pos"))
     both = docs.withColumns({"part": F.lit(0), "section": F.lit("page")}).unionByName(docs.where("pos % 3 = 0").withColumns({"part": F.lit(1), "section": F.lit("narrative")}))
-    order = Window.partitionBy("owner").orderBy("part", "pos")
-    return both.select("owner", "section", "pos", (F.row_number().over(order) - 1).cast("long").alias("chunk_index"))
+    numbered = running(both, ["owner"], F.struct("part", F.floor(F.col("pos") / 1024)), ["part", "pos"], {"n": F.lit(1)})
+    return numbered.select("owner", "section", "pos", (F.col("n") - 1).cast("long").alias("chunk_index"))
 
 
 @query(

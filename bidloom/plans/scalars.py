@@ -165,12 +165,12 @@ QUESTIONS = [
     "Why was Vendor A eliminated?", "Compare shortlisted vendors on experience and approach", "What is the EMD and the annual turnover?", "Describe the methodology",
     "Rank vendors side by side", "How many are pending?", "List the bank guarantee and BOQ terms", "Is a joint venture or JV allowed?", "Debarred firms and GST",
 ]
-_ASK = f"(SELECT conv_id, turn, {pick_sql(QUESTIONS, 'conv_id + turn')} || ' ' || left(text, 40) AS question FROM conversations)"
+_ASK = f"(SELECT conv_id, turn, {pick_sql(QUESTIONS, 'conv_id + turn')} || ' ' || text AS question FROM conversations)"
 
 
 def _asked(spark, d):
     c = read(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.concat(pick(QUESTIONS, F.col("conv_id") + F.col("turn")), F.lit(" "), F.substring("text", 1, 40)).alias("question"))
+    return c.select("conv_id", "turn", F.concat(pick(QUESTIONS, F.col("conv_id") + F.col("turn")), F.lit(" "), F.col("text")).alias("question"))
 
 
 _HAS = {k: any_word_sql("question", w) for k, w in (("a", V.AUDIT), ("q", V.QUALITATIVE), ("s", V.STRUCTURED), ("c", V.COMPARATIVE))}
@@ -210,14 +210,14 @@ def expand_query(spark, d):
 
 @query(
     "q37_citations",
-    r"WITH a AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(left(text, 60) || ' [' || (turn + 1) || '] and [' || (conv_id % 9) || '] [x] [' || (turn + 1) || ']', '\[(\d{1,9})\]', 1), lambda n: CAST(n AS INTEGER)))) AS cited, range(1, 5) AS retrieved FROM conversations) "
+    r"WITH a AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [' || (turn + 1) || '] and [' || (conv_id % 9) || '] [x] [' || (turn + 1) || ']', '\[(\d{1,9})\]', 1), lambda n: CAST(n AS INTEGER)))) AS cited, range(1, 5) AS retrieved FROM conversations) "
     "SELECT conv_id, turn, array_to_string(list_filter(cited, lambda c: NOT list_contains(retrieved, c)), ',') AS invented, array_to_string(list_filter(cited, lambda c: list_contains(retrieved, c)), ',') AS used, "
     "len(list_filter(cited, lambda c: NOT list_contains(retrieved, c))) = 0 AND len(cited) > 0 AS grounded FROM a",
 )
 def citations(spark, d):
     """Citations of answers against the four sources that were retrieved."""
     c = read(spark, d, "conversations")
-    text = F.concat(F.substring("text", 1, 60), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 9).cast("string"), F.lit("] [x] ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    text = F.concat(F.col("text"), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 9).cast("string"), F.lit("] [x] ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
     a = c.select("conv_id", "turn", Q.cited_numbers(text).alias("cited"), F.array(*(F.lit(i) for i in range(1, 5))).alias("got"))
     bad, used = F.array_sort(F.array_except("cited", "got")), F.array_sort(F.array_intersect("cited", "got"))
     return a.select("conv_id", "turn", F.array_join(bad, ",").alias("invented"), F.array_join(used, ",").alias("used"), ((F.size(bad) == 0) & (F.size("cited") > 0)).alias("grounded"))
@@ -226,11 +226,11 @@ def citations(spark, d):
 @query(
     "q38_strip_thinking",
     "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 AND trim(text) <> '' THEN trim(text) WHEN conv_id % 3 = 1 THEN 'Answer.' ELSE trim(text) END AS answer FROM "
-    "(SELECT conv_id, turn, regexp_replace(left(text, 80), '[<>]', '', 'g') AS text FROM conversations)",
+    "(SELECT conv_id, turn, regexp_replace(text, '[<>]', '', 'g') AS text FROM conversations)",
 )
 def strip_thinking(spark, d):
     """Answers without reasoning blocks, paired or with a stray end."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 80), "[<>]", "").alias("text"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[<>]", "").alias("text"))
     kind = F.col("conv_id") % 3
     raw = F.when(kind == 0, F.concat(F.lit("<think>let me see\n</think>"), "text")).when(kind == 1, F.concat(F.col("text"), F.lit("</think> Answer."))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", Q.strip_thinking(raw).alias("answer"))

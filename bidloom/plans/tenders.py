@@ -163,11 +163,11 @@ def pool_facts(spark, d):
 
 
 def _required(spark, d):
-    p = read(spark, d, "part").where("p_partkey % 3 = 0")
+    p = read(spark, d, "part")
     return p.select(F.col("p_brand").alias("tender_id"), F.col("p_partkey").alias("pos"), pick(NAMES, F.col("p_partkey") + F.floor(F.col("p_partkey") / 30).cast("long")).alias("doc_name"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("c."), F.col("p_size").cast("string"))).alias("clause_ref"))
 
 
-_REQ = f"rq AS (SELECT p_brand AS tender_id, p_partkey AS pos, {pick_sql(NAMES, 'p_partkey + p_partkey // 30')} AS doc_name, CASE WHEN p_size % 2 = 0 THEN 'c.' || p_size END AS clause_ref FROM part WHERE p_partkey % 3 = 0)"
+_REQ = f"rq AS (SELECT p_brand AS tender_id, p_partkey AS pos, {pick_sql(NAMES, 'p_partkey + p_partkey // 30')} AS doc_name, CASE WHEN p_size % 2 = 0 THEN 'c.' || p_size END AS clause_ref FROM part)"
 _STRIP = f"regexp_replace(regexp_replace(trim(doc_name), {quoted(N.LEADING)}, ''), {quoted(N.TRAILING)}, '', 'g')"
 _KEY = (
     f"k0 AS (SELECT *, {_STRIP} AS stripped FROM rq), k1 AS (SELECT *, {normalised_sql('stripped')} AS n FROM k0), "
@@ -186,11 +186,11 @@ def dedup_requirements(spark, d):
 
 
 def _offered(spark, d):
-    p = read(spark, d, "part").where("p_partkey % 5 = 0")
+    p = read(spark, d, "part")
     return p.select(F.col("p_brand").alias("tender_id"), F.col("p_partkey").alias("pos"), pick(NAMES, F.col("p_partkey") * 7 + 3).alias("name"))
 
 
-_OFF = f"of_ AS (SELECT p_brand AS tender_id, p_partkey AS pos, {pick_sql(NAMES, 'p_partkey * 7 + 3')} AS name FROM part WHERE p_partkey % 5 = 0)"
+_OFF = f"of_ AS (SELECT p_brand AS tender_id, p_partkey AS pos, {pick_sql(NAMES, 'p_partkey * 7 + 3')} AS name FROM part)"
 _DIFF = "list_concat(list_filter(a.ids, lambda e: NOT list_contains(b.ids, e)), list_filter(b.ids, lambda e: NOT list_contains(a.ids, e)))"
 _BOTH = "list_intersect(list_transform(a.ids, lambda f: split_part(f, ':', 1)), list_transform(b.ids, lambda f: split_part(f, ':', 1)))"
 
@@ -336,9 +336,14 @@ def _changes(spark, d):
 
 
 _OUTCOME = (
-    "ch AS (SELECT CAST(n_nationkey AS BIGINT) AS tender_id, CASE n_nationkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 5 THEN 0 ELSE 0 END AS candidates, "
-    "CASE WHEN n_nationkey % 6 = 5 THEN 'unsupported' WHEN n_nationkey % 6 IN (3, 4) THEN 'conflict' WHEN n_nationkey % 6 = 2 THEN 'ambiguous' WHEN n_nationkey % 12 = 0 THEN 'unsupported' ELSE 'applied' END AS outcome, "
-    "CASE WHEN n_nationkey % 6 IN (0, 1) AND n_nationkey % 12 <> 0 THEN CAST((40 + n_nationkey) * 100000.0 AS DOUBLE) END AS new_threshold FROM nation)"
+    "chg AS (SELECT CAST(n_nationkey AS BIGINT) AS tender_id, n_nationkey % 6 <> 5 AS known, CASE n_nationkey % 6 WHEN 0 THEN '4.1' WHEN 4 THEN '9.9' ELSE '' END AS clause, "
+    "CASE n_nationkey % 6 WHEN 1 THEN 'rs. ' || (20 + n_nationkey % 40) || ' lakh' WHEN 2 THEN 'r' ELSE '' END AS old_value, CASE WHEN n_nationkey % 6 = 3 THEN '' WHEN n_nationkey % 12 = 0 THEN 'no amount' ELSE 'Rs. ' || (40 + n_nationkey) || ' lakh' END AS new_value FROM nation), "
+    "crt AS (SELECT tender_id, pos, lower(requirement) AS name, coalesce(clause_ref, '') AS own, CASE pos WHEN 1 THEN 'rs. ' || (20 + tender_id % 40) || ' lakh' WHEN 2 THEN (tender_id % 8) || ' (n) years' "
+    "WHEN 3 THEN CASE WHEN tender_id % 6 = 0 THEN 'as stated' ELSE 'inr ' || (1 + tender_id % 7) || ',000' END WHEN 4 THEN printf('₹%.2f lakh', 0.85 + (tender_id % 5) / 100.0) WHEN 5 THEN (tender_id % 20) || ' mw' ELSE '' END AS printed FROM c), "
+    "hit AS (SELECT tender_id, pos, CASE WHEN clause <> '' AND own = clause THEN 0 WHEN old_value <> '' AND (printed = old_value OR contains(name, old_value)) THEN 1 END AS how FROM chg JOIN crt USING (tender_id) WHERE known), "
+    "best AS (SELECT tender_id, min(how) AS how FROM hit WHERE how IS NOT NULL GROUP BY tender_id), cnt AS (SELECT tender_id, count(*) AS candidates, min(pos) AS pos FROM hit JOIN best USING (tender_id, how) GROUP BY tender_id), "
+    "chx AS (SELECT tender_id, coalesce(candidates, 0) AS candidates, pos, new_value, CASE WHEN NOT known THEN 'unsupported' WHEN coalesce(candidates, 0) = 0 THEN 'conflict' WHEN candidates > 1 THEN 'ambiguous' WHEN new_value = '' OR regexp_matches(new_value, '[0-9]') THEN 'applied' ELSE 'unsupported' END AS outcome FROM chg LEFT JOIN cnt USING (tender_id)), "
+    "ch AS (SELECT *, outcome = 'applied' AND new_value = '' AS withdrawn, CASE WHEN outcome = 'applied' AND new_value <> '' THEN CAST(regexp_extract(new_value, '[0-9]+') AS DOUBLE) * 100000.0 END AS new_threshold FROM chx)"
 )
 
 
@@ -347,7 +352,7 @@ def _outcomes(spark, d):
     return A.criterion_changes(_changes(spark, d), c), c
 
 
-@query("q28_amendment_outcomes", f"WITH {_OUTCOME} SELECT tender_id, outcome, CAST(CASE WHEN outcome = 'unsupported' AND candidates = 0 THEN 0 ELSE candidates END AS BIGINT) AS candidates, new_threshold FROM ch")
+@query("q28_amendment_outcomes", f"WITH {ITEMS_SQL}, {_OUTCOME} SELECT tender_id, outcome, CAST(candidates AS BIGINT) AS candidates, new_threshold FROM ch")
 def amendment_outcomes(spark, d):
     """Whether each change applies, conflicts, is ambiguous or not supported."""
     out, _ = _outcomes(spark, d)
@@ -356,7 +361,7 @@ def amendment_outcomes(spark, d):
 
 @query(
     "q29_amendment_impact",
-    f"WITH {ITEMS_SQL}, {_OUTCOME}, t AS (SELECT tender_id, vendor_id, coalesce(best_turnover < (20 + tender_id % 40) * 100000.0, false) AS was, coalesce(best_turnover < coalesce(new_threshold, (20 + tender_id % 40) * 100000.0), false) AS is_ FROM f JOIN ch USING (tender_id)) "
+    f"WITH {ITEMS_SQL}, {_OUTCOME}, t AS (SELECT tender_id, vendor_id, coalesce(best_turnover < (20 + tender_id % 40) * 100000.0, false) AS was, coalesce(best_turnover < coalesce(CASE WHEN pos = 1 THEN new_threshold END, (20 + tender_id % 40) * 100000.0) AND NOT (withdrawn AND pos = 1), false) AS is_ FROM f JOIN ch USING (tender_id)) "
     "SELECT tender_id, vendor_id, CASE WHEN was AND NOT is_ THEN 'reinstated' WHEN is_ AND NOT was THEN 'newly_eliminated' ELSE 'unchanged' END AS direction, tender_id % 2 = 0 AND is_ AND NOT was AS needs_review FROM t",
 )
 def amendment_impact(spark, d):

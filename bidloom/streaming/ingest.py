@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import opened, shared_folder
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """A folder of Parquet files as a stream: arrived files are the queue, the checkpoint the claim."""
@@ -23,18 +27,31 @@ def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 hour",
     return events.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_states(target: str):
-    """A ``foreachBatch`` writer that keeps one row per job in a Parquet folder of versions."""
+def write_epochs(target: str):
+    """A ``foreachBatch`` writer: the rows that changed in an epoch are its version, written once however often it is tried."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return write
 
 
-def run_available(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
+def latest_versions(spark: SparkSession, target: str, schema, keys: list[str]) -> DataFrame:
+    """The last version of each key over the epochs of ``write_epochs``."""
+    found = spark.read.schema(schema).option("basePath", target).parquet(f"{target}/epoch=*")
+    rest = [F.col(f.name) for f in schema.fields if f.name not in keys]
+    found = found.withColumn("at", F.regexp_extract(F.input_file_name(), r"epoch=(\d+)", 1).cast("long"))
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "at").alias("v")).select(*keys, "v.*").select(*schema.names)
+
+
+def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is there now and return its table, one row per key.
+
+    Changed rows go to Parquet epoch by epoch, in the folder that the executors share, as does the
+    checkpoint; nothing is held on the driver.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    folder = opened(spark, f"{shared_folder(spark)}/bidloom-stream-{uuid.uuid4().hex}")
+    query = stream.writeStream.outputMode("update").foreachBatch(write_epochs(f"{folder}/epochs")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return latest_versions(spark, f"{folder}/epochs", stream.schema, keys)
