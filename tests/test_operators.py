@@ -175,3 +175,92 @@ def test_job_timeout_and_claim(spark):
     st = J.with_timeout(J.latest_state(e, "j", ["ts", "id"], "state"), F.lit(datetime(2024, 1, 1, 1, 0)))
     assert rows(st, "j", "state") == [(1, "failed"), (2, "running")]
     assert rows(J.claim(e.withColumn("lane", F.lit(0)), ["lane"], ["ts", "id"]), "j") == [(1,)]
+
+
+def test_running_totals_in_blocks(spark):
+    from bidloom.operators.running import running
+
+    rows = [(k, i, (i * 7 + len(k)) % 5, i // 3) for k in ("a", "hot") for i in range(60 if k == "hot" else 4)] + [(None, 1, 9, 0), (None, 5, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, block int").repartition(5)
+    got = running(df, ["k"], F.col("block"), ["i"], {"total": F.col("v")}, {"high": F.col("v")}).collect()
+    for r in got:
+        before = [v for k, i, v, _ in rows if k == r.k and i <= r.i]
+        assert (r.total, r.high) == (sum(before), max(before))
+    assert len(got) == len(rows) and running(df.limit(0), ["k"], F.col("block"), ["i"], {"n": F.lit(1)}).count() == 0
+
+
+def test_bm25_top_equals_scoring_everything(spark):
+    import random
+
+    from bidloom.operators import retrieval as X
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    weight = [1 / (i + 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weight, k=rng.randint(0, 30)))) for i in range(200)], "doc_id int, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, weight, k=8))) for i in range(25)] + [(99, "nowhere"), (98, "")], "query_id int, text string")
+    every = X.top(X.bm25(docs, queries).withColumn("score", F.round("score", 6)), 5)
+    got = X.bm25_top(docs, queries, 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 4)) for r in df.collect())
+    assert key(got) == key(every) and X.bm25_top(docs.limit(0), queries, 5).count() == 0
+
+
+def test_rate_limit_against_a_bucket(spark):
+    import random
+
+    from bidloom.operators import jobs as J
+
+    rng = random.Random(5)
+    rows = [(k, float(t), rng.choice([1.0, 50.0, 400.0]), i) for k in ("x", "y") for i, t in enumerate(sorted(rng.randrange(0, 20_000) for _ in range(60)))]
+    df = spark.createDataFrame(rows, "k string, at double, cost double, i int").repartition(3)
+    got = {(r.k, r.i): r.wait for r in J.rate_limit(df, "k", "at", "cost", 0.5, 300.0, "i").collect()}
+    for k in ("x", "y"):
+        level, last = 300.0, None
+        for key, at, cost, i in sorted(r for r in rows if r[0] == k):
+            level = min(300.0, level + (0 if last is None else (at - last) * 0.5)) - cost
+            last = at
+            assert abs(got[k, i] - max(0.0, -level / 0.5)) < 1e-6
+
+
+def test_stream_results_are_upserted(spark, tmp_path):
+    from bidloom.streaming import ingest
+
+    schema = "event_id long, ts timestamp, job_id long, state string"
+    for n, rows in enumerate([[(1, 1, "queued"), (2, 2, "queued")], [(3, 1, "running")], [(4, 1, "failed"), (5, 3, "queued")]]):
+        spark.createDataFrame([(e, j, s) for e, j, s in rows], "event_id long, job_id long, state string").withColumn("ts", F.timestamp_seconds("event_id")).select("event_id", "ts", "job_id", "state").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = ingest.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=1)
+    out = ingest.run_available(ingest.job_states(events, "job_id", "ts", "state"), ["job_id"])
+    assert sorted((r.job_id, r.state, r.events) for r in out.collect()) == [(1, "failed", 3), (2, "queued", 1), (3, "queued", 1)]
+    assert schema
+
+
+def test_recovered_jobs(spark):
+    import datetime
+
+    from bidloom.operators import jobs as J
+
+    t = datetime.datetime(2025, 1, 1)
+    rows = [(1, "running", t, 1), (2, "running", t, 3), (3, "running", None, 0), (4, "queued", t, 0), (5, "running", t + datetime.timedelta(days=2), 0)]
+    got = J.recovered(spark.createDataFrame(rows, "id int, state string, lease_ends_at timestamp, attempts int"), F.lit(t + datetime.timedelta(days=1))).collect()
+    assert {r.id: (r.state, r.recovered) for r in got} == {1: ("queued", True), 2: ("failed", True), 3: ("running", False), 4: ("queued", False), 5: ("running", False)}
+
+
+def test_unverifiable_citations(spark):
+    from bidloom.operators import pages as P
+    from bidloom.operators import validation as Y
+
+    text = "1.1  Scope of work\n (4) The contractor shall provide\n28.1 The manager will evaluate\n49.855 Crores\n0.973 is a ratio\n12\n"
+    docs = spark.createDataFrame([(1, text), (2, "no numbering at all"), (3, None)], "doc_id int, text string")
+    cited = [(1, "1.1 (4)"), (1, "2.8.1"), (1, "28.1"), (1, "49.855"), (1, "1.1 (5)"), (1, None), (2, "7.7"), (3, "7.7")]
+    got = Y.unverifiable(spark.createDataFrame(cited, "doc_id int, clause_ref string"), P.lines_of(docs)).collect()
+    assert sorted((r.doc_id, r.clause_ref, r.suggestion) for r in got) == [(1, "1.1 (5)", None), (1, "2.8.1", "28.1"), (1, "49.855", None)]
+
+
+def test_point_ids_are_version_five(spark):
+    import uuid
+
+    from bidloom.operators import validation as Y
+
+    rows = spark.createDataFrame([("doc", i) for i in range(40)] + [("é", 3)], "owner string, i int")
+    for r in rows.select("owner", "i", Y.point_id(F.col("owner"), F.col("i")).alias("id")).collect():
+        assert r.id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.owner}:{r.i}"))
