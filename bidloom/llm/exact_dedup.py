@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .rowfilter import chosen_rows, filter_bits, filter_of, in_filter, text_hash
 from .scratch import Scratch
+from .textops import tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LAST_ID = (1 << 63) - 1
@@ -51,9 +52,10 @@ def bare(text: str | None) -> bytes:
     return (text or "").encode().translate(None, WHITE)
 
 
-def filter_keys(digests: list[bytes]) -> np.ndarray:
-    """The first eight bytes of each digest, as the filters take them."""
-    return np.frombuffer(b"".join([d[:8] for d in digests]), "<i8")
+def filter_keys(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first sixteen bytes of each digest, as the filters take them."""
+    keys = np.frombuffer(b"".join([d[:16] for d in digests]), "<i8").reshape(-1, 2)
+    return keys[:, 0], keys[:, 1]
 
 
 def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
@@ -68,7 +70,7 @@ def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> Da
                 points.append(len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(points, pa.int64())], ["doc_id", "hash", "digest", "points"])
 
-    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(run, "doc_id long, hash long, digest binary, points long")
+    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(tidy(run), "doc_id long, hash long, digest binary, points long")
 
 
 def _memtables(memtable_rows: int):
@@ -118,27 +120,27 @@ def compact(runs: DataFrame) -> DataFrame:
     return level.select("digest", (-F.col("best.p")).alias("points"), "best.id", "best.null_id", "best.hash", "n")
 
 
-def shared_filter(level: DataFrame) -> bytes:
+def shared_filter(level: DataFrame) -> np.ndarray:
     """The filter of the digests that more than one row has."""
     hit = level.where("n > 1")
 
     def keys(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(filter_keys(batch.column(0).to_pylist()), pa.int64())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in filter_keys(batch.column(0).to_pylist())], ["first", "second"])
 
-    return filter_of(hit.select("digest").mapInArrow(keys, "key long"), filter_bits(hit.count()))
+    return filter_of(hit.select("digest").mapInArrow(keys, "first long, second long"), filter_bits(hit.count()))
 
 
-def lookup(digests: DataFrame, level: DataFrame, packed: bytes) -> DataFrame:
+def lookup(digests: DataFrame, level: DataFrame, words: np.ndarray) -> DataFrame:
     """``digests`` with ``(keep_id, keep_hash, group_size)`` from an index; null where it has no such digest.
 
-    Digests that the filter ``packed`` lacks are answered without reading the level.
+    Digests that the filter ``words`` lacks are answered without reading the level.
     """
-    shared = digests.sparkSession.sparkContext.broadcast(packed)
+    shared = digests.sparkSession.sparkContext.broadcast(words)
 
     def probe(batches):
         for batch in batches:
-            maybe = in_filter(filter_keys(batch.column(2).to_pylist()), shared.value)
+            maybe = in_filter(*filter_keys(batch.column(2).to_pylist()), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe, pa.bool_())], [*batch.schema.names, "maybe"])
 
     probed = digests.select("doc_id", "hash", "digest", "points").mapInArrow(probe, "doc_id long, hash long, digest binary, points long, maybe boolean")
@@ -149,16 +151,16 @@ def lookup(digests: DataFrame, level: DataFrame, packed: bytes) -> DataFrame:
     )
 
 
-def bodies_of(docs: DataFrame, packed: bytes, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+def bodies_of(docs: DataFrame, words: np.ndarray, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """``(doc_id, hash, digest, points, body)`` of the rows whose digest the filter may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         for batch in batches:
             texts = [v.as_py() or "" for v in batch.column(1)]
             bodies = [bare(t) for t in texts]
             found = [digest(b) for b in bodies]
-            hit = np.flatnonzero(in_filter(filter_keys(found), shared.value))
+            hit = np.flatnonzero(in_filter(*filter_keys(found), shared.value))
             some = pa.array(hit)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,7 +170,7 @@ def bodies_of(docs: DataFrame, packed: bytes, digest: Callable[[bytes], bytes] =
                 ["doc_id", "hash", "digest", "points", "body"],
             )
 
-    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(run, "doc_id long, hash long, digest binary, points long, body binary")
+    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(tidy(run), "doc_id long, hash long, digest binary, points long, body binary")
 
 
 def _neighbours(batches):
@@ -208,12 +210,12 @@ def grouped(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, dige
     runs = scratch.table(flush_runs(digests, memtable_rows), "runs")
     level = scratch.table(compact(runs), "level")
     scratch.forget(runs)
-    packed = shared_filter(level)
-    bodies = scratch.table(bodies_of(docs, packed, digest), "bodies")
+    words = shared_filter(level)
+    bodies = scratch.table(bodies_of(docs, words, digest), "bodies")
     differing = scratch.table(differing_digests(bodies), "differing")
     # A digest of one row, whether the filter lacks it or not, is answered by the row itself.
     alone = F.col("group_size").isNull()
-    out = lookup(digests, level, packed).select(
+    out = lookup(digests, level, words).select(
         "doc_id", "hash", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.col("hash")).otherwise(F.col("keep_hash")).alias("keep_hash"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     )

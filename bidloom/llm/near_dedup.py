@@ -30,17 +30,15 @@ their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .rowfilter import chosen_rows, filter_bits, filter_of, maybe_in, text_hash
+from .rowfilter import chosen_rows, filter_bits, filter_of, maybe_in, row_keys, text_hash
 from .scratch import Scratch
-from .textops import mix, shingle_set, slices, words_of
+from .textops import mix, shingle_set, slices, tidy, words_of
 
 _U = np.uint64
 
@@ -97,13 +95,13 @@ def _signer(k: int, hasher: MinMaxHasher):
                     names,
                 )
 
-    return run
+    return tidy(run)
 
 
 def _confirmer(k: int, per_hundred: int):
-    """Whether each pair's full sets reach the threshold, decided in integers."""
+    """Pairs ``(a, b, text_a, text_b)`` whose full sets reach the threshold, decided in integers."""
 
-    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches):
         held: dict[bytes, np.ndarray] = {}  # by text: sets of pivots come again and again
 
         def set_of(text: bytes) -> np.ndarray:
@@ -113,15 +111,15 @@ def _confirmer(k: int, per_hundred: int):
                 held[text] = s = shingle_set(words_of([text])[0], k)
             return s
 
-        for a, b in pairs:
+        for batch in batches:
             linked = []
-            for x, y in zip(a, b, strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = set_of((x.as_py() or "").encode()), set_of((y.as_py() or "").encode())
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * shared >= per_hundred * (len(x) + len(y) - shared))
-            yield pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _shingle_rows(k: int):
@@ -136,13 +134,13 @@ def _shingle_rows(k: int):
                     of = batch.column(0).take(pa.array(owner[at_row : at_row + 100_000]))
                     yield pa.RecordBatch.from_arrays([of, pa.array(flat[at_row : at_row + 100_000])], ["doc", "token"])
 
-    return run
+    return tidy(run)
 
 
 _NODE = "struct<id:bigint,tag:bigint>"
 
 
-def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_hundred: int) -> DataFrame:
+def prefix_pairs(texts: DataFrame, members: DataFrame, scratch: Scratch, shingle_words: int, per_hundred: int) -> DataFrame:
     """Pairs ``(a, b)``, a > b, that may link, of ``members(doc, n, component, asks)`` and ``texts(node, text)``.
 
     Of each pair one side asks and the components differ. A shingle of rank r (1: the rarest) in a
@@ -159,7 +157,8 @@ def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_h
     # Shingles of one set only take the first ranks and meet nobody, so only their number counts.
     ranked = shared.withColumn("shared", F.count("*").over(of_doc)).withColumn("place", F.row_number().over(of_doc.orderBy("df", "token")))
     ranked = ranked.withColumn("rest", F.col("shared") - F.col("place") + 1)
-    ranked = ranked.where(100 * F.col("rest") >= int(per_hundred) * F.col("n"))
+    ranked = ranked.where(100 * F.col("rest") >= int(per_hundred) * F.col("n")).select("token", "doc", "n", "rest", "component", "asks")
+    ranked = scratch.table(ranked, "prefixes")  # both sides of the join read it
     step = 1.03
     size_class = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(step)))
     largest = F.least(F.col("rest") * ((1 + t) / t) - F.col("n") + 1e-6, F.col("n") / t + 1e-6)
@@ -175,10 +174,9 @@ def prefix_pairs(texts: DataFrame, members: DataFrame, shingle_words: int, per_h
 
 def _texts_of(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, text)`` of ``classes(node, hash)``; texts that the classes' filter lacks are not shuffled."""
-    key = F.xxhash64("id", "hash")
     wanted = classes.select(F.col("node.id").alias("id"), "hash", "node")
-    maybe = maybe_in(filter_of(wanted.select(key), filter_bits(wanted.count())), docs.sparkSession)
-    some = docs.select(F.col("doc_id").alias("id"), text_hash().alias("hash"), "text").where(F.col("id").isNotNull() & maybe(key))
+    maybe = maybe_in(filter_of(wanted.select(*row_keys()), filter_bits(wanted.count())), docs.sparkSession)
+    some = docs.select(F.col("doc_id").alias("id"), text_hash().alias("hash"), "text").where(F.col("id").isNotNull() & maybe(*row_keys()))
     some = some.groupBy("id", "hash").agg(F.first("text").alias("text"))  # a row may be repeated
     return scratch.table(some.join(wanted, ["id", "hash"]).select("node", "text"), "texts")
 
@@ -214,12 +212,11 @@ def components_of(
     met = placed.select(F.col("doc").alias("node")).distinct()
     met = scratch.table(classes.select("node", "hash").join(met, "node", "left_semi"), "met")
     texts = _texts_of(docs, met, scratch)
-    linked = F.arrow_udf(_confirmer(shingle_words, per_hundred), "boolean")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.table(both.where(linked("text_a", "text_b")).select("a", "b"), "links")
+        return scratch.table(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(shingle_words, per_hundred), f"a {_NODE}, b {_NODE}"), "links")
 
     sizes = placed.select(F.col("doc").alias("pivot"), F.col("n").alias("n_pivot")).distinct()
     near = f"100 * least(n, n_pivot) >= {int(per_hundred)} * greatest(n, n_pivot)"
@@ -244,7 +241,7 @@ def components_of(
         members.join(open_, "bucket").groupBy("doc", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("asks")), "unsettled"
     )
     scratch.forget(placed, open_)
-    pairs = scratch.table(prefix_pairs(texts, unsettled, shingle_words, per_hundred).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.table(prefix_pairs(texts, unsettled, scratch, shingle_words, per_hundred).join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs)), scratch)
     scratch.forget(texts, unsettled, tried, pairs, met)
 

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textops import SLICE_BYTES, mix
+from .textops import SLICE_BYTES, mix, tidy
 
 MARK = "▁"
 _MARK = ord(MARK)
@@ -124,7 +124,7 @@ class Vocabulary:
                     found[h] = k
                 else:
                     found.setdefault(h, -1)
-        slots = 1 << max(8, (16 * len(found)).bit_length())
+        slots = 1 << max(8, (6 * len(found)).bit_length())
         keys, pieces, shift = np.zeros(slots, np.uint64), np.full(slots, -2, np.int32), 65 - slots.bit_length()
         for h, k in found.items():
             at = h >> shift
@@ -213,7 +213,7 @@ def merged_paths(lists: list[list[tuple[float, object]]], n: int) -> list[tuple[
 class SegmentEncoder:
     """Best paths and gaps of segments, remembered from slice to slice up to ``memory`` segments."""
 
-    def __init__(self, v: Vocabulary, memory: int = 500_000):
+    def __init__(self, v: Vocabulary, memory: int = 200_000):
         self.v, self.memory = v, memory
         self.scores = np.array([*v.scores, v.unknown])
         self.ids = np.array([*v.ids, -1], np.int32)
@@ -443,9 +443,9 @@ class SegmentEncoder:
         if text is None:  # a mark of the text itself is a segment of its own
             return [(0.0, [b for x in c.tolist() for b in self.bytes_of(x)])]
         if (known := self.paths.get((n, text))) is None:
-            if len(self.paths) >= 50_000:
+            if len(self.paths) >= 20_000:
                 self.paths.clear()
-            known = [(loss, _tokens_of(self, text, path)) for loss, path in short_paths(self.v, text, n)]
+            known = [(loss, np.array(_tokens_of(self, text, path), np.int32)) for loss, path in short_paths(self.v, text, n)]
             self.paths[n, text] = known
         return known
 
@@ -504,7 +504,7 @@ def encode_texts(encoder: SegmentEncoder, texts: list[str], n: int):
                 lists = [encoder.alternatives(chars[starts[s] : ends[s]], n) for s in few]
                 for loss, chosen in merged_paths(lists, n)[1:]:
                     scores.append(best - loss)
-                    edits.append([(int(token_at[s] - token_at[a]), int(size[s]), new) for s, new in zip(few, chosen, strict=True)])
+                    edits.append([(int(token_at[s] - token_at[a]), int(size[s]), list(map(int, new))) for s, new in zip(few, chosen, strict=True)])
         out.append((tokens[token_at[a] : token_at[b]], scores, edits))
     return out
 
@@ -545,7 +545,7 @@ def _runner(v: Vocabulary, n: int, digest: bool):
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
-            if size > SLICE_BYTES:
+            if size > SLICE_BYTES // 2:
                 yield from encode_texts(encoder, held, n)
                 held, size = [], 0
         if held:
@@ -564,7 +564,7 @@ def _runner(v: Vocabulary, n: int, digest: bool):
     def run(batches):
         encoder = SegmentEncoder(v)
         for batch in batches:
-            step = 500
+            step = 200
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
                 texts = part.column(1).to_pylist()
@@ -588,7 +588,7 @@ def _runner(v: Vocabulary, n: int, digest: bool):
                 same = pa.array([same for _, same in seen], pa.bool_(), mask=null)
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, scores, edits, same], ["doc_id", *names, "scores", "edits", "decoded"])
 
-    return run
+    return tidy(run)
 
 
 def encode_documents(docs: DataFrame, model_file: str, n: int = 4, digest: bool = False) -> DataFrame:

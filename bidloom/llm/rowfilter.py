@@ -13,9 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -23,9 +22,8 @@ from .scratch import Scratch
 BITS_PER_KEY = 10
 MAX_BITS = 1 << 27
 _LEAST_BITS = 1 << 16
-_PROBES = 4
-_U = np.uint64
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: A key is two longs; each gives the place of its lowest bits and that of its highest 27.
+_SHIFTS = (0, 37)
 
 
 def filter_bits(keys: int) -> int:
@@ -33,68 +31,42 @@ def filter_bits(keys: int) -> int:
     return min(MAX_BITS, max(_LEAST_BITS, 1 << (BITS_PER_KEY * max(keys, 1)).bit_length()))
 
 
-def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    """``_PROBES`` places of each 64-bit key, by multiplicative hashing."""
-    h = keys.view(_U)
-    h = h ^ (h >> _U(31))
-    return (h[:, None] * _ODD) >> _U(64 - (bits.bit_length() - 1))
+def filter_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """The filter of two columns of longs, as 64-bit words: an aggregation, so the driver reads each word once."""
+    places = [F.shiftrightunsigned(c, s).bitwiseAND(F.lit(bits - 1)) for c in keys.columns for s in _SHIFTS]
+    at = keys.select(F.explode(F.array(*places)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
+    found = words.select(F.col("word").cast("int").alias("word"), "set").toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return out
 
 
-def make_filter(keys: np.ndarray, bits: int) -> bytes:
-    flags = np.zeros(bits, bool)
-    if len(keys):
-        flags[_positions(keys, bits).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
-
-
-def in_filter(keys: np.ndarray, packed: bytes) -> np.ndarray:
+def in_filter(first: np.ndarray, second: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter; false is certain."""
-    data = np.frombuffer(packed, np.uint8)
-    at = _positions(keys, len(data) * 8).astype(np.int64)
-    return ((data[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1) if len(keys) else np.zeros(0, bool)
-
-
-def _partial(bits: int):
-    def run(batches):
-        flags = np.zeros(bits, bool)
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(keys):
-                flags[_positions(keys, bits).astype(np.int64)] = True
-        if flags.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["filter"])
-
-    return run
-
-
-def _either(batches):
-    total = None
-    for batch in batches:
-        for value in batch.column(0):
-            one = np.frombuffer(value.as_py(), np.uint8)
-            total = one if total is None else total | one
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["filter"])
+    out, mask = np.ones(len(first), bool), np.uint64((len(words) << 6) - 1)
+    for keys in (first, second):
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        for s in _SHIFTS:
+            at = (keys >> np.uint64(s)) & mask
+            out &= ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return out
 
 
-def filter_of(keys: DataFrame, bits: int) -> bytes:
-    """The filter of a column of longs: one per task, ORed in tasks, so the driver reads one."""
-    parts = keys.mapInArrow(_partial(bits), "filter binary")
-    merged = parts.coalesce(16).mapInArrow(_either, "filter binary").coalesce(1).mapInArrow(_either, "filter binary").collect()
-    return bytes(merged[0]["filter"]) if merged else bytes(bits // 8)
+def maybe_in(words: np.ndarray, spark: SparkSession):
+    """A function of two long columns: whether the broadcast filter may hold them. Only they go through Python."""
+    shared = spark.sparkContext.broadcast(words)
 
+    def maybe(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for first, second in columns:
+            yield pa.array(in_filter(first.to_numpy(zero_copy_only=False), second.to_numpy(zero_copy_only=False), shared.value), pa.bool_())
 
-def maybe_in(packed: bytes, spark):
-    """A function of a long column: whether the broadcast filter may hold it."""
-    shared = spark.sparkContext.broadcast(packed)
+    return F.arrow_udf(maybe, "boolean")
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        packed = shared.value
-        for k in keys:
-            yield pd.Series(in_filter(k.to_numpy(np.int64), packed))
 
-    return maybe
+def row_keys() -> list[Column]:
+    """The filter keys of a row's identity ``(id, hash)``."""
+    return [F.xxhash64("id", "hash").alias("first"), F.xxhash64("hash", "id").alias("second")]
 
 
 def text_hash() -> Column:
@@ -109,13 +81,14 @@ def chosen_rows(docs: DataFrame, decided: DataFrame, scratch: Scratch) -> DataFr
     doc_id and text comes back once. Rows that the filter of the others lacks are not shuffled.
     """
     about = decided.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
-    about = scratch.table(about.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "stays"), "decided")
+    about = scratch.table(about.select("id", "hash", "stays"), "decided")
     n = about.count()
     if not n:
         return docs
-    maybe = maybe_in(filter_of(about.select(F.xxhash64("of_id", "of_hash")), filter_bits(n)), docs.sparkSession)
+    maybe = maybe_in(filter_of(about.select(*row_keys()), filter_bits(n)), docs.sparkSession)
+    about = about.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "stays")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_hash().alias("hash"))
-    probed = rows.withColumn("maybe", maybe(F.xxhash64("id", "hash")))
+    probed = rows.withColumn("maybe", maybe(*row_keys()))
     met = probed.where("maybe").groupBy("id", "hash").agg(F.first("row").alias("row"))  # repeated rows are one before the shuffle
     met = met.join(about, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").where("coalesce(stays, true)")
     return probed.where("NOT maybe").select("row").union(met.select("row")).select("row.*")

@@ -11,46 +11,11 @@ still reads is removed when the driver ends.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
-
-_own: list[str] = []
-_open: dict[str, SparkSession] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or ""):
-        raise RuntimeError("working tables need a folder that all executors share: set spark.checkpoint.dir")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="bidloom-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark._jsc.hadoopConfiguration()).delete(at, True)
-    _open.pop(path, None)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_open.items()):
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            _delete(spark, path)
+from ..session import opened, removed, shared_folder, ship
 
 
 class Scratch:
@@ -64,8 +29,7 @@ class Scratch:
     def path(self, name: str) -> str:
         path = f"{shared_folder(self.spark)}/bidloom-{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        _open[path] = self.spark
-        return path
+        return opened(self.spark, path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from there."""
@@ -80,9 +44,9 @@ class Scratch:
         for t in tables:
             if t is not None and t._scratch_path in self.paths:
                 self.paths.remove(t._scratch_path)
-                _delete(self.spark, t._scratch_path)
+                removed(self.spark, t._scratch_path)
 
     def drop(self) -> None:
         for p in self.paths:
-            _delete(self.spark, p)
+            removed(self.spark, p)
         self.paths.clear()

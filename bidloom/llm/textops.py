@@ -11,12 +11,14 @@ numpy over the slice instead of a Python loop over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -55,6 +57,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def tidy(run):
+    """``run`` of batches, which at its end gives freed memory back: a Python worker lives on and serves other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one byte array."""
     n = len(data)

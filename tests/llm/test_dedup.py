@@ -9,7 +9,7 @@ from bidloom.llm.components import connected_components
 from bidloom.llm import exact_dedup, near_dedup
 from bidloom.llm.exact_dedup import compact, digests_of, exact_duplicates, flush_runs, lookup, shared_filter
 from bidloom.llm.near_dedup import MinMaxHasher, near_duplicates
-from bidloom.llm.rowfilter import MAX_BITS, filter_bits, filter_of, in_filter, make_filter
+from bidloom.llm.rowfilter import MAX_BITS, filter_bits, filter_of, in_filter
 from bidloom.llm.scratch import Scratch
 
 DOC = "doc_id long, text string"
@@ -148,11 +148,12 @@ def test_filter_has_no_false_negatives(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    keys, others = rng.integers(-(1 << 63), 1 << 63, 500), rng.integers(-(1 << 63), 1 << 63, 500)
-    packed = make_filter(keys, 1 << 14)
-    assert in_filter(keys, packed).all() and in_filter(others, packed).mean() < 0.05
-    assert filter_of(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(5), 1 << 14) == packed
-    assert not in_filter(keys, filter_of(spark.createDataFrame([], "key long"), 1 << 16)).any()
+    keys, others = rng.integers(-(1 << 63), 1 << 63, (500, 2)), rng.integers(-(1 << 63), 1 << 63, (5000, 2))
+    rows = spark.createDataFrame([tuple(map(int, k)) for k in keys], "a long, b long").repartition(5)
+    for bits in (1 << 14, MAX_BITS):
+        words = filter_of(rows, bits)
+        assert len(words) == bits // 64 and in_filter(*keys.T, words).all() and in_filter(*others.T, words).mean() < 0.01
+    assert not in_filter(*keys.T, filter_of(rows.limit(0), 1 << 16)).any()
     assert filter_bits(0) == 1 << 16 and filter_bits(10**6) == 1 << 24 and filter_bits(10**12) == MAX_BITS
 
 
@@ -210,7 +211,7 @@ def test_near_misses_of_a_large_family(spark):
 
 
 def test_working_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
-    from bidloom.llm import scratch
+    from bidloom import session
 
     class Conf(dict):
         pass
@@ -222,12 +223,12 @@ def test_working_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
                 return Conf({"spark.master": "spark://host:7077"})
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.shared_folder(Fake)
+        session.shared_folder(Fake)
     own = Scratch(spark)
     own.table(spark.range(3), "some")
-    assert own.paths[0] in scratch._open
+    assert own.paths[0] in session._open
     own.drop()
-    assert not own.paths and not any("bidloom-some" in p for p in scratch._open)
+    assert not own.paths and not any("bidloom-some" in p for p in session._open)
 
 
 def test_equal_digests_with_other_bytes_are_regrouped(spark):
