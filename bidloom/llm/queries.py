@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import licences
 from .chat import maximal_conversations
 from .exact_dedup import exact_duplicates
 from .licences import known_table, licence_scan
@@ -87,7 +88,41 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of entire texts and of lines, for all documents."""
-    return licence_scan(_read(spark, sf_dir, "documents"), known_table(spark))
+    found = licence_scan(_read(spark, sf_dir, "documents"), known_table(spark))
+    return found.select("doc_id", "text_digest", "licence", F.array_join("line_licences", ", ").alias("line_licences"))
+
+
+def _canonical_lines_sql(text: str) -> str:
+    out = f"lower(regexp_replace(coalesce({text}, ''), '(?im){licences.COPYRIGHT}', '', 'g'))"
+    for said, meant in licences.SPELLINGS:
+        out = f"replace({out}, '{said}', '{meant}')"
+    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
+def _canonical_sql(lines: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g')), '{licences.BEFORE}', '')"
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+OP7_SQL = f"""
+WITH n(licence, body) AS (VALUES {_values(licences.NOTICES)}),
+k AS (
+  SELECT digest, min(licence) AS licence
+  FROM (SELECT licence, sha256({_canonical_sql(_canonical_lines_sql('body'))}) AS digest FROM n
+        UNION ALL SELECT licence, digest FROM (VALUES {_values(licences.DIGESTS)}) d(licence, digest))
+  GROUP BY digest),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_canonical_lines_sql('text')} AS lines FROM documents),
+l AS (
+  SELECT r, string_agg(DISTINCT k.licence, ', ' ORDER BY k.licence) AS found
+  FROM (SELECT r, unnest(string_split(lines, chr(10))) AS line FROM d) x JOIN k ON k.digest = sha256(trim(line))
+  GROUP BY r),
+w AS (SELECT doc_id, r, sha256({_canonical_sql('lines')}) AS text_digest FROM d)
+SELECT doc_id, text_digest, licence, coalesce(found, '') AS line_licences
+FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN l USING (r)
+"""
 
 
 def op8_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op7_licence_digests": OP7_SQL,
     "op8_lsm_exact_dedup": OP8_SQL,
     "op10_snapshot_collapse": OP10_SQL,
 }

@@ -1,6 +1,7 @@
 """Pieces, archives, licences and chats: round trips and brute force."""
 
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.llm import chat, licences, pieces, warc
-from bidloom.llm.queries import QUERIES
+from bidloom.llm.queries import QUERIES, SQL
 from bidloom.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -117,9 +118,35 @@ def test_readme_names_the_known_licences():
     from pathlib import Path
 
     readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
-    assert all(name in readme for name, _ in licences.NOTICES)
-    texts = [name for name, text in licences.NOTICES if len(text) > 200]
-    assert f"three entire licence texts ({', '.join(texts)})" in readme and f"{len(licences.NOTICES) - 3} one-line" in readme
+    assert all(name in readme for name, _ in [*licences.NOTICES, *licences.DIGESTS])
+
+
+def test_long_licences_by_digest(spark):
+    """Whole public texts, where the box has them, in other case, with other wrapping and copyright lines."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    docs = [(i, "Copyright 2024 Somebody\n" + (folder / f).read_text().upper().replace("   ", "  \n "), name) for i, (f, name) in enumerate(files.items()) if (folder / f).exists()]
+    docs += [(100 + i, t + " and one more condition", None) for i, t, _ in docs]
+    bsd = next(t for n, t in licences.NOTICES if n == "BSD-3-Clause")
+    docs += [(200, "BSD 3-Clause License\n\nCopyright (c) 2020, A Person\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), (201, re.sub(r"(?<=[.:] )\d\. ", "\n* ", bsd), "BSD-3-Clause")]
+    got = licences.licence_scan(spark.createDataFrame([d[:2] for d in docs], DOC), licences.known_table(spark))
+    assert {r.doc_id: r.licence for r in got.collect()} == {i: name for i, _, name in docs}
+
+
+@tables
+@pytest.mark.parametrize("name", ["op7_licence_digests", "op8_lsm_exact_dedup", "op10_snapshot_collapse"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    want = con.sql(SQL[name])
+    columns = sorted(want.columns)
+    rows = [tuple(str(r[want.columns.index(c)]) for c in columns) for r in want.fetchall()]
+    assert sorted(rows) == sorted(tuple(str(r[c]) for c in columns) for r in QUERIES[name](spark, SF).collect())
 
 
 def test_every_path_is_returned_as_a_digest(spark, tmp_path):
