@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import _SALT, letters_only, mix, shape_hashes, slices, word_hashes, words_of
+from .textops import _SALT, letters_only, mix, shape_hashes, slices, tidy, word_hashes, words_of
 
 BITS = 20
 SIZE = 1 << BITS
@@ -86,7 +86,7 @@ def featurise(docs: DataFrame, carry: list[str], words: bool = True, shapes: boo
                     [*carry, "features"],
                 )
 
-    return docs.select("text", *carry).mapInArrow(run, f"{fields}, features binary")
+    return docs.select("text", *carry).mapInArrow(tidy(run), f"{fields}, features binary")
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -144,8 +144,8 @@ def labelled_sample(
 class Sparse:
     """Rows of feature numbers with the sums that the learners need."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.rows = rows
+    def __init__(self, rows: list[np.ndarray], size: int = SIZE):
+        self.rows, self.size = rows, size
         self.at = np.cumsum([0] + [len(r) for r in rows])
         self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.owner = np.repeat(np.arange(len(rows)), np.diff(self.at))
@@ -154,7 +154,7 @@ class Sparse:
         return np.bincount(self.owner, weights[self.flat], len(self.rows))
 
     def gradient(self, by_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.flat, by_row[self.owner], SIZE)
+        return np.bincount(self.flat, by_row[self.owner], self.size)
 
 
 def document_counts(rows: list[np.ndarray]) -> np.ndarray:
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bias: float, words: bo
                 scores = sigmoid(sums + b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def judged(scored: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:

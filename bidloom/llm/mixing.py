@@ -20,16 +20,15 @@ are ignored by ``mixture`` and kept by ``mixed_rows``, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .learn import SIZE, Sparse, document_counts, features_of, labelled_sample
 from .scratch import Scratch
-from .textops import slices
+from .textops import slices, tidy, trim
 
 #: Domain names of the labels (quality, toxic), and the shares of tokens wanted of each.
 DOMAINS: dict[tuple[int, int], str] = {(1, 0): "clean", (0, 0): "junk", (1, 1): "toxic", (0, 1): "toxic_junk"}
@@ -38,8 +37,10 @@ TARGETS: dict[str, float] = {"clean": 0.9, "junk": 0.05, "toxic": 0.04, "toxic_j
 UNWANTED = ("junk", "toxic", "toxic_junk")
 
 
-def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, k: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-3, min_documents: int = 5, lift: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x domains) and biases by Adam on the multinomial logistic loss.
+def fit_softmax(
+    rows: list[np.ndarray], domain: np.ndarray, k: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-3, min_documents: int = 5, lift: float = 3.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers in use, weights (domains x these) and biases by Adam on the multinomial logistic loss.
 
     A feature takes part when some domain holds it in ``min_documents`` texts or more and at
     ``lift`` times the overall share.
@@ -49,23 +50,21 @@ def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, k: int, steps: int =
         own = document_counts([r for r, y in zip(rows, domain, strict=True) if y == d])
         size = max(1, int((domain == d).sum()))
         use |= (own >= min(min_documents, size)) & (own * len(rows) >= lift * total * size)
-    x = Sparse([r[use[r]] for r in rows])
-    w, b = np.zeros((k, SIZE)), np.log(np.bincount(domain, minlength=k) + 1.0)
+    columns = np.flatnonzero(use).astype(np.int32)
+    x = Sparse([np.searchsorted(columns, r[use[r]]) for r in rows], len(columns))
+    w, b = np.zeros((k, len(columns))), np.log(np.bincount(domain, minlength=k) + 1.0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
     goal = np.eye(k)[domain]
-    columns = np.flatnonzero(use)
     for t in range(1, steps + 1):
         e = (posteriors(np.stack([x.scores(w[d]) for d in range(k)], 1) + b) - goal) / len(rows)
         size = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        for d in range(k):
-            g = x.gradient(e[:, d])[columns] + decay / len(rows) * w[d, columns]
-            m[d, columns] = 0.9 * m[d, columns] + 0.1 * g
-            v[d, columns] = 0.999 * v[d, columns] + 0.001 * g * g
-            w[d, columns] -= size * m[d, columns] / (np.sqrt(v[d, columns]) + 1e-8)
+        g = np.stack([x.gradient(e[:, d]) for d in range(k)]) + decay / len(rows) * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - size * m / (np.sqrt(v) + 1e-8)
         gb = e.sum(0)
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         b = b - size * mb / (np.sqrt(vb) + 1e-8)
-    return w, b
+    return columns, w, b
 
 
 def posteriors(scores: np.ndarray) -> np.ndarray:
@@ -73,29 +72,30 @@ def posteriors(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def posterior_column(spark: SparkSession, weights: np.ndarray, bias: np.ndarray) -> Column:
-    """``struct(n_tokens, p0, p1, ...)`` of the column ``text``; tokens are words.
+def domain_posteriors(docs: DataFrame, columns: np.ndarray, weights: np.ndarray, bias: np.ndarray, carry: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, p0, p1, ...)``; tokens are words.
 
-    Only texts go through Python; whatever else a row has stays where it is.
+    With ``carry``, the struct ``row`` of all columns of ``docs`` stands in for doc_id.
     """
     k = len(bias)
-    keep = np.flatnonzero((weights != 0).any(0)).astype(np.int32)
-    shared = spark.sparkContext.broadcast((keep, np.vstack([weights[:, keep].T, np.zeros((1, k))]), bias))
+    shared = docs.sparkSession.sparkContext.broadcast((columns, np.vstack([weights.T, np.zeros((1, k))]), bias))
+    source = docs if carry else docs.select("doc_id", "text")
+    at = source.columns.index("text")
 
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         keep, dense, b = shared.value
         row_of = np.full(SIZE, len(keep), np.int32)
         row_of[keep] = np.arange(len(keep))
-        for column in columns:
-            sizes, shares = [np.zeros(0, np.int64)], [np.zeros((0, k))]
-            for _, texts in slices(column):
+        for batch in batches:
+            for first, texts in slices(batch.column(at)):
                 found, n = features_of(texts)
-                shares.append(posteriors(np.stack([dense[row_of[f]].sum(0) for f in found]) + b))
-                sizes.append(n)
-            p = np.concatenate(shares)
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes), pa.int64()), *(pa.array(p[:, j]) for j in range(k))], ["n_tokens", *(f"p{j}" for j in range(k))])
+                p = posteriors(np.stack([dense[row_of[f]].sum(0) for f in found]) + b)
+                part = batch.slice(first, len(texts))
+                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema)) if carry else part.column(0)
+                yield pa.RecordBatch.from_arrays([row, pa.array(n, pa.int64()), *(pa.array(p[:, j]) for j in range(k))], ["row" if carry else "doc_id", "n_tokens", *(f"p{j}" for j in range(k))])
 
-    return F.arrow_udf(run, "n_tokens long, " + ", ".join(f"p{j} double" for j in range(k)))(F.col("text"))
+    fields = [StructField("row", docs.schema) if carry else StructField("doc_id", LongType()), StructField("n_tokens", LongType()), *(StructField(f"p{j}", DoubleType()) for j in range(k))]
+    return source.mapInArrow(tidy(run), StructType(fields))
 
 
 def rate_column(k: int, steps: list[np.ndarray]) -> Column:
@@ -159,12 +159,12 @@ def mixture(
     shares = np.array([wanted.get(n, 0.0) for n in names])
     shares = shares / shares.sum() if shares.sum() else np.full(len(names), 1 / len(names))
     if len(names) > 1:
-        weights, bias = fit_softmax(rows, np.array([names.index(n) for n in named]), len(names))
+        model = fit_softmax(rows, np.array([names.index(n) for n in named]), len(names))
     else:
-        weights, bias = np.zeros((1, SIZE)), np.zeros(1)
-    key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col("doc_id")
-    soft = docs.select(key, posterior_column(docs.sparkSession, weights, bias).alias("soft")).select("row" if carry else "doc_id", "soft.*")
-    soft = scratch.table(soft, "posteriors")
+        model = np.zeros(0, np.int32), np.zeros((1, 0)), np.zeros(1)
+    del rows
+    trim()
+    soft = scratch.table(domain_posteriors(docs, *model, carry), "posteriors")
     steps, _ = fit_rates(soft, shares, total, bounded=np.array([n in at_most for n in names]))
     return soft.withColumn("rate", rate_column(len(names), steps)), names
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .learn import SIZE, Sparse, document_counts, features_of, fit_line, judged, labelled_sample, score_documents, sigmoid
-from .textops import slices
+from .textops import slices, tidy, trim
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -86,6 +86,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
     """
     rows, by = labelled_sample(docs, labels, ["quality"], modulus, remainder, max_rows)
     model = quality_model(rows, by["quality"])
+    del rows
+    trim()
     if model is None:
         return judged(score_documents(docs, np.zeros(SIZE), 0.0), modulus, remainder, threshold)
     scale, weights, bias, (slope, shift) = model
@@ -101,6 +103,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: i
     """
     rows, by = labelled_sample(docs, labels, ["quality"], modulus, remainder, max_rows)
     model = quality_model(rows, by["quality"])
+    del rows
+    trim()
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -115,4 +119,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: i
                 margin = np.array([value[f].sum() / np.sqrt(square[f].sum() + 1e-12) for f in found]) + bias
                 yield batch.slice(first, len(texts)).filter(pa.array(sigmoid(slope * margin + shift) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -247,3 +247,112 @@ def test_sample_is_bounded_in_rows_and_bytes(spark):
     assert 20 < len(few) < 40 and sum(r.nbytes for r in few) <= most
     again, _ = learn.labelled_sample(docs.repartition(2), labels, ["quality"], 1, 1, max_rows=100, max_bytes=most)
     assert all((a == b).all() for a, b in zip(few, again, strict=True))
+
+
+def brute_risk(w, b, positive, unlabelled, prior):
+    """The non-negative risk in plain Python."""
+    import math
+
+    def loss(rows, sign):
+        return sum(math.log1p(math.exp(-sign * (b + sum(w[f] for f in r)))) for r in rows) / len(rows)
+
+    return prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - prior * loss(positive, -1))
+
+
+def test_nnpu_against_its_risk():
+    """The fit lowers the risk of plain Python far below that of the start and of the bias alone."""
+    rng = np.random.default_rng(6)
+    positive = [np.array(sorted({*rng.integers(0, 6, 2), *rng.integers(20, 60, 6)}), np.int32) for _ in range(60)]
+    unlabelled = positive[:20] + [np.array(sorted({*rng.integers(20, 60, 8)}), np.int32) for _ in range(180)]
+    w, b = toxicity.fit_nnpu(positive, unlabelled, 0.1)
+    got = brute_risk(w, b, positive, unlabelled, 0.1)
+    alone = min(brute_risk(np.zeros(60), x, positive, unlabelled, 0.1) for x in np.linspace(-5, 1, 61))
+    assert got < 0.5 * alone
+    hit = [learn.sigmoid(b + w[r].sum()) >= 0.3 for r in unlabelled]
+    assert np.mean(hit[:20]) > 0.9 and np.mean(hit[20:]) < 0.05
+
+
+def test_quality_scores_recomputed(spark):
+    """Scores of the query's operator against a plain recomputation from the fitted model."""
+    docs, labels = toy(spark, 120)
+    rows, by = learn.labelled_sample(docs, labels, ["quality"], 5, 0, 8000)
+    scale, weights, bias, (slope, shift) = quality.quality_model(rows, by["quality"])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.quality_scores(docs, labels).collect():
+        f = learn.features_of([texts[r.doc_id].encode()])[0][0]
+        z = sum(scale[j] * weights[j] for j in f) / np.sqrt(sum(scale[j] ** 2 for j in f) + 1e-12) + bias
+        assert abs(r.score - 1 / (1 + np.exp(-(slope * z + shift)))) < 1e-9
+    good, bad = [t for t, y in zip(rows, by["quality"], strict=True) if y == 1], [t for t, y in zip(rows, by["quality"], strict=True) if y != 1]
+    ratio = quality.log_count_ratio(rows, by["quality"])
+    p, q = 1 + learn.document_counts(good), 1 + learn.document_counts(bad)
+    assert np.allclose(ratio, np.log((p / p.sum()) / (q / q.sum())))
+
+
+def test_quality_filter_on_edge_rows(spark):
+    docs, labels = toy(spark)
+    some = docs.select("doc_id", "text").union(spark.createDataFrame([(None if d is None else d + 1000, t) for d, t in EDGE], DOC)).withColumn("score", F.lit("clash")).withColumn("id", F.lit(1))
+    kept = quality.keep_good(some, labels)
+    assert kept.columns == some.columns
+    scored = {(r.doc_id, r.score >= 0.3) for r in quality.quality_scores(some, labels).collect()}
+    assert {r.doc_id for r in kept.collect()} == {d for d, ok in scored if ok}
+    assert quality.keep_good(some, labels.limit(0)).count() == some.count() and quality.keep_good(some.limit(0), labels).count() == 0
+
+
+def brute_list(rows, columns, rounds=12):
+    """Sequential covering by trying every threshold of every column."""
+    from math import log2
+
+    def covered(rule, some):
+        return [r for r in some if all((r[c] >= t) == up for c, up, t in rule)]
+
+    def bad(some):
+        return sum(r["bad"] for r in some)
+
+    out, left = [], rows
+    while len(out) < rounds and 0 < bad(left) < len(left):
+        grow, aside = [r for i, r in enumerate(left) if i % 3], left[::3]
+        rule, hit = [], grow
+        while len(rule) < 4 and 0 < bad(hit) < len(hit):
+            best = (1e-9, None)
+            for c in columns:
+                values = sorted({r[c] for r in hit})
+                for a, z in zip(values, values[1:]):
+                    for up in (True, False):
+                        t = (a + z + 1) // 2
+                        n = covered([(c, up, t)], hit)
+                        if n and bad(n):
+                            gain = bad(n) * (log2(bad(n) / len(n)) - log2(bad(hit) / len(hit)))
+                            if gain > best[0]:
+                                best = (gain, (c, up, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            hit = covered([best[1]], hit)
+        if not rule:
+            break
+
+        def worth(some):
+            n = covered(some, aside)
+            return ((2 * bad(n) - len(n)) / len(n) if n else -1.0, bad(n))
+
+        pruned = rule
+        for k in range(len(rule) - 1, 0, -1):
+            if worth(rule[:k]) >= worth(pruned):
+                pruned = rule[:k]
+        sound = [x for x in (pruned, rule) if len(covered(x, left)) >= 5 and len(covered(x, left)) - bad(covered(x, left)) <= 0.02 * len(covered(x, left))]
+        if not sound:
+            break
+        out.append(sound[0])
+        left = [r for r in left if not covered(sound[0], [r])]
+    return out
+
+
+def test_decision_list_against_plain_covering():
+    rng = random.Random(21)
+    for _ in range(4):
+        rows = []
+        for i in range(150):
+            r = {c: rng.randint(0, 12) for c in ("symbols_per_words", "upper_per_chars", "n_symbols")}
+            rows.append(r | {"bad": int(r["upper_per_chars"] >= 9 or (r["symbols_per_words"] < 3 and r["n_symbols"] > 6))})
+        got = [tuple((c.column, c.at_least, c.threshold) for c in rule.conditions) for rule in rules.learn_rules(rows)]
+        assert got == [tuple(r) for r in brute_list(rows, ["symbols_per_words", "upper_per_chars", "n_symbols"])]
