@@ -179,13 +179,13 @@ _TOKENS = "list_filter(list_transform(regexp_extract_all(lower(coalesce({x}, '')
     f"WITH dt AS (SELECT doc_id, {_TOKENS.format(x='text')} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt), q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS.format(x='text')}) AS term FROM benchmark) GROUP BY ALL), "
     "c AS (SELECT doc_id, len(t) AS length, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM dt) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY ALL), "
     "s AS (SELECT query_id, doc_id, sum(times * greatest(1e-9, ln(1 + (n - df + 0.5) / (df + 0.5))) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS s FROM c JOIN df USING (term) JOIN q USING (term), n GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(round(s, 6), 4) AS score FROM r WHERE rank <= 10",
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10",
 )
 def bm25(spark, d):
     """The ten best documents for every benchmark passage (a top-k report)."""
     queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = X.bm25_top(read(spark, d, "documents"), queries, 10)
-    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 _TOP5 = f"a AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, q.label = e.label AS relevant, {_DOT.format(a='q.embedding', b='e.embedding')} AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM a)"
