@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clauses import chunk_clause
 from .running import running
 
 # Cues of the header field group, and the share of the best page's score that keeps a page.
@@ -169,3 +170,18 @@ def chunks(docs: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
         return texts.map(lambda t: split_text(t, size, overlap))
 
     return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "text"))
+
+
+def page_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
+    """``(doc_id, page_number, chunk_index, text, clause_ref)``: each page's text cut by size alone, numbered on through the document.
+
+    The plain arm of a comparison: prose and tables are one stream, and only a leading clause number is read.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, size, overlap))
+
+    cut_up = pages.select("doc_id", "page_number", F.posexplode(cut("text")).alias("piece", "text"))
+    numbered = running(cut_up, ["doc_id"], F.floor(F.col("page_number") / 256), ["page_number", "piece"], {"n": F.lit(1)})
+    return numbered.select("doc_id", "page_number", (F.col("n") - 1).cast("long").alias("chunk_index"), "text", chunk_clause(F.col("text")).alias("clause_ref"))

@@ -321,3 +321,16 @@ def typed_turnover(spark, d):
     raw = o.select("o_custkey", F.when(k % 9 == 0, "undated").otherwise(F.concat(F.lit("FY"), F.year("o_orderdate").cast("string"))).alias("year"), pick(SUMS_RAW, F.col("o_custkey") + F.floor(k / 64).cast("long")).alias("amount_raw"))
     t = K.typed_turnover(raw, ["o_custkey"])
     return t.select("o_custkey", F.col("year").cast("long").alias("year"), F.col("amount_inr").cast("double").alias("amount_inr"), "conflicting")
+
+
+@query(
+    "q107_page_chunks",
+    "WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '4.2 ' ELSE '' END || trim(text) AS text FROM conversations WHERE trim(text) <> '') "
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, text, CASE WHEN turn % 3 = 0 THEN '4.2' END AS clause_ref FROM c",
+)
+def page_chunks(spark, d):
+    """Pages cut by size alone, with their leading clause numbers."""
+    pages = read(spark, d, "conversations").where("trim(text) <> ''")
+    text = F.concat(F.when(F.col("turn") % 3 == 0, "4.2 ").otherwise(""), F.trim("text"))
+    found = P.page_chunks(pages.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), text.alias("text")), size=4000)
+    return found.select(F.col("doc_id").alias("conv_id"), F.col("page_number").alias("turn"), "chunk_index", "text", "clause_ref")
