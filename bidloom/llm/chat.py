@@ -6,7 +6,8 @@ ends in a hash that the longer one has before its end. An anti-join against thes
 keeps the maximal conversations; of equal ones the smallest conv_id stays. These are rendered.
 
 The hash of a prefix is the sum of the hashes of (place, role, text) of its turns, kept as four
-sums of 32-bit halves of two 64-bit hashes. A sum can be taken piecewise: turns are dealt by ranges
+sums of 32-bit halves of two 64-bit hashes. Prefixes count as equal when their length and these 128
+bits are; their bytes are not compared. A sum can be taken piecewise: turns are dealt by ranges
 of (conv_id, turn), summed within a partition and shifted by the totals of earlier partitions. A
 conversation that fills many partitions therefore never meets in one task, and the shifts number
 at most one row per partition and conversation that crosses its edge. The same sums give each

@@ -78,7 +78,8 @@ def chosen_rows(docs: DataFrame, decided: DataFrame, scratch: Scratch) -> DataFr
     """The rows of ``docs`` that stay, with all their columns.
 
     ``decided(id, hash, stays)`` has a row for every row of ``docs``. A row that repeats both
-    doc_id and text comes back once. Rows that the filter of the others lacks are not shuffled.
+    doc_id and text comes back once: the least by its other columns, or any where a type has no
+    order. Rows that the filter of the others lacks are not shuffled.
     """
     about = decided.groupBy("id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
     about = scratch.table(about.select("id", "hash", "stays"), "decided")
@@ -89,6 +90,7 @@ def chosen_rows(docs: DataFrame, decided: DataFrame, scratch: Scratch) -> DataFr
     about = about.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "stays")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_hash().alias("hash"))
     probed = rows.withColumn("maybe", maybe(*row_keys()))
-    met = probed.where("maybe").groupBy("id", "hash").agg(F.first("row").alias("row"))  # repeated rows are one before the shuffle
+    one = F.first if any(t in docs.schema.simpleString() for t in ("map<", "variant")) else F.min
+    met = probed.where("maybe").groupBy("id", "hash").agg(one("row").alias("row"))  # repeated rows are one before the shuffle
     met = met.join(about, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").where("coalesce(stays, true)")
     return probed.where("NOT maybe").select("row").union(met.select("row")).select("row.*")
