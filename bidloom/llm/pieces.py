@@ -291,6 +291,8 @@ class SegmentEncoder:
     def _passes(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Best score, gap to the second best, number of tokens and tokens of each segment."""
         n = len(starts)
+        if not (ends - starts > LONG).any():
+            return self._short_passes(chars, starts, ends)
         value, gap, made = np.zeros(n), np.full(n, np.inf), [None] * n
         short = np.flatnonzero(ends - starts <= LONG)
         if len(short):
@@ -531,6 +533,15 @@ def apply_edits(tokens: list[int], edits) -> list[int]:
     return out + list(tokens[at:])
 
 
+def _edited(tokens: np.ndarray, edits) -> np.ndarray:
+    """``apply_edits`` of arrays, as little-endian 32-bit numbers."""
+    parts, at = [], 0
+    for start, size, new in edits:
+        parts += [tokens[at:start], np.array(new, np.int32)]
+        at = start + size
+    return np.concatenate([*parts, tokens[at:]]).astype("<i4")
+
+
 _EDITS = "array<array<struct<at:int,size:int,tokens:array<int>>>>"
 
 
@@ -545,20 +556,25 @@ def _runner(v: Vocabulary, n: int, digest: bool):
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
-            if size > SLICE_BYTES // 2:
+            if size > SLICE_BYTES:
                 yield from encode_texts(encoder, held, n)
                 held, size = [], 0
         if held:
             yield from encode_texts(encoder, held, n)
 
     def paths(tokens, edits, text):
-        """Digests of the paths, and whether each of them decodes to the text."""
-        first, digests, same = tokens.tolist(), [], True
+        """Digests of the paths, and whether each of them decodes to the text.
+
+        Decoding joins the tokens' bytes, so a later path decodes to the text where the best one does
+        and each of its changes stands for the same bytes as the tokens it replaces.
+        """
+        digests, same = [], v.decode(tokens.tolist()) == text
+        spelled = v.to_bytes
         for e in edits:
-            path = apply_edits(first, e) if e else first
-            same = same and v.decode(path) == text
+            for at, size, new in e:
+                same = same and b"".join([spelled[t] for t in new]) == b"".join([spelled[t] for t in tokens[at : at + size].tolist()])
             if digest:
-                digests.append(hashlib.md5(np.array(path, "<i4").tobytes()).hexdigest())
+                digests.append(hashlib.md5(_edited(tokens, e).tobytes()).hexdigest())
         return digests, same
 
     def run(batches):
