@@ -16,6 +16,7 @@ from .mixing import DOMAINS, mixture
 from .near_dedup import near_duplicates
 from .pieces import default_model, encode_documents
 from .quality import quality_scores
+from .repetition import best_run, word_runs
 from .rules import quality_rules
 from .scratch import Scratch
 from .toxicity import toxicity_scores
@@ -169,6 +170,37 @@ k AS (SELECT conv_id FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = e
 SELECT p.conv_id, p.place, p.turns, p.rendered, CAST(p.starts_at AS BIGINT) AS starts_at FROM p JOIN k USING (conv_id)
 """
 
+_WHITE = r"[\x20\x09-\x0D]+"
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the words of one document in ten repeated from some word on.
+
+    Let h be crc32 of doc_id as text, and g = floor(h / 10). Where h is divisible by 10 and the text has n > 0 words,
+    each word i >= a becomes word a + (i - a) % p, where a = g % n and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    body, h = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")), F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("w").cast("long")
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when((h % 10 == 0) & (body != ""), F.split(body, _WHITE)).alias("w"), g.alias("g"))
+    some = some.withColumn("a", F.col("g") % n)
+    some = some.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return some.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(changed).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, one in ten with a periodic tail, and their texts without the repetitions."""
+    ship(spark)
+    found = word_runs(with_periodic_tails(_read(spark, sf_dir, "documents"))).withColumn("best", best_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
@@ -180,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lsm_exact_dedup": op8_lsm_exact_dedup,
     "op9_soft_mixing": op9_soft_mixing,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL: dict[str, str] = {
