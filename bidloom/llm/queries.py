@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import licences
+from .audit import filter_audit
 from .chat import maximal_conversations
 from .exact_dedup import exact_duplicates
 from .licences import known_table, licence_scan
@@ -201,6 +202,42 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and lose in every order, by language."""
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark))
+
+
+OP13_SQL = r"""
+WITH known AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY body) AS least FROM t),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w),
+m AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+h AS (
+  SELECT *, coalesce(list_min(list_transform(list_filter(string_split(fails, ''), lambda x: x <> ''), lambda x: instr(filter_order, x))), 9) AS falls
+  FROM m, o),
+s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, sum(CASE WHEN falls > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN falls = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN falls < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN falls = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN falls = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM h, range(1, 6) r(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM s
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_nnpu_toxicity": op2_nnpu_toxicity,
@@ -213,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_soft_mixing": op9_soft_mixing,
     "op10_snapshot_collapse": op10_snapshot_collapse,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -220,4 +258,5 @@ SQL: dict[str, str] = {
     "op7_licence_digests": OP7_SQL,
     "op8_lsm_exact_dedup": OP8_SQL,
     "op10_snapshot_collapse": OP10_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
