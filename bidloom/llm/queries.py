@@ -12,6 +12,7 @@ from . import licences
 from .audit import filter_audit
 from .chat import maximal_conversations
 from .exact_dedup import exact_duplicates
+from .language import language_scores
 from .licences import known_table, licence_scan
 from .mixing import DOMAINS, mixture
 from .near_dedup import near_duplicates
@@ -202,6 +203,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    ship(spark)
+    return language_scores(_read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters keep, remove and lose in every order, by language."""
     return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), Scratch(spark))
@@ -250,6 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_soft_mixing": op9_soft_mixing,
     "op10_snapshot_collapse": op10_snapshot_collapse,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_string_kernel_language": op12_string_kernel_language,
     "op13_filter_audit": op13_filter_audit,
 }
 
