@@ -3,8 +3,8 @@
 An ARC file begins with a version block (``filedesc://``) that names the fields of every record's
 header line: five in version 1, ten in version 2. A header line ends in the declared length of the
 bytes that follow. The converter parses records by these lengths and synthesises what WARC asks
-for and ARC lacks: a record identifier (a version-5 UUID of archive, place and header line, so
-repeated records have identifiers of their own), an ISO timestamp, a record type and block and payload
+for and ARC lacks: a record identifier (a version-5 UUID of the archive's path below the root, place and header
+line, so repeated records have identifiers of their own, whichever files hold them), an ISO timestamp, a record type and block and payload
 digests. Of records with equal payloads one is a response and the others become revisits that refer to it.
 
 On Spark. Archives are written by the text sink: a row is one record's bytes, and the line
@@ -13,7 +13,8 @@ separator is what the format puts after a record. A task begins a new file befor
 file to itself; every file begins with its version block or warcinfo record. Archives are read as
 ``binaryFile`` rows, each of one such file, so any file system that Spark reads will do, and are
 decompressed as a stream. The decision which record stays a response is a join of digests; payloads
-are not shuffled, only each archive's compressed bytes once.
+are not shuffled, only each archive's compressed bytes once. Two records with one identifier would get each
+other's revisits, so a conversion that meets such a pair raises before it writes.
 
 Cases. A null html is an empty payload; a null url is written as ``-``. Repeated rows are records of their
 own with identifiers of their own; of those with the largest page_id the one with the largest
@@ -28,11 +29,13 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +121,14 @@ def iso_date(arc_date: str) -> str:
 
 
 def record_id(line: str, archive: str = "", place: int = 0) -> str:
-    """The identifier of the record at ``place`` of an archive (named without its folders)."""
-    return f"<urn:uuid:{uuid.uuid5(_IDS, chr(0).join((archive.rsplit('/', 1)[-1], str(place), line)))}>"
+    """The identifier of the record at ``place`` of an archive, which is named by its path below the root."""
+    return f"<urn:uuid:{uuid.uuid5(_IDS, chr(0).join((archive, str(place), line)))}>"
+
+
+def below(root: str, path: str) -> str:
+    """``path`` without the folder ``root``, whichever way the two write scheme and slashes; all of it where it lies elsewhere."""
+    root, whole = (re.sub("/+", "/", urlsplit(x).path) for x in (root, path))
+    return whole[len(root.rstrip("/")) + 1 :] if whole.startswith(root.rstrip("/") + "/") else whole
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -245,6 +254,11 @@ def _as_batches(records: Iterator[tuple[int, int, bytes]], most: int = 64, most_
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _RECORD.types, strict=True)], schema=_RECORD)
 
 
+def _file_name(file: int, ending: str) -> str:
+    """The name that a task's archive gives itself: no two tasks or files of a job have the same."""
+    return f"part-{TaskContext.get().partitionId():05d}-{file:05d}.{ending}"
+
+
 def _save(source: DataFrame, run, path: str, after: str) -> None:
     """Rows of ``run`` as archive files, one for each task and file number.
 
@@ -268,7 +282,7 @@ def write_arc(pages: DataFrame, path: str, version: str = "1", date: str = "2020
                 yield arc_record(version, target, "0.0.0.0", date, "text/html", head + body)
 
     def run(batches):
-        yield from _as_batches(_in_files(records(batches), lambda n: arc_version_block(version, f"part-{n}.arc", date), file_bytes, file_records))
+        yield from _as_batches(_in_files(records(batches), lambda n: arc_version_block(version, _file_name(n, "arc"), date), file_bytes, file_records))
 
     _save(pages.select("page_id", "url", "html"), run, path, "\n")
 
@@ -278,16 +292,16 @@ def archives(spark, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def arc_index(arcs: DataFrame) -> DataFrame:
-    """``(path, place, id, number, digest, size)`` of every ARC record."""
+def arc_index(arcs: DataFrame, root: str) -> DataFrame:
+    """``(path, place, id, number, digest, size)`` of every ARC record of archives under ``root``."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, name = [], path.as_py()
+                rows, name = [], below(root, path.as_py())
                 for place, (_, block, line) in enumerate(parse_arc(_Plain(content.as_py()))):
                     head, payload = split_http(block)
-                    rows.append({"path": name, "place": place, "id": record_id(line, name, place), "number": _number(head), "digest": sha1_base32(payload), "size": len(payload)})
+                    rows.append({"path": path.as_py(), "place": place, "id": record_id(line, name, place), "number": _number(head), "digest": sha1_base32(payload), "size": len(payload)})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("number", pa.int64()), ("digest", pa.string()), ("size", pa.int64())]))
 
     return arcs.mapInArrow(run, "path string, place int, id string, number long, digest string, size long")
@@ -299,6 +313,13 @@ def _number(head: bytes) -> int | None:
     return int(value) if value else None
 
 
+def raise_on_shared_ids(index: DataFrame) -> None:
+    """Raise when two rows of ``index`` have one identifier."""
+    twice = index.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").head(1)
+    if twice:
+        raise ValueError(f"{twice[0]['n']} records have the identifier {twice[0]['id']}, one of them in {twice[0]['path']}")
+
+
 def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Convert the ARC files under ``arc_path``.
 
@@ -307,7 +328,8 @@ def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes:
     """
     spark = scratch.spark
     arcs = archives(spark, arc_path, "*.txt*")
-    index = scratch.table(arc_index(arcs), "arc-index")
+    index = scratch.table(arc_index(arcs, arc_path), "arc-index")
+    raise_on_shared_ids(index)
     shared = index.where(F.col("size") >= min_revisit_bytes)
     first = shared.groupBy("digest", "size").agg(F.max(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = scratch.table(first, "first")  # so that a digest with very many rows can be split in the join
@@ -319,11 +341,11 @@ def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes:
         def records():
             for batch in batches:
                 for path, content, revisits in zip(*batch.columns, strict=True):
-                    name, refers = path.as_py(), {r["place"]: r["refers_to"] for r in revisits.as_py() or []}
+                    name, refers = below(arc_path, path.as_py()), {r["place"]: r["refers_to"] for r in revisits.as_py() or []}
                     for place, (fields, block, line) in enumerate(parse_arc(_Plain(content.as_py()))):
                         yield convert_record(fields, block, record_id(line, name, place), refers.get(place))
 
-        yield from _as_batches(_in_files(records(), lambda n: warcinfo(f"part-{n}.warc"), file_bytes, file_records))
+        yield from _as_batches(_in_files(records(), lambda n: warcinfo(f"{below('/', warc_path)}/{_file_name(n, 'warc')}"), file_bytes, file_records))
 
     _save(arcs.join(by_file, "path", "left").select("path", "content", "revisits"), run, warc_path, "\r\n\r\n")
 

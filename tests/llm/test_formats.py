@@ -237,6 +237,55 @@ def test_archives_are_cut_by_bytes(spark, tmp_path):
     )
 
 
+def through(spark, rows, tasks, **kw):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(tasks)
+    return [tuple(r) for r in warc.pages_through_archives(df, Scratch(spark), **kw).collect()]
+
+
+def test_equal_rows_over_several_files_have_one_response(spark):
+    """Files of one task have the same name in different folders: identifiers tell them apart."""
+    for rows, kw in (([(5, "u", "same")] * 4100, {}), ([(5, "u", "same")] * 8, {"file_bytes": 700})):
+        got = through(spark, rows, 1, **kw)
+        assert sorted(r[3] for r in got) == ["response"] + ["revisit"] * (len(rows) - 1) and {r[4] for r in got if r[3] == "revisit"} == {5}
+
+
+def test_revisits_refer_to_their_own_payload_at_equal_places(spark):
+    rows = [(30, "u", "aaaa"), (10, "v", "aaaa"), (31, "u", "bbbb"), (11, "w", "cccc")]
+    assert sorted(through(spark, rows, 1, file_bytes=480)) == brute_pages(rows)
+
+
+def test_repeated_pages_over_small_files(spark):
+    rows = [(i, "u", f"page {i % 7}") for i in range(40)] * 50
+    got = through(spark, rows, 3, file_bytes=3000)
+    assert len(got) == 2000 and sum(r[3] == "response" for r in got) == 7
+    largest = {f"page {k}".encode(): max(i for i in range(40) if i % 7 == k) for k in range(7)}
+    digest = {warc.sha1_base32(b): i for b, i in largest.items()}
+    assert all(r[4] == digest[r[2]] if r[3] == "revisit" else r[0] == digest[r[2]] for r in got)
+
+
+def test_archives_name_themselves_once(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(i, "u", "x" * 200) for i in range(40)], "page_id long, url string, html string").repartition(3)
+    warc.write_arc(df, f"{tmp_path}/arc", file_bytes=1500)
+    warc.convert(f"{tmp_path}/arc", f"{tmp_path}/warc", Scratch(spark), file_bytes=1500)
+    own = []
+    for f in (tmp_path / "warc").glob("**/*.gz"):
+        fields, _ = next(warc.parse_warc(gzip.decompress(f.read_bytes())))
+        assert fields["warc-type"] == "warcinfo"
+        own.append(fields["warc-record-id"])
+    arcs = [gzip.decompress(f.read_bytes()).split(b" ", 1)[0] for f in (tmp_path / "arc").glob("**/*.gz")]
+    assert len(own) > 3 and len(set(own)) == len(own) and len(set(arcs)) == len(arcs) > 3
+
+
+def test_shared_identifiers_raise(spark):
+    index = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "path string, id string")
+    warc.raise_on_shared_ids(index.where("path <> 'c'"))
+    with pytest.raises(ValueError, match="2 records have the identifier 1"):
+        warc.raise_on_shared_ids(index)
+    assert [warc.below("file:///a/b/", p) for p in ("file:/a/b/f=0/x", "file:/a/c/x")] == ["f=0/x", "/a/c/x"]
+
+
 def test_streams_are_read_in_steps():
     import gzip
 
