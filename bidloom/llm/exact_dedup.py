@@ -5,13 +5,18 @@ The index maps the SHA-256 of a text without its ASCII white space to the row th
 * Memtable. Each task fills a dictionary of digests from the rows it reads and flushes it when it
   holds ``memtable_rows`` digests: one run, sorted by digest, where a digest met many times is one
   entry with its best row and its count. A hot digest therefore leaves a task as one entry.
-* Compaction merges the sorted runs by key range: runs are dealt by ranges of digests, and a range
-  is merged in one pass over its sorted entries into a run of the next level, which keeps the best
-  row of each digest: most code points in the original text, then the smallest identifier.
-* Filters. The compacted runs flush a Bloom filter of the digests that more than one row has
-  (``rowfilter``: sized by their number, 16 MiB at most). The filters are ORed into one.
+* Filters. A run has a filter with it: the fingerprints (first sixteen bytes) of its digests and
+  whether an entry has several rows. A digest asks the filters of all runs but its own by asking their
+  merger, which knows in how many runs a fingerprint is: an aggregation of fingerprints, far narrower than entries.
+  What more than one row may have is packed into a Bloom filter (``rowfilter``: sized by its keys, 16 MiB at
+  most). An entry that it lacks is in no other run: no compaction and no lookup reads it.
+* Compaction merges the other entries by key range, level by level: of at most some ``fan_in`` runs at a
+  time, a range of digests is dealt to one task, put in order and merged in one pass over sorted
+  entries into one run of the next level. Of equal digests the best row stays: most code points in
+  the original text, then the smallest identifier; counts add up. Digests are not hashed again. The last
+  level has one run for each range.
 * Lookup. Every row looks itself up. A digest that the filter lacks belongs to its row alone and is
-  answered without reading a run; the others are joined with the runs.
+  answered without reading a run; the others are joined with the last level.
 * Verification. Equal digests are only hits. The texts that the filter holds, and no others, are
   read again and dealt by ranges of (digest, row); each range compares the bytes of its
   neighbours in one pass, and only the first and last digest of a range, which may go on in the
@@ -32,17 +37,27 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rowfilter import chosen_rows, filter_bits, filter_of, in_filter, text_hash
+from .rowfilter import chosen_rows, filter_bits, filter_of, in_filter, maybe_in, text_hash
 from .scratch import Scratch
 from .textops import tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LAST_ID = (1 << 63) - 1
-_ENTRY = pa.schema([("digest", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("null_id", pa.bool_()), ("hash", pa.int64()), ("n", pa.int64())])
-
+_ENTRY = pa.schema(
+    [
+        ("run", pa.int64()), ("head", pa.int32()), ("digest", pa.binary()), ("first", pa.int64()), ("second", pa.int64()),
+        ("points", pa.int64()), ("id", pa.int64()), ("null_id", pa.bool_()), ("hash", pa.int64()), ("n", pa.int64()),
+    ]
+)
+_ENTRY_SQL = "run long, head int, digest binary, first long, second long, points long, id long, null_id boolean, hash long, n long"
+_RUNS_OF_TASK = 1 << 24
+_HEAD_BITS = 16
+#: Entries that a key range of one merger has, about.
+RANGE_ENTRIES = 1 << 20
 
 def sha256(body: bytes) -> bytes:
     return hashlib.sha256(body).digest()
@@ -76,13 +91,16 @@ def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> Da
 def _memtables(memtable_rows: int):
     def run(batches):
         table: dict[bytes, tuple[int, bool, int, int, int]] = {}
+        number = TaskContext.get().partitionId() * _RUNS_OF_TASK
 
         def flush():
             keys = sorted(table)
             best = [table[k] for k in keys]
+            first, second = filter_keys(keys)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.binary()), pa.array([-b[0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()),
+                    pa.array(np.full(len(keys), number)), pa.array([int.from_bytes(k[:2], "big") for k in keys], pa.int32()), pa.array(keys, pa.binary()),
+                    pa.array(first), pa.array(second), pa.array([-b[0] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()),
                     pa.array([b[1] for b in best], pa.bool_()), pa.array([b[3] for b in best], pa.int64()), pa.array([b[4] for b in best], pa.int64()),
                 ],
                 schema=_ENTRY,
@@ -96,6 +114,7 @@ def _memtables(memtable_rows: int):
                 table[d] = (*new, 1) if old is None else (*min(new, old[:4]), old[4] + 1)
                 if len(table) >= memtable_rows:
                     yield from flush()
+                    number += 1
         if table:
             yield from flush()
 
@@ -103,39 +122,48 @@ def _memtables(memtable_rows: int):
 
 
 def flush_runs(digests: DataFrame, memtable_rows: int = 50_000) -> DataFrame:
-    """Sorted runs of ``digests(doc_id, hash, digest, points)``: an Arrow batch is one run."""
-    return digests.select("doc_id", "hash", "digest", "points").mapInArrow(
-        _memtables(memtable_rows), "digest binary, points long, id long, null_id boolean, hash long, n long"
-    )
+    """Sorted runs of ``digests(doc_id, hash, digest, points)``, numbered; ``first`` and ``second`` are the entries' fingerprints."""
+    return digests.select("doc_id", "hash", "digest", "points").mapInArrow(_memtables(memtable_rows), _ENTRY_SQL)
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Runs merged by key range into one level of ``(digest, points, id, null_id, hash, n)``.
+def merged_filter(runs: DataFrame) -> DataFrame:
+    """``(first, second, runs, n)``: in how many runs a fingerprint is, and the rows of its largest entry."""
+    return runs.groupBy("first", "second").agg(F.count("*").alias("runs"), F.max("n").alias("n"))
 
-    The ranges are sorted once and aggregated in that order: no second shuffle, no hash table.
-    """
-    entry = F.struct((-F.col("points")).alias("p"), "null_id", "id", "hash")
-    ranges = runs.repartitionByRange("digest").sortWithinPartitions("digest")
-    level = ranges.groupBy("digest").agg(F.min(entry).alias("best"), F.sum("n").alias("n"))
-    return level.select("digest", (-F.col("best.p")).alias("points"), "best.id", "best.null_id", "best.hash", "n")
 
+def shared_filter(runs: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The packed filter of the fingerprints that more than one row may have."""
+    shared = scratch.table(merged_filter(runs).where("runs > 1 OR n > 1").select("first", "second"), "fingerprints")
+    words = filter_of(shared, filter_bits(shared.count()))
+    scratch.forget(shared)
+    return words
 
-def shared_filter(level: DataFrame) -> np.ndarray:
-    """The filter of the digests that more than one row has."""
-    hit = level.where("n > 1")
 
-    def keys(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(k) for k in filter_keys(batch.column(0).to_pylist())], ["first", "second"])
+def merged_level(runs: DataFrame, ranges: int, groups: int) -> DataFrame:
+    """The next level: runs of one group merged, a key range at a time. ``ranges`` is a power of two."""
+    key_range = F.shiftright("head", _HEAD_BITS - ranges.bit_length() + 1)
+    group = F.pmod(F.xxhash64("run"), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
+    dealt = runs.withColumn("range", key_range).withColumn("group", group).repartition("range", "group").sortWithinPartitions("range", "group", "digest")
+    entry = F.struct((-F.col("points")).alias("p"), "null_id", "id", "hash")
+    # In this order the entries of a digest are neighbours: one pass, no hash table.
+    level = dealt.groupBy("range", "group", "digest").agg(F.min(entry).alias("best"), F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("head", "first", "second")))
+    return level.select(F.col("group").alias("run"), "head", "digest", "first", "second", (-F.col("best.p")).alias("points"), "best.id", "best.null_id", "best.hash", "n")
 
-    return filter_of(hit.select("digest").mapInArrow(keys, "first long, second long"), filter_bits(hit.count()))
 
+def compact(runs: DataFrame, scratch: Scratch, fan_in: int = 256, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+    """``runs`` merged level by level, until a key range has one run."""
+    size = runs.agg(F.countDistinct("run").alias("runs"), F.count("*").alias("entries")).first()
+    left, ranges = size["runs"], min(1 << _HEAD_BITS, 1 << max(0, -(-size["entries"] // range_entries) - 1).bit_length())
+    level = None
+    while level is None or left > 1:
+        left = -(-left // fan_in)
+        before, level = level, scratch.table(merged_level(runs if level is None else level, ranges, left), "level")
+        scratch.forget(*([before] if before is not None else []))
+    return level
 
-def lookup(digests: DataFrame, level: DataFrame, words: np.ndarray) -> DataFrame:
-    """``digests`` with ``(keep_id, keep_hash, group_size)`` from an index; null where it has no such digest.
 
-    Digests that the filter ``words`` lacks are answered without reading the level.
-    """
+def asked(digests: DataFrame, words: np.ndarray) -> DataFrame:
+    """``digests`` with ``maybe``: whether the filter may hold the digest."""
     shared = digests.sparkSession.sparkContext.broadcast(words)
 
     def probe(batches):
@@ -143,8 +171,16 @@ def lookup(digests: DataFrame, level: DataFrame, words: np.ndarray) -> DataFrame
             maybe = in_filter(*filter_keys(batch.column(2).to_pylist()), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe, pa.bool_())], [*batch.schema.names, "maybe"])
 
-    probed = digests.select("doc_id", "hash", "digest", "points").mapInArrow(probe, "doc_id long, hash long, digest binary, points long, maybe boolean")
-    answer = level.where("n > 1").select("digest", F.when(~F.col("null_id"), F.col("id")).alias("keep_id"), F.col("hash").alias("keep_hash"), F.col("n").alias("group_size"))
+    return digests.select("doc_id", "hash", "digest", "points").mapInArrow(probe, "doc_id long, hash long, digest binary, points long, maybe boolean")
+
+
+def lookup(digests: DataFrame, level: DataFrame, words: np.ndarray) -> DataFrame:
+    """``digests`` with ``(keep_id, keep_hash, group_size)`` from an index; null where it has no such digest.
+
+    Digests that the filter ``words`` lacks are answered without reading the level.
+    """
+    probed = asked(digests, words)
+    answer = level.select("digest", F.when(~F.col("null_id"), F.col("id")).alias("keep_id"), F.col("hash").alias("keep_hash"), F.col("n").alias("group_size"))
     none = [F.lit(None).cast("long").alias(c) for c in ("keep_id", "keep_hash", "group_size")]
     return probed.where("maybe").drop("maybe").join(answer, "digest", "left").select("doc_id", "hash", "digest", "points", "keep_id", "keep_hash", "group_size").union(
         probed.where("NOT maybe").select("doc_id", "hash", "digest", "points", *none)
@@ -203,14 +239,14 @@ def differing_digests(bodies: DataFrame) -> DataFrame:
     return across.where("differs OR low <> high").select("digest")
 
 
-def grouped(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+def grouped(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256, fan_in: int = 256) -> DataFrame:
     """``(doc_id, hash, digest, keep_id, keep_hash, group_size)`` for every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
     digests = scratch.table(digests_of(docs, digest), "digests")
     runs = scratch.table(flush_runs(digests, memtable_rows), "runs")
-    level = scratch.table(compact(runs), "level")
+    words = shared_filter(runs, scratch)
+    level = compact(runs.where(maybe_in(words, runs.sparkSession)("first", "second")), scratch, fan_in)
     scratch.forget(runs)
-    words = shared_filter(level)
     bodies = scratch.table(bodies_of(docs, words, digest), "bodies")
     differing = scratch.table(differing_digests(bodies), "differing")
     # A digest of one row, whether the filter lacks it or not, is answered by the row itself.
@@ -230,9 +266,9 @@ def grouped(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, dige
     return out.join(differing, "digest", "left_anti").select(*regrouped.columns).union(regrouped)
 
 
-def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+def exact_duplicates(docs: DataFrame, scratch: Scratch, memtable_rows: int = 50_000, digest: Callable[[bytes], bytes] = sha256, fan_in: int = 256) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)`` for every row of ``docs(doc_id, text)``."""
-    return grouped(docs, scratch, memtable_rows, digest).select(
+    return grouped(docs, scratch, memtable_rows, digest, fan_in).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 

@@ -119,29 +119,73 @@ def test_exact_duplicates_against_grouping(spark):
     docs = [(i, rng.choice(["a b", "ab", "a\nb ", "é x", "éx", "", None, " ", "long " * 50, "unique" + str(i)])) for i in range(200)]
     docs += [(3, docs[3][1]), (None, "ab"), (None, "nobody else")]
     df = spark.createDataFrame(docs, DOC).withColumn("digest", F.lit("clash")).repartition(5)
-    got = exact_duplicates(df, Scratch(spark), memtable_rows=7).collect()
+    got = exact_duplicates(df, Scratch(spark), memtable_rows=7, fan_in=3).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == brute_exact(docs)
     assert exact_duplicates(spark.createDataFrame([], DOC), Scratch(spark)).count() == 0
 
 
-def test_index_lookup_uses_filters(spark):
+def index_of(spark, rows, memtable_rows=8, tasks=1):
+    digests = digests_of(spark.createDataFrame(rows, DOC).coalesce(tasks))
     scratch = Scratch(spark)
-    old = digests_of(spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)], DOC).coalesce(1))
-    runs = scratch.table(flush_runs(old, memtable_rows=8), "runs")
-    own = [bytes(r.digest) for r in runs.collect()]
-    assert all(own[i : i + 8] == sorted(own[i : i + 8]) for i in range(0, len(own), 8))  # runs are sorted
-    level = scratch.table(compact(runs), "level")
-    packed = shared_filter(level)
+    return scratch, scratch.table(flush_runs(digests, memtable_rows), "runs")
+
+
+def test_runs_are_sorted_and_numbered(spark):
+    _, runs = index_of(spark, [(i, f"text {i % 30}") for i in range(40)])
+    by = {}
+    for r in runs.collect():
+        by.setdefault(r.run, []).append(bytes(r.digest))
+    assert len(by) == 5 and all(len(d) <= 8 and d == sorted(set(d)) for d in by.values())
+
+
+def test_filters_of_runs_tell_what_another_run_may_hold(spark):
+    """Made when runs are flushed, before any is merged: an entry that no other run has is read by no compaction."""
+    scratch, runs = index_of(spark, [(i, f"text {i}") for i in range(40)] + [(50, "text 3"), (51, "x"), (52, "x")])
+    found = {(r.runs, r.n) for r in exact_dedup.merged_filter(runs).collect()}
+    assert found == {(1, 1), (2, 1), (1, 2)}
+    words = shared_filter(runs, scratch)
+    keys = [(r.doc_id, r.maybe) for r in exact_dedup.asked(digests_of(spark.createDataFrame([(3, "text 3"), (50, "te xt3"), (51, "x"), (4, "text 4"), (101, "never seen")], DOC)), words).collect()]
+    assert dict(keys) == {3: True, 50: True, 51: True, 4: False, 101: False}
+    hit = runs.where(exact_dedup.maybe_in(words, spark)("first", "second"))
+    assert hit.count() == 3 and compact(hit, scratch).agg(F.sum("n")).first()[0] == 4
+    unique, alone = index_of(spark, [(i, f"text {i}") for i in range(40)])
+    assert not shared_filter(alone, unique).any()
+
+
+def test_index_lookup_asks_the_filter_first(spark):
+    scratch, runs = index_of(spark, [(i, f"text {i % 30}") for i in range(40)])
+    words = filter_of(runs.select("first", "second"), 1 << 16)  # of all that the index has
+    level = compact(runs, scratch)
     new = digests_of(spark.createDataFrame([(100, "text 7"), (101, "never seen"), (102, "text 20")], DOC))
-    got = lookup(new, level, packed)
-    assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == {100: (7, 2), 101: (None, None), 102: (None, None)}
-    assert level.agg(F.sum("n")).first()[0] == 40
-
-
-def test_compaction_shuffles_once(spark):
-    runs = flush_runs(digests_of(spark.createDataFrame([(1, "a"), (2, "b")], DOC)))
-    plan = compact(runs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "SortAggregate" in plan
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in lookup(new, level, words).collect()} == {100: (7, 2), 101: (None, None), 102: (20, 1)}
+    assert {r.doc_id: r.maybe for r in exact_dedup.asked(new, words).collect()} == {100: True, 101: False, 102: True}
+    # A digest that the filter lacks meets no run, even of an index that would answer it.
+    none = lookup(new, level, filter_of(runs.select("first", "second").limit(0), 1 << 16)).collect()
+    assert all(r.keep_id is None for r in none)
+
+
+@pytest.mark.parametrize("fan_in, range_entries", [(2, 4), (3, 1 << 20), (256, 4)])
+def test_levels_are_merged(spark, fan_in, range_entries):
+    """Many runs, few at a time: the same last level, each digest once, the smallest entry and all counts."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a  b", "ab", "c", f"t{i % 40}"])) for i in range(150)]
+    scratch, runs = index_of(spark, rows, 4, 5)
+    assert runs.select("run").distinct().count() > 10
+    level = compact(runs, scratch, fan_in, range_entries).collect()
+    want = {}
+    for i, t in rows:
+        entry = (-len(t), i)
+        best, n = want.get(t.replace(" ", ""), (entry, 0))
+        want[t.replace(" ", "")] = (min(best, entry), n + 1)
+    assert sorted(((-r.points, r.id), r.n) for r in level) == sorted(want.values()) and len({bytes(r.digest) for r in level}) == len(level)
+    one = compact(runs, scratch).collect()
+    assert sorted((bytes(r.digest), r.id, r.n) for r in level) == sorted((bytes(r.digest), r.id, r.n) for r in one)
+
+
+def test_merging_keeps_the_order_and_hashes_nothing(spark):
+    _, runs = index_of(spark, [(1, "a"), (2, "b"), (3, "a")], 2)
+    plan = exact_dedup.merged_level(runs, 4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "SortAggregate" in plan and "HashAggregate" not in plan and "Python" not in plan and "MapInArrow" not in plan
 
 
 def test_filter_has_no_false_negatives(spark):
