@@ -14,7 +14,7 @@ file to itself; every file begins with its version block or warcinfo record. Arc
 ``binaryFile`` rows, each of one such file, so any file system that Spark reads will do, and are
 decompressed as a stream. The decision which record stays a response is a join of digests; payloads
 are not shuffled, only each archive's compressed bytes once. Two records with one identifier would get each
-other's revisits, so a conversion that meets such a pair raises before it writes.
+other's revisits, so a conversion that meets two archives of one name raises before it writes.
 
 Cases. A null html is an empty payload; a null url is written as ``-``. Repeated rows are records of their
 own with identifiers of their own; of those with the largest page_id the one with the largest
@@ -313,11 +313,19 @@ def _number(head: bytes) -> int | None:
     return int(value) if value else None
 
 
-def raise_on_shared_ids(index: DataFrame) -> None:
-    """Raise when two rows of ``index`` have one identifier."""
-    twice = index.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").head(1)
+def raise_on_shared_names(arcs: DataFrame, root: str) -> None:
+    """Raise when two archives have one name below ``root``: records at equal places could get one identifier.
+
+    A name and a place make an identifier, and an archive has a place once, so other records never share one.
+    """
+
+    def names(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([below(root, p.as_py()) for p in batch.column(0)], pa.string())], ["name"])
+
+    twice = arcs.select("path").mapInArrow(names, "name string").groupBy("name").count().where("count > 1").head(1)
     if twice:
-        raise ValueError(f"{twice[0]['n']} records have the identifier {twice[0]['id']}, one of them in {twice[0]['path']}")
+        raise ValueError(f"{twice[0]['count']} archives have the name {twice[0]['name']} below {root}")
 
 
 def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> None:
@@ -328,8 +336,8 @@ def convert(arc_path: str, warc_path: str, scratch: Scratch, min_revisit_bytes:
     """
     spark = scratch.spark
     arcs = archives(spark, arc_path, "*.txt*")
+    raise_on_shared_names(arcs, arc_path)
     index = scratch.table(arc_index(arcs, arc_path), "arc-index")
-    raise_on_shared_ids(index)
     shared = index.where(F.col("size") >= min_revisit_bytes)
     first = shared.groupBy("digest", "size").agg(F.max(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = scratch.table(first, "first")  # so that a digest with very many rows can be split in the join

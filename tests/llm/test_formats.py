@@ -278,12 +278,14 @@ def test_archives_name_themselves_once(spark, tmp_path):
     assert len(own) > 3 and len(set(own)) == len(own) and len(set(arcs)) == len(arcs) > 3
 
 
-def test_shared_identifiers_raise(spark):
-    index = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "path string, id string")
-    warc.raise_on_shared_ids(index.where("path <> 'c'"))
-    with pytest.raises(ValueError, match="2 records have the identifier 1"):
-        warc.raise_on_shared_ids(index)
+def test_shared_names_raise(spark):
+    arcs = spark.createDataFrame([("file:/a/b/f=0/x",), ("file:/a/b/f=1/x",), ("file:///a//b/f=0/x",)], "path string")
+    warc.raise_on_shared_names(arcs.limit(2), "file:///a/b")
+    with pytest.raises(ValueError, match="2 archives have the name f=0/x"):
+        warc.raise_on_shared_names(arcs, "file:///a/b")
     assert [warc.below("file:///a/b/", p) for p in ("file:/a/b/f=0/x", "file:/a/c/x")] == ["f=0/x", "/a/c/x"]
+    ids = {warc.record_id("line", f, p) for f in ("f=0/x", "f=1/x") for p in (0, 1)}
+    assert len(ids) == 4
 
 
 def test_streams_are_read_in_steps():
