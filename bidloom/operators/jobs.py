@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import running
+from .running import RANGE, ranged, running_over
 
 TERMINAL = ["succeeded", "partial", "failed"]
 
@@ -68,15 +68,15 @@ def rate_limit(requests: DataFrame, key: str, at: str, cost: str, per_second: fl
     The level after a request is a fold over the key's requests in order of ``at`` (seconds) and
     ``tie``. A fold of this form is a running maximum over prefix sums, so it is running totals
     and no state in Python: with spent S_i before request i at time t_i, the wait is what S_i + cost
-    exceeds the refill by, counted from the last moment the bucket was full. Totals are taken hour by
-    hour first, so a key may have any number of requests.
+    exceeds the refill by, counted from the last moment the bucket was full. Totals are taken range by
+    range of (key, time) first, so a key, and an hour of it, may have any number of requests.
     """
-    hour = F.floor(F.col(at) / 3600)
-    rows = running(requests, [key], hour, [at, tie], {"_spent": F.col(cost)})
+    cut = ranged(requests, [key], [at, tie])
+    rows = running_over(cut, [key], [at, tie], {"_spent": F.col(cost)})
     rows = rows.withColumn("_before", F.col("_spent") - F.col(cost))
-    rows = running(rows, [key], hour, [at, tie], highs={"_full": F.col(at) * per_second - F.col("_before")})
+    rows = running_over(rows, [key], [at, tie], highs={"_full": F.col(at) * per_second - F.col("_before")})
     need = F.col("_spent") + F.col("_full") - F.col(at) * per_second - capacity
-    return rows.withColumn("wait", F.greatest(F.lit(0.0), need / per_second)).drop("_spent", "_before", "_full")
+    return rows.withColumn("wait", F.greatest(F.lit(0.0), need / per_second)).drop("_spent", "_before", "_full", RANGE)
 
 
 def recovered(jobs: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:

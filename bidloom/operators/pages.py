@@ -77,7 +77,7 @@ def select_pages(pages: DataFrame, cues: list[str], budget: int, first: int = 0)
     A document within the budget keeps all pages; otherwise pages of a quarter of the best score and
     the ``first`` pages, cut at the first that would overflow (the very first one always stays). Texts
     are scored where they are read; from there on only numbers move, totals are aggregated and running
-    sums taken block by block, so a document may have any number of pages.
+    sums taken range by range, so a document may have any number of pages, under whatever numbers.
     """
     scored = pages.select("doc_id", "page_number", F.length("text").alias("chars"), cue_score(F.col("text"), cues).alias("score"))
     totals = scored.groupBy("doc_id").agg(F.max("score").alias("best"), F.sum("chars").alias("total"))
@@ -87,7 +87,7 @@ def select_pages(pages: DataFrame, cues: list[str], budget: int, first: int = 0)
     wanted = (F.col("total") <= budget) | ((F.col("best") > 0) & (F.col("score") > 0) & (F.col("score") >= F.col("best") * RELATIVE_KEEP)) | F.coalesce(F.col("place") <= first, F.lit(False))
     wanted = wanted | ((F.col("best") == 0) & F.col("place").isNotNull())
     kept = rated.where(wanted).select("doc_id", "page_number", "chars", "score")
-    used = running(kept, ["doc_id"], F.floor(F.col("page_number") / 1024), ["page_number"], {"used": F.col("chars"), "n": F.lit(1)})
+    used = running(kept, ["doc_id"], ["page_number"], {"used": F.col("chars"), "n": F.lit(1)})
     return used.where((F.col("used") <= budget) | (F.col("n") == 1)).drop("n")
 
 
@@ -183,5 +183,5 @@ def page_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200) -> DataF
         return texts.map(lambda t: split_text(t, size, overlap))
 
     cut_up = pages.select("doc_id", "page_number", F.posexplode(cut("text")).alias("piece", "text"))
-    numbered = running(cut_up, ["doc_id"], F.floor(F.col("page_number") / 256), ["page_number", "piece"], {"n": F.lit(1)})
+    numbered = running(cut_up, ["doc_id"], ["page_number", "piece"], {"n": F.lit(1)})
     return numbered.select("doc_id", "page_number", (F.col("n") - 1).cast("long").alias("chunk_index"), "text", chunk_clause(F.col("text")).alias("clause_ref"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import fragments as G
+from ..operators import lines as L
 from .base import query, read
 
 
@@ -60,3 +62,39 @@ def highlight_align(spark, d):
     pages = read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
     found = A.align(pages, snippets)
     return found.select(F.col("snippet_id").alias("item_id"), F.col("page_id").alias("doc_id"), "n_words", "matched", F.round("ratio", 6).alias("ratio"), "first_word", "last_word")
+
+
+_LINE_HOURS = 6
+
+
+@query(
+    "q109_line_groups",
+    "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    f"r AS (SELECT user_id, event_id, t, n, t AS anchor, event_id AS first_event FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.n, CASE WHEN o.t - r.anchor > {_LINE_HOURS * 3600} THEN o.t ELSE r.anchor END, "
+    f"CASE WHEN o.t - r.anchor > {_LINE_HOURS * 3600} THEN o.event_id ELSE r.first_event END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) "
+    "SELECT user_id, first_event, count(*) AS words, round(max(t) - min(t), 3) AS width FROM r GROUP BY user_id, first_event",
+)
+def line_groups(spark, d):
+    """Events as words in reading order: a line holds what lies within six hours of its first."""
+    e = read(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    found = L.with_lines(e, ["user_id"], ["t", "event_id"], "t", _LINE_HOURS * 3600.0, rising=True)
+    lines = found.groupBy("user_id", "line").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("first_event"), F.count("*").alias("words"), F.round(F.max("t") - F.min("t"), 3).alias("width"))
+    return lines.select("user_id", "first_event", "words", "width")
+
+
+@query(
+    "q110_tender_stems",
+    "WITH s AS (SELECT o_orderkey, 'NOTIF_' || CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') ELSE CAST(o_custkey AS VARCHAR) END || '_' || o_orderkey AS stem FROM orders), "
+    "x AS (SELECT 'NOTIF_' || c_custkey || '_' || c_custkey AS stem, min(c_name) AS name FROM customer GROUP BY ALL), "
+    "h AS (SELECT o_orderkey, x.name AS exact, split_part(replace(stem, 'NOTIF_', ''), '_', 1) AS hint FROM s LEFT JOIN x USING (stem)), "
+    "u AS (SELECT hint, count(DISTINCT c_name) AS holders, min(c_name) AS name FROM (SELECT DISTINCT hint FROM h WHERE exact IS NULL) JOIN customer ON contains(lower(c_name), lower(hint)) GROUP BY hint) "
+    "SELECT o_orderkey, coalesce(exact, CASE WHEN holders = 1 THEN u.name END) AS tender_id FROM h LEFT JOIN u USING (hint)",
+)
+def tender_stems(spark, d):
+    """The tender of each labelled stem: that of the file of this name, or else the only one whose name holds its hint."""
+    k = F.col("o_custkey").cast("string")
+    hint = F.when(F.col("o_orderkey") % 4 == 0, F.lpad(k, 6, "0")).otherwise(k)
+    stems = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("NOTIF_"), hint, F.lit("_"), F.col("o_orderkey").cast("string")).alias("stem"))
+    names = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.concat_ws("_", F.lit("NOTIF"), "c_custkey", "c_custkey").alias("stem"))
+    exact = names.groupBy("stem").agg(F.min("name").alias("name"))
+    return G.resolve_stems(stems, exact, names.select("name")).select("o_orderkey", F.col("name").alias("tender_id"))

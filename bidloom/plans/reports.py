@@ -130,7 +130,7 @@ def chunk_index(spark, d):
     """Chunks of several sources of an owner, numbered on."""
     docs = read(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("pos"))
     both = docs.withColumns({"part": F.lit(0), "section": F.lit("page")}).unionByName(docs.where("pos % 3 = 0").withColumns({"part": F.lit(1), "section": F.lit("narrative")}))
-    numbered = running(both, ["owner"], F.struct("part", F.floor(F.col("pos") / 1024)), ["part", "pos"], {"n": F.lit(1)})
+    numbered = running(both, ["owner"], ["part", "pos"], {"n": F.lit(1)})
     return numbered.select("owner", "section", "pos", (F.col("n") - 1).cast("long").alias("chunk_index"))
 
 
