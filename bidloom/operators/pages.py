@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import headers as H
 from ..functions.clauses import chunk_clause
 from .running import running
 
@@ -110,6 +111,25 @@ def labelled_values(lines: DataFrame, label: str, doc: str = "doc_id") -> DataFr
     return found.select(doc, "line_no", F.coalesce(F.nullif(after, F.lit("")), F.trim("next_line")).alias("value"))
 
 
+def header_values(pages: DataFrame) -> DataFrame:
+    """``(doc_id, field, value, page_number, line)``: the header fields that ``pages(doc_id, page_number, text)`` print.
+
+    A page offers its best labelled value of a field, which counts if it can be read; the earliest such page
+    wins. The issuer comes from the head of the first pages. Each page is judged where it is read, and only what it found is
+    aggregated.
+    """
+    read = pages.select("doc_id", "page_number", H.page_lines(F.col("text")).alias("lines"))
+    found = [F.struct(F.lit(f).alias("field"), h["value"].alias("value"), h["line"].alias("line")) for f, h in ((f, H.labelled(F.col("lines"), f)) for f in H.FIELDS)]
+    issuer = F.when(F.col("page_number") <= H.HEAD_PAGES, H.issuer(F.col("lines")))
+    found.append(F.struct(F.lit("issuing_authority").alias("field"), F.substring(issuer, 1, 200).alias("value"), F.substring(issuer, 1, 160).alias("line")))
+    hits = read.select("doc_id", "page_number", F.explode(F.array(*found)).alias("h")).select("doc_id", "page_number", "h.*").where("value IS NOT NULL")
+    good = F.lit(True)
+    for f in H.FIELDS:
+        good = F.when(F.col("field") == f, H.holds_value(f, F.col("value"))).otherwise(good)
+    first = hits.where(good).groupBy("doc_id", "field").agg(F.min(F.struct("page_number", "value", "line")).alias("first"))
+    return first.select("doc_id", "field", "first.value", "first.page_number", "first.line")
+
+
 def table_row_chunks(pages: DataFrame, longest: int = 600) -> DataFrame:
     """One chunk per table row, with the header repeated where the first row is one.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import headers as H
 from ..operators import alignment as A
 from ..operators import fragments as G
 from ..operators import lines as L
-from .base import query, read
+from ..operators import pages as P
+from .base import pick, pick_sql, query, quoted, read
 
 
 def _words_sql(text: str) -> str:
@@ -98,3 +100,65 @@ def tender_stems(spark, d):
     names = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.concat_ws("_", F.lit("NOTIF"), "c_custkey", "c_custkey").alias("stem"))
     exact = names.groupBy("stem").agg(F.min("name").alias("name"))
     return G.resolve_stems(stems, exact, names.select("name")).select("o_orderkey", F.col("name").alias("tender_id"))
+
+
+# Lines as notices print them, one or more for each label, and lines that must not count.
+_LABEL_LINES = [
+    "Last Date and Time for uploading of Bids", "Bid Submission End Date & Time: {d}", "Last date for online submission {d}", "Last date of submission of EMD {d}", "Due date for submission - {d}",
+    "Closing date of the tender {d}", "End date for bid submission {d}", "Last Date for receipt of Queries {d}", "Pre-bid meeting (online) date: {d}", "Last date for seeking clarifications {d}",
+    "Earnest Money Deposit (EMD) {m}", "EMD amount: {m}", "Bid security", "EMD ............ {m}", "Bid security as per Form 4 {m}", "nothing of this kind",
+]
+_HEAD_LINES = ["Greater Hyderabad Municipal Corporation", "Tender Notice of the Corporation", "Office of the Engineer 12345 67890 12345 67890", "  Indian   Institute of Technology ", "Board", "Some prose of no body", "Name of Work: college"]
+_DATES = ["22.08.2026", "3 September 2026", "31-02-2026", "05/11/2026", "in due course"]
+_SUMS = ["Rs. 31,500/-", "12,56,561", "1% of the ECV", "₹ 2,98,720"]
+_PAGES_SQL = f"""
+t AS (
+  SELECT doc_id // 3 AS doc, doc_id % 3 + 1 AS page, {pick_sql(_HEAD_LINES, 'doc_id')} || chr(10) || coalesce(text, '') || chr(10)
+    || replace(replace({pick_sql(_LABEL_LINES, 'doc_id // 2')}, '{{d}}', {pick_sql(_DATES, 'doc_id')}), '{{m}}', {pick_sql(_SUMS, 'doc_id')}) || chr(10)
+    || {pick_sql(_DATES, 'doc_id // 7')} || ' ' || {pick_sql(_SUMS, 'doc_id // 5')} || chr(10) || replace(replace({pick_sql(_LABEL_LINES, 'doc_id // 11')}, '{{d}}', {pick_sql(_DATES, 'doc_id // 3')}), '{{m}}', {pick_sql(_SUMS, 'doc_id // 3')}) AS body
+  FROM documents)"""
+
+
+def _label_sql(label: str) -> str:
+    """RE2 has no look-ahead: what must not follow is taken out first."""
+    plain = label.replace("(?! of emd)", "")
+    line = "line" if plain == label else f"regexp_replace(line, {quoted('(?i)' + plain + ' of emd')}, '', 'g')"
+    return f"regexp_matches({line}, {quoted('(?i)' + plain)})"
+
+
+def _field_sql(field: str) -> str:
+    labels, value = H.FIELDS[field]
+    rank = "CASE " + " ".join(f"WHEN {_label_sql(x)} THEN {n}" for n, x in enumerate(labels)) + " END"
+    return (
+        f"SELECT doc, page, line_no, {quoted(field)} AS field, {rank} AS rank, trim(coalesce(nullif(regexp_extract(line, {quoted('(?i)' + value)}, 1), ''), regexp_extract(coalesce(after, ''), {quoted('(?i)' + value)}, 1))) AS value, "
+        f"left(trim(regexp_replace(line, '\\s+', ' ', 'g')), 160) AS line FROM n WHERE NOT noisy"
+    )
+
+
+_READ_DATE = " ".join(f"WHEN {quoted(v)} THEN {'FALSE' if v == '31-02-2026' else 'TRUE'}" for v in _DATES)
+_HEADER_SQL = f"""
+WITH {_PAGES_SQL},
+l AS (SELECT doc, page, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no FROM t),
+n AS (SELECT *, lead(line) OVER (PARTITION BY doc, page ORDER BY line_no) AS after, regexp_matches(line, {quoted('(?i)' + '|'.join(H.NOISE_LINES))}) AS noisy FROM l),
+h AS ({' UNION ALL '.join(_field_sql(f) for f in H.FIELDS)}),
+b AS (SELECT doc, page, field, arg_min(value, (rank, line_no)) AS value, arg_min(line, (rank, line_no)) AS line FROM h WHERE rank IS NOT NULL AND value <> '' GROUP BY ALL),
+o AS (SELECT doc, page, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line, noisy FROM n WHERE page <= {H.HEAD_PAGES} AND line_no < {H.HEAD_LINES}),
+i AS (
+  SELECT doc, page, 'issuing_authority' AS field, arg_min(line, line_no) AS value, arg_min(line, line_no) AS line FROM o
+  WHERE length(line) BETWEEN {H.SHORTEST_NAME} AND {H.LONGEST_NAME} AND NOT noisy AND NOT regexp_matches(line, {quoted('(?i)^(?:' + '|'.join(H.NO_ISSUER) + ')' + chr(92) + 'b')})
+    AND regexp_matches(line, {quoted('(?i)' + chr(92) + 'b(?:' + '|'.join(H.ORGANISATIONS) + ')' + chr(92) + 'b')}) AND length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= length(line) * {H.LETTERS}
+  GROUP BY doc, page),
+a AS (SELECT * FROM b WHERE field = 'emd_amount' OR CASE value {_READ_DATE} ELSE FALSE END UNION ALL SELECT * FROM i)
+SELECT doc, field, arg_min(value, page) AS value, CAST(min(page) AS INT) AS page, arg_min(line, page) AS line FROM a GROUP BY doc, field
+"""
+
+
+@query("q115_header_patterns", _HEADER_SQL.replace(chr(92) * 2, chr(92)))
+def header_patterns(spark, d):
+    """Header fields of notices, three pages each: labels by rank, earliest page first, the issuer from the head."""
+    k = F.col("doc_id")
+    at = lambda n: F.floor(k / n).cast("long")
+    label = lambda n, m: F.replace(F.replace(pick(_LABEL_LINES, at(n)), F.lit("{d}"), pick(_DATES, at(m))), F.lit("{m}"), pick(_SUMS, at(m)))
+    body = F.concat_ws("\n", pick(_HEAD_LINES, k), F.coalesce("text", F.lit("")), label(2, 1), F.concat_ws(" ", pick(_DATES, at(7)), pick(_SUMS, at(5))), label(11, 3))
+    pages = read(spark, d, "documents").select(at(3).alias("doc_id"), (k % 3 + 1).cast("int").alias("page_number"), body.alias("text"))
+    return P.header_values(pages).select(F.col("doc_id").alias("doc"), "field", "value", F.col("page_number").alias("page"), "line")
