@@ -119,3 +119,34 @@ def benchmark_match(expected: Column, actual: Column) -> Column:
     named = F.exists(F.split(expected, r"\|"), lambda p: F.contains(F.lower(text), F.lower(p)))
     right = F.when(expected.rlike(r"^[\d,]+$"), money_inr(text) == money_inr(expected)).when(expected.rlike(r"^\d{4}-\d{2}-\d{2}$"), parse_date(text) == expected.try_cast("date")).otherwise(named)
     return ~nothing & F.coalesce(right, F.lit(False))
+
+
+def extraction_report(results: DataFrame, fields: list[str]) -> DataFrame:
+    """A row per model, prompt and document with a cell per field: OK, WRONG, or -- where nothing came back.
+
+    ``results(model, prompt, document, field, expected, actual, seconds)`` has a row per field asked for; the
+    seconds are those of the whole document. ``fields`` fixes the columns, so the report takes one pass; a
+    field that a document is not asked for is null.
+    """
+    right = benchmark_match(F.col("expected"), F.col("actual"))
+    cell = F.when(F.col("actual").isNull(), "--").when(right, "OK").otherwise("WRONG")
+    rows = results.select("model", "prompt", "document", "field", cell.alias("cell"), "seconds").where(F.col("field").isin(*fields))
+    wide = rows.groupBy("model", "prompt", "document").agg(
+        F.count_if(F.col("cell") == "OK").alias("correct"), F.count("*").alias("asked"), F.max("seconds").alias("seconds"), *(F.max(F.when(F.col("field") == f, F.col("cell"))).alias(f) for f in fields)
+    )
+    return wide.select("model", "prompt", "document", F.concat(F.col("correct").cast("string"), F.lit("/"), F.col("asked").cast("string")).alias("score"), "correct", *fields, "seconds")
+
+
+def truth_in_selection(truth: DataFrame, selected: DataFrame) -> DataFrame:
+    """``truth(document, field, value, page)`` with ``present``: whether the selected pages could have given the value.
+
+    ``selected(document, page, text)``. A day is printed in other forms, so its page has to be among them; of
+    any other value the first alternative has to stand on one of the pages. Tells a value that a model
+    missed from one that it was never shown.
+    """
+    day = F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$")
+    needle = F.lower(F.substring_index("value", "|", 1))
+    asked = truth.withColumn("_day", day).withColumn("_needle", needle)
+    met = asked.join(selected.select("document", F.col("page").alias("_page"), F.lower("text").alias("_text")), "document")
+    there = met.groupBy("document", "field").agg(F.bool_or(F.when(F.col("_day"), F.col("_page") == F.col("page")).otherwise(F.contains("_text", "_needle"))).alias("present"))
+    return truth.join(there, ["document", "field"], "left").withColumn("present", F.coalesce("present", F.lit(False)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.questions import tokens
 from ..session import written
-from .requirements import dot
 
 
 def scoped(chunks: DataFrame, statuses: list[str] | None = None, sections: list[str] | None = None, **equal: object) -> DataFrame:
@@ -23,16 +24,138 @@ def scoped(chunks: DataFrame, statuses: list[str] | None = None, sections: list[
     return out
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, min_score: float | None = None) -> DataFrame:
-    """The k best chunks of each query by cosine of unit vectors, ties by chunk_id.
+#: Blocks that vectors are dealt to, and rows of a block, or of its questions, that one task multiplies at once.
+PIVOTS, TILE = 64, 4096
+_PLACES = 9
 
-    ``queries(query_id, q, *on)`` and ``chunks(chunk_id, embedding, *on)``; ``on`` is the scope that
-    both share. The queries are a stated set; the scope is an equi-join where there is one.
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _dealt(chunks: DataFrame, pivots: np.ndarray, carry: list[str]) -> DataFrame:
+    """``chunks`` with the ``block`` of the nearest pivot and the distance to it."""
+    shared = chunks.sparkSession.sparkContext.broadcast(pivots)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*carry).schema.fields)
+
+    def run(batches):
+        centres = shared.value
+        for batch in batches:
+            x = _matrix(batch.column("embedding"))
+            if not len(x):
+                continue
+            far = np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :])
+            best = far.argmin(1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(best, pa.int32()), pa.array(np.sqrt(far[np.arange(len(x)), best]) + 1e-6, pa.float64())], [*batch.schema.names, "block", "far"]
+            )
+
+    return chunks.select(*carry).mapInArrow(run, f"{fields}, block int, far double")
+
+
+def _asking(queries: DataFrame, pivots: np.ndarray, radii: dict[int, float], seed: bool) -> DataFrame:
+    """``(query_id, q, block)``: each question's most promising block, or with a ``floor`` the other blocks that may beat it.
+
+    No vector of a block scores above the pivot's score plus the block's radius times the question's length.
+    """
+    blocks = np.array(sorted(radii))
+    shared = queries.sparkSession.sparkContext.broadcast((pivots[blocks], np.array([radii[b] for b in blocks.tolist()]), blocks))
+    fields = ", ".join(f"{n} {queries.schema[n].dataType.simpleString()}" for n in ("query_id", "q"))
+
+    def run(batches):
+        centres, radius, numbers = shared.value
+        for batch in batches:
+            q = _matrix(batch.column("q"))
+            if not len(q):
+                continue
+            most = q @ centres.T + np.sqrt((q * q).sum(1))[:, None] * radius[None, :] + 1e-6
+            first = most.argmax(1)
+            if seed:
+                row, at = np.arange(len(q)), first
+            else:
+                floor = np.array([-np.inf if f is None else f for f in batch.column("floor").to_pylist()])
+                wanted = most >= floor[:, None]
+                wanted[np.arange(len(q)), first] = False
+                row, at = np.nonzero(wanted)
+            asks = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(asks), batch.column("q").take(asks), pa.array(numbers[at], pa.int32())], ["query_id", "q", "block"])
+
+    return queries.mapInArrow(run, f"{fields}, block int")
+
+
+def _tiles(asked: DataFrame, dealt: DataFrame, block: list[str], k: int, tile: int) -> DataFrame:
+    """``(query_id, chunk_id, score)``: the k best of each tile for each question that asks its block.
+
+    A tile is some ``tile`` vectors of a block and some ``tile`` questions; both are told apart by a hash, so
+    a block of a third of all vectors, or one that all questions ask, is many tiles.
     """
-    pairs = queries.join(chunks, on) if on else queries.crossJoin(chunks)
-    scored = pairs.select("query_id", "chunk_id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    n_v = dealt.groupBy(*block).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).cast("int").alias("n_v"))
+    n_q = asked.groupBy(*block).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).cast("int").alias("n_q"))
+    sizes = n_v.join(n_q, block)  # a row for each block
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    own = lambda side: [F.col(b).alias(f"_{side}_{b}") for b in block]  # noqa: E731  # both sides may come from one frame
+    left = asked.join(sizes, block).select(*own("q"), "query_id", "q", part("query_id", "n_q").alias("_q_tile_q"), spread("n_v").alias("_q_tile_v"))
+    right = dealt.join(sizes, block).select(*own("v"), "chunk_id", "embedding", part("chunk_id", "n_v").alias("_v_tile_v"), spread("n_q").alias("_v_tile_q"))
+    by = lambda side: [f"_{side}_{n}" for n in [*block, "tile_q", "tile_v"]]
+    kinds = [f"{n} {t.schema[n].dataType.simpleString()}" for t, n in ((asked, "query_id"), (dealt, "chunk_id"))]
+
+    def multiply(questions: pa.Table, vectors: pa.Table) -> pa.Table:
+        names = ["query_id", "chunk_id", "score"]
+        empty = pa.Table.from_arrays([questions.column("query_id").slice(0, 0), vectors.column("chunk_id").slice(0, 0), pa.array([], pa.float64())], names)
+        if not questions.num_rows or not vectors.num_rows:
+            return empty
+        vectors = vectors.sort_by("chunk_id")  # the first of equals is the least identifier
+        x, out = _matrix(vectors.column("embedding").combine_chunks()), []
+        for start in range(0, questions.num_rows, 256):
+            some = questions.slice(start, 256)
+            scores = np.round(_matrix(some.column("q").combine_chunks()) @ x.T, _PLACES)
+            if k < scores.shape[1]:
+                edge = np.partition(scores, -k, axis=1)[:, -k][:, None]  # the k-th best: what is above it, and the first equals
+                above, equal = scores > edge, scores == edge
+                chosen = above | (equal & (equal.cumsum(1) <= k - above.sum(1)[:, None]))
+            else:
+                chosen = np.ones_like(scores, bool)
+            row, at = np.nonzero(chosen)
+            out.append(pa.Table.from_arrays([some.column("query_id").take(pa.array(row)), vectors.column("chunk_id").take(pa.array(at)), pa.array(scores[row, at], pa.float64())], names))
+        return pa.concat_tables(out)
+
+    return left.groupBy(*by("q")).cogroup(right.groupBy(*by("v"))).applyInArrow(multiply, ", ".join([*kinds, "score double"]))
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, min_score: float | None = None, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
+    """The k best chunks of each query by cosine of unit vectors (any dot product), ties by chunk_id; exact, to nine decimals.
+
+    ``queries(query_id, q, *on)`` and ``chunks(chunk_id, embedding, *on)``; ``on`` is the scope that
+    both share. A question meets vectors as a matrix, and what leaves a tile is its k best.
+
+    Without a scope, vectors are dealt to the nearest of ``pivots`` of them. A question asks its most
+    promising block first; its k-th score there is a floor, and of the other blocks it asks those whose bound
+    (the pivot's score and the block's radius) reaches it. Pivots and radii, a row for each block, are broadcast.
+    """
+    chunks = chunks.where("embedding IS NOT NULL AND chunk_id IS NOT NULL")
+    asked = queries.where("q IS NOT NULL AND query_id IS NOT NULL").select("query_id", "q", *(on or []))
+    if on:
+        scores = _tiles(asked, chunks.select("chunk_id", "embedding", *on), on, k, tile)
+        ranked = _ranked(scores, k)
+    else:
+        sample = chunks.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
+        centres = np.array([r["embedding"] for r in sample], np.float64) if sample else np.zeros((0, 1))
+        if not len(centres):
+            return asked.select("query_id").join(chunks.select("chunk_id").limit(0), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        dealt = written(_dealt(chunks, centres, ["chunk_id", "embedding"]), "blocks")
+        radii = {r["block"]: r["far"] for r in dealt.groupBy("block").agg(F.max("far").alias("far")).collect()}  # one for each pivot at most
+        asked = written(asked, "questions")
+        seeds = written(_ranked(_tiles(_asking(asked, centres, radii, True), dealt, ["block"], k, tile), k), "seeds")
+        floors = seeds.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        rest = _asking(asked.join(floors, "query_id", "left"), centres, radii, False)
+        ranked = _ranked(seeds.select("query_id", "chunk_id", "score").union(_tiles(rest, dealt, ["block"], k, tile)), k)
+    ranked = ranked.select("query_id", "chunk_id", "score", "rank")
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
 

@@ -150,11 +150,9 @@ def vector_scoped(spark, d):
     """The five nearest chunks within each question's scope; every 50th vector asks."""
     v = _vectors(spark, d)
     q = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    from ..operators.requirements import dot
-
-    pairs = q.join(v, "label").where("query_id <> chunk_id").select("query_id", "chunk_id", dot(F.col("q"), F.col("embedding")).alias("s"))
-    best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5").select("query_id", "chunk_id", "rank")
+    found = X.nearest(q, v, 6, ["label"]).where("query_id <> chunk_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5").select("query_id", "chunk_id", "rank")
 
 
 @query(
@@ -170,6 +168,20 @@ def vector_pair(spark, d):
     return X.nearest_of_pair(*sides, 6).select("query_id", "chunk_id", F.col("side").cast("long").alias("side"), F.col("place").cast("long").alias("place"))
 
 
+@query(
+    "q118_nearest_of_all",
+    f"WITH a AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {_DOT.format(a='q.embedding', b='e.embedding')} AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM a) "
+    "SELECT query_id, chunk_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5",
+)
+def nearest_of_all(spark, d):
+    """The five nearest others of every vector (a top-k report): every vector asks."""
+    v = _vectors(spark, d).select("chunk_id", "embedding")
+    found = X.nearest(v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), v, 6).where("query_id <> chunk_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    found = found.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 _STOP = ", ".join(quoted(w) for w in V.BM25_STOPWORDS)
 _TOKENS = "list_filter(list_transform(regexp_extract_all(lower(coalesce({x}, '')), " + quoted(Q.TOKEN) + "), lambda t: trim(t, '.,')), lambda t: t <> '' AND t NOT IN (" + _STOP + "))"
 

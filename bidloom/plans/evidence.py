@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rewording as W
 from ..operators import evidence as E
 from ..operators import pages as P
 from ..operators import statistics as T
@@ -150,3 +151,57 @@ def combined_text(spark, d):
     tables = F.when(F.col("o_orderkey") % 2 == 0, F.array(table)).otherwise(F.array().cast("array<array<array<string>>>"))
     text = P.combined_text(F.concat(F.lit("text "), F.col("o_orderpriority")), tables, F.lit(3))
     return o.select("o_orderkey", text.alias("combined"), F.coalesce(P.looks_tabular(F.get(tables, 0)), F.lit(False)).alias("tabular"))
+
+
+_STYLE_SQL = pick_sql(W.STYLES, "p_partkey // 2")
+_TRIES_SQL = ", ".join(f"CASE WHEN regexp_matches(name, {quoted('(?i)' + said)}) THEN regexp_replace(name, {quoted('(?is)^(.*?)' + said)}, {quoted(chr(92) + '1' + meant)}) END" for said, meant in W.SUBSTITUTIONS)
+_FLIP_SQL = f"CASE WHEN regexp_matches(trim(name), {quoted(W.OF_PHRASE)}) THEN trim(regexp_extract(trim(name), {quoted(W.OF_PHRASE)}, 2)) || ' ' || trim(regexp_extract(trim(name), {quoted(W.OF_PHRASE)}, 1)) END"
+_OTHERS_SQL = "MAP {" + ", ".join(f"{quoted(c)}: [{', '.join('{' + chr(39) + 'plain' + chr(39) + ': ' + quoted(p) + ', ' + chr(39) + 'said' + chr(39) + ': ' + quoted(x) + '}' for p, x in names)}]" for c, names in W.other_names().items()) + "}"
+
+
+@query(
+    "q116_paraphrase",
+    f"WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN {pick_sql(NAMES, 'p_partkey')} ELSE {pick_sql(NAMES, 'p_partkey')} || ' of the ' || p_name END AS name, {_STYLE_SQL} AS style FROM part), "
+    f"m AS (SELECT *, {normalised_sql('name')} AS plain FROM n), c AS (SELECT *, {canonical_sql('plain')} AS canonical, [{_TRIES_SQL}, {_FLIP_SQL}] AS tries FROM m), "
+    f"w AS (SELECT *, CASE WHEN NOT regexp_matches(name, {quoted(W.FORM_REFERENCE)}) THEN list_filter(tries, lambda t: t IS NOT NULL AND {normalised_sql('t')} <> plain)[1] END AS reworded, list_filter(({_OTHERS_SQL})[canonical], lambda a: a.plain <> plain)[1].said AS alias FROM c) "
+    "SELECT p_partkey, name, style, CASE style WHEN 'alias' THEN coalesce(alias, reworded, name) WHEN 'reworded' THEN coalesce(reworded, alias, name) ELSE name END AS renamed FROM w",
+)
+def paraphrase(spark, d):
+    """Document names as bids of three styles print them."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    name = F.when(k % 3 == 0, pick(NAMES, k)).otherwise(F.concat(pick(NAMES, k), F.lit(" of the "), F.col("p_name")))
+    rows = p.select("p_partkey", name.alias("name"), pick(W.STYLES, F.floor(k / 2).cast("long")).alias("style"))
+    return rows.withColumn("renamed", W.renamed(F.col("name"), F.col("style")))
+
+
+_BENCH_FIELDS = ["emd_amount", "submission_deadline", "issuing_authority", "tender_id"]
+
+
+@query(
+    "q117_extraction_report",
+    "WITH r AS (SELECT p_size % 3 AS m, p_size % 2 AS v, p_brand AS document, p_partkey % 4 AS f, p_retailprice AS seconds, CASE WHEN p_partkey % 7 = 2 THEN '--' WHEN p_partkey % 5 = 0 THEN 'WRONG' ELSE 'OK' END AS cell, p_partkey FROM part), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY m, v, document, f ORDER BY p_partkey) AS n FROM r) "
+    "SELECT 'model-' || m AS model, CASE v WHEN 0 THEN 'bare' ELSE 'fewshot' END AS prompt, document, count(*) FILTER (cell = 'OK') || '/' || count(*) AS score, count(*) FILTER (cell = 'OK') AS correct, "
+    + ", ".join(f"max(cell) FILTER (f = {i}) AS {f}" for i, f in enumerate(_BENCH_FIELDS))
+    + ", max(seconds) AS seconds FROM o WHERE n = 1 GROUP BY m, v, document",
+)
+def extraction_report(spark, d):
+    """A benchmark of models and prompts: a row per document, a cell per field."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    first = p.groupBy((F.col("p_size") % 3).alias("m"), (F.col("p_size") % 2).alias("v"), F.col("p_brand").alias("document"), (k % 4).alias("f")).agg(F.min_by(F.struct("p_partkey", "p_retailprice"), "p_partkey").alias("r"))
+    first = first.select("m", "v", "document", "f", "r.*")
+    thousands = F.concat((k % 90 + 1).cast("string"), F.lit(","), F.lpad((k % 1000).cast("string"), 3, "0"))
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (k % 360).cast("int"))
+    wrong = k % 5 == 0
+    expected = F.when(F.col("f") == 0, thousands).when(F.col("f") == 1, day.cast("string")).when(F.col("f") == 2, F.concat(F.lit("Municipal Corporation|Body "), k.cast("string"))).otherwise(F.concat(F.lit("T/"), k.cast("string"), F.lit("/2026")))
+    printed = (
+        F.when(F.col("f") == 0, F.concat(F.lit("Rs. "), F.when(wrong, F.concat(F.lit("9"), thousands)).otherwise(thousands), F.lit("/-")))
+        .when(F.col("f") == 1, F.date_format(F.when(wrong, F.date_add(day, 1)).otherwise(day), "d MMMM yyyy"))
+        .when(F.col("f") == 2, F.when(wrong, "Not Stated").otherwise(F.concat(F.lit("the BODY "), k.cast("string"), F.lit(" of works"))))
+        .otherwise(F.concat(F.lit("No. t/"), k.cast("string"), F.when(wrong, "/2025").otherwise("/2026")))
+    )
+    results = first.select(
+        F.concat(F.lit("model-"), F.col("m").cast("string")).alias("model"), F.when(F.col("v") == 0, "bare").otherwise("fewshot").alias("prompt"), "document",
+        F.element_at(F.array(*(F.lit(f) for f in _BENCH_FIELDS)), (F.col("f") + 1).cast("int")).alias("field"), expected.alias("expected"), F.when(k % 7 != 2, printed).alias("actual"), F.col("p_retailprice").alias("seconds"),
+    )
+    return E.extraction_report(results, _BENCH_FIELDS)
