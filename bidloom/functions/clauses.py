@@ -5,37 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import let
 from .questions import squash
 
-# What may stand before a number that leads its line, and units that make it a quantity.
-BULLETS = r"[\s•·*\-–—|]*"
+# Marks that may stand before a line's number, and units that make a number a quantity.
+MARKS = " \t•·*-–—|"
 UNITS = [
     "cr", "crs", "crore", "crores", "lakh", "lakhs", "lac", "lacs", "%", "percent", "per cent", "no", "nos", "kg", "km", "mtr", "metre", "metres", "m", "sqm", "sq.m",
     "day", "days", "month", "months", "year", "years", "hr", "hrs", "hour", "hours", "rs", "inr", "usd",
 ]
-NUMBER = r"[1-9]\d*(?:\.\d+)*(?:\.(?:[ivxlc]+|[a-z])(?:\b))*(?:\s*\.?\s*\([a-z0-9]+\))*"
-LEADING_NUMBER = rf"(?i)^{BULLETS}({NUMBER})(.*)$"
-LEADING_ITEM = rf"(?i)^{BULLETS}\(?([ivxlc]+|[a-z]|\d{{1,2}})\)(?:[\s.:]|$)"
-A_WORD = "[A-Za-z]{3}"
-_UNIT = r"(?i)^\s*(?:" + "|".join(u.replace(".", r"\.\s*").replace(" ", r"\s*") for u in sorted(UNITS, key=len, reverse=True)) + r")\.?(?:\W|$)"
+LEADING_ITEM = rf"(?i)^[{MARKS.replace('-', '')}-]*\(?([ivxlc]+|[a-z]|\d{{1,2}})\)(?:[\s.:]|$)"
+# A reference is printed in steps: numbers first, then letters or roman numerals after a stop, then brackets.
+_STEP = r"(?i)\G(\.?\d+|\.(?:[ivxlc]+|[a-z])(?![a-z])|\s*\.?\s*\([a-z0-9]+\))"
+_ONE_WORD = [u for u in UNITS if u.isalpha() or u == "%"]
+_TWO_WORDS = [u.replace(".", "").replace(" ", "") for u in UNITS if not (u.isalpha() or u == "%")]
+
+
+def _kind(step: Column) -> Column:
+    return F.when(step.contains("("), 2).when(step.rlike("[A-Za-z]"), 1).otherwise(0)
+
+
+def led(line: Column) -> Column:
+    """``struct(steps, tail)`` of the numbering a line leads with: its steps, as far as they go from numbers to brackets, and what follows."""
+    body = F.ltrim(line, F.lit(MARKS))
+
+    def cut(steps: Column) -> Column:
+        turns = F.array_position(F.transform(steps, lambda s, i: F.when(i > 0, _kind(s) < _kind(F.get(steps, i - 1))).otherwise(False)), True).cast("int")
+        return F.when(turns == 0, steps).otherwise(F.slice(steps, F.lit(1), F.greatest(turns - 1, F.lit(0))))
+
+    steps = F.when(body.rlike("^[1-9]"), let(F.regexp_extract_all(body, F.lit(_STEP), 1), cut)).otherwise(F.array().cast("array<string>"))
+    return let(steps, lambda s: F.struct(s.alias("steps"), F.substring(body, F.length(F.array_join(s, "")) + 1, F.length(body)).alias("tail")))
+
+
+def _of_unit(tail: Column) -> Column:
+    """Whether what follows a number begins with a unit, in one word or two."""
+    low = F.lower(tail)
+    pair = F.regexp_replace(F.regexp_extract(low, r"^\s*([a-z]++[.\s]*[a-z]++)(?![0-9_])", 1), r"[.\s]", "")
+    return F.regexp_extract(low, r"^\s*([a-z]++|%)(?![0-9_])", 1).isin(*_ONE_WORD) | pair.isin(*_TWO_WORDS)
+
+
+def _says(tail: Column) -> Column:
+    """Whether words follow: three letters in a row."""
+    return tail.rlike("[A-Za-z]{3}")
 
 
 def line_reference(line: Column) -> Column:
     """The clause reference that leads a line, or null where the line is no clause.
 
-    A number before a unit is a quantity; a number before other numbers is a cell; a bare whole number
-    is a page or a row. A dotted or bracketed number may stand alone.
+    A number that begins with zero is a ratio, one before a unit a quantity, one before other numbers a cell.
+    A whole number with nothing after it is a page or a row; a number of several steps may stand alone.
     """
-    number, tail = F.regexp_extract(line, LEADING_NUMBER, 1), F.regexp_extract(line, LEADING_NUMBER, 2)
-    alone = F.btrim(tail, F.lit(" .:)–—-|\t")) == ""
-    clause = F.when(alone, number.contains(".") | number.contains("(")).otherwise(tail.rlike(A_WORD))
-    return F.when((number != "") & ~tail.rlike(_UNIT) & clause, squash(number))
+
+    def judged(found: Column) -> Column:
+        alone = ~found["tail"].rlike(r"[\p{L}\p{N}]")
+        clause = F.when(alone, F.size(found["steps"]) > 1).otherwise(_says(found["tail"]))
+        return F.when((F.size(found["steps"]) > 0) & ~_of_unit(found["tail"]) & clause, squash(F.array_join(found["steps"], "")))
+
+    return let(led(line), judged)
 
 
 def line_heading(line: Column) -> Column:
     """The reference of a line that opens a section: one with words of its own."""
-    tail = F.regexp_extract(line, LEADING_NUMBER, 2)
-    return F.when(tail.rlike(A_WORD), line_reference(line))
+    return F.when(_says(led(line)["tail"]), line_reference(line))
 
 
 def line_item(line: Column) -> Column:
@@ -65,17 +96,34 @@ def chunk_clause(text: Column) -> Column:
     return F.nullif(F.rtrim(F.regexp_extract(text, CHUNK_CLAUSE, 1), F.lit(".")), F.lit(""))
 
 
+# A reference in an answer key, and how a list of them begins.
+KEY_REFERENCE = r"\d+(?:\.\d+)*(?:\([a-z0-9]+\))*"
+LISTS = ["nit clause ", "nit clauses ", "clause ", "clauses "]
+
+
+def _tokens(text: Column) -> Column:
+    """Words and single signs, lower case; blanks only part them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), 0)
+
+
+def _holds(printed: Column, wanted: Column) -> Column:
+    """Whether the tokens ``wanted`` stand in ``printed`` as a whole reference: no stop before them, no stop or bracket after."""
+    n = F.size(wanted)
+    starts = F.when(F.size(printed) >= n, F.sequence(F.lit(0), F.size(printed) - n)).otherwise(F.array().cast("array<int>"))
+    before, after = (lambda i: F.coalesce(F.get(printed, i - 1), F.lit(""))), (lambda i: F.coalesce(F.get(printed, i + n), F.lit("")))
+    return F.exists(starts, lambda i: (F.slice(printed, i + 1, n) == wanted) & (before(i) != ".") & ~after(i).isin(".", "("))
+
+
 def clause_matches(expected: Column, actual: Column) -> Column:
     """Whether one of the ``actual`` references prints the ``expected`` one; null where none is expected.
 
-    Blanks around stops and brackets do not count, and a heading may follow; a longer reference is
-    another one. A list ("clauses 4.1, 4.2 and 5") asks for each of its members.
+    References are compared token by token, so blanks within one do not count and a heading may follow;
+    a longer reference is another one. A list ("clauses 4.1, 4.2 and 5") asks for each of its members.
     """
-    folded = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
-    # A blank after a closing bracket stays, so that a heading does not run into its reference.
-    tight = lambda c: F.regexp_replace(F.regexp_replace(folded(c), r"\s*([.(])\s*", "$1"), r"\s*\)", ")")
-    one = r"\d+(?:\.\d+)*(?:\([a-z0-9]+\))*"
-    wanted, printed = tight(expected), F.transform(actual, tight)
-    members = F.when(wanted.rlike(rf"^(?:nit )?clauses? {one}(?:(?: ?, ?(?:and )?| and ){one})*$"), F.regexp_extract_all(wanted, F.lit(one), 0)).otherwise(F.array(wanted))
-    whole = lambda m: F.concat(F.lit(r"(?<![\w.])\Q"), m, F.lit(r"\E(?![\w.(])"))
-    return F.when(~wanted.isin("", "-", "—"), F.forall(members, lambda m: F.exists(printed, lambda p: F.rlike(p, whole(m)))))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(expected, F.lit(""))), r"\s+", " "))
+    begins = F.coalesce(*(F.when(plain.startswith(w), F.lit(len(w))) for w in LISTS), F.lit(0))
+    listed = F.split(F.substring(plain, begins + 1, F.length(plain)), r" ?, ?and | ?, ?| and ")
+    tight = F.transform(listed, lambda m: F.regexp_replace(m, r" ?([.()]) ?", "$1"))
+    members = F.when((begins > 0) & F.forall(tight, lambda m: m.rlike(f"^{KEY_REFERENCE}$")), listed).otherwise(F.array(plain))
+    printed = F.transform(actual, _tokens)
+    return F.when(~plain.isin("", "-", "—"), let(printed, lambda p: F.forall(members, lambda m: F.exists(p, lambda a: _holds(a, _tokens(m))))))

@@ -6,6 +6,8 @@ A fact that is missing is never a failure and never zero: it makes an item not a
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,19 +199,49 @@ def score_preview(factors: DataFrame, items: DataFrame, key: list[str]) -> DataF
     return named.join(last, [*key, "name"], "left").select(*key, "factor", "weight", F.coalesce("found", F.lit("manual_check")).alias("status"))
 
 
+# What an open item asks, with the requirement {need}, what was found {found} and the condition {condition}.
+ACTION_TEXTS = {
+    "upload": "Upload {need}",
+    "clarify": "State clearly in your bid: {need}",
+    "review": "Review the relevant section of your bid against: {need}",
+    "conditional_found": "Only if {condition}: confirm “{found}” satisfies {need}. Otherwise this does not apply to you.",
+    "conditional": "Only if {condition}: {need}. Otherwise this does not apply to you.",
+    "confirm": "Confirm “{found}” satisfies: {need}",
+    "check": "Check yourself: {need}",
+}
+
+
+def worded(kind: str, **parts: Column) -> Column:
+    """One of ``ACTION_TEXTS`` with its parts put in; null where a part is."""
+    pieces = [(text, name) for text, name, _, _ in Formatter().parse(ACTION_TEXTS[kind])]
+    return F.concat(*(c for text, name in pieces for c in ([F.lit(text)] if text else []) + ([parts[name]] if name else [])))
+
+
+def instruction(requirement: Column) -> Column:
+    """A requirement as it reads within a sentence: several words begin with a small letter."""
+    text = F.trim(requirement)
+    first = F.substring(text, 1, 1)
+    return F.when(text.contains(" ") & (first != F.lower(first)), F.concat(F.lower(first), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+
+
 def action_text() -> Column:
-    """What an open item (with ``action_group``) asks of the vendor, in one line; a condition comes first."""
-    group, need, found = F.col("action_group"), F.col("requirement"), F.col("found_value")
-    confirm = F.concat(F.lit("Confirm that “"), found, F.lit("” satisfies: "), need)
-    verify = F.when((F.col("status") == "partial") & found.isNotNull(), confirm).otherwise(F.concat(F.lit("Check yourself: "), need))
-    text = (
-        F.when(group == "upload", F.concat(F.lit("Upload "), F.coalesce("required_value", "requirement")))
+    """What an open item (with ``action_group``, ``kind`` and ``conditional_on``) asks of the vendor, in one line.
+
+    A document that could not be assessed is for its section to be reviewed; a conditional item names its
+    condition first, and what was found if anything was; a partly met one names what was found.
+    """
+    group, need, found, condition = F.col("action_group"), F.col("requirement"), F.nullif("found_value", F.lit("")), F.col("conditional_on")
+    inner = instruction(need)
+    return (
+        F.when(group == "upload", worded("upload", need=F.coalesce(F.nullif("required_value", F.lit("")), need)))
         .when(group == "hard_fail", F.col("explanation"))
-        .when(group == "clarify", F.concat(F.lit("State clearly in your bid: "), need))
-        .otherwise(verify)
+        .when(group == "clarify", worded("clarify", need=need))
+        .when((F.col("status") == "not_assessable") & (F.col("kind") == "document"), worded("review", need=need))
+        .when(condition.isNotNull() & found.isNotNull(), worded("conditional_found", condition=condition, found=found, need=inner))
+        .when(condition.isNotNull(), worded("conditional", condition=condition, need=inner))
+        .when((F.col("status") == "partial") & found.isNotNull(), worded("confirm", found=found, need=need))
+        .otherwise(worded("check", need=need))
     )
-    only = F.concat(F.lit("Only if "), F.col("conditional_on"), F.lit(": "), text, F.lit(". Otherwise this does not apply to you."))
-    return F.when((group == "verify") & F.col("conditional_on").isNotNull(), only).otherwise(text)
 
 
 def completion_text(satisfied: Column, mandatory: Column) -> Column:
