@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import first_number, money_inr, parse_date
+from .running import running
 
 # What a stated change is about, in the order in which it is tried.
 SUBJECTS: list[tuple[str, str]] = [
@@ -18,6 +19,13 @@ SUBJECTS: list[tuple[str, str]] = [
     (r"(?i)net worth|solvency|liquid|working capital", "eligibility_criteria.financial"),
     (r"(?i)document|certificate|annexure|form\b", "mandatory_documents"),
 ]
+# What the fields of a notice are called.
+FIELD_LABELS = {
+    "submission_deadline": "bid submission deadline",
+    "pre_bid_query_deadline": "pre-bid query deadline",
+    "emd_amount": "EMD amount",
+    "contract_value_estimate": "estimated contract value",
+}
 DATES, AMOUNTS = ["pre_bid_query_deadline", "submission_deadline"], ["emd_amount", "contract_value_estimate"]
 
 
@@ -159,17 +167,30 @@ def stale(bids: DataFrame, corrigenda: DataFrame) -> DataFrame:
 
 
 def warnings(corrigenda: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``(corrigendum_id, warnings)``: missing dates, and the changes that were not applied, in order of change_id.
+    """``(corrigendum_id, place, warning)``: missing dates, then the changes that were not applied, in order of change_id.
 
     ``corrigenda(corrigendum_id, issued_date, submission_deadline)`` and ``outcomes(corrigendum_id,
-    change_id, field_path, outcome)``. Without a date an amendment counts as in time, so its lack is said.
+    change_id, field_path, outcome)``. Without a date an amendment counts as in time, so its lack is said. A
+    row each, numbered from 1, so a corrigendum may leave any number of changes open.
     """
-    open_ = outcomes.where("outcome <> 'applied'").groupBy("corrigendum_id").agg(F.array_sort(F.collect_list(F.struct("change_id", F.concat("field_path", F.lit(": "), "outcome").alias("w")))).alias("o"))
-    dates = F.array_compact(F.array(
-        F.when(F.col("issued_date").isNull(), "no issued date: whether it came late is not known"), F.when(F.col("submission_deadline").isNull(), "no submission deadline: whether it came late is not known")
-    ))
-    unresolved = F.coalesce(F.transform("o", lambda x: x["w"]), F.array().cast("array<string>"))
-    return corrigenda.join(open_, "corrigendum_id", "left").select("corrigendum_id", F.concat(dates, unresolved).alias("warnings"))
+    texts = [(F.col("issued_date"), "no issued date: whether it came late is not known"), (F.col("submission_deadline"), "no submission deadline: whether it came late is not known")]
+    said = F.array(*(F.struct(F.lit(0).alias("part"), F.lit(n).cast("long").alias("change_id"), F.when(d.isNull(), t).alias("warning")) for n, (d, t) in enumerate(texts)))
+    dates = corrigenda.select("corrigendum_id", F.explode(said).alias("w")).select("corrigendum_id", "w.*").where("warning IS NOT NULL")
+    open_ = outcomes.where("outcome <> 'applied'").select("corrigendum_id", F.lit(1).alias("part"), F.col("change_id").cast("long").alias("change_id"), F.concat("field_path", F.lit(": "), "outcome").alias("warning"))
+    every = dates.unionByName(open_.join(corrigenda.select("corrigendum_id"), "corrigendum_id", "left_semi"))
+    return running(every, ["corrigendum_id"], ["part", "change_id", "warning"], {"place": F.lit(1)}).select("corrigendum_id", F.col("place").cast("long").alias("place"), "warning")
+
+
+def report_stamps(views: DataFrame) -> DataFrame:
+    """``(bid_id, last_report_at)``: when each bid's report was last put in front of someone who acts on it.
+
+    ``views(bid_id, at, kind)``: the first ``generated`` view and every ``rechecked`` one stamp; a ``read`` one never
+    does, as it would clear the banner that it shows.
+    """
+    stamps = views.where("kind IN ('generated', 'rechecked')").groupBy("bid_id").agg(
+        F.min(F.when(F.col("kind") == "generated", F.col("at"))).alias("first"), F.max(F.when(F.col("kind") == "rechecked", F.col("at"))).alias("again")
+    )
+    return stamps.select("bid_id", F.greatest("first", "again").alias("last_report_at"))
 
 
 def impact_text(was: Column, now: Column, was_clause: Column, now_clause: Column, direction: Column) -> Column:
@@ -182,6 +203,27 @@ def impact_text(was: Column, now: Column, was_clause: Column, now_clause: Column
     )
 
 
+def field_label(path: Column) -> Column:
+    """What a reader calls a field: its label, what an unmapped one was stated to be, or its path in words."""
+    label = F.try_element_at(F.create_map(*(F.lit(x) for pair in FIELD_LABELS.items() for x in pair)), path)
+    stated = F.when(path.startswith("unmapped:"), F.substring(path, F.lit(len("unmapped:") + 1), F.length(path))).when(path == "unmapped", F.lit("an unidentified term"))
+    return F.coalesce(stated, label, F.replace(F.replace(path, F.lit("_"), F.lit(" ")), F.lit("."), F.lit(" — ")))
+
+
+def rendered(value: Column) -> Column:
+    """A value as text: dates in ISO form, null stays null."""
+    return value.cast("string")
+
+
+def changed_labels(changes: DataFrame) -> DataFrame:
+    """``(corrigendum_id, labels)``: the distinct labels of ``changes(corrigendum_id, change_id, field_path)``, in order of first mention.
+
+    Labels are counted per corrigendum before they are collected: fields are few, changes may be many.
+    """
+    first = changes.groupBy("corrigendum_id", field_label(F.col("field_path")).alias("label")).agg(F.min("change_id").alias("at"))
+    return first.groupBy("corrigendum_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
+
+
 def stale_banner(issued: Column, fields: Column) -> Column:
     """What a reader of an outdated report is told; ``fields`` are labels of what changed."""
     when = F.coalesce(F.date_format(issued, "dd MMMM yyyy"), F.lit("recently"))

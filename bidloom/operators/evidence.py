@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import first_number, money_inr, parse_date
 from ..functions.names import canonical_form, normalise_name
+from ..functions.questions import route
 
 
 def source_provenance(matched: DataFrame, documents: DataFrame, certificates: DataFrame, group: list[str]) -> DataFrame:
@@ -150,3 +151,46 @@ def truth_in_selection(truth: DataFrame, selected: DataFrame) -> DataFrame:
     met = asked.join(selected.select("document", F.col("page").alias("_page"), F.lower("text").alias("_text")), "document")
     there = met.groupBy("document", "field").agg(F.bool_or(F.when(F.col("_day"), F.col("_page") == F.col("page")).otherwise(F.contains("_text", "_needle"))).alias("present"))
     return truth.join(there, ["document", "field"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+# How answers about a pool of bids are composed.
+NO_NARRATIVE = "No sufficiently relevant narrative evidence was found."
+NARRATIVE_SECTIONS = ["technical_approach", "past_performance"]
+TOLD, TOLD_CHARS, SNIPPET_CHARS, MOST_CITED = 4, 240, 500, 8
+
+
+def pool_answers(questions: DataFrame, hits: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(question_id, route, answer)`` of ``questions(question_id, tender_id, question)``.
+
+    Narrative questions are told by the first of their ``hits(question_id, rank, vendor_id, text)``, others by
+    the recorded ``facts(tender_id, answer)``, hybrid ones by both.
+    """
+    asked = questions.withColumn("route", route(F.col("question")))
+    who = F.coalesce("vendor_id", F.lit("Submission"))
+    line = F.concat(who, F.lit(" records: "), F.trim(F.substring("text", 1, TOLD_CHARS)))
+    told = hits.where(F.col("rank") <= TOLD).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    joined = asked.join(told, "question_id", "left").join(facts, "tender_id", "left")
+    narrative = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), " "), F.lit(NO_NARRATIVE))
+    both = F.concat(F.lit("Recorded facts: "), F.coalesce("answer", F.lit("")), F.lit("\n\nNarrative evidence: "), narrative)
+    said = F.when(F.col("route") == "hybrid", both).when(F.col("route") == "qualitative", narrative).otherwise(F.coalesce("answer", F.lit("")))
+    return joined.select("question_id", "route", said.alias("answer"))
+
+
+def pool_citations(questions: DataFrame, hits: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``(question_id, vendor_id, source_page, clause_ref, snippet)`` of the same questions.
+
+    Narrative and hybrid questions cite their hits; a question about the audit cites the
+    ``decisions(tender_id, vendor_id, vendor_name, reason, source_page, clause_ref, snippet)`` of the bids it names.
+    """
+    asked = questions.withColumn("route", route(F.col("question")))
+    told = asked.where("route IN ('qualitative', 'hybrid')").join(hits.where(F.col("rank") <= MOST_CITED), "question_id")
+    told = told.select("question_id", "vendor_id", "source_page", "clause_ref", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
+    low = F.lower("question")
+    named = F.contains(low, F.lower("vendor_name")) | F.contains(low, F.lower("vendor_id"))
+    audit = asked.where("route = 'audit'").select("question_id", "tender_id", "question").join(decisions.where("reason <> ''"), "tender_id").where(named)
+    return told.unionByName(audit.select("question_id", "vendor_id", "source_page", "clause_ref", F.coalesce("snippet", "reason").alias("snippet")))
+
+
+def hit_fields(hits: DataFrame) -> DataFrame:
+    """Hits as an answer shows them: defaults for what a payload lacks, scores to four places."""
+    return hits.withColumns({"text": F.coalesce("text", F.lit("")), "doc_kind": F.coalesce("doc_kind", F.lit("unknown")), "score": F.round("score", 4)})

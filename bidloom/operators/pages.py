@@ -130,21 +130,38 @@ def header_values(pages: DataFrame) -> DataFrame:
     return first.select("doc_id", "field", "first.value", "first.page_number", "first.line")
 
 
-def table_row_chunks(pages: DataFrame, longest: int = 600) -> DataFrame:
-    """One chunk per table row, with the header repeated where the first row is one.
+def rendered_rows(pages: DataFrame) -> DataFrame:
+    """``(doc_id, page_number, table_no, row_no, header, rendered)``: the rows of ``pages(doc_id, page_number, tables)`` that are not blank.
 
-    ``pages(doc_id, page_number, tables)``. A first row of labels (two cells or more, no digits, over
-    two rows or more) is the header. Chunks longer than ``longest`` are for ``split_text``.
+    A first row of labels (two cells or more, no digits, over two rows or more) is the header of the others.
     """
     tables = pages.select("doc_id", "page_number", F.posexplode("tables").alias("table_no", "table")).withColumn("rows", clean_rows(F.col("table")))
     first = F.get("rows", 0)
     cells = F.filter(first, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
     header = (F.size("rows") >= 3) & (F.size(cells) >= 2) & ~F.exists(cells, lambda c: c.rlike(r"\d"))
     body = tables.withColumn("header", F.when(header, render_row(first))).select("doc_id", "page_number", "table_no", "header", F.posexplode("rows").alias("row_no", "row"))
-    body = body.where(F.col("header").isNull() | (F.col("row_no") > 0)).withColumn("rendered", render_row(F.col("row"))).where("rendered <> ''")
-    prefix = F.concat(F.lit("[table on page "), F.col("page_number").cast("string"), F.lit("] "))
-    text = F.when(F.col("header").isNotNull(), F.concat(prefix, F.col("header"), F.lit("\n"), F.col("rendered"))).otherwise(F.concat(prefix, F.col("rendered")))
-    return body.select("doc_id", "page_number", "table_no", "row_no", text.alias("text"), (F.length(text) > longest).alias("long"))
+    return body.where(F.col("header").isNull() | (F.col("row_no") > 0)).withColumn("rendered", render_row(F.col("row"))).drop("row").where("rendered <> ''")
+
+
+def _row_prefix() -> Column:
+    return F.concat(F.lit("[table on page "), F.col("page_number").cast("string"), F.lit("]"))
+
+
+def _row_text() -> Column:
+    return F.concat(_row_prefix(), F.lit(" "), F.coalesce(F.concat("header", F.lit("\n")), F.lit("")), F.col("rendered"))
+
+
+def table_row_chunks(pages: DataFrame, longest: int = 600) -> DataFrame:
+    """One chunk per table row, with the header repeated where the first row is one; ``document_chunks`` cuts those longer than ``longest``."""
+    rows = rendered_rows(pages).withColumn("text", _row_text())
+    return rows.select("doc_id", "page_number", "table_no", "row_no", "text", (F.length("text") > longest).alias("long"))
+
+
+def page_tables(ruled: Column, aligned: Column) -> Column:
+    """The tables of a page: those with ruled lines of two rows and columns, or where there are none the aligned ones that pass the strict form."""
+    two = F.filter(ruled, lambda t: (F.size(clean_rows(t)) >= 2) & (F.array_max(F.transform(clean_rows(t), lambda r: F.size(r))) >= 2))
+    none = F.array().cast("array<array<array<string>>>")
+    return F.when(F.size(F.coalesce(two, none)) > 0, two).otherwise(F.coalesce(F.filter(aligned, looks_tabular), none))
 
 
 def render_row(row: Column) -> Column:
@@ -182,14 +199,35 @@ def split_text(text: str | None, size: int = 1600, overlap: int = 200) -> list[s
     return out
 
 
+def _cut(overlap: int):
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([split_text(t, int(n), overlap) for t, n in zip(texts, sizes, strict=True)])
+
+    return cut
+
+
 def chunks(docs: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
     """``(doc_id, chunk_index, text)`` of ``docs(doc_id, text)``; pieces are cut in batches."""
+    return docs.select("doc_id", F.posexplode(_cut(overlap)("text", F.lit(size))).alias("chunk_index", "text"))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
 
-    return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "text"))
+def document_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200, longest_row: int = 600) -> DataFrame:
+    """``(doc_id, page_number, chunk_index, text, clause_ref)`` of ``pages(doc_id, page_number, text, tables)``.
+
+    Page by page, prose first and then a chunk for every row of its tables, numbered on through the
+    document from 0. A row longer than ``longest_row`` with its heading is cut, and each piece says its page again.
+    """
+    cut = _cut(overlap)
+    prose = pages.select("doc_id", "page_number", F.posexplode(cut("text", F.lit(size))).alias("piece", "text"))
+    prose = prose.select("doc_id", "page_number", F.lit(0).alias("part"), F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), "piece", "text", chunk_clause(F.col("text")).alias("clause_ref"))
+    rows = rendered_rows(pages).withColumn("whole", _row_text())
+    short = F.length("whole") <= longest_row
+    pieces = F.when(short, F.array("whole")).otherwise(F.transform(cut(F.when(~short, F.col("rendered")), size - F.length(_row_prefix()) - 1), lambda t: F.concat(_row_prefix(), F.lit(" "), t)))
+    rows = rows.withColumn("clause_ref", chunk_clause(F.col("rendered"))).select("doc_id", "page_number", "table_no", "row_no", "clause_ref", F.posexplode(pieces).alias("piece", "text"))
+    every = prose.unionByName(rows.withColumn("part", F.lit(1)))
+    numbered = running(every, ["doc_id"], ["page_number", "part", "table_no", "row_no", "piece"], {"n": F.lit(1)})
+    return numbered.select("doc_id", "page_number", (F.col("n") - 1).cast("long").alias("chunk_index"), "text", "clause_ref")
 
 
 def page_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
@@ -198,10 +236,6 @@ def page_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200) -> DataF
     The plain arm of a comparison: prose and tables are one stream, and only a leading clause number is read.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
-
-    cut_up = pages.select("doc_id", "page_number", F.posexplode(cut("text")).alias("piece", "text"))
+    cut_up = pages.select("doc_id", "page_number", F.posexplode(_cut(overlap)("text", F.lit(size))).alias("piece", "text"))
     numbered = running(cut_up, ["doc_id"], ["page_number", "piece"], {"n": F.lit(1)})
     return numbered.select("doc_id", "page_number", (F.col("n") - 1).cast("long").alias("chunk_index"), "text", chunk_clause(F.col("text")).alias("clause_ref"))

@@ -92,3 +92,36 @@ def confusion(rows: DataFrame, actual: str, predicted: str, by: list[str] | None
             "accuracy": ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
         }
     )
+
+
+def significance(p: Column, alpha: float = 0.05) -> Column:
+    """What a p says at a level, in words."""
+    return F.when(p < alpha, f"significant at {alpha:g}").when(p.isNotNull(), f"NOT significant at {alpha:g}")
+
+
+def p_text(p: Column, resamples: int | None = None) -> Column:
+    """A p to four places, or as below the least that so many resamples can tell."""
+    shown = F.concat(F.lit("p="), F.format_string("%.4f", p))
+    return shown if not resamples else F.when(p < 1.0 / resamples, F.lit(f"p<{1.0 / resamples:.4f}")).otherwise(shown)
+
+
+def sign_test_text(improved: Column, regressed: Column, tied: Column) -> Column:
+    """Paired counts with the exact p and what it says; ties are named where there are any."""
+    p = sign_test(improved, regressed)
+    ties = F.when(tied > 0, F.concat(F.lit(" / "), tied.cast("string"), F.lit(" tied"))).otherwise("")
+    return F.concat(improved.cast("string"), F.lit(" improved / "), regressed.cast("string"), F.lit(" regressed"), ties, F.lit(", "), p_text(p), F.lit(", "), significance(p))
+
+
+def label_units(keys: DataFrame, dimension: str) -> DataFrame:
+    """``(id, notification_id, open_this, label)`` of the bids that a second rater judges, without the labels that are there.
+
+    ``keys(vendor_id, notification_id, file_name, intended_status, ...)``. Only an eliminated bid has a ground.
+    """
+    asked = keys if dimension != "ground" else keys.where("intended_status = 'eliminate'")
+    return asked.select(F.col("vendor_id").alias("id"), "notification_id", F.col("file_name").alias("open_this"), F.lit("").alias("label"))
+
+
+def committed_labels(keys: DataFrame, dimension: str) -> DataFrame:
+    """``(id, label)``: the labels of a dimension (status or ground) that the answer key has."""
+    asked = keys if dimension != "ground" else keys.where("intended_status = 'eliminate'")
+    return asked.select(F.col("vendor_id").alias("id"), F.col(f"intended_{dimension}").alias("label"))

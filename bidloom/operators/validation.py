@@ -35,6 +35,47 @@ def notice_findings(notices: DataFrame, criteria: DataFrame, today: Column) -> D
     return _findings(notices, ["tender_id"], rules).unionByName(_findings(criteria, ["tender_id"], [(named, "error", "not an amount", c("threshold_inr") <= 0)]))
 
 
+def evidence_findings(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Findings on what the ``facts(tender_id, part, pos, source_page, snippet)`` of notices rest on.
+
+    ``documents(tender_id, page_count)``: a cited page has to exist, and a fact without page or quote cannot be
+    checked. A document of no known pages says nothing about pages.
+    """
+    c = F.col
+    field = F.concat_ws(" ", "part", c("pos").cast("string"))
+    page, quote = c("source_page").isNull(), F.trim(F.coalesce("snippet", F.lit(""))) == ""
+    rules = [
+        (field, "error", "cites a page that is not there", (c("page_count") > 0) & ((c("source_page") < 1) | (c("source_page") > c("page_count")))),
+        (field, "warning", "no page and no quote", page & quote),
+        (field, "warning", "no page", page & ~quote),
+        (field, "warning", "no quote", ~page & quote),
+    ]
+    return _findings(facts.join(documents, "tender_id", "left"), ["tender_id"], rules)
+
+
+# The parts of a notice that may not be empty.
+PARTS = ["criterion", "document"]
+
+
+def empty_findings(notices: DataFrame, facts: DataFrame) -> DataFrame:
+    """A warning for every notice of ``notices(tender_id)`` and part of which ``facts(tender_id, part, ...)`` has nothing.
+
+    Without criteria a bid would pass with no threshold tested.
+    """
+    there = facts.groupBy("tender_id").agg(F.collect_set("part").alias("parts"))  # as many as there are parts
+    known = F.coalesce("parts", F.array().cast("array<string>"))
+    missing = F.filter(F.array(*(F.lit(p) for p in PARTS)), lambda p: ~F.array_contains(known, p))
+    lacking = notices.select("tender_id").join(there, "tender_id", "left").select("tender_id", F.explode(missing).alias("part"))
+    return lacking.select("tender_id", F.concat("part", F.lit("s")).alias("field"), F.lit("warning").alias("severity"), F.lit("none read").alias("message"))
+
+
+def citation_findings(citations: DataFrame, lines: DataFrame) -> DataFrame:
+    """A warning for each of ``citations(doc_id, clause_ref)`` that its document's numbering does not print, with the one it may mean."""
+    open_ = unverifiable(citations, lines)
+    meant = F.concat(F.lit("not printed; "), F.col("suggestion"), F.lit(" is"))
+    return open_.select(F.col("doc_id").alias("tender_id"), F.concat(F.lit("clause "), "clause_ref").alias("field"), F.lit("warning").alias("severity"), F.coalesce(meant, F.lit("not printed")).alias("message"))
+
+
 def bid_findings(bids: DataFrame, turnover: DataFrame, enclosures: DataFrame) -> DataFrame:
     """Findings on ``bids(bid_id, quoted_inr, liquid_inr, years_in_business)``, their ``turnover(bid_id,
     year, amount_inr)`` and ``enclosures(bid_id, name)``.
@@ -80,7 +121,8 @@ def numbering(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The printed numbering of ``lines(doc_id, line_no, line)``: ``(doc_id, reference)`` and ``(doc_id, section, item)``.
 
     A sub-item belongs to the last heading above it. A heading counts from its line to the next one:
-    the lines of a document meet in a window only as far as they lead with a number.
+    the lines of a document meet in a window only as far as they lead with a number. That is bounded by the
+    numbered lines of one document, not of a table.
     """
     from .pages import section_scope
 

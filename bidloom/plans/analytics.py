@@ -261,6 +261,20 @@ def sign_test(spark, d):
     return g.withColumn("p", F.round(T.sign_test(F.col("improved"), F.col("regressed")), 6))
 
 
+@query(
+    "q123_sign_test_texts",
+    "WITH c AS (SELECT doc_id % 20 AS g, count(*) FILTER (toxic > quality) AS b, count(*) FILTER (toxic < quality) AS w, count(*) FILTER (toxic = quality) AS t FROM labels GROUP BY ALL), "
+    "p AS (SELECT g, b, w, t, CASE WHEN b + w = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(b + w + 1) - lgamma(i + 1) - lgamma(b + w - i + 1) - (b + w) * ln(2)))) END AS p FROM c, range(0, 100000) r(i) WHERE i <= least(b, w) GROUP BY g, b, w, t) "
+    "SELECT g, b || ' improved / ' || w || ' regressed' || CASE WHEN t > 0 THEN ' / ' || t || ' tied' ELSE '' END || ', p=' || printf('%.4f', p) || ', ' || CASE WHEN p < 0.05 THEN 'significant at 0.05' ELSE 'NOT significant at 0.05' END AS said, CASE WHEN p < 0.01 THEN 'p<0.0100' ELSE 'p=' || printf('%.4f', p) END AS of_resamples FROM p",
+)
+def sign_test_texts(spark, d):
+    """The same comparison in words, and as a hundred resamples could tell it."""
+    g = read(spark, d, "labels").groupBy((F.col("doc_id") % 20).alias("g")).agg(
+        F.count_if(F.col("toxic") > F.col("quality")).alias("b"), F.count_if(F.col("toxic") < F.col("quality")).alias("w"), F.count_if(F.col("toxic") == F.col("quality")).alias("t")
+    )
+    return g.select("g", T.sign_test_text(F.col("b"), F.col("w"), F.col("t")).alias("said"), T.p_text(T.sign_test(F.col("b"), F.col("w")), 100).alias("of_resamples"))
+
+
 @query(
     "q50_kappa",
     "WITH x AS (SELECT quality AS a, 1 - toxic AS b FROM labels), n AS (SELECT count(*) AS n, avg(CAST(a = b AS INTEGER)) AS po FROM x), e AS (SELECT sum(r.c * s.c) / CAST((SELECT n * n FROM n) AS DOUBLE) AS pe FROM (SELECT a, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY a) r JOIN (SELECT b, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY b) s ON r.a = s.b) "

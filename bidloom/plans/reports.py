@@ -68,12 +68,12 @@ def collect_requirements(spark, d):
 
 @query(
     "q68_document_text",
-    "SELECT conv_id, string_agg(CASE WHEN trim(text) <> '' THEN '[PAGE ' || turn || ']' || chr(10) || text END, chr(10) || chr(10) ORDER BY turn) AS full_text, count(*) AS page_count, CAST(sum(length(trim(text))) AS BIGINT) AS total_chars, count(*) FILTER (role = 'assistant') * 2 > count(*) AS is_scanned FROM conversations GROUP BY conv_id",
+    "SELECT conv_id, string_agg(CASE WHEN trim(text) <> '' THEN '[PAGE ' || turn || ']' || chr(10) || text END, chr(10) || chr(10) ORDER BY turn) AS full_text, count(*) AS page_count, CAST(sum(length(trim(text))) AS BIGINT) AS total_chars, count(*) FILTER (role = 'assistant') AS ocr_pages, count(*) FILTER (role = 'assistant') * 2 > count(*) AS is_scanned FROM conversations GROUP BY conv_id",
 )
 def document_text(spark, d):
     """Pages joined with marks, and a document's properties."""
     pages = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text", F.when(F.col("role") == "assistant", "ocr").otherwise("native").alias("method"))
-    return P.document_text(pages).select(F.col("doc_id").alias("conv_id"), "full_text", "page_count", "total_chars", "is_scanned")
+    return P.document_text(pages).select(F.col("doc_id").alias("conv_id"), "full_text", "page_count", "total_chars", "ocr_pages", "is_scanned")
 
 
 _FOLD = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"

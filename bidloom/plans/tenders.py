@@ -15,6 +15,7 @@ from ..operators import amendments as A
 from ..operators import compliance as C
 from ..operators import requirements as R
 from ..operators import shortlist as S
+from ..operators.running import running
 from .base import NAMES, canonical_sql, distinctive_sql, identifiers_sql, normalised_sql, pick, pick_sql, query, quoted, read, vocabulary_sql
 
 # ------------------------------------------------------------ frames of a tender
@@ -148,15 +149,15 @@ def actions(spark, d):
 
 @query(
     "q20_pool_facts",
-    f"WITH {ITEMS_SQL} SELECT tender_id, string_agg(vendor_name || ': experience ' || CASE WHEN years IS NULL THEN 'not stated' ELSE CAST(CAST(years AS BIGINT) AS VARCHAR) || ' years' END || CASE WHEN largest IS NULL THEN '' ELSE ', largest recorded project ' || {_inr_sql('largest')} END, '; ' ORDER BY vendor_id) AS answer FROM f GROUP BY tender_id",
+    f"WITH {ITEMS_SQL} SELECT tender_id, row_number() OVER (PARTITION BY tender_id ORDER BY vendor_id) AS place, vendor_name || ': experience ' || CASE WHEN years IS NULL THEN 'not stated' ELSE CAST(CAST(years AS BIGINT) AS VARCHAR) || ' years' END || CASE WHEN largest IS NULL THEN '' ELSE ', largest recorded project ' || {_inr_sql('largest')} END AS answer FROM f",
 )
 def pool_facts(spark, d):
-    """One sentence of facts per vendor, joined per tender."""
+    """One sentence of facts per vendor, a row each with its place in the tender's answer."""
     f = facts(spark, d)
     years = F.when(F.col("years_in_business").isNull(), "not stated").otherwise(F.concat(F.col("years_in_business").cast("long").cast("string"), F.lit(" years")))
     text = F.concat(F.col("vendor_name"), F.lit(": experience "), years, F.coalesce(F.concat(F.lit(", largest recorded project "), M.format_inr(F.col("largest_project"))), F.lit("")))
-    rows = f.groupBy("tender_id").agg(F.array_sort(F.collect_list(F.struct("vendor_id", text.alias("t")))).alias("a"))
-    return rows.select("tender_id", F.array_join(F.transform("a", lambda x: x["t"]), "; ").alias("answer"))
+    rows = running(f.select("tender_id", "vendor_id", text.alias("answer")), ["tender_id"], ["vendor_id"], {"place": F.lit(1)})
+    return rows.select("tender_id", F.col("place").cast("long").alias("place"), "answer")
 
 
 # ------------------------------------------------------------ documents

@@ -125,17 +125,31 @@ def unverifiable(spark, d):
     return Y.unverifiable(cited, lines)
 
 
+_ACTION_ITEMS = (
+    "i0 AS (SELECT *, pos = 7 AS doc FROM it), i1 AS (SELECT tender_id, vendor_id, pos, requirement, severity, required_value, explanation, CASE WHEN doc THEN 'document' ELSE kind END AS kind, "
+    "CASE WHEN doc THEN (['not_assessable', 'partial', 'missing', 'manual_check'])[1 + vendor_id % 4] ELSE status END AS status, CASE WHEN doc THEN CASE WHEN vendor_id % 3 = 0 THEN 'Letter ' || vendor_id END ELSE found_value END AS found_value, "
+    "CASE WHEN (pos = 6 AND vendor_id % 2 = 0) OR (doc AND vendor_id % 5 < 2) THEN 'this clause applies to your bid' END AS cond FROM i0), "
+    "g AS (SELECT *, CASE WHEN status = 'not_assessable' AND kind <> 'document' THEN 'clarify' WHEN status IN ('not_assessable', 'manual_check', 'partial') THEN 'verify' WHEN kind = 'document' THEN 'upload' ELSE 'hard_fail' END AS grp, "
+    "CASE WHEN contains(trim(requirement), ' ') THEN lower(left(trim(requirement), 1)) || substr(trim(requirement), 2) ELSE trim(requirement) END AS inner_need FROM i1 WHERE status <> 'match')"
+)
+
+
 @query(
     "q94_action_texts",
-    f"WITH {ITEMS_SQL}, g AS (SELECT *, CASE WHEN status = 'not_assessable' THEN 'clarify' WHEN status IN ('manual_check', 'partial') THEN 'verify' ELSE 'hard_fail' END AS grp, CASE WHEN pos = 6 AND vendor_id % 2 = 0 THEN 'this clause applies to your bid' END AS cond FROM it WHERE status <> 'match'), "
-    "x AS (SELECT *, CASE grp WHEN 'hard_fail' THEN explanation WHEN 'clarify' THEN 'State clearly in your bid: ' || requirement ELSE CASE WHEN status = 'partial' AND found_value IS NOT NULL THEN 'Confirm that “' || found_value || '” satisfies: ' || requirement ELSE 'Check yourself: ' || requirement END END AS txt FROM g) "
-    "SELECT tender_id, vendor_id, pos, CASE WHEN grp = 'verify' AND cond IS NOT NULL THEN 'Only if ' || cond || ': ' || txt || '. Otherwise this does not apply to you.' ELSE txt END AS action FROM x",
+    f"WITH {ITEMS_SQL}, {_ACTION_ITEMS} "
+    "SELECT tender_id, vendor_id, pos, CASE WHEN grp = 'upload' THEN 'Upload ' || coalesce(nullif(required_value, ''), requirement) WHEN grp = 'hard_fail' THEN explanation WHEN grp = 'clarify' THEN 'State clearly in your bid: ' || requirement "
+    "WHEN status = 'not_assessable' THEN 'Review the relevant section of your bid against: ' || requirement WHEN cond IS NOT NULL AND found_value <> '' THEN 'Only if ' || cond || ': confirm “' || found_value || '” satisfies ' || inner_need || '. Otherwise this does not apply to you.' "
+    "WHEN cond IS NOT NULL THEN 'Only if ' || cond || ': ' || inner_need || '. Otherwise this does not apply to you.' WHEN status = 'partial' AND found_value <> '' THEN 'Confirm “' || found_value || '” satisfies: ' || requirement ELSE 'Check yourself: ' || requirement END AS action FROM g",
 )
 def action_texts(spark, d):
-    """What every open item asks of the vendor, conditions named."""
-    condition = F.when((F.col("pos") == 6) & (F.col("vendor_id") % 2 == 0), C.condition_text(F.lit("conditional")))
-    a = C.actions(items(spark, d)).withColumn("conditional_on", condition)
-    return a.select("tender_id", "vendor_id", "pos", C.action_text().alias("action"))
+    """What every open item asks of the vendor: documents and conditions among them."""
+    i, v, doc = items(spark, d), F.col("vendor_id"), F.col("pos") == 7
+    i = i.withColumns({
+        "kind": F.when(doc, "document").otherwise(F.col("kind")), "status": F.when(doc, pick(["not_assessable", "partial", "missing", "manual_check"], v)).otherwise(F.col("status")),
+        "found_value": F.when(doc, F.when(v % 3 == 0, F.concat(F.lit("Letter "), v.cast("string")))).otherwise(F.col("found_value")),
+    })
+    condition = F.when(((F.col("pos") == 6) & (v % 2 == 0)) | (doc & (v % 5 < 2)), C.condition_text(F.lit("conditional")))
+    return C.actions(i).withColumn("conditional_on", condition).select("tender_id", "vendor_id", "pos", C.action_text().alias("action"))
 
 
 @query(
@@ -150,21 +164,29 @@ def completion_texts(spark, d):
 OUTCOMES = ["applied", "conflict", "ambiguous"]
 
 
+_PATHS = ["emd_amount", "eligibility_criteria.turnover", "unmapped:site visit", "submission_deadline", "unmapped"]
+_LABELS = ["EMD amount", "eligibility criteria — turnover", "site visit", "bid submission deadline", "an unidentified term"]
+
+
 @query(
     "q96_amendment_warnings",
-    f"WITH o AS (SELECT l_orderkey AS id, string_agg(l_returnflag || ': ' || {pick_sql(OUTCOMES, 'l_linenumber')}, '; ' ORDER BY l_linenumber, l_returnflag || ': ' || {pick_sql(OUTCOMES, 'l_linenumber')}) AS w FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY ALL) "
-    "SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 5 = 0 THEN 'no issued date: whether it came late is not known' END, CASE WHEN o_orderkey % 7 = 0 THEN 'no submission deadline: whether it came late is not known' END, w) AS warnings, "
-    "'This tender was updated ' || CASE WHEN o_orderkey % 5 = 0 THEN 'recently' ELSE 'on ' || strftime(CAST(o_orderdate AS DATE), '%d %B %Y') END || '; check your compliance again.' || CASE WHEN o_orderkey % 2 = 0 THEN ' Changed: ' || o_orderstatus || ', ' || o_orderpriority || '.' ELSE '' END AS banner FROM orders LEFT JOIN o ON o.id = o_orderkey",
+    f"WITH c AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p, {pick_sql(_PATHS, 'l_partkey')} AS path, {pick_sql(_LABELS, 'l_partkey')} AS label, {pick_sql(OUTCOMES, 'l_linenumber')} AS outcome FROM lineitem), "
+    "w AS (SELECT o_orderkey AS id, 0 AS part, 0 AS n, 'no issued date: whether it came late is not known' AS warning FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 0, 1, 'no submission deadline: whether it came late is not known' FROM orders WHERE o_orderkey % 7 = 0 "
+    "UNION ALL SELECT id, 1, n, path || ': ' || outcome FROM c WHERE outcome <> 'applied'), x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, n, warning) AS place, warning FROM w), "
+    "f AS (SELECT id, label, min(n) AS n FROM c GROUP BY ALL), l AS (SELECT id, string_agg(label, ', ' ORDER BY n, label) AS labels FROM f GROUP BY id) "
+    "SELECT o_orderkey, place, warning, 'This tender was updated ' || CASE WHEN o_orderkey % 5 = 0 THEN 'recently' ELSE 'on ' || strftime(CAST(o_orderdate AS DATE), '%d %B %Y') END || '; check your compliance again.' || coalesce(' Changed: ' || labels || '.', '') AS banner "
+    "FROM orders LEFT JOIN x ON x.id = o_orderkey LEFT JOIN l ON l.id = o_orderkey",
 )
 def amendment_warnings(spark, d):
-    """What has to be said with an amendment: missing dates, open changes, and the banner of outdated reports."""
+    """What has to be said with an amendment, a row each: missing dates and open changes; and the banner of outdated reports."""
     o, k = read(spark, d, "orders"), F.col("o_orderkey")
     issued = F.when(k % 5 != 0, F.col("o_orderdate").cast("date"))
     c = o.select(k.alias("corrigendum_id"), issued.alias("issued_date"), F.when(k % 7 != 0, F.col("o_orderdate").cast("date")).alias("submission_deadline"))
-    outcomes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("corrigendum_id"), F.col("l_linenumber").alias("change_id"), F.col("l_returnflag").alias("field_path"), pick(OUTCOMES, F.col("l_linenumber")).alias("outcome"))
-    fields = F.when(k % 2 == 0, F.array("o_orderstatus", "o_orderpriority")).otherwise(F.array().cast("array<string>"))
-    banner = o.select(k.alias("corrigendum_id"), A.stale_banner(issued, fields).alias("banner"))
-    return A.warnings(c, outcomes).join(banner, "corrigendum_id").select(F.col("corrigendum_id").alias("o_orderkey"), F.array_join("warnings", "; ").alias("warnings"), "banner")
+    changes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("corrigendum_id"), F.col("l_linenumber").alias("change_id"), pick(_PATHS, F.col("l_partkey")).alias("field_path"), pick(OUTCOMES, F.col("l_linenumber")).alias("outcome"))
+    said = A.warnings(c, changes)
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    banners = c.join(A.changed_labels(changes), "corrigendum_id", "left").select("corrigendum_id", A.stale_banner(F.col("issued_date"), labels).alias("banner"))
+    return banners.join(said, "corrigendum_id", "left").select(F.col("corrigendum_id").alias("o_orderkey"), "place", "warning", "banner")
 
 
 EXPECTED = ["1.1(4)", "7", "clauses 4.1, 4.2 and 5", "—", "2.8", "NIT clause 4.1", "1.1"]
@@ -318,14 +340,84 @@ def typed_turnover(spark, d):
     return t.select("o_custkey", F.col("year").cast("long").alias("year"), F.col("amount_inr").cast("double").alias("amount_inr"), "conflicting")
 
 
+_SIZE, _OVERLAP = 700, 100
+# One sentence without paragraphs is cut by size alone: a piece of the size after each step, and the rest.
+_FLAT = r"regexp_replace(trim(regexp_replace({x}, '[.;:\n]', ' ', 'g')), '\s+', ' ', 'g')"
+_PIECES = "CASE WHEN length({t}) = 0 THEN 0 WHEN length({t}) <= {size} THEN 1 ELSE 1 + CAST(ceil((length({t}) - ({size})) / CAST(({size}) - " + str(_OVERLAP) + " AS DOUBLE)) AS BIGINT) END"
+_PIECE = "substr({t}, 1 + i * (({size}) - " + str(_OVERLAP) + "), {size})"
+
+
+def _flat(text):
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"[.;:\n]", " ")), r"\s+", " ")
+
+
 @query(
     "q107_page_chunks",
-    "WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '4.2 ' ELSE '' END || trim(text) AS text FROM conversations WHERE trim(text) <> '') "
-    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, text, CASE WHEN turn % 3 = 0 THEN '4.2' END AS clause_ref FROM c",
+    f"WITH c AS (SELECT source, doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN '4.2 ' ELSE '' END || {_FLAT.format(x='text')}) AS t FROM documents), p AS (SELECT *, unnest(range({_PIECES.format(t='t', size=_SIZE)})) AS i FROM c) "
+    f"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS chunk_index, {_PIECE.format(t='t', size=_SIZE)} AS text, CASE WHEN doc_id % 3 = 0 AND i = 0 THEN '4.2' END AS clause_ref FROM p",
 )
 def page_chunks(spark, d):
-    """Pages cut by size alone, with their leading clause numbers."""
-    pages = read(spark, d, "conversations").where("trim(text) <> ''")
-    text = F.concat(F.when(F.col("turn") % 3 == 0, "4.2 ").otherwise(""), F.trim("text"))
-    found = P.page_chunks(pages.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), text.alias("text")), size=4000)
-    return found.select(F.col("doc_id").alias("conv_id"), F.col("page_number").alias("turn"), "chunk_index", "text", "clause_ref")
+    """Pages cut by size alone, most of them several times, with their leading clause numbers; a source is a document."""
+    text = F.trim(F.concat(F.when(F.col("doc_id") % 3 == 0, "4.2 ").otherwise(""), _flat("text")))
+    pages = read(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), text.alias("text"))
+    found = P.page_chunks(pages, size=_SIZE, overlap=_OVERLAP)
+    return found.select(F.col("doc_id").alias("source"), F.col("page_number").alias("doc_id"), "chunk_index", "text", "clause_ref")
+
+
+_ROW_SIZE = "(700 - length(prefix) - 1)"
+
+
+@query(
+    "q121_document_chunks",
+    f"WITH d0 AS (SELECT doc_id // 4 AS doc, doc_id % 4 + 1 AS page, doc_id, {_FLAT.format(x='text')} AS t, '[table on page ' || (doc_id % 4 + 1) || ']' AS prefix FROM documents), "
+    f"a AS (SELECT doc, page, 0 AS part, 0 AS row_no, unnest(range({_PIECES.format(t='t', size=_SIZE)})) AS i, t, prefix, NULL AS header FROM d0), "
+    "r AS (SELECT doc, page, 1 AS part, n AS row_no, CASE n WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'Work | Amount in lakh' ELSE '1.2 | 17 August' END WHEN 1 THEN 'Road ' || doc_id || ' | 5' WHEN 2 THEN left(t, 900) ELSE 'Last | ' || doc_id END AS rendered, CASE WHEN doc_id % 3 = 0 THEN 'Work | Amount in lakh' END AS header, prefix "
+    "FROM d0, range(0, 4) q(n) WHERE doc_id % 2 = 0), s AS (SELECT *, prefix || ' ' || coalesce(header || chr(10), '') || trim(rendered, ' |') AS whole, trim(rendered, ' |') AS one FROM r WHERE trim(rendered, ' |') <> '' AND (header IS NULL OR row_no > 0)), "
+    f"b AS (SELECT *, unnest(range(CASE WHEN length(whole) <= 600 THEN 1 ELSE {_PIECES.format(t='one', size=_ROW_SIZE)} END)) AS i FROM s), "
+    f"e AS (SELECT doc, page, part, row_no, i, {_PIECE.format(t='t', size=_SIZE)} AS text, NULL AS clause_ref FROM a UNION ALL SELECT doc, page, part, row_no, i, CASE WHEN length(whole) <= 600 THEN whole ELSE prefix || ' ' || {_PIECE.format(t='one', size=_ROW_SIZE)} END, CASE WHEN one = '1.2 | 17 August' THEN '1.2' END FROM b) "
+    "SELECT doc, CAST(page AS INT) AS page, row_number() OVER (PARTITION BY doc ORDER BY page, part, row_no, i) - 1 AS chunk_index, text, clause_ref FROM e",
+)
+def document_chunks(spark, d):
+    """Documents of four pages, prose first and then the rows of their tables, on one running index; long rows are cut."""
+    k, t = F.col("doc_id"), _flat("text")
+    header = F.when(k % 3 == 0, F.array(F.lit("Work"), F.lit("Amount in lakh"))).otherwise(F.array(F.lit("1.2"), F.lit("17 August")))
+    rows = F.array(header, F.array(F.concat(F.lit("Road "), k.cast("string")), F.lit("5")), F.array(F.substring(t, 1, 900), F.lit("")), F.array(F.lit("Last"), k.cast("string")))
+    pages = read(spark, d, "documents").select(F.floor(k / 4).alias("doc_id"), (k % 4 + 1).cast("int").alias("page_number"), t.alias("text"), F.when(k % 2 == 0, F.array(rows)).alias("tables"))
+    found = P.document_chunks(pages, _SIZE, _OVERLAP)
+    return found.select(F.col("doc_id").alias("doc"), F.col("page_number").alias("page"), "chunk_index", "text", "clause_ref")
+
+
+@query(
+    "q119_report_stamps",
+    "WITH v AS (SELECT user_id AS bid, ts, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'generated' WHEN 'purchase' THEN 'rechecked' END AS kind FROM events), "
+    "s AS (SELECT bid, greatest(coalesce(min(ts) FILTER (kind = 'generated'), max(ts) FILTER (kind = 'rechecked')), coalesce(max(ts) FILTER (kind = 'rechecked'), min(ts) FILTER (kind = 'generated'))) AS last FROM v WHERE kind IN ('generated', 'rechecked') GROUP BY bid), "
+    "c AS (SELECT user_id % 7 AS tender, event_id, ts FROM events WHERE event_type = 'error') SELECT bid, count(*) AS newer, arg_max(event_id, (c.ts, event_id)) AS newest FROM s JOIN c ON c.tender = bid % 7 AND c.ts > s.last GROUP BY bid",
+)
+def report_stamps(spark, d):
+    """Bids whose report was stamped before a corrigendum of their tender came: reading a report stamps nothing."""
+    e = read(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "generated").when(F.col("event_type") == "purchase", "rechecked")
+    stamps = A.report_stamps(e.select(F.col("user_id").alias("bid_id"), F.col("ts").alias("at"), kind.alias("kind")))
+    bids = stamps.select((F.col("bid_id") % 7).alias("tender_id"), F.col("bid_id").alias("vendor_id"), "last_report_at")
+    corrigenda = e.where("event_type = 'error'").select((F.col("user_id") % 7).alias("tender_id"), F.col("event_id").alias("corrigendum_id"), F.col("ts").alias("created_at"))
+    return A.stale(bids, corrigenda).select(F.col("vendor_id").alias("bid"), "newer", "newest")
+
+
+@query(
+    "q120_evidence_findings",
+    "WITH f AS (SELECT l_orderkey AS tender_id, CASE l_returnflag WHEN 'N' THEN 'document' ELSE 'criterion' END AS part, l_linenumber AS pos, CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_quantity AS BIGINT) - 2 END AS page, CASE WHEN l_partkey % 6 = 0 THEN ' ' WHEN l_partkey % 6 <> 1 THEN l_linestatus END AS quote FROM lineitem), "
+    "d AS (SELECT o_orderkey AS tender_id, CASE WHEN o_orderkey % 9 <> 0 THEN 10 + o_orderkey % 40 ELSE 0 END AS pages FROM orders WHERE o_orderkey % 4 <> 3), j AS (SELECT f.*, pages, part || ' ' || pos AS field, trim(coalesce(quote, '')) = '' AS q FROM f LEFT JOIN d USING (tender_id)) "
+    "SELECT tender_id, field, 'error' AS severity, 'cites a page that is not there' AS message FROM j WHERE pages > 0 AND (page < 1 OR page > pages) UNION ALL SELECT tender_id, field, 'warning', CASE WHEN page IS NULL AND q THEN 'no page and no quote' WHEN page IS NULL THEN 'no page' ELSE 'no quote' END FROM j WHERE page IS NULL OR q "
+    "UNION ALL SELECT o_orderkey, x.p || 's', 'warning', 'none read' FROM orders, (VALUES ('criterion'), ('document')) x(p) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.tender_id = o_orderkey AND f.part = x.p)",
+)
+def evidence_findings(spark, d):
+    """What the facts of notices rest on: pages that are not there, facts without page or quote, notices without any."""
+    li, k = read(spark, d, "lineitem"), F.col("o_orderkey")
+    quote = F.when(F.col("l_partkey") % 6 == 0, " ").when(F.col("l_partkey") % 6 != 1, F.col("l_linestatus"))
+    facts = li.select(
+        F.col("l_orderkey").alias("tender_id"), F.when(F.col("l_returnflag") == "N", "document").otherwise("criterion").alias("part"), F.col("l_linenumber").alias("pos"),
+        F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity").cast("long") - 2).alias("source_page"), quote.alias("snippet"),
+    )
+    o = read(spark, d, "orders")
+    documents = o.where("o_orderkey % 4 <> 3").select(k.alias("tender_id"), F.when(k % 9 != 0, 10 + k % 40).otherwise(0).alias("page_count"))
+    return Y.evidence_findings(facts, documents).unionByName(Y.empty_findings(o.select(k.alias("tender_id")), facts))
