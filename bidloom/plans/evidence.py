@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rewording as W
 from ..operators import evidence as E
 from ..operators import pages as P
+from ..operators import retrieval as X
 from ..operators import statistics as T
 from .base import NAMES, canonical_sql, normalised_sql, pick, pick_sql, query, quoted, read
 
@@ -205,3 +206,60 @@ def extraction_report(spark, d):
         F.element_at(F.array(*(F.lit(f) for f in _BENCH_FIELDS)), (F.col("f") + 1).cast("int")).alias("field"), expected.alias("expected"), F.when(k % 7 != 2, printed).alias("actual"), F.col("p_retailprice").alias("seconds"),
     )
     return E.extraction_report(results, _BENCH_FIELDS)
+
+
+_POOL = [
+    "Why was Bidder 3 eliminated?", "How many bids have a turnover above the threshold?", "Describe the approach and staffing", "Which bidder has the lowest price and a credible plan?", "Compare the bids", "why were BIDDER 4 and Bidder 14 excluded",
+]
+_ROUTES = ["audit", "structured", "qualitative", "hybrid", "comparative", "audit"]
+_SECTIONS = ["technical_approach", "past_performance", "general"]
+_POOL_SQL = (
+    f"q AS (SELECT vec_id AS question_id, label AS tender_id, {pick_sql(_POOL, 'vec_id // 50')} AS question, {pick_sql(_ROUTES, 'vec_id // 50')} AS route, embedding FROM embeddings WHERE vec_id % 50 = 0), "
+    f"c AS (SELECT vec_id, label, embedding, {pick_sql(_SECTIONS, 'vec_id')} AS section, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id), "
+    "s AS (SELECT question_id, vec_id, text, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM q JOIN c ON c.label = q.tender_id AND section <> 'general'), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 8), "
+    "f AS (SELECT label AS tender_id, count(*) || ' bids recorded' AS answer FROM embeddings GROUP BY label)"
+)
+
+
+def _pool(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("tender_id"), "embedding", pick(_SECTIONS, F.col("vec_id")).alias("section"))
+    asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"), "tender_id")
+    questions = asked.select(F.col("query_id").alias("question_id"), "tender_id", pick(_POOL, F.floor(F.col("query_id") / 50).cast("long")).alias("question"))
+    found = X.nearest(asked, X.scoped(v, sections=E.NARRATIVE_SECTIONS), E.MOST_CITED, ["tender_id"])
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = found.join(texts, "chunk_id", "left").select(
+        F.col("query_id").alias("question_id"), "rank", F.when(F.col("chunk_id") % 4 != 0, F.concat(F.lit("Bidder "), F.col("chunk_id").cast("string"))).alias("vendor_id"), F.coalesce("text", F.lit("")).alias("text"),
+        (F.col("chunk_id") % 30).alias("source_page"), F.lit(None).cast("string").alias("clause_ref"),
+    )
+    facts = v.groupBy("tender_id").agg(F.concat(F.count("*").cast("string"), F.lit(" bids recorded")).alias("answer"))
+    return questions, hits, facts, v
+
+
+@query(
+    "q122_pool_answers",
+    f"WITH {_POOL_SQL}, t AS (SELECT question_id, string_agg(CASE WHEN vec_id % 4 <> 0 THEN 'Bidder ' || vec_id ELSE 'Submission' END || ' records: ' || trim(left(text, 240), ' '), ' ' ORDER BY rank) AS told FROM h WHERE rank <= 4 GROUP BY question_id) "
+    "SELECT question_id, route, CASE route WHEN 'hybrid' THEN 'Recorded facts: ' || answer || chr(10) || chr(10) || 'Narrative evidence: ' || coalesce(told, 'No sufficiently relevant narrative evidence was found.') WHEN 'qualitative' THEN coalesce(told, 'No sufficiently relevant narrative evidence was found.') ELSE answer END AS answer "
+    "FROM q LEFT JOIN f USING (tender_id) LEFT JOIN t USING (question_id)",
+)
+def pool_answers(spark, d):
+    """Questions about the pool of bids: routed to facts, narrative or both; every 50th vector asks."""
+    questions, hits, facts, _ = _pool(spark, d)
+    return E.pool_answers(questions, hits, facts)
+
+
+@query(
+    "q124_pool_citations",
+    f"WITH {_POOL_SQL}, d AS (SELECT vec_id, label AS tender_id, 'V' || vec_id AS vendor_id, 'Bidder ' || vec_id % 20 AS vendor_name, CASE WHEN vec_id % 3 <> 0 THEN 'reason ' || vec_id ELSE '' END AS reason FROM embeddings) "
+    "SELECT question_id, CASE WHEN vec_id % 4 <> 0 THEN 'Bidder ' || vec_id END AS vendor_id, CAST(vec_id % 30 AS BIGINT) AS source_page, left(text, 500) AS snippet FROM h JOIN q USING (question_id) WHERE route IN ('qualitative', 'hybrid') "
+    "UNION ALL SELECT question_id, d.vendor_id, CAST(vec_id % 9 AS BIGINT), CASE WHEN vec_id % 2 = 0 THEN 'quoted ' || vec_id ELSE reason END FROM q JOIN d USING (tender_id) WHERE route = 'audit' AND reason <> '' AND (contains(lower(question), lower(vendor_name)) OR contains(lower(question), lower(d.vendor_id)))",
+)
+def pool_citations(spark, d):
+    """What the same answers cite: their hits, or for the audit the decisions on the bids that are named."""
+    questions, hits, _, v = _pool(spark, d)
+    k = F.col("chunk_id")
+    decisions = v.select(
+        "tender_id", F.concat(F.lit("V"), k.cast("string")).alias("vendor_id"), F.concat(F.lit("Bidder "), (k % 20).cast("string")).alias("vendor_name"), F.when(k % 3 != 0, F.concat(F.lit("reason "), k.cast("string"))).otherwise("").alias("reason"),
+        (k % 9).alias("source_page"), F.lit(None).cast("string").alias("clause_ref"), F.when(k % 2 == 0, F.concat(F.lit("quoted "), k.cast("string"))).alias("snippet"),
+    )
+    return E.pool_citations(questions, hits, decisions).select("question_id", "vendor_id", F.col("source_page").cast("long").alias("source_page"), "snippet")

@@ -177,16 +177,16 @@ def test_job_timeout_and_claim(spark):
     assert rows(J.claim(e.withColumn("lane", F.lit(0)), ["lane"], ["ts", "id"]), "j") == [(1,)]
 
 
-def test_running_totals_in_blocks(spark):
+def test_running_totals_by_ranges(spark):
     from bidloom.operators.running import running
 
-    rows = [(k, i, (i * 7 + len(k)) % 5, i // 3) for k in ("a", "hot") for i in range(60 if k == "hot" else 4)] + [(None, 1, 9, 0), (None, 5, 1, 1)]
-    df = spark.createDataFrame(rows, "k string, i int, v int, block int").repartition(5)
-    got = running(df, ["k"], F.col("block"), ["i"], {"total": F.col("v")}, {"high": F.col("v")}).collect()
+    rows = [(k, i, (i * 7 + len(k)) % 5) for k in ("a", "hot") for i in range(60 if k == "hot" else 4)] + [(None, 1, 9), (None, 5, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    got = running(df, ["k"], ["i"], {"total": F.col("v")}, {"high": F.col("v")}).collect()
     for r in got:
-        before = [v for k, i, v, _ in rows if k == r.k and i <= r.i]
+        before = [v for k, i, v in rows if k == r.k and i <= r.i]
         assert (r.total, r.high) == (sum(before), max(before))
-    assert len(got) == len(rows) and running(df.limit(0), ["k"], F.col("block"), ["i"], {"n": F.lit(1)}).count() == 0
+    assert len(got) == len(rows) and running(df.limit(0), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
 
 
 def test_bm25_top_equals_scoring_everything(spark):
