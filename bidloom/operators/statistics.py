@@ -101,7 +101,7 @@ def significance(p: Column, alpha: float = 0.05) -> Column:
 
 def p_text(p: Column, resamples: int | None = None) -> Column:
     """A p to four places, or as below the least that so many resamples can tell."""
-    shown = F.concat(F.lit("p="), F.format_string("%.4f", F.bround(p, 4)))
+    shown = F.concat(F.lit("p="), F.format_string("%.4f", F.bround(F.round(p, 12), 4)))
     return shown if not resamples else F.when(p < 1.0 / resamples, F.lit(f"p<{1.0 / resamples:.4f}")).otherwise(shown)
 
 
