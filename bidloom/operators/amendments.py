@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import first_number, money_inr, parse_date
+from ..functions.money import first_number, let, money_inr, parse_date
 from .running import running
 
 # What a stated change is about, in the order in which it is tried.
@@ -34,8 +34,9 @@ def classify(subject: Column, new_value: Column) -> Column:
     path = F.lit(None).cast("string")
     for pattern, field in reversed(SUBJECTS):
         path = F.when(F.coalesce(subject, F.lit("")).rlike(pattern), field).otherwise(path)
-    shaped = F.when(path.isin(*DATES), parse_date(new_value).isNotNull()).when(path.isin(*AMOUNTS), money_inr(new_value).isNotNull()).otherwise(F.lit(True))
-    return F.when(path.isNotNull() & shaped, path).otherwise("unmapped")
+    # The value is read only where the path asks for a day or an amount, and the path is worked out once.
+    shaped = lambda p: F.when(p.isin(*DATES), parse_date(new_value).isNotNull()).when(p.isin(*AMOUNTS), money_inr(new_value).isNotNull()).otherwise(p.isNotNull())
+    return let(path, lambda p: F.when(shaped(p), p).otherwise("unmapped"))
 
 
 def restated(parents: DataFrame, headers: DataFrame) -> DataFrame:
@@ -47,17 +48,21 @@ def restated(parents: DataFrame, headers: DataFrame) -> DataFrame:
     both = headers.alias("h").join(parents.alias("p"), "tender_id")
     found = []
     for f in DATES:
-        new, old = parse_date(F.col(f"h.{f}")), F.col(f"p.{f}").cast("date")
-        found.append(F.when(new.isNotNull() & ~new.eqNullSafe(old), _change(f, old.cast("string"), new.cast("string"))))
+        found.append(_changed_date(f, F.col(f"h.{f}"), F.col(f"p.{f}").cast("date")))
     for f in AMOUNTS:
         new, old = F.col(f"h.{f}"), F.col(f"p.{f}")
-        a, b = money_inr(new), money_inr(old)
-        same = F.when(a.isNull() | b.isNull(), F.trim(F.coalesce(new, F.lit(""))) == F.trim(F.coalesce(old, F.lit("")))).otherwise(a == b)
-        found.append(F.when((F.coalesce(new, F.lit("")) != "") & ~same, _change(f, old, new)))
+        # Printed alike is alike; amounts are read only where the print differs, and once.
+        differs = (F.coalesce(new, F.lit("")) != "") & (F.trim(new) != F.trim(F.coalesce(old, F.lit(""))))
+        unlike = let(F.struct(money_inr(new).alias("a"), money_inr(old).alias("b")), lambda m: m["a"].isNull() | m["b"].isNull() | (m["a"] != m["b"]))
+        found.append(F.when(F.when(differs, unlike).otherwise(False), _change(f, old, new)))
     changes = F.explode(F.array_compact(F.array(*found))).alias("c")
     return both.select("corrigendum_id", "tender_id", changes).select("corrigendum_id", "tender_id", "c.*")
 
 
+def _changed_date(field: str, printed: Column, old: Column) -> Column:
+    return let(parse_date(printed), lambda new: F.when(new.isNotNull() & ~new.eqNullSafe(old), _change(field, old.cast("string"), new.cast("string"))))
+
+
 def _change(field: str, old: Column, new: Column) -> Column:
     return F.struct(F.lit(field).alias("field_path"), old.alias("old_value"), new.alias("new_value"))
 

@@ -172,11 +172,14 @@ def _postings(docs: DataFrame, queries: DataFrame, k1: float, b: float) -> tuple
 
     Terms are counted before they meet the queries, and only the queries' terms are joined.
     """
-    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("length"))
-    totals = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    split = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    # Texts are taken apart once: lengths add up from the counts, and documents without terms are counted apart.
+    counted = written(split.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")), "counted")
+    every = docs.agg(F.count("*").alias("n"))
+    totals = every.crossJoin(counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))).select("n", (F.col("terms") / F.nullif("n", F.lit(0))).alias("mean"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    counts = split.select("doc_id", "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    counts = counted.join(wanted, "term", "left_semi")
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     weighed = counts.join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(1e-9), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
