@@ -14,8 +14,9 @@ at most one row per partition and conversation that crosses its edge. The same s
 turn's place and its offset in the rendered text, which is returned turn by turn.
 
 Cases. Turns are ordered by (turn, role, text), nulls first; repeated rows count as turns of their
-own. Null role and text render as empty. Rows of a null conv_id are one conversation. An empty
-table gives an empty table. Further columns are ignored.
+own. Null role and text render as empty. Rows of a null conv_id are one conversation. A very long turn is
+one row, of which only hashes and lengths move until it is rendered. Ties: of equal conversations the smallest conv_id
+stays, a null one last. An empty table gives an empty table. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -145,16 +145,25 @@ def known_table(spark: SparkSession, notices: list[tuple[str, str]] | None = Non
     return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
+#: Known digests that the expression for lines may hold.
+MOST_IN_EXPRESSION = 1000
+
+
 def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``(doc_id, text_digest, licence, line_licences)`` for every row of ``docs(doc_id, text)``.
 
     ``licence`` is that of the entire text, or null; ``line_licences`` the sorted distinct licences
-    of its lines. ``known`` has to be a fixed table: its digests become part of the expression
-    that looks lines up, and only identifiers and digests of documents meet it in the join.
+    of its lines. Up to ``MOST_IN_EXPRESSION`` rows of ``known`` become part of the expression that looks lines
+    up, and only identifiers and digests of documents are joined. A larger table meets the lines' digests in
+    a join as well: what it hits is grouped by the digest of the whole text, so equal texts are one.
     """
-    by_digest = {r["digest"]: r["licence"] for r in known.select("digest", "licence").collect()}
+    few = known.select("digest", "licence").limit(MOST_IN_EXPRESSION + 1).collect()
     lines = canonical_lines(F.col("text"))
     base = docs.select("doc_id", lines.alias("lines"))
+    whole = known.select(F.col("digest").alias("text_digest"), "licence")
+    if len(few) > MOST_IN_EXPRESSION:
+        return _joined_scan(base, known, whole)
+    by_digest = {r["digest"]: r["licence"] for r in few}
     if by_digest:
         names = F.create_map(*(F.lit(x) for pair in sorted(by_digest.items()) for x in pair))
         hashed = F.transform(F.split("lines", "\n"), lambda x: digest(F.btrim(x)))
@@ -163,5 +172,14 @@ def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     else:
         of_lines = F.array().cast("array<string>")
     scanned = base.select("doc_id", digest(canonical(F.col("lines"))).alias("text_digest"), of_lines.alias("line_licences"))
-    whole = known.select(F.col("digest").alias("text_digest"), "licence")
     return scanned.join(whole, "text_digest", "left").select("doc_id", "text_digest", "licence", "line_licences")
+
+
+def _joined_scan(base: DataFrame, known: DataFrame, whole: DataFrame) -> DataFrame:
+    """The scan of ``base(doc_id, lines)`` with lines and texts alike joined by digest."""
+    # The canonical text drops what parts lines; the digest of its lines tells texts of other lines apart.
+    read = base.select("doc_id", digest(canonical(F.col("lines"))).alias("text_digest"), digest(F.col("lines")).alias("lines_digest"), F.array_distinct(F.transform(F.split("lines", "\n"), lambda x: digest(F.btrim(x)))).alias("hashes"))
+    hits = read.select("lines_digest", F.explode("hashes").alias("digest")).join(known.select("digest", F.col("licence").alias("found")), "digest")
+    of_lines = hits.groupBy("lines_digest").agg(F.array_sort(F.collect_set("found")).alias("line_licences"))
+    scanned = read.select("doc_id", "text_digest", "lines_digest").join(of_lines, "lines_digest", "left").join(whole, "text_digest", "left")
+    return scanned.select("doc_id", "text_digest", "licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"))

@@ -20,6 +20,8 @@ are ignored by ``mixture`` and kept by ``mixed_rows``, whatever their names.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,8 +81,10 @@ def domain_posteriors(docs: DataFrame, columns: np.ndarray, weights: np.ndarray,
     """
     k = len(bias)
     shared = docs.sparkSession.sparkContext.broadcast((columns, np.vstack([weights.T, np.zeros((1, k))]), bias))
-    source = docs if carry else docs.select("doc_id", "text")
-    at = source.columns.index("text")
+    names = docs.columns if carry else ["doc_id", "text"]
+    at = names.index("text")
+    # Spark would read a dot in a name as a field, so columns go by number and get their names back in the struct.
+    source = docs.toDF(*(f"c{i}" for i in range(len(names)))) if carry else docs.select(*names)
 
     def run(batches):
         keep, dense, b = shared.value
@@ -91,24 +95,29 @@ def domain_posteriors(docs: DataFrame, columns: np.ndarray, weights: np.ndarray,
                 found, n = features_of(texts)
                 p = posteriors(np.stack([dense[row_of[f]].sum(0) for f in found]) + b)
                 part = batch.slice(first, len(texts))
-                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema)) if carry else part.column(0)
+                row = pa.StructArray.from_arrays(part.columns, fields=[pa.field(n, f.type) for n, f in zip(names, part.schema, strict=True)]) if carry else part.column(0)
                 yield pa.RecordBatch.from_arrays([row, pa.array(n, pa.int64()), *(pa.array(p[:, j]) for j in range(k))], ["row" if carry else "doc_id", "n_tokens", *(f"p{j}" for j in range(k))])
 
     fields = [StructField("row", docs.schema) if carry else StructField("doc_id", LongType()), StructField("n_tokens", LongType()), *(StructField(f"p{j}", DoubleType()) for j in range(k))]
     return source.mapInArrow(tidy(run), StructType(fields))
 
 
-def rate_column(k: int, steps: list[np.ndarray]) -> Column:
-    """The rate after the steps' vectors, as one expression over ``p0 .. p(k-1)``."""
+def rate_column(k: int, steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rate after the steps' vectors, as one expression over ``p0 .. p(k-1)``; from 0 to ``most``."""
     rate = F.lit(1.0)
     for v in steps:
         move = sum((F.col(f"p{j}") * float(v[j]) for j in range(1, k)), F.col("p0") * float(v[0]))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(0.0), rate - move if most is None else F.least(F.lit(float(most)), rate - move))
     return rate
 
 
-def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, max_steps: int = 60, tolerance: float = 1e-6, bounded: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps' vectors and the domain totals they reach, for ``soft(n_tokens, p0, ...)``.
+def fit_rates(
+    soft: DataFrame, shares: np.ndarray, total: float | None = None, max_steps: int = 60, tolerance: float = 1e-6, bounded: np.ndarray | None = None, most: float | None = None
+) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """The steps' vectors, the domain totals they reach and the miss that is left, for ``soft(n_tokens, p0, ...)``.
+
+    The miss is the largest distance of a domain's total from its target, over the wanted total. With ``most``
+    a rate is no greater; what lies below its target for that reason is no miss, and no step tries to raise it.
 
     ``total`` is the wanted number of expected tokens. Where ``bounded`` is true a share is an upper
     bound: such a domain keeps what it has below it. By default the domains that are not bounded
@@ -122,35 +131,36 @@ def fit_rates(soft: DataFrame, shares: np.ndarray, total: float | None = None, m
     got = np.array([x or 0.0 for x in soft.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums + moments))).first()], float)
     now, inverse = got[:k], np.linalg.pinv(got[k:].reshape(k, k), rcond=1e-12)
     if not now.sum():
-        return [], now
+        return [], now, 0.0
     if total is None:
         free = shares[~upper].sum()
         total = float(now[~upper].sum() / free) if free > 0 else float(now.sum())
     goal = np.where(upper, np.minimum(now, shares * total), shares * total)
     steps: list[np.ndarray] = []
     best = np.inf
-    for _ in range(max_steps):
-        miss = now - goal
-        off = abs(miss).max() / max(total, 1.0)
-        if off < tolerance or (len(steps) > 8 and off > best * (1 - 1e-4)):
-            break
+    while True:
+        miss = now - goal if most is None else np.maximum(now - goal, 0.0)
+        off = float(abs(miss).max() / max(total, 1.0))
+        if off < tolerance or len(steps) == max_steps or (len(steps) > 8 and off > best * (1 - 1e-4)):
+            return steps, now, off
         best = min(best, off)
         steps.append(inverse @ miss)
-        rate = rate_column(k, steps)
+        rate = rate_column(k, steps, most)
         got = soft.select("n_tokens", *(f"p{j}" for j in range(k)), rate.alias("r")).agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.col(f"p{j}")).alias(f"s{j}") for j in range(k))).first()
         now = np.array(got, float)
-    return steps, now
 
 
 def mixture(
-    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = (), carry: bool = False
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = (), carry: bool = False,
+    most: float | None = None, most_miss: float = 1e-3,
 ) -> tuple[DataFrame, list[str]]:
     """``(doc_id, n_tokens, p0, ..., rate)`` and the names of the domains p0, p1, ...
 
     With ``carry``, ``(row, n_tokens, p0, ..., rate)`` with all columns of ``docs`` in the struct
     ``row``. A domain without a labelled row in the sample cannot be told from others and is left
     out; the targets of the others are scaled to one. Targets of the domains ``at_most`` are upper
-    bounds.
+    bounds. Rates are at most ``most``. Targets that no rates reach to within ``most_miss`` of the total
+    are a warning.
     """
     rows, by = labelled_sample(docs, labels, ["quality", "toxic"], 1, 1, max_rows)
     named = [DOMAINS.get((int(q > 0), int(t > 0))) for q, t in zip(by["quality"], by["toxic"], strict=True)]
@@ -165,8 +175,11 @@ def mixture(
     del rows
     trim()
     soft = scratch.table(domain_posteriors(docs, *model, carry), "posteriors")
-    steps, _ = fit_rates(soft, shares, total, bounded=np.array([n in at_most for n in names]))
-    return soft.withColumn("rate", rate_column(len(names), steps)), names
+    steps, now, miss = fit_rates(soft, shares, total, bounded=np.array([n in at_most for n in names]), most=most)
+    if miss > most_miss:
+        reached = ", ".join(f"{n} {x:.0f}" for n, x in zip(names, now, strict=True))
+        warnings.warn(f"rates miss the targets by {miss:.4f} of all tokens; expected totals reached: {reached}", stacklevel=2)
+    return soft.withColumn("rate", rate_column(len(names), steps, most)), names
 
 
 def copies(rate: Column, doc_id: Column, text: Column) -> Column:
@@ -175,11 +188,13 @@ def copies(rate: Column, doc_id: Column, text: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mixed_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = ()) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, total: float | None = None, max_rows: int = 8000, at_most: tuple[str, ...] = (), most: float | None = None
+) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as its rate says.
 
     A rate is a function of the row's own posteriors, so nothing is joined or shuffled.
     """
-    mixed, _ = mixture(docs, labels, scratch, targets, total, max_rows, at_most, carry=True)
+    mixed, _ = mixture(docs, labels, scratch, targets, total, max_rows, at_most, carry=True, most=most)
     times = copies(F.col("rate"), F.col("row.doc_id"), F.col("row.text"))
     return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")

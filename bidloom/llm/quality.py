@@ -11,7 +11,9 @@ scored in Spark tasks.
 
 Cases. Null and empty texts have no n-grams and get the score of the bias. Repeated rows come
 back once each. With labels of one class only, or none, every score is 0.5. A null doc_id is scored
-and not held out. Further columns are ignored.
+and not held out. A very long text is scored whole, in a slice of its own. Ties: equal texts have equal scores, and a
+score of exactly the threshold is accepted; of repeated labels of a doc_id the largest counts. An empty
+table gives an empty table. Further columns are ignored by ``quality_scores`` and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 from .learn import SIZE, Sparse, document_counts, features_of, fit_line, judged, labelled_sample, score_documents, sigmoid
 from .textops import slices, tidy, trim
@@ -119,4 +122,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: i
                 margin = np.array([value[f].sum() / np.sqrt(square[f].sum() + 1e-12) for f in found]) + bias
                 yield batch.slice(first, len(texts)).filter(pa.array(sigmoid(slope * margin + shift) >= threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # Spark would read a dot in a name as a field
+    return docs.toDF(*plain).mapInArrow(tidy(run), StructType([StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)])).toDF(*docs.columns)

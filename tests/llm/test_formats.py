@@ -329,6 +329,21 @@ def test_licences(spark):
     assert licences.licence_scan(spark.createDataFrame(docs, DOC), known.limit(0)).where("licence IS NOT NULL").count() == 0
 
 
+def test_many_known_licences_are_joined(spark, monkeypatch):
+    """A table too large for an expression gives the same rows, by joins alone."""
+    known = licences.known_table(spark)
+    mit = next(t for i, t in licences.NOTICES if i == "MIT" and len(t) > 100)
+    long = "prose words\n" * 30_000
+    docs = [(1, mit), (2, "prose\nReleased under the MIT Licence!\nLicensed under the Apache License, Version 2.0."), (2, None), (None, ""), (4, long + "Released under the MIT License."), (5, mit.replace(" ", "\n")), (5, mit.replace(" ", "\n"))]
+    df = spark.createDataFrame(docs, DOC).withColumn("lines", F.lit("clash")).withColumn("digest", F.lit("x"))
+    rows = lambda: sorted(((str(r.doc_id), r.text_digest, r.licence, tuple(r.line_licences)) for r in licences.licence_scan(df, known).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(licences, "MOST_IN_EXPRESSION", 3)
+    assert rows() == want and [r[2:] for r in want if r[0] == "4"] == [(None, ("MIT",))]
+    plan = licences.licence_scan(df, known)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and licences.licence_scan(df.limit(0), known).count() == 0
+
+
 def brute_chats(rows):
     by = {}
     for c, t, r, x in rows:
@@ -358,6 +373,15 @@ def test_maximal_conversations(spark):
     assert chat.maximal_conversations(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_very_long_turns(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "ok"), (2, 0, "user", long), (3, 0, "user", long + "x"), (4, 0, "user", long), (4, 1, "assistant", long)]
+    got = {}
+    for r in chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark)).orderBy("conv_id", "place").collect():
+        got[r.conv_id] = got.get(r.conv_id, "") + r.rendered
+    assert got == brute_chats(rows) and set(got) == {1, 3, 4}
+
+
 def test_one_conversation_over_many_partitions(spark):
     rows = [(1, i, "user", f"t{i % 7}") for i in range(3000)] + [(2, i, "user", f"t{i % 7}") for i in range(2999)] + [(3, 0, "user", "t0")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -178,7 +178,8 @@ def test_rates_meet_the_targets(spark):
     tokens = rng.integers(0, 900, 300)
     df = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     shares = np.array([0.6, 0.3, 0.1])
-    steps, now = mixing.fit_rates(df, shares)
+    steps, now, miss = mixing.fit_rates(df, shares)
+    assert miss < 1e-4
     total = tokens.sum()  # the tokens there are, whichever domain is scarce
     assert abs(now - shares * total).max() / total < 1e-4
     rates = np.array([r.r for r in df.select("doc_id", mixing.rate_column(3, steps).alias("r")).orderBy("doc_id").collect()])
@@ -212,7 +213,7 @@ def test_rates_by_another_solver(spark):
     p, tokens = rng.dirichlet([3, 3, 3], 200), rng.integers(50, 900, 200).astype(float)
     df = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
     shares, total = np.array([0.36, 0.33, 0.31]), tokens.sum()
-    steps, _ = mixing.fit_rates(df, shares)
+    steps, _, _ = mixing.fit_rates(df, shares)
     # Minimise sum t (r - 1)^2 subject to p' diag(t) r = goal: Lagrange's equations, solved directly.
     a = (tokens[:, None] * p).T
     kkt = np.block([[np.diag(2 * tokens), a.T], [a, np.zeros((3, 3))]])
@@ -226,13 +227,92 @@ def test_bounds_and_scarce_domains_do_not_set_the_total(spark):
     df = spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double, p2 double")
     now = np.array([sum(n * r[j] for n, *r in rows) for j in range(3)])
     shares = np.array([0.9, 0.05, 0.05])
-    steps, got = mixing.fit_rates(df, shares, bounded=np.array([False, True, True]))
+    steps, got, _ = mixing.fit_rates(df, shares, bounded=np.array([False, True, True]))
     total = now[0] / 0.9
     assert np.allclose(got, [now[0], 0.05 * total, now[2]], rtol=1e-3)
     rates = [r[0] for r in df.select(mixing.rate_column(3, steps)).collect()]
     assert min(rates[:90]) > 0.97 and max(rates[90:99]) < 0.6
 
 
+def test_rates_of_one_copy_at_most(spark):
+    rng = np.random.default_rng(8)
+    p, tokens = rng.dirichlet([5, 0.6, 0.4], 300), rng.integers(5, 900, 300)
+    df = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    shares, bounded = np.array([0.95, 0.03, 0.02]), np.array([False, True, True])
+    free, _, _ = mixing.fit_rates(df, shares, bounded=bounded)
+    steps, now, miss = mixing.fit_rates(df, shares, bounded=bounded, most=1.0)
+    rates = np.array([r.r for r in df.select("doc_id", mixing.rate_column(3, steps, 1.0).alias("r")).orderBy("doc_id").collect()])
+    assert max(r[0] for r in df.select(mixing.rate_column(3, free)).collect()) > 1 >= rates.max() and rates.min() >= 0
+    assert np.allclose((tokens * rates) @ p, now)
+    total = (tokens @ p)[0] / 0.95  # of the clean tokens there are
+    assert miss < 5e-3 and (now[1:] <= (shares[1:] + 5e-3) * total).all() and now[0] > 0.6 * (tokens @ p)[0]
+
+
+def test_targets_out_of_reach_are_said(spark):
+    """Every document half of each domain: no rates give nine tenths to one."""
+    df = spark.createDataFrame([(100, 0.5, 0.5)] * 20, "n_tokens long, p0 double, p1 double")
+    _, now, miss = mixing.fit_rates(df, np.array([0.9, 0.1]))
+    assert miss > 0.3 and now[0] == now[1]
+    docs, labels = toy(spark)
+    with pytest.warns(UserWarning, match="rates miss the targets"):
+        mixing.mixture(docs, labels, Scratch(spark), most_miss=-1.0)
+
+
+def newton(positive, unlabelled, prior, size, decay=1e-4, steps=60):
+    """The least of the unclipped risk, which is convex for the logistic loss, by Newton's method on dense rows."""
+    dense = lambda rows: np.array([[1.0 if j in set(r.tolist()) else 0.0 for j in range(size)] + [1.0] for r in rows])
+    p, u, w = dense(positive), dense(unlabelled), np.zeros(size + 1)
+    ridge = np.diag([decay] * size + [1e-9])
+    risk = lambda w: np.logaddexp(0, u @ w).mean() - prior * (p @ w).mean() + 0.5 * decay * (w[:-1] @ w[:-1])
+    for _ in range(steps):
+        s = 1 / (1 + np.exp(-(u @ w)))
+        g = u.T @ s / len(u) - prior * p.mean(0) + ridge @ w
+        h = (u * (s * (1 - s))[:, None]).T @ u / len(u) + ridge
+        move, size_of = np.linalg.solve(h, g), 1.0
+        while risk(w - size_of * move) > risk(w) and size_of > 1e-6:
+            size_of /= 2
+        w = w - size_of * move
+    return w
+
+
+def test_nnpu_reaches_the_least_risk():
+    """Where the corrected part stays positive, the fit and Newton's method on the same risk score alike."""
+    rng = np.random.default_rng(3)
+    draw = lambda toxic: np.array(sorted({*rng.integers(0, 8, 3 if toxic else 1), *rng.integers(8, 24, 6)}), np.int32)
+    positive, unlabelled = [draw(True) for _ in range(200)], [draw(i % 5 == 0) for i in range(1000)]
+    w, b = toxicity.fit_nnpu(positive, unlabelled, 0.2, steps=4000, rate=0.005, decay=0.03, min_documents=1, lift=0.0)
+    best = newton(positive, unlabelled, 0.2, 24, decay=0.03)
+    ours, theirs = np.array([w[r].sum() for r in unlabelled]), np.array([best[r].sum() for r in unlabelled])
+    spread = theirs.std()
+    assert np.corrcoef(ours, theirs)[0, 1] > 0.999 and abs((ours - ours.mean()) - (theirs - theirs.mean())).max() < 0.2 * spread
+    assert abs(np.mean(1 / (1 + np.exp(-(ours + b)))) - 0.2) < 1e-3
+
+
+@tables
+def test_toxicity_query_recomputed(spark):
+    """Every row of the query from plain Python: samples, features as sets, the fitted weights summed one by one."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    held = {d for d in docs if zlib.crc32(str(d).encode()) % 4 == 2}
+    features = {d: learn.features_of([(t or "").encode()], shapes=False)[0][0] for d, t in docs.items()}
+    seen = sorted(d for d in docs if d in labelled and d not in held)
+    positive = [features[d] for d in seen if d in toxic]
+    unlabelled = [features[d] for d in sorted(docs) if d not in held]
+    prior = len(positive) / len(seen)
+    w, b = toxicity.fit_nnpu(positive, unlabelled, prior)
+    got = {r.doc_id: r for r in QUERIES["op2_nnpu_toxicity"](spark, SF).collect()}
+    assert set(got) == set(docs)
+    for d, r in got.items():
+        z = b
+        for f in features[d].tolist():
+            z += w[f]
+        score = 1 / (1 + np.exp(-min(40.0, max(-40.0, z))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.3) and r.held_out == (d in held)
+
+
 def test_sample_is_bounded_in_rows_and_bytes(spark):
     """One doc_id thousands of times is one row; features beyond the bound are not collected."""
     rows = [(7, f"text number {i}") for i in range(3000)] + [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(100, 160)]

@@ -98,6 +98,36 @@ def test_last_stage_searches_for_more_than_the_best_path(spark, folder, monkeypa
     assert asked[0] > 1 and all(found[d].tokens == r.tokens and (r.scores is None or found[d].score == r.scores[0]) for d, r in best.items())
 
 
+def test_empty_documents_through_all_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, spark.read.parquet(f"{tmp_path}/{k - 1}" if k else f"{tmp_path}/documents.parquet"), str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() == 0
+        if k < 4:
+            assert spark.read.parquet(f"{tmp_path}/{k}").schema == docs.schema
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_through_all_stages(spark, folder, tmp_path):
+    """Columns with the names that operators use come through every stage, with the values of their rows."""
+    names = ["row", "id", "hash", "stays", "maybe", "rate", "copy", "n_tokens", "p0", "score", "digest", "features", "a.b", "quality"]
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.select("*", *(F.concat_ws(":", F.lit(n), F.col("doc_id").cast("string"), F.substring("text", 1, 9)).alias(n) for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, spark.read.parquet(f"{tmp_path}/{k - 1}" if k else f"{tmp_path}/documents.parquet"), str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            got = spark.read.parquet(f"{tmp_path}/{k}")
+            assert got.columns == docs.columns
+            for r in got.collect():
+                assert all(r[n] == ":".join(x for x in (n, None if r.doc_id is None else str(r.doc_id), None if r.text is None else r.text[:9]) if x is not None) for n in names)
+    with_clash = sorted(str(r.doc_id) for r in spark.read.parquet(f"{tmp_path}/4").collect())
+    assert with_clash == sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect())
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
