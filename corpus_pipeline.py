@@ -15,7 +15,8 @@ gives an empty table. Further columns come through, whatever their names. By sta
   visible character are one group.
 * near dedup: of a component the smallest doc_id stays. A text without words links with nothing
   and stays; a row that is repeated comes through once.
-* mixing: rows that are repeated have as many copies each; without labels every row stays once.
+* mixing: a row stays or goes, and has no second copy; rows that are repeated share their fate;
+  without labels every row stays.
 * pieces: one row out for each row in; a null text has null tokens.
 """
 
@@ -65,12 +66,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; unwanted domains with too many tokens shrink.
+    """Documents as often as their fitted rates say, once at most; unwanted domains with too many tokens shrink.
 
     Earlier stages have removed most junk, so what is left of it, however little, is no measure of
     the mixture: targets of unwanted domains are upper bounds, and clean tokens keep their number.
     """
-    return mixed_rows(docs, _labels(spark, sf_dir), _stage(spark), at_most=UNWANTED)
+    return mixed_rows(docs, _labels(spark, sf_dir), _stage(spark), at_most=UNWANTED, most=1.0)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
