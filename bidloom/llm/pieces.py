@@ -25,6 +25,9 @@ Zipf-Mandelbrot law over these ranks, ``1 / (rank + RANK_SHIFT)``, scaled to one
 Texts are encoded with a leading word mark, spaces become word marks, and a mark that stands in the
 text itself is encoded by its bytes, so decoding gives every text back exactly.
 
+Pieces and segments are found by 64 bits of hash. Every path is decoded and compared with the text; one that
+does not give it back, which takes two strings of one hash, is encoded again with other hashes.
+
 Cases. A null text has null tokens; an empty one is the leading mark alone. Equal scores come in the
 order of the search, which depends on the segment alone. Repeated rows come back once each; a null
 doc_id keeps its row. Very long texts, with or without spaces, are encoded whole. An empty
@@ -34,7 +37,7 @@ table gives an empty table. Further columns are ignored.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
@@ -69,6 +72,7 @@ class Vocabulary:
     ids: list[int]
     byte_ids: list[int]
     unknown: float = field(default=0.0)
+    salt: int = 77  # of the hashes by which pieces are found
 
     def __post_init__(self):
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
@@ -107,7 +111,7 @@ class Vocabulary:
 
     @cached_property
     def char_hash(self) -> np.ndarray:
-        return mix(np.arange(_OWN_MARK + 1, dtype=np.uint64) + _U(77))
+        return mix(np.arange(_OWN_MARK + 1, dtype=np.uint64) + _U(self.salt))
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -545,6 +549,10 @@ def _edited(tokens: np.ndarray, edits) -> np.ndarray:
 _EDITS = "array<array<struct<at:int,size:int,tokens:array<int>>>>"
 
 
+#: Texts that do not decode are encoded again with other hashes, so often at most.
+TRIES = 3
+
+
 def _runner(v: Vocabulary, n: int, digest: bool):
     import hashlib
 
@@ -577,6 +585,16 @@ def _runner(v: Vocabulary, n: int, digest: bool):
                 digests.append(hashlib.md5(_edited(tokens, e).tobytes()).hexdigest())
         return digests, same
 
+    def mended(found, seen, texts):
+        """Where decoding does not give the text, two strings had one hash: other hashes tell them apart."""
+        for i, (text, (_, same)) in enumerate(zip(texts, seen, strict=True)):
+            for salt in range(1, TRIES + 1):
+                if same or text is None:
+                    break
+                found[i] = encode_texts(SegmentEncoder(replace(v, salt=v.salt + salt)), [text], n)[0]
+                seen[i] = paths(found[i][0], found[i][2], text)
+                same = seen[i][1]
+
     def run(batches):
         encoder = SegmentEncoder(v)
         for batch in batches:
@@ -586,6 +604,7 @@ def _runner(v: Vocabulary, n: int, digest: bool):
                 texts = part.column(1).to_pylist()
                 found = list(encoded(encoder, texts))
                 seen = [paths(tokens, edits, x) for x, (tokens, _, edits) in zip(texts, found, strict=True)]
+                mended(found, seen, texts)
                 null = np.array([t is None for t in texts], bool)
                 if digest:
                     columns = [
