@@ -106,6 +106,11 @@ def replace_owners(chunks: DataFrame, path: str, embed: Callable[[DataFrame], Da
     return version
 
 
+def payload(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """``chunks`` with ``payload``: their fields as JSON, those without a value left out."""
+    return chunks.withColumn("payload", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}))
+
+
 def vacuum(spark: SparkSession, path: str) -> None:
     """Remove versions of chunks that no bucket is read from any more, once no reader is at work on them."""
     versions = Versions(spark, path)

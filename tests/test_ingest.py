@@ -112,6 +112,11 @@ def test_chunks_are_numbered_on_through_their_sources(spark):
     assert got == [("a", 0, "p1a"), ("a", 1, "p1b"), ("a", 2, "p2"), ("a", 3, "n"), ("a", 4, "q3"), ("a", 5, "q9"), ("b", 0, "b1"), ("c", 0, "c")]
 
 
+def test_payload_leaves_out_what_is_not_there(spark):
+    df = spark.createDataFrame([("a", None, 0), ("b", 3, None)], "text string, page int, chunk_index int")
+    assert [r.payload for r in I.payload(df, ["text", "page", "chunk_index"]).orderBy("text").collect()] == ['{"text":"a","chunk_index":0}', '{"text":"b","page":3}']
+
+
 EVENTS = "event_id long, ts timestamp, job_id long, state string"
 
 
