@@ -200,6 +200,7 @@ def report_stamps(views: DataFrame) -> DataFrame:
 
 def impact_text(was: Column, now: Column, was_clause: Column, now_clause: Column, direction: Column) -> Column:
     """One line on what an amendment does to a bid."""
+    # The wording of the outcomes.
     clause = lambda c: F.coalesce(c, F.lit("—"))
     return (
         F.when(direction == "unchanged", "unaffected")
@@ -231,6 +232,7 @@ def changed_labels(changes: DataFrame) -> DataFrame:
 
 def stale_banner(issued: Column, fields: Column) -> Column:
     """What a reader of an outdated report is told; ``fields`` are labels of what changed."""
+    # The wording of the banner.
     when = F.coalesce(F.date_format(issued, "dd MMMM yyyy"), F.lit("recently"))
     when = F.when(issued.isNotNull(), F.concat(F.lit("on "), when)).otherwise(when)
     changed = F.when(F.size(fields) > 0, F.concat(F.lit(" Changed: "), F.array_join(fields, ", "), F.lit("."))).otherwise("")

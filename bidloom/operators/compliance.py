@@ -246,6 +246,7 @@ def action_text() -> Column:
 
 def completion_text(satisfied: Column, mandatory: Column) -> Column:
     """The count of met requirements in words: a count, not a score."""
+    # Fixed value: the wording.
     return F.concat(satisfied.cast("string"), F.lit(" of "), mandatory.cast("string"), F.lit(" mandatory requirements satisfied"))
 
 

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import evidence as E
 from ..operators import index as I
+from ..operators import pages as P
+from ..operators import statistics as T
 from ..session import opened, shared_folder
 from ..sources import quarantine as Z
 from ..sources import retained as B
@@ -120,3 +123,55 @@ def backfill(spark, d):
     kept = B.stored_digests(spark, path)
     stored = kept.agg(F.count("*").alias("stored"), F.countDistinct("version").cast("int").alias("versions"))
     return again.crossJoin(F.broadcast(stored)).select(F.col("name").alias("doc_id"), "outcome", "content_hash", "stored", "versions")
+
+
+@query(
+    "q125_page_tables",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey // 3 % 4 IN (0, 3) THEN 1 ELSE 0 END AS tables, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey // 3 % 4 IN (0, 3) THEN o_orderpriority END AS first_cell FROM orders",
+)
+def page_tables(spark, d):
+    """Tables of pages: ruled ones if two rows and columns have lines, else aligned ones that are dense, even and short."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    grid = lambda a, b, c, e: F.array(F.array(a, b), F.array(c, e))
+    blank = F.lit(None).cast("string")
+    ruled = F.when(k % 3 == 0, F.array(grid(F.col("o_orderstatus"), blank, F.lit(""), F.lit("5")), F.array(F.array(F.lit("alone"))), grid(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")))).when(k % 3 == 1, F.array(F.array(F.array(F.lit("one")), F.array(F.lit("column")))))
+    which = F.floor(k / 3) % 4
+    dense = grid(F.col("o_orderpriority"), F.lit("1"), F.lit("x"), F.lit("2"))
+    aligned = F.when(which == 0, F.array(dense)).when(which == 1, F.array(grid(F.lit("a"), blank, F.lit(""), F.lit("b")))).when(which == 2, F.array(grid(F.repeat(F.lit("x"), 90), F.repeat(F.lit("y"), 90), F.lit("long prose " * 9), F.lit("cells " * 15)))).otherwise(F.array(dense))
+    found = o.select("o_orderkey", P.page_tables(ruled, aligned).alias("t"))
+    return found.select("o_orderkey", F.size("t").alias("tables"), F.get(F.get(F.get("t", 0), 0), 0).alias("first_cell"))
+
+
+@query(
+    "q126_label_units",
+    "WITH k AS (SELECT s_suppkey, s_nationkey, s_name, CASE WHEN s_acctbal < 2000 THEN 'eliminate' ELSE 'pass' END AS status, CASE WHEN s_acctbal < 2000 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'criteria' ELSE 'document' END END AS ground FROM supplier) "
+    "SELECT 'status' AS dimension, s_suppkey AS id, s_nationkey AS notification_id, s_name AS open_this, '' AS label, status AS committed FROM k UNION ALL SELECT 'ground', s_suppkey, s_nationkey, s_name, '', ground FROM k WHERE status = 'eliminate'",
+)
+def label_units(spark, d):
+    """What a second rater is given in each dimension, beside the labels that are committed."""
+    out, s = F.col("s_acctbal") < 2000, read(spark, d, "supplier")
+    keys = s.select(
+        F.col("s_suppkey").alias("vendor_id"), F.col("s_nationkey").alias("notification_id"), F.col("s_name").alias("file_name"), F.when(out, "eliminate").otherwise("pass").alias("intended_status"),
+        F.when(out, F.when(F.col("s_suppkey") % 2 == 0, "criteria").otherwise("document")).alias("intended_ground"),
+    )
+    both = None
+    for dimension in ("status", "ground"):
+        units = T.label_units(keys, dimension).join(T.committed_labels(keys, dimension).withColumnRenamed("label", "committed"), "id")
+        units = units.select(F.lit(dimension).alias("dimension"), "id", "notification_id", "open_this", "label", "committed")
+        both = units if both is None else both.unionByName(units)
+    return both
+
+
+@query(
+    "q127_payloads",
+    "SELECT vec_id, '{\"chunk_id\":' || vec_id || CASE WHEN vec_id % 3 <> 0 THEN ',\"page\":' || vec_id % 40 ELSE '' END || CASE WHEN vec_id % 4 <> 0 THEN ',\"doc_kind\":\"bid\"' ELSE '' END || '}' AS payload, CASE WHEN vec_id % 4 <> 0 THEN 'bid' ELSE 'unknown' END AS doc_kind, "
+    "CASE WHEN vec_id % 5 <> 0 THEN 'text ' || vec_id ELSE '' END AS text, round(vec_id / 7.0::DOUBLE, 4) AS score FROM embeddings",
+)
+def payloads(spark, d):
+    """Stored payloads without empty fields, and hits with defaults for what a payload lacks."""
+    k = F.col("vec_id")
+    v = read(spark, d, "embeddings").select(
+        k, k.alias("chunk_id"), F.when(k % 3 != 0, k % 40).alias("page"), F.when(k % 4 != 0, "bid").alias("doc_kind"), F.when(k % 5 != 0, F.concat(F.lit("text "), k.cast("string"))).alias("text"), (k / 7.0).alias("score")
+    )
+    stored = I.payload(v, ["chunk_id", "page", "doc_kind"])
+    return E.hit_fields(stored).select("vec_id", "payload", "doc_kind", "text", "score")
