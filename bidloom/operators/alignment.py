@@ -109,7 +109,9 @@ def align(pages: DataFrame, snippets: DataFrame, k: int = 3, floor: float = MIN_
         met = there.join(asked, "seed").select("snippet_id", "page_id").distinct()
         pairs = met if pairs is None else pairs.union(met)
     pairs = written(pairs, "pairs")
-    rows = pairs.join(wanted.select("snippet_id", "snippet"), "snippet_id").join(of_pages.select("page_id", hashed(F.col("t")).alias("page")), "page_id")
+    # Pages without a pair stop where they are read, as long as the identifiers of the others are few enough to broadcast.
+    met_pages = of_pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select("page_id", hashed(F.col("t")).alias("page"))
+    rows = pairs.join(wanted.select("snippet_id", "snippet"), "snippet_id").join(met_pages, "page_id")
 
     def run(batches):
         for batch in batches:
