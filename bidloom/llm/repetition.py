@@ -15,7 +15,7 @@ words or under its reverse. So for each of the two orders
 No suffix array is built. Before the scan, stretches that can't hold a run are left out: in a run of
 period q and of ``least_exponent * q`` words every word but the last q comes again within q words, so a
 block of words that come again, m words long, has no distance above ``m / (least_exponent - 1)``. Blocks are cut at greater
-distances until nothing changes; this loses no run, and usual prose leaves nothing to scan.
+distances until nothing changes, or some passes are over; this loses no run, and usual prose leaves nothing to scan.
 
 Everything happens in one row: nothing is shuffled, and a lost task is run again.
 
@@ -38,6 +38,7 @@ from .textops import _BASE, _MASK, _power_tables, mix, tidy
 _U = np.uint64
 _FAR = np.int64(1) << np.int64(40)
 SLICE_CHARS = 1 << 20
+PASSES = 64
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
@@ -70,9 +71,14 @@ def next_distances(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def candidate_blocks(distance: np.ndarray, least_words: int, least_exponent: int) -> list[tuple[int, int]]:
-    """Blocks ``[begin, end)`` of words that come again, outside of which no run has a word but its last q."""
+    """Blocks ``[begin, end)`` of words that come again, outside of which no run has a word but its last q.
+
+    Each pass leaves out less than the one before; after ``PASSES`` of them what is left is scanned as it is.
+    """
     place = np.flatnonzero(distance < _FAR)
-    while len(place):
+    for n in range(PASSES):
+        if not len(place):
+            break
         first = np.concatenate([[True], np.diff(place) != 1])
         number = np.cumsum(first) - 1
         size = np.bincount(number)
@@ -80,7 +86,7 @@ def candidate_blocks(distance: np.ndarray, least_words: int, least_exponent: int
         # A run of q has max(least_words, least_exponent * q) - q words here: at least this many.
         most[size < max(least_exponent - 1, min(least_words - 1, least_words * (least_exponent - 1) // least_exponent))] = 0
         stays = distance[place] <= most[number]
-        if stays.all():
+        if stays.all() or n == PASSES - 1:
             begin = place[first]
             return list(zip(begin.tolist(), (begin + size).tolist(), strict=True))
         place = place[stays]

@@ -72,6 +72,15 @@ def test_runs_against_all_periods(least, exponent):
         assert fast_runs(w, least, exponent) == brute_runs(w, least, exponent), w
 
 
+@pytest.mark.parametrize("passes", [1, 2])
+def test_fewer_passes_find_the_same_runs(monkeypatch, passes):
+    monkeypatch.setattr(repetition, "PASSES", passes)
+    rng = random.Random(passes)
+    for _ in range(400):
+        w = [rng.choice("abcd"[: rng.choice([2, 3, 4])]) for _ in range(rng.randint(0, 50))]
+        assert fast_runs(w) == brute_runs(w) and fast_runs(w, 2, 2) == brute_runs(w, 2, 2)
+
+
 def test_long_texts_take_time_in_proportion():
     assert fast_runs(["a"] * 100_000) == [(0, 100_000, 1)]
     morse = ["ab"[i.bit_count() % 2] for i in range(1 << 15)]  # polynomial hashes modulo a power of two are weakest here
