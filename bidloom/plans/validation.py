@@ -282,19 +282,44 @@ def blocked_stages(spark, d):
     return Y.blocked_stages(e.select(F.col("event_type").alias("stage")).distinct(), needs, have).select("stage", "blocked", F.array_join("missing", ", ").alias("missing"))
 
 
-WANTED = ["31,500", "2025-03-05", "Public Works|PWD", "NIT 7"]
-GOT = ["Rs. 31,500/-", "5 March 2025", "department of public works", "none", "n/a", "Rs. 0.315 Lakh", "the PWD", "NIT 7/2025"]
-_RIGHT = {("31,500", "Rs. 31,500/-"), ("31,500", "Rs. 0.315 Lakh"), ("2025-03-05", "5 March 2025"), ("Public Works|PWD", "department of public works"), ("Public Works|PWD", "the PWD"), ("NIT 7", "NIT 7/2025")}
+# Expected values of three kinds from each part's key, and answers that carry them, carry others or nothing.
+_N = "(1 + p_partkey % 9000) * 10"
+_WANTED_SQL = (
+    f"CASE p_partkey % 3 WHEN 0 THEN format('{{:,}}', {_N}) WHEN 1 THEN CAST(DATE '2025-01-01' + CAST(p_partkey % 700 AS INTEGER) AS VARCHAR) ELSE 'Body ' || p_partkey || '|PWD ' || p_size END"
+)
+_GOT_SQL = (
+    "CASE g WHEN 5 THEN (['none', 'N/A', '  ', 'not stated', NULL])[1 + p_partkey % 5] ELSE CASE p_partkey % 3 "
+    f"WHEN 0 THEN CASE g WHEN 0 THEN 'Rs. ' || format('{{:,}}', {_N}) || '/-' WHEN 1 THEN CAST(CAST({_N} / 100000.0 AS DECIMAL(12, 4)) AS VARCHAR) || ' Lakh' WHEN 2 THEN 'Rs. ' || format('{{:,}}', {_N} + 10) WHEN 3 THEN 'INR ' || {_N} || ' only' ELSE 'five thousand' END "
+    "WHEN 1 THEN CASE WHEN g % 2 = 0 THEN strftime(DATE '2025-01-01' + CAST(p_partkey % 700 + CASE WHEN g IN (2, 4) THEN 1 ELSE 0 END AS INTEGER), '%-d %B %Y') ELSE strftime(DATE '2025-01-01' + CAST(p_partkey % 700 AS INTEGER), '%d.%m.%Y') END "
+    "ELSE CASE g WHEN 0 THEN 'the BODY ' || p_partkey || ' of works' WHEN 1 THEN 'pwd ' || p_size WHEN 2 THEN 'Body ' || (p_partkey + 1) || ' only' WHEN 3 THEN 'of the PWD ' || p_size || ', ' || p_brand ELSE p_name END END END"
+)
 
 
 @query(
     "q103_benchmark_match",
-    f"WITH r(w, g, ok) AS (VALUES {', '.join(f'({quoted(w)}, {quoted(g)}, {str((w, g) in _RIGHT).lower()})' for w in WANTED for g in GOT)}) SELECT p_partkey, ok FROM (SELECT p_partkey, {pick_sql(WANTED, 'p_partkey')} AS w, {pick_sql(GOT, 'p_partkey // 4')} AS g FROM part) JOIN r USING (w, g)",
+    f"WITH s AS (SELECT p_partkey, p_partkey // 3 % 6 AS g, p_size, p_brand, p_name FROM part), t AS (SELECT p_partkey, {_WANTED_SQL} AS w, trim(coalesce({_GOT_SQL}, '')) AS got FROM s), "
+    "u AS (SELECT *, CASE WHEN got ILIKE '% lakh' THEN TRY_CAST(regexp_extract(got, '([0-9.]+)', 1) AS DOUBLE) * 100000 ELSE TRY_CAST(replace(regexp_extract(got, '([0-9][0-9,]*)', 1), ',', '') AS DOUBLE) END AS inr, "
+    "coalesce(TRY_CAST(try_strptime(got, '%d %B %Y') AS DATE), TRY_CAST(try_strptime(got, '%d.%m.%Y') AS DATE)) AS day FROM t) "
+    "SELECT p_partkey, w AS expected, CASE WHEN lower(got) IN ('', 'none', 'null', 'n/a', 'not stated') THEN FALSE WHEN regexp_full_match(w, '[0-9,]+') THEN coalesce(abs(inr - CAST(replace(w, ',', '') AS DOUBLE)) < 0.001, FALSE) "
+    "WHEN regexp_full_match(w, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN coalesce(CAST(day AS VARCHAR) = w, FALSE) ELSE len(list_filter(string_split(w, '|'), lambda x: contains(lower(got), lower(x)))) > 0 END AS ok FROM u",
 )
 def benchmark_match(spark, d):
     """Whether an extracted value carries what a benchmark expects: amounts by rupees, dates by day, names by a part."""
-    k = F.col("p_partkey")
-    return read(spark, d, "part").select(k, E.benchmark_match(pick(WANTED, k), pick(GOT, F.floor(k / 4).cast("long"))).alias("ok"))
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    g, n = F.floor(k / 3) % 6, (1 + k % 9000) * 10
+    day = lambda more: F.date_add(F.lit("2025-01-01").cast("date"), (k % 700 + more).cast("int"))
+    named = F.format_number(n, 0)
+    expected = F.when(k % 3 == 0, named).when(k % 3 == 1, day(0).cast("string")).otherwise(F.concat(F.lit("Body "), k.cast("string"), F.lit("|PWD "), F.col("p_size").cast("string")))
+    printed = day(F.when(g.isin(2, 4), 1).otherwise(0))
+    found = (
+        F.when(g == 5, F.element_at(F.array(F.lit("none"), F.lit("N/A"), F.lit("  "), F.lit("not stated"), F.lit(None)), (k % 5 + 1).cast("int")))
+        .when((k % 3 == 0) & (g == 0), F.concat(F.lit("Rs. "), named, F.lit("/-"))).when((k % 3 == 0) & (g == 1), F.concat((n / 100000).cast("decimal(12,4)").cast("string"), F.lit(" Lakh")))
+        .when((k % 3 == 0) & (g == 2), F.concat(F.lit("Rs. "), F.format_number(n + 10, 0))).when((k % 3 == 0) & (g == 3), F.concat(F.lit("INR "), n.cast("string"), F.lit(" only"))).when(k % 3 == 0, "five thousand")
+        .when(k % 3 == 1, F.when(g % 2 == 0, F.date_format(printed, "d MMMM yyyy")).otherwise(F.date_format(printed, "dd.MM.yyyy")))
+        .when(g == 0, F.concat(F.lit("the BODY "), k.cast("string"), F.lit(" of works"))).when(g == 1, F.concat(F.lit("pwd "), F.col("p_size").cast("string"))).when(g == 2, F.concat(F.lit("Body "), (k + 1).cast("string"), F.lit(" only")))
+        .when(g == 3, F.concat(F.lit("of the PWD "), F.col("p_size").cast("string"), F.lit(", "), F.col("p_brand"))).otherwise(F.col("p_name"))
+    )
+    return p.select(k, expected.alias("expected"), E.benchmark_match(expected, found).alias("ok"))
 
 
 @query(
