@@ -265,7 +265,7 @@ def sign_test(spark, d):
     "q123_sign_test_texts",
     "WITH c AS (SELECT doc_id % 20 AS g, count(*) FILTER (toxic > quality) AS b, count(*) FILTER (toxic < quality) AS w, count(*) FILTER (toxic = quality) AS t FROM labels GROUP BY ALL), "
     "p AS (SELECT g, b, w, t, CASE WHEN b + w = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(b + w + 1) - lgamma(i + 1) - lgamma(b + w - i + 1) - (b + w) * ln(2)))) END AS p FROM c, range(0, 100000) r(i) WHERE i <= least(b, w) GROUP BY g, b, w, t) "
-    "SELECT g, b || ' improved / ' || w || ' regressed' || CASE WHEN t > 0 THEN ' / ' || t || ' tied' ELSE '' END || ', p=' || printf('%.4f', p) || ', ' || CASE WHEN p < 0.05 THEN 'significant at 0.05' ELSE 'NOT significant at 0.05' END AS said, CASE WHEN p < 0.01 THEN 'p<0.0100' ELSE 'p=' || printf('%.4f', p) END AS of_resamples FROM p",
+    "SELECT g, b || ' improved / ' || w || ' regressed' || CASE WHEN t > 0 THEN ' / ' || t || ' tied' ELSE '' END || ', p=' || printf('%.4f', round_even(round(p, 12), 4)) || ', ' || CASE WHEN p < 0.05 THEN 'significant at 0.05' ELSE 'NOT significant at 0.05' END AS said, CASE WHEN p < 0.01 THEN 'p<0.0100' ELSE 'p=' || printf('%.4f', round_even(round(p, 12), 4)) END AS of_resamples FROM p",
 )
 def sign_test_texts(spark, d):
     """The same comparison in words, and as a hundred resamples could tell it."""
