@@ -19,7 +19,7 @@ def tokens(text):
 
 
 def plain_alignment(page, snippet, floor=0.55):
-    """The reference form: longest matching blocks over all words."""
+    """The plain form: longest matching blocks over all words."""
     a, b = tokens(page), tokens(snippet)
     blocks = [x for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
     if not blocks:
