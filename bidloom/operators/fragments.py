@@ -1,4 +1,4 @@
-"""Names that hold a fragment, through q-grams."""
+"""Names that hold a fragment, through their substrings."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+#: Substrings that one task takes names apart into: their counts stay in memory.
+TASK = 2_000_000
+
 
 def grams(text: Column, size: Column) -> Column:
     """Distinct substrings of ``size`` characters."""
@@ -23,28 +26,21 @@ def hint_of(stem: Column, prefix: str = "NOTIF_") -> Column:
 def unique_holder(fragments: DataFrame, names: DataFrame, q: int = 3) -> DataFrame:
     """``(fragment, holders, name)`` of the distinct ``fragments(fragment)``; ``name`` is null unless one name alone holds it.
 
-    ``names(name)``; letter case does not count, equal names are one, null names and fragments are left out. A fragment
-    of up to ``q`` characters is a gram itself, and the aggregated grams answer it. A longer one meets the names that
-    hold its rarest gram, and of them those that hold all of it: grams are joined, never names
-    with fragments, and what a fragment meets is bounded by its rarest gram. The empty fragment is in every name.
+    ``names(name)``; letter case does not count, equal names are one, null names and fragments are left out. Names are
+    taken apart into the substrings of the lengths that fragments have, these are counted, and a fragment meets the
+    count of its own text: no fragment meets a name, so the work grows with names and fragments, not with their
+    pairs. The empty fragment is in every name. ``q`` changes nothing: every length is a gram.
     """
-    known = names.where("name IS NOT NULL").select("name").distinct().withColumn("low", F.lower("name"))
-    asked = fragments.where("fragment IS NOT NULL").select("fragment").distinct().withColumn("low", F.lower("fragment"))
-    asked = written(asked.withColumn("size", F.least(F.length("low"), F.lit(q))), "fragments")
-    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # q + 1 numbers at most
-    held = known.select("name", "low", F.explode(F.array(*(F.lit(s) for s in sizes))).alias("size")) if sizes else known.limit(0).withColumn("size", F.lit(0))
-    held = held.select("name", "low", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(grams(F.col("low"), F.col("size")))).alias("gram"))
-    wanted = asked.select("low", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(grams(F.col("low"), F.col("size")))).alias("gram"))
-    held = written(held.join(wanted.select("gram").distinct(), "gram", "left_semi"), "grams")
+    known = written(names.where("name IS NOT NULL").select("name").distinct().withColumn("low", F.lower("name")), "names")
+    asked = written(fragments.where("fragment IS NOT NULL").select("fragment").distinct().withColumn("low", F.lower("fragment")), "fragments")
+    sizes = sorted(r["size"] for r in asked.select(F.length("low").alias("size")).distinct().collect())  # a number for each length
+    sums = F.sum(sum((F.greatest(F.length("low") - s + 1, F.lit(0)) for s in sizes), F.lit(0)).cast("long"))
+    parts = -(-(known.agg(sums.alias("n")).first()["n"] or 0) // TASK)
+    each = known.repartition(max(1, parts)).withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes)))) if sizes else known.limit(0).withColumn("size", F.lit(0))
+    held = each.where(F.col("size") <= F.length("low")).select("name", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(grams(F.col("low"), F.col("size")))).alias("gram"))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"), F.min("name").alias("first"))
-    rated = asked.select("fragment", "low").join(wanted, "low").join(counts, "gram", "left")
-    # A gram that no name has decides as well: it counts as the rarest.
-    rarest = rated.groupBy("fragment", "low").agg(F.min_by(F.struct("gram", "n", "first"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g"))
-    short = rarest.where(F.length("low") <= q).select("fragment", F.coalesce("g.n", F.lit(0)).alias("holders"), F.col("g.first").alias("first"))
-    long = rarest.where(F.length("low") > q).select("fragment", F.col("low").alias("wanted"), F.col("g.gram").alias("gram"))
-    met = long.join(held.withColumnRenamed("low", "whole"), "gram", "left").withColumn("holds", F.coalesce(F.contains("whole", "wanted"), F.lit(False)))
-    long = met.groupBy("fragment").agg(F.count_if("holds").alias("holders"), F.min(F.when(F.col("holds"), F.col("name"))).alias("first"))
-    return short.unionByName(long).select("fragment", "holders", F.when(F.col("holders") == 1, F.col("first")).alias("name"))
+    met = asked.join(counts, F.col("low") == F.col("gram"), "left")
+    return met.select("fragment", F.coalesce("n", F.lit(0)).alias("holders"), F.when(F.col("n") == 1, F.col("first")).alias("name"))
 
 
 def resolve_stems(stems: DataFrame, exact: DataFrame, names: DataFrame, q: int = 3, prefix: str = "NOTIF_") -> DataFrame:

@@ -177,6 +177,17 @@ def test_fragments_meet_names_by_their_grams(spark):
     assert {r.fragment: (r.holders, r.name) for r in found.collect()} == {"prefix 77": (11, None), "prefix 1999": (1, "common prefix 1999"), "common": (2000, None)}
 
 
+def test_fragments_in_many_names_stay_apart(spark):
+    """Every gram of these fragments is in very many names: no step may hold a row for each pair of a fragment and such a name."""
+    names = spark.range(4000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    asked = spark.range(4000).select(F.col("id").cast("string").alias("fragment"))
+    found = G.unique_holder(asked, names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("join") == 1 and "contains(" not in plan
+    got = {r.fragment: (r.holders, r.name) for r in found.collect()}
+    assert len(got) == 4000 and got["3999"] == (1, "Customer#000003999") and got["12"][0] == sum("12" in f"{i:09d}" for i in range(4000))
+
+
 def test_stems_take_the_file_first(spark):
     names = spark.createDataFrame([("T-100",), ("T-1001",), ("GHMC/7",)], "name string")
     exact = spark.createDataFrame([("NOTIF_100_a", "T-100")], "stem string, name string")
