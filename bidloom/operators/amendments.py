@@ -163,12 +163,16 @@ def needs_review(issued: Column, deadline: Column, newly_eliminated: Column) ->
 def stale(bids: DataFrame, corrigenda: DataFrame) -> DataFrame:
     """Bids whose last report is older than a corrigendum of their tender, with the newest one.
 
-    ``bids(tender_id, vendor_id, last_report_at)``, ``corrigenda(tender_id, corrigendum_id, created_at)``.
+    ``bids(tender_id, vendor_id, last_report_at)``, ``corrigenda(tender_id, corrigendum_id, created_at)``. Both
+    stand in one row of time, where newer ones are counted as they pass: no bid meets a corrigendum.
     """
-    joined = bids.join(corrigenda, "tender_id").where("created_at > last_report_at")
-    return joined.groupBy("tender_id", "vendor_id").agg(
-        F.count("*").alias("newer"), F.max_by("corrigendum_id", F.struct("created_at", "corrigendum_id")).alias("newest")
-    )
+    known = ["tender_id", "created_at"]
+    came = corrigenda.where("tender_id IS NOT NULL AND created_at IS NOT NULL").select(*known, F.lit(1).alias("part"), F.struct("created_at", "corrigendum_id").alias("one"))
+    seen = bids.where("tender_id IS NOT NULL AND last_report_at IS NOT NULL").select("tender_id", F.col("last_report_at").alias("created_at"), F.lit(0).alias("part"), "vendor_id")
+    # Backwards in time, and a report before a corrigendum of its instant: what has gone by is newer.
+    back = [F.col("created_at").desc(), "part"]
+    passed = running(came.unionByName(seen, allowMissingColumns=True), ["tender_id"], back, {"newer": F.col("part")}, {"newest": F.col("one")})
+    return passed.where("part = 0 AND newer > 0").groupBy("tender_id", "vendor_id").agg(F.sum("newer").alias("newer"), F.max("newest.corrigendum_id").alias("newest"))
 
 
 def warnings(corrigenda: DataFrame, outcomes: DataFrame) -> DataFrame:

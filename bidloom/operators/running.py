@@ -10,7 +10,7 @@ from ..session import written
 RANGE = "_range"
 
 
-def ranged(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def ranged(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """``rows`` as a working table with ``_range``, which grows with (key, order).
 
     Ranges are cut by a sample of all rows, so one key, or one hour of it, fills as many ranges as its rows
@@ -26,7 +26,7 @@ def _same(key: list[str], of: list[str]) -> Column:
     return out
 
 
-def running_over(cut: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
+def running_over(cut: DataFrame, key: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
     """``cut``, as ``ranged`` makes it, with running sums and running maxima of columns within ``key``, by ``order``.
 
     Totals of a key's ranges are added up first, one row for each, then rows within their range: no window
@@ -46,7 +46,7 @@ def running_over(cut: DataFrame, key: list[str], order: list[str], sums: dict[st
     return cut.join(before, _same(key, of), "left").withColumns(out).select(*cut.columns, *out)
 
 
-def running(rows: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
+def running(rows: DataFrame, key: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with running sums and running maxima of columns within ``key``, by ``order``."""
     return running_over(ranged(rows, key, order), key, order, sums, highs).drop(RANGE)
 
