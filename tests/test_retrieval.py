@@ -146,3 +146,26 @@ def test_extraction_report_and_truth(spark):
     truth = spark.createDataFrame([("d1", "emd", "31,500|x", 5), ("d1", "day", "2026-08-22", 4), ("d1", "name", "Mines|School", 1), ("d2", "emd", "5", 1)], "document string, field string, value string, page int")
     selected = spark.createDataFrame([("d1", 4, "nothing"), ("d1", 7, "Rs. 31,500 of the school")], "document string, page int, text string")
     assert {(r.document, r.field): r.present for r in E.truth_in_selection(truth, selected).collect()} == {("d1", "emd"): True, ("d1", "day"): True, ("d1", "name"): False, ("d2", "emd"): False}
+
+
+def test_nearest_enclosures_by_tiles(spark):
+    """A group with most enclosures, among them many copies: tiles, no row for each pair, and the first of the copies."""
+    from bidloom.operators import requirements as R
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[100:400] = x[100]
+    x[500:520] = np.float32(0.5)
+    vectors = [(str(i), v.tolist()) for i, v in enumerate(x)] + [("none", None)]
+    group = ["few" if i % 9 == 0 else "hot" for i in range(900)]
+    asked = [(group[i], 10_000 + i, str(i)) for i in range(0, 900, 5)] + [("hot", 1, "none"), ("hot", 2, "unknown"), ("empty", 3, "7")]
+    offered = [(g, str(i), i) for i, g in enumerate(group)] + [("hot", "none", 5000)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names).repartition(3)
+    found = R.match_by_embedding(frame(asked, "g string, key long, label string"), frame(offered, "g string, name string, pos long"), frame(vectors, "name string, embedding array<float>"), ["g"])
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for g, key, label in asked[:-3]:
+        scores = [(sum(float(a) * float(b) for a, b in zip(x[int(label)], x[i], strict=True)), -i) for i in range(900) if group[i] == g and str(i) != label]
+        s, i = max(scores)
+        want[key] = (g, str(-i), round(s, 4))
+    assert {r.key: (r.g, r.name, round(r.score, 4)) for r in found.collect()} == want
