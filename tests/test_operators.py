@@ -205,6 +205,26 @@ def test_bm25_top_equals_scoring_everything(spark):
     assert key(got) == key(every) and X.bm25_top(docs.limit(0), queries, 5).count() == 0
 
 
+def test_bm25_top_in_tiles(spark):
+    """Copies, words with stops, a document in two rows, many slices and tiles: the same as scoring every pair, which are never rows."""
+    import random
+
+    from bidloom.operators import retrieval as X
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)] + ["w1.", "w2,", "3.5%", "the", "Ü", "w3.,."]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(120)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i % 3]) for i in range(90)] + [(5, texts[5]), (2000, None), (2001, "THE W1.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=7))) for i in range(20)] + [("copy", texts[0])], "query_id string, text string")
+    every = X.top(X.bm25(docs, queries).withColumn("score", F.round("score", 6)), 6)
+    got = X.bm25_top(docs, queries, 6, slice_=100, tile=8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    assert key(got) == key(every) == key(X.bm25_top(docs, queries, 6))
+
+
 def test_rate_limit_against_a_bucket(spark):
     import random
 
