@@ -1,6 +1,7 @@
 """Quoted text: alignment, lines and fragments against plain versions."""
 
 import difflib
+import itertools
 import random
 import re
 
@@ -78,6 +79,28 @@ def test_alignment_against_all_pairs(spark, k):
     assert got["two", 104][:2] == (2, 2)
 
 
+def test_seeds_and_runs_are_taken_from_hashes(spark):
+    """Words are hashed once where they are read; runs of a page are looked up in the snippet, which is the shorter."""
+    df = spark.createDataFrame([(1, "A b c a B c"), (2, "b c"), (3, ""), (4, None), (5, "x a b c")], "page_id int, text string")
+    texts = df.select("page_id", A.words(F.col("text")).alias("t"))
+    assert texts.schema["t"].dataType.simpleString() == "array<bigint>"
+    found = {}
+    for r in A.seeds(texts, "page_id", 3).collect():
+        found.setdefault(r.page_id, []).append(r.seed)
+    assert {i: len(v) for i, v in found.items()} == {1: 4, 5: 2} and len(set(found[1])) == 3 and set(found[1]) & set(found[5]) == {found[1][0]}
+    rng = random.Random(2)
+    for _ in range(60):
+        page, snippet = ([rng.randrange(5) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        want = []
+        for i, j in itertools.product(range(len(page)), range(len(snippet))):
+            if page[i] == snippet[j] and not (i and j and page[i - 1] == snippet[j - 1]):
+                n = 0
+                while i + n < len(page) and j + n < len(snippet) and page[i + n] == snippet[j + n]:
+                    n += 1
+                want.append((i, j, n))
+        assert sorted(zip(*A.common_runs(np.array(page, np.int64), np.array(snippet, np.int64)).tolist(), strict=True)) == want
+
+
 def test_no_pair_without_a_common_run(spark):
     """One snippet in most pages, and as many pages that share none: joins are by seed and by identifier."""
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 > 0, F.lit("before the quoted words of it after")).otherwise(F.concat(F.lit("p"), "id", F.lit(" q r s t"))).alias("text"))
