@@ -169,3 +169,17 @@ def test_nearest_enclosures_by_tiles(spark):
         s, i = max(scores)
         want[key] = (g, str(-i), round(s, 4))
     assert {r.key: (r.g, r.name, round(r.score, 4)) for r in found.collect()} == want
+
+
+def test_questions_leave_in_small_batches():
+    """Every question asks every other block: their vectors are handed on some at a time, not all at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    q, centres = rng.normal(size=(3000, 8)).astype(np.float32), rng.normal(size=(64, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(q.tolist(), pa.list_(pa.float32())), pa.array([None] * 3000, pa.float64())], ["query_id", "q", "floor"])
+    got = list(X._asks(batch, centres, np.full(64, 9.0), np.arange(64), False))
+    assert max(b.num_rows for b in got) <= X.TILE and sum(b.num_rows for b in got) == 3000 * 63
+    assert [b.num_rows for b in X._asks(batch, centres, np.full(64, 9.0), np.arange(64), True)][0] == X.TILE // 64
+    with pytest.raises(ValueError):
+        X._matrix(pa.array([[1.0], [1.0, 2.0]]))
